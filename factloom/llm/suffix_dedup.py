@@ -332,7 +332,7 @@ def cut_segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         if held:
             yield out()
 
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(lists, "doc_id")
+    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(lists.hint("merge"), "doc_id")
     return joined.select("doc_id", "text", "segs").mapInArrow(run, "kind byte, anchor long, doc_id long, start long, windows int, bytes binary")
 
 
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         ours = docs.join(clash, "doc_id", "left").withColumn("_ours", F.col("doc_id").isNotNull() & (F.col("_digest").isNull() | (F.col("_digest") == F.xxhash64("text")))).drop("_digest")
     runs = repeated_runs(ours.filter("_ours").select("doc_id", "text"), length, k)
     names = [c for c in docs.columns if c != "text"]
-    joined = ours.join(runs, "doc_id", "left").select(*names, "text", F.when(F.col("_ours"), F.col("runs")).alias("_runs"))
+    joined = ours.join(runs.hint("merge"), "doc_id", "left").select(*names, "text", F.when(F.col("_ours"), F.col("runs")).alias("_runs"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
