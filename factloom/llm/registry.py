@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import ann_partitions, best_fit, divergence, nbsvm, near_dup, source_mix, suffix_dedup, url_rules
+from factloom.llm import ann_partitions, best_fit, divergence, nbsvm, near_dup, source_mix, suffix_dedup, token_store, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (nbsvm, divergence, ann_partitions, near_dup, suffix_dedup, url_rules, best_fit, source_mix):
+for _module in (nbsvm, divergence, ann_partitions, near_dup, suffix_dedup, token_store, url_rules, best_fit, source_mix):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))
