@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = written(buckets.select("bucket", n_blocks.alias("blocks")), "buckets")
     members = rows.join(buckets, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "doc_id")
     members = written(members, "members")
-    first = members.join(docs, "doc_id").select("bucket", "block", "doc_id", F.col("doc_id").alias("comp"), F.lit(True).alias("probe"), "text")
+    # the members grow with the corpus, so they are never broadcast: texts are shuffled at every size
+    first = members.hint("merge").join(docs, "doc_id").select("bucket", "block", "doc_id", F.col("doc_id").alias("comp"), F.lit(True).alias("probe"), "text")
     links = written(block_links(first, size, percent), "links")
     comps = components(links)
     large = buckets.filter("blocks > 1")
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         out = named.filter("comp <> top").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         probes = out.filter("to <> block").select("bucket", F.col("to").alias("block"), "doc_id", "comp", F.lit(True).alias("probe"))
         second = named.select("bucket", "block", "doc_id", "comp", F.lit(False).alias("probe")).unionByName(probes)
-        links = written(links.unionByName(block_links(second.join(docs, "doc_id"), size, percent)), "links")
+        links = written(links.unionByName(block_links(second.hint("merge").join(docs, "doc_id"), size, percent)), "links")
         comps = components(links)
     answer = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
