@@ -28,11 +28,20 @@ LOOK_AHEAD = 6
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> tuple[list[int], list[int]]:
-    """Bin of each piece (lengths at most the largest capacity), and each bin's final capacity."""
+    """Bin of each piece (lengths at most the largest capacity), and each bin's final capacity.
+
+    Of letting all lengths compete and of opening bins of the few largest ones only, what costs least.
+    """
     caps = sorted(capacities)
+    tried = [place(lengths, caps, caps[i:], bin_cost) for i in range(len(caps))]
+    return min(tried, key=lambda t: sum(c + bin_cost for c in t[1]))
+
+
+def place(lengths: list[int], caps: list[int], openable: list[int], bin_cost: int) -> tuple[list[int], list[int]]:
+    """pack, with bins opened at the lengths `openable` and shrunk to those of `caps`; both rise."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     ahead = [lengths[i] for i in reversed(order)]  # rising; those still to come are a prefix
-    where, used, opened = [0] * len(lengths), [], []
+    where, used = [0] * len(lengths), []
     room: list[tuple[int, int]] = []  # (room left, bin), sorted
     for done, i in enumerate(order):
         size = lengths[i]
@@ -42,7 +51,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost:
         else:
             to_come = len(order) - done - 1
             best = None
-            for cap in caps[bisect_left(caps, size) :]:
+            for cap in openable[bisect_left(openable, size) :]:
                 filled, rest, high = size, cap - size, to_come
                 for _ in range(LOOK_AHEAD):
                     high = bisect_right(ahead, rest, 0, high)
@@ -56,7 +65,6 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost:
                     best = (price, cap)
             left, b = best[1], len(used)
             used.append(0)
-            opened.append(best[1])
         where[i] = b
         used[b] += size
         if left > size:

@@ -69,12 +69,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     spark = docs.sparkSession
     docs = docs.drop("copy", "mix_key", "rate")
     rates = target_rates(docs.select("source"), weights, power, epochs)
-    steps = rates.filter("rate > 0").select(F.col("source").alias("mix_source"), poisson_steps(F.col("rate")).alias("steps"))
+    steps = rates.filter("rate > 0").select(F.col("source").alias("_mix_source"), poisson_steps(F.col("rate")).alias("_mix_steps"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         steps = F.broadcast(steps)
-    drawn = docs.join(steps, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("u", uniform(seed, F.col("doc_id")))
-    times = F.size(F.filter("steps", lambda c: c <= F.col("u")))
-    copies = drawn.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    drawn = docs.join(steps, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(seed, F.col("doc_id")))
+    times = F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u")))
+    copies = drawn.withColumn("_mix_times", times).filter("_mix_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
     return copies.select(*docs.columns, "copy", "mix_key").repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
 

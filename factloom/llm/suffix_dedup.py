@@ -382,16 +382,32 @@ def merged(runs: np.ndarray) -> np.ndarray:
     return np.stack([start[cut], end[np.concatenate([cut[1:], [len(runs)]]) - 1]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of a span of UTF-8 bytes that is whole characters."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, as_text: bool = False) -> DataFrame:
     """docs' rows with n_bytes, removed_spans (start, end of each maximal run in bytes) and kept_bytes.
 
+    With as_text there is kept_text instead of kept_bytes: a character of which a span has only some bytes stays.
+
     docs: doc_id (long), text; texts are UTF-8 bytes, null is empty; matches never cross documents. Rows of
     equal doc_id and text are one document and get the same answer. Of rows that share a doc_id but not
     the text, the one of the least hash is the document; the others, and rows of a null doc_id, pass
     whole and are nobody's earlier copy. Texts under `length` bytes pass whole. Other columns are kept,
-    but for ones named n_bytes, removed_spans or kept_bytes.
+    but for ones named n_bytes, removed_spans, kept_bytes or kept_text.
     """
-    docs = docs.drop("n_bytes", "removed_spans", "kept_bytes").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    if length < 16:
+        raise ValueError("strings of 16 bytes at least")
+    k = min(k, length // 3)
+    if length - k > 254:
+        raise ValueError("the anchor is too short for this length")
+    docs = docs.drop("n_bytes", "removed_spans", "kept_bytes", "kept_text", "_ours", "_digest", "_runs").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     digests = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("_digest"), F.max("digest").alias("most"))
     clash = written(digests.filter("_digest <> most").select("doc_id", "_digest"), "clashes")
     ours = docs.withColumn("_ours", F.col("doc_id").isNotNull())
@@ -412,16 +428,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
                 if runs[i].is_valid:
                     m = merged(runs[i].values.to_numpy())
                     spans.append([{"start": int(a), "end": int(b)} for a, b in m])
-                    ends = [0, *m[:, 1].tolist()]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*m[:, 0].tolist(), len(raw)], strict=True)))
+                    gone = m.tolist()
+                    if as_text:
+                        gone = [whole_characters(raw, a, b) for a, b in gone]
+                    ends = [0, *(b for _, b in gone)]
+                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(raw)], strict=True)))
                 else:
                     spans.append([])
                     kept.append(raw)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(names) + 1)], pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], [*names, "text", "n_bytes", "removed_spans", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(names) + 1)], pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array([x.decode() for x in kept] if as_text else kept, pa.string() if as_text else pa.binary())], [*names, "text", "n_bytes", "removed_spans", last[0]])
 
+    last = ("kept_text", "string") if as_text else ("kept_bytes", "binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*names, "text").schema)
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, removed_spans array<struct<start:long,end:long>>, kept_bytes binary")
+    return joined.mapInArrow(cut, f"{fields}, n_bytes long, removed_spans array<struct<start:long,end:long>>, {last[0]} {last[1]}")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Every document's ids, with an end id, are cut into chunks where a rolling hash o
 equal passages cut alike wherever they stand. A chunk is addressed by a hash of its bytes and stored once.
 
 The store is a folder of Parquet files:
-  chunks/    address, n, ids: n token ids as little-endian 32-bit (or 16-bit, if all fit) integers, zstandard
+  staged/    kind=chunks: address, n, ids: n token ids as little-endian 16-bit integers, or 32-bit where one
+             doesn't fit, compressed by zstandard; kind=recipes: what recipes/ holds, not in order
   recipes/   part, doc_id, n_tokens, addresses, root: in ascending doc_id order over files; addresses are
              those of the document's chunks in order, root the Merkle root of them
   manifest/  part, first and last doc_id, documents, tokens, root: one row for each part of recipes, in
@@ -278,7 +279,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/staged").filter("kind = 'chunks'").select("address", "n", "ids")
+    return spark.read.schema("address binary, n int, ids binary, kind string").parquet(f"{path}/staged").filter("kind = 'chunks'").select("address", "n", "ids")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
