@@ -166,14 +166,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     filed = classes.mapInPandas(route(1), "key long, embedding array<double>, ids array<long>, first long, parts array<int>")
     filed = written(filed.withColumn("part", F.col("parts")[0]).drop("parts"), "vector-index")
-    queries = asked.groupBy("key", "embedding").agg(F.min("vec_id").alias("query"))
-    queries = written(queries.mapInPandas(route(visit), "key long, embedding array<double>, query long, parts array<int>").select("key", "embedding", F.explode("parts").alias("part")), "vector-queries")
+    alike = asked.groupBy("key", "embedding").agg(F.min("vec_id").alias("query"))
+    queries = written(alike.mapInPandas(route(visit), "key long, embedding array<double>, query long, parts array<int>").select("key", "query", "embedding", F.explode("parts").alias("part")), "vector-queries")
     sizes = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     q_sizes = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
     sizes = written(sizes.join(q_sizes, "part"), "vector-blocks")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     home = lambda n: F.pmod(F.xxhash64("key", F.lit("block")), F.col(n)).cast("int")
-    left = queries.join(sizes, "part").select("part", home("q_blocks").alias("q_block"), F.explode(spread("blocks")).alias("block"), "key", "embedding")
+    left = queries.join(sizes, "part").select("part", home("q_blocks").alias("q_block"), F.explode(spread("blocks")).alias("block"), "key", "query", "embedding")
     right = filed.join(sizes, "part").select("part", F.explode(spread("q_blocks")).alias("q_block"), home("blocks").alias("block"), "key", "embedding", "ids")
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -190,15 +190,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 for i in range(len(x)):
                     hit = np.flatnonzero(s[i] >= least[i])
                     hit = hit[np.argsort(-s[i][hit], kind="stable")][:best]
-                    out.append((part["key"].iloc[i], part["embedding"].iloc[i], [{"score": float(np.dot(x[i], b[j])), "ids": ids[j]} for j in hit]))
-        return pd.DataFrame(out, columns=["key", "embedding", "found"])
-
-    found = left.groupBy("part", "q_block", "block").cogroup(right.groupBy("part", "q_block", "block")).applyInPandas(compare, "key long, embedding array<double>, found array<struct<score:double,ids:array<long>>>")
-    flat = found.select("key", "embedding", F.explode("found").alias("f")).select("key", "embedding", F.col("f.score").alias("score"), F.explode("f.ids").alias("vec_id"))
-    order = Window.partitionBy("key", "embedding").orderBy(F.desc("score"), "vec_id")
-    best = flat.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1)
-    ids = asked.select(F.col("vec_id").alias("query_id"), "key", "embedding").distinct()
-    answer = ids.join(best, ["key", "embedding"]).filter("query_id <> vec_id")
+                    out.append((part["key"].iloc[i], part["query"].iloc[i], [{"below": -float(np.dot(x[i], b[j])), "ids": ids[j]} for j in hit]))
+        return pd.DataFrame(out, columns=["key", "query", "found"])
+
+    found = left.groupBy("part", "q_block", "block").cogroup(right.groupBy("part", "q_block", "block")).applyInPandas(compare, "key long, query long, found array<struct<below:double,ids:array<long>>>")
+    # k + 1 of each visited block: a bounded list for each query
+    best = found.groupBy("key", "query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
+    flat = best.select("key", "query", F.explode("found").alias("f")).select("key", "query", (-F.col("f.below")).alias("score"), F.explode("f.ids").alias("vec_id"))
+    order = Window.partitionBy("key", "query").orderBy(F.desc("score"), "vec_id")
+    best = flat.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).drop("nth")
+    ids = asked.select(F.col("vec_id").alias("query_id"), "key", "embedding").distinct().join(alike, ["key", "embedding"]).select("query_id", "key", "query")
+    answer = ids.join(best, ["key", "query"]).filter("query_id <> vec_id")
     # an id under two vectors is a candidate by its nearer one
     answer = answer.groupBy("query_id", "key", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
