@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Unit -> (dimension, canonical unit, factor); no factor: not convertible.
 UNITS = {
@@ -96,13 +97,13 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity with prefix weight .1 up to four characters, always applied; null counts as empty."""
     return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(c: pd.Series) -> pd.Series:
     """JSON text with keys sorted at every depth; null where it is no JSON."""
 
@@ -123,7 +124,7 @@ def strip_key(name: str):
             return {k: prune(x) for k, x in v.items() if k != name}
         return [prune(x) for x in v] if isinstance(v, list) else v
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def strip(c: pd.Series) -> pd.Series:
         return c.map(lambda x: None if x is None else json.dumps(prune(json.loads(x)), separators=(",", ":"), ensure_ascii=False))
 

@@ -159,7 +159,7 @@ def drift_scan(rows: DataFrame, fields: list[str], as_of: str, days: int = 7, mo
     cohort = newest(side, ["category", "is_current"], [F.desc("created_at"), F.col("id")], most)
     empty = lambda f: F.col(f).isNull() | (F.col(f).cast("string") == "")
     rate = lambda f, now: F.avg(F.when(F.col("is_current") == now, empty(f).cast("int")))
-    both = cohort.groupBy("category").agg(F.count_if("is_current").alias("n_current"), F.count_if("not is_current").alias("n_baseline"), *[F.struct(F.lit(f).alias("field"), rate(f, F.lit(False)).alias("baseline"), rate(f, F.lit(True)).alias("current")).alias(f"s_{f}") for f in fields])
+    both = cohort.groupBy("category").agg(F.count_if("is_current").alias("n_current"), F.count_if(~F.col("is_current")).alias("n_baseline"), *[F.struct(F.lit(f).alias("field"), rate(f, F.lit(False)).alias("baseline"), rate(f, F.lit(True)).alias("current")).alias(f"s_{f}") for f in fields])
     long = both.filter("n_current > 0 AND n_baseline > 0").select("category", F.explode(F.array(*[f"s_{f}" for f in fields])).alias("s")).select("category", "s.*")
     delta = F.round(F.col("current") - F.col("baseline"), 9)
     return long.withColumn("delta", delta).withColumn("drifted", F.abs(delta) >= threshold)

@@ -54,5 +54,5 @@ def calibrate(facts: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
 
 def beta_prior(samples: DataFrame, by: list[str]) -> DataFrame:
     """alpha, beta and mean of a Beta distribution from outcomes, one of each given."""
-    out = samples.groupBy(*by).agg((1 + F.count_if("outcome = 1")).alias("alpha"), (1 + F.count_if("outcome = 0")).alias("beta"))
+    out = samples.groupBy(*by).agg((1 + F.count_if(F.col("outcome") == 1)).alias("alpha"), (1 + F.count_if(F.col("outcome") == 0)).alias("beta"))
     return out.withColumn("mean", F.round(F.col("alpha") / (F.col("alpha") + F.col("beta")), 9))

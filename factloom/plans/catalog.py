@@ -1,43 +1,6 @@
-"""Registry of the catalog queries and their SQL equivalents."""
+"""All queries of the catalog engine, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from factloom.sources.tables import table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame function, with its SQL where there is one."""
-
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-@query(
-    "price_clusters",
-    """
-    SELECT p_brand AS brand, p_type AS category,
-           round(quantile_cont(l_extendedprice / l_quantity, 0.5), 6) AS median_price, count(*) AS n
-    FROM lineitem JOIN part ON l_partkey = p_partkey
-    GROUP BY p_brand, p_type HAVING count(*) >= 10
-    """,
-)
-def price_clusters(spark, sf_dir):
-    """Median unit price per brand and category, clusters of at least ten observations."""
-    items = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
-    return (
-        items.join(parts, items.l_partkey == parts.p_partkey)
-        .groupBy("brand", "category")
-        .agg(F.round(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY price)"), 6).alias("median_price"), F.count("*").alias("n"))
-        .filter("n >= 10")
-    )
+from factloom.plans import analytics_queries, fact_queries, page_queries  # noqa: F401
+from factloom.plans.register import ORACLES, QUERIES  # noqa: F401
