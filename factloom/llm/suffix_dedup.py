@@ -337,9 +337,29 @@ def cut_segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def window_rows(segs: DataFrame, length: int) -> DataFrame:
-    """h1, h2 (128 bits of each window's bytes), doc_id, start."""
+    """h1, h2 (128 bits of each window's bytes), doc_id, start, run: the window a task sees first, by place.
+
+    The others it has seen are later copies whatever other tasks see; they come as merged runs (start << 32 |
+    end, null for windows), and so a window sends at most one row per task and flush.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h1, h2, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            by = np.lexsort((start, doc, h2, h1))
+            h1, h2, doc, start = (c[by] for c in (h1, h2, doc, start))
+            other = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(h1)]
+            late = np.flatnonzero(~other & np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])[: len(h1)])
+            late = late[np.lexsort((start[late], doc[late]))]
+            d, a, b = runs_of(doc[late], start[late], length)
+            none = np.zeros(int(other.sum()), np.int64)
+            cols = [np.concatenate([x[other].view(np.int64), y]) for x, y in ((h1, 0 * d), (h2, 0 * d), (doc, d), (start, a))]
+            runs = pa.array(np.concatenate([none, (a << 32) | b]), mask=np.arange(len(none) + len(d)) < len(none))
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), runs], ["h1", "h2", "doc_id", "start", "run"])
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 t = batch.slice(lo, 4096)
@@ -350,9 +370,15 @@ def window_rows(segs: DataFrame, length: int) -> DataFrame:
                 h1 = slice_hash(prefix_hash(data), begin, begin + length)
                 spread = mix(data.astype(U) + U(0x632BE59BD9B4E019)).view(np.uint8).reshape(-1, 8)[:, 3]
                 h2 = slice_hash(prefix_hash(spread), begin, begin + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.repeat(t.column(1).to_numpy(), windows)), pa.array(np.repeat(t.column(2).to_numpy(), windows) + inner)], ["h1", "h2", "doc_id", "start"])
+                held.append((h1, h2, np.repeat(t.column(1).to_numpy(), windows), np.repeat(t.column(2).to_numpy(), windows) + inner))
+                size += len(h1)
+                if size > FLUSH:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
 
-    return segs.select("anchor", "doc_id", "start", "windows", "bytes").mapInArrow(run, "h1 long, h2 long, doc_id long, start long")
+    return segs.select("anchor", "doc_id", "start", "windows", "bytes").mapInArrow(run, "h1 long, h2 long, doc_id long, start long, run long")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -368,8 +394,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
         cut = written(cut, "segments")
         found = whole.union(sorted_suffix_runs(cut.filter("kind = 1"), length).select("doc_id", packed))
         windows = written(window_rows(cut.filter("kind = 2"), length), "windows")
-        least = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).filter("n > 1")
-        late = windows.join(least.select("h1", "h2", F.col("at.doc_id").alias("doc0"), F.col("at.start").alias("start0")), ["h1", "h2"]).filter("doc_id <> doc0 or start <> start0")
+        firsts = windows.filter("run is null").select("h1", "h2", "doc_id", "start")
+        least = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).filter("n > 1")
+        late = firsts.join(least.select("h1", "h2", F.col("at.doc_id").alias("doc0"), F.col("at.start").alias("start0")), ["h1", "h2"]).filter("doc_id <> doc0 or start <> start0")
+        found = found.union(windows.filter("run is not null").select("doc_id", "run"))
         found = found.union(late.select("doc_id", (F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("start") + length)).alias("run")))
     return found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
