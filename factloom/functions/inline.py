@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.html import captcha_wall, decode, script_blocks, script_by_id, window_assignment
-from factloom.functions.scalars import lookup
+from factloom.functions.scalars import let, lookup
 
 # Where a product stands in a page's state, and the members that give a raw key, best first.
 NUXT_PATHS = ["payload.product", "payload.state.product", "payload.data.product", "payload.pageProps.product"]
@@ -25,11 +25,6 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _FACT = "array<struct<raw_key:string,value:string>>"
 
 
-def _let(x: Column, f) -> Column:
-    """f(x), with x evaluated once however often f names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _first(found: list[Column], test) -> Column:
     return F.get(F.filter(F.array(*found), test), F.lit(0))
 
@@ -53,7 +48,7 @@ def _text(v: Column) -> Column:
         s = F.try_variant_get(x, "$", "string")
         return F.when((_kind(x) == "STRING") & (F.trim(s) != ""), s)
 
-    return _let(v, of)
+    return let(v, of)
 
 
 def _number(v: Column) -> Column:
@@ -63,7 +58,7 @@ def _number(v: Column) -> Column:
         s = F.try_variant_get(x, "$", "string")
         return F.when((_kind(x) == "STRING") & s.rlike(_NUMBER), F.trim(s)).when(_kind(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), s)
 
-    return _let(v, of)
+    return let(v, of)
 
 
 def _fact(key: str, value: Column) -> Column:
@@ -72,7 +67,7 @@ def _fact(key: str, value: Column) -> Column:
 
 def _fields(v: Column, texts: dict[str, list[str]], price: list[str]) -> Column:
     """Facts of a product's members; those it lacks have a null value."""
-    return _let(v, lambda p: F.array(*[_fact(k, _text(_member(p, *names))) for k, names in texts.items()], _fact("base_price", _number(_member(p, *price)))).cast(_FACT))
+    return let(v, lambda p: F.array(*[_fact(k, _text(_member(p, *names))) for k, names in texts.items()], _fact("base_price", _number(_member(p, *price)))).cast(_FACT))
 
 
 def _state(json: Column, paths: list[str]) -> Column:
@@ -84,8 +79,8 @@ def _state(json: Column, paths: list[str]) -> Column:
         attributes = F.transform(scalar, lambda e: F.struct(e["key"].alias("raw_key"), F.try_variant_get(e["value"], "$", "string").alias("value")))
         return F.concat(_fields(product, STATE_TEXTS, STATE_PRICE), F.coalesce(attributes.cast(_FACT), F.array().cast(_FACT)))
 
-    product = _let(F.try_parse_json(json), lambda root: _object(*[_member(root, p) for p in paths]))
-    return _let(product, of)
+    product = let(F.try_parse_json(json), lambda root: _object(*[_member(root, p) for p in paths]))
+    return let(product, of)
 
 
 def _first_of_each(facts: Column) -> Column:
@@ -120,7 +115,7 @@ def magento(html: Column) -> Column:
 
     def facts(e: Column) -> Column:
         is_box, is_view = e["key"].rlike("(?i)Magento_Catalog/js/price-box"), e["key"].rlike("(?i)Magento_Catalog/product/view")
-        box = _let(F.try_parse_json(e["value"]), lambda v: F.array(_fact("base_price", F.coalesce(*[_number(_member(v, p)) for p in BOX_PRICES]))).cast(_FACT))
+        box = let(F.try_parse_json(e["value"]), lambda v: F.array(_fact("base_price", F.coalesce(*[_number(_member(v, p)) for p in BOX_PRICES]))).cast(_FACT))
         return F.when(is_box, box).when(is_view, _fields(F.try_parse_json(e["value"]), VIEW_TEXTS, VIEW_PRICE)).otherwise(F.array().cast(_FACT))
 
     return _first_of_each(F.flatten(F.transform(components, facts)))
@@ -141,7 +136,7 @@ def rdfa(html: Column) -> Column:
         paired = F.regexp_extract_all(part, F.lit(r"(?i)<([a-z][a-z0-9]*)[^>]*\bproperty=[\"'][^\"']+[\"'][^>]*>.*?</\1>"), F.lit(0))
         return _first_of_each(F.transform(F.concat(alone, paired), fact).cast(_FACT))
 
-    return F.filter(_let(product, facts), lambda f: (f["raw_key"] != "base_price") | f["value"].rlike(_NUMBER))
+    return F.filter(let(product, facts), lambda f: (f["raw_key"] != "base_price") | f["value"].rlike(_NUMBER))
 
 
 def woocommerce(html: Column) -> Column:
@@ -151,7 +146,7 @@ def woocommerce(html: Column) -> Column:
     title = decode(F.trim(F.regexp_extract(html, mark("h1", "product_title") + r"\s*([^<]+)", 1)))
     inside = r"([^<]*(?:<span\b[^>]*>[^<]*</span>[^<]*|<(?!/?span\b)[^>]*>[^<]*){0,20})</span>"
     shown = F.regexp_replace(F.regexp_extract(html, mark("span", "woocommerce-Price-amount") + inside, 1), r"<[^>]+>|&[#\w]+;", "")
-    price = _let(F.trim(F.regexp_replace(shown, r"[^\d.\s]", "")), lambda x: F.when(x.try_cast("double") > 0, x))
+    price = let(F.trim(F.regexp_replace(shown, r"[^\d.\s]", "")), lambda x: F.when(x.try_cast("double") > 0, x))
     div = F.regexp_extract(html, mark("div", "product"), 0)
     value = lambda name: F.trim(F.regexp_extract(div, rf"(?i){name}=[\"']([^\"']+)[\"']", 1))
     fields = [("title", title), ("base_price", price), ("model_number", value("data-product_sku")), ("sku", value("data-product_id"))]

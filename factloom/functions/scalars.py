@@ -47,6 +47,11 @@ def lookup(mapping: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x evaluated once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def slug(c: Column) -> Column:
     """Lower case, other runs than a-z and 0-9 to one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_|_$", "")
