@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import lookup
+from factloom.functions.scalars import host_of, lookup, tld
 
 # Rank of a parser's facts by family of field; and the order in which parsers arrive.
 PARSERS = ["json_ld", "shopify_probe", "shopify_products_json", "next_data", "microdata", "rdfa", "nuxt", "initial_state", "magento", "woocommerce", "algolia", "opengraph", "breadcrumb_list"]
@@ -22,6 +22,11 @@ PRECEDENCE = {
     "text": [5, 5, 5, 4, 3, 3, 3, 3, 3, 2, 2, 2, 0],
 }
 ARRIVAL = ["json_ld", "shopify_probe", "next_data", "microdata", "opengraph", "nuxt", "initial_state", "magento", "woocommerce", "algolia", "shopify_products_json", "rdfa", "breadcrumb_list"]
+# Currency of a top-level domain.
+TLD_CURRENCY = {
+    "in": "INR", "au": "AUD", "uk": "GBP", "ca": "CAD", "jp": "JPY", "de": "EUR", "fr": "EUR", "it": "EUR", "es": "EUR", "nl": "EUR", "ie": "EUR", "nz": "NZD", "ch": "CHF",
+    "se": "SEK", "no": "NOK", "dk": "DKK", "sg": "SGD",
+}
 # Raw keys of the core fields, and the weights and bands of the mapping score.
 CORE_FIELDS = {
     "title": "title", "brand": "brand", "vendor": "brand", "gtin": "gtin", "barcode": "gtin", "model_number": "modelNumber", "modelNumber": "modelNumber", "mpn": "modelNumber",
@@ -74,6 +79,22 @@ def merge_facts(facts: DataFrame) -> DataFrame:
     return grouped.select("page", "raw_key", top["value"].alias("value"), top["parser"].alias("parser"), top["confidence"].alias("confidence"), F.transform(others, lambda x: x["value"]).alias("alternatives"))
 
 
+def infer_currency(facts: DataFrame, pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """facts, and for each page that has facts but no currency among them that of its url's top-level domain (.70).
+
+    pages: page, url, a row per page. A url without a host, or of another domain, adds nothing.
+    """
+    without = facts.groupBy("page").agg(F.bool_or(F.col("raw_key") == "currency").alias("has")).filter("not coalesce(has, false)")
+    urls = pages.select(F.col(page).alias("page"), lookup(TLD_CURRENCY, tld(host_of(F.col("url")))).alias("value")).filter("value is not null")
+    inferred = urls.join(without, "page", "left_semi").select("page", F.lit("currency").alias("raw_key"), "value", F.lit(0.70).alias("confidence"), F.lit("inferred").alias("parser"), F.lit(1_000_000).alias("ordinal"))
+    return facts.select("page", "raw_key", "value", "confidence", "parser", "ordinal").unionByName(inferred)
+
+
+def fill_gaps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """All facts of first, and those of second whose page and raw key first lacks: site parsers before general ones."""
+    return first.unionByName(second.join(first.select("page", "raw_key").distinct(), ["page", "raw_key"], "left_anti").select(*first.columns))
+
+
 def best_fact(facts: DataFrame, by: list[str]) -> DataFrame:
     """The most confident fact per key, the first of equals."""
     return facts.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("confidence"), "ordinal"))).filter("_nth = 1").drop("_nth")

@@ -78,6 +78,17 @@ def test_merge_and_payload(spark):
     assert not cross["base_price"].conflict and cross["base_price"].confidence == 1.0
 
 
+def test_inferred_currency_and_gaps(spark):
+    schema = "page long, raw_key string, value string, confidence double, parser string, ordinal int"
+    facts = spark.createDataFrame([(1, "title", "a", 0.9, "json_ld", 0), (2, "title", "b", 0.9, "json_ld", 0), (2, "currency", "USD", 0.9, "json_ld", 1), (3, "title", "c", 0.9, "json_ld", 0), (5, None, None, 0.9, "json_ld", 0)], schema)
+    pages = spark.createDataFrame([(1, "https://www.shop.co.uk/p"), (2, "https://shop.de/"), (3, None), (4, "https://x.in/"), (5, "http://y.se")], "page_id long, url string")
+    got = X.infer_currency(facts, pages)
+    assert {(r.page, r.value, r.confidence) for r in got.filter("parser = 'inferred'").collect()} == {(1, "GBP", 0.7), (5, "SEK", 0.7)}
+    assert got.count() == 7
+    site = spark.createDataFrame([(1, "title", "site", 0.9, "site", 0)], schema)
+    assert {(r.page, r.raw_key, r.value) for r in X.fill_gaps(site, facts.filter("page < 3")).collect()} == {(1, "title", "site"), (2, "title", "b"), (2, "currency", "USD")}
+
+
 def test_field_families(spark):
     want = {"variants[0].inventory_quantity": "inventory", "variants[3].price": "price", "variants[1].title": "variants", "sku": "identifier", "mrp": "price", "productType": "category", "images": "text", "category_path": "attribute"}
     for k, family in want.items():
