@@ -119,12 +119,15 @@ def description(html: Column) -> Column:
     return F.transform(F.slice(found, 1, 1), lambda d: _fact("description", d["v"], d["c"]))
 
 
-#: In the order in which their facts arrive.
-HEURISTICS = [price, images, breadcrumb, spec_table, variant_selectors, title, description]
+#: In the order in which their facts arrive, each with what a page has where it could find anything.
+HEURISTICS = [
+    (price, f"(?i){PRICE_CLASS}"), (images, "(?i)<img|og:image"), (breadcrumb, "(?i)breadcrumb"), (spec_table, "(?i)<tr|<dl"),
+    (variant_selectors, "(?i)<select|radio"), (title, "(?i)<h1|<title|og:title"), (description, "(?i)description"),
+]
 
 
 def dom_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, raw_key, value, confidence, alternatives, parser (dom), ordinal of all heuristics; a null page has none."""
-    found = F.concat(*[F.coalesce(h(F.col("html")).cast(_FACT), F.array().cast(_FACT)) for h in HEURISTICS])
+    found = F.concat(*[F.coalesce(F.when(F.col("html").rlike(mark), h(F.col("html")).cast(_FACT)), F.array().cast(_FACT)) for h, mark in HEURISTICS])
     rows = pages.select(F.col(page).alias("page"), F.posexplode(found).alias("ordinal", "f"))
     return rows.select("page", "f.*", F.lit("dom").alias("parser"), "ordinal")
