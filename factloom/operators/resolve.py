@@ -35,26 +35,66 @@ def resolve_identity(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return hits.groupBy("candidate").agg(F.min(F.struct("position", "known")).alias("b")).select("candidate", F.col("b.known").alias("product"))
 
 
+def title_keys(df: DataFrame, title: str, least: float, probe: bool) -> DataFrame:
+    """A row for each key of a title: two titles of a similarity of `least` or more have a key in common.
+
+    The keys of the shorter (probe: False) are met by those of the longer (probe: True); at equal lengths either
+    may be the shorter. A longer title of m characters may be d = (1 - least) m edits away. Up to d = 1 the keys are
+    the title and what one deletion leaves of it. Beyond, the shorter is cut into d + 1 segments, one of which the
+    edits leave alone: it stands in the longer, and no further from its place than the edits before and after it
+    allow. Titles that differ without a single edit to spare (d = 0) have no keys: they are equal.
+    """
+    edits = lambda m: f"int(floor({1 - least + 1e-9!r} * {m} + 1e-9))"
+    size, longest = "length(_k)", f"int(floor(length(_k) / {least - 1e-9!r} + 1e-9))"
+    one = f"CASE WHEN {edits(longest)} >= 1 AND {edits(size)} <= 1 THEN array_distinct(concat(array(_k), transform(sequence(1, {size}), i -> concat(substring(_k, 1, i - 1), substring(_k, i + 1))))) ELSE array() END"
+    one = f"transform({one}, s -> struct(0 AS size, 1 AS edits, 0 AS nth, s AS part))"
+    cut = lambda i, n, d: f"({i} * {n} div ({d} + 1))"
+    width = lambda n, d: f"int({cut('(i + 1)', n, d)} - {cut('i', n, d)})"
+    if probe:
+        d = edits(size)
+        starts = f"filter(sequence(int({cut('i', 'n', 'd')}) - d, int({cut('i', 'n', 'd')}) + d), q -> q >= 0 AND q <= {size} - {width('n', 'd')} AND abs(q - {cut('i', 'n', 'd')}) <= i AND abs(q - {cut('i', 'n', 'd')} - {size} + n) <= d - i)"
+        parts = f"flatten(transform(sequence(0, d), i -> transform({starts}, q -> struct(n AS size, d AS edits, i AS nth, substring(_k, q + 1, {width('n', 'd')}) AS part))))"
+        many = f"flatten(transform(filter(array({d}), d -> d >= 2), d -> flatten(transform(sequence({size} - d, {size}), n -> {parts}))))"
+    else:
+        parts = f"transform(sequence(0, d), i -> struct({size} AS size, d AS edits, i AS nth, substring(_k, int({cut('i', size, 'd')}) + 1, {width(size, 'd')}) AS part))"
+        many = f"flatten(transform(filter(sequence({edits(size)}, {edits(longest)}), d -> d >= 2), d -> {parts}))"
+    return df.withColumn("_k", F.col(title)).withColumn("key", F.explode(F.expr(f"array_distinct(concat({one}, {many}))"))).drop("_k")
+
+
+def title_pairs(a: DataFrame, b: DataFrame, block: list[str], least: float = TITLE) -> DataFrame:
+    """Block, a, b, similarity of unlike titles a of the one and b of the other side that are similar.
+
+    Both have the block's columns and t, a normal title, each once; if they are one frame, a pair is given once,
+    its lesser title as a. Found by equal keys alone: see title_keys.
+    """
+
+    def met(shorter: DataFrame, longer: DataFrame, names: tuple[str, str]) -> DataFrame:
+        x = title_keys(shorter.select(*block, F.col("t").alias("s")), "s", least, False)
+        y = title_keys(longer.select(*block, F.col("t").alias("l")), "l", least, True)
+        near = (F.col("s") != F.col("l")) & (F.length("l") - F.length("s") <= (1 - least) * F.length("l") + 1e-6)
+        return x.join(y, [*block, "key"]).filter((F.length("s") <= F.length("l")) & near).select(*block, F.col("s").alias(names[0]), F.col("l").alias(names[1]))
+
+    pairs = met(a, b, ("a", "b"))
+    if a is b:
+        pairs = pairs.select(*block, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        pairs = pairs.unionByName(met(b, a, ("b", "a")))
+    pairs = pairs.distinct()
+    return pairs.withColumn("similarity", F.round(similarity(F.col("a"), F.col("b")), 9)).filter(F.col("similarity") >= least)
+
+
 def title_classes(rows: DataFrame, id_col: str, block: list[str], title: str, least: float = TITLE) -> DataFrame:
     """Pairs of distinct titles of a block that are similar, with the least id and number of rows of each.
 
-    Rows of equal block and title are one class before anything is paired, and a pair needs a common word of
-    few in either title: an edit changes two words at most, so titles within edit distance d share all but 2 d
-    of their words, and the rarest common word is among the 2 d + 1 rarest of each. Others pair nothing.
+    Rows of equal block and title are one class before anything is paired; classes are paired by title_pairs,
+    whether or not they share a word.
     """
-    t = rows.withColumn("_t", normal(F.col(title))).filter("_t is not null and _t <> ''")
-    classes = t.groupBy(*block, "_t").agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
-    words = classes.select(*block, "_t", "id", "n", F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("word"))
-    often = words.groupBy(*block, "word").agg(F.count("*").alias("often"))
-    ranked = words.join(often, [*block, "word"]).groupBy(*block, "_t", "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ws"))
-    spare = F.floor((1 - least) * F.length("_t") / least + 1e-9).cast("int") + 1
-    probes = ranked.select(*block, F.col("_t").alias("title"), "id", "n", F.explode(F.slice("ws", 1, F.greatest(F.lit(1), 2 * spare))).alias("w")).select(*block, "title", "id", "n", "w.word")
-    a, b = probes.alias("a"), probes.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*block, "word"]] + [F.col("a.title") < F.col("b.title")]
-    sim = similarity(F.col("a.title"), F.col("b.title"))
-    near = F.abs(F.length("a.title") - F.length("b.title")) <= (1 - least) * F.greatest(F.length("a.title"), F.length("b.title")) + 1e-9
-    pairs = a.join(b, on).filter(near).select(*[F.col(f"a.{c}") for c in block], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.round(sim, 9).alias("similarity"))
-    return pairs.filter(F.col("similarity") >= least).distinct()
+    t = rows.withColumn("t", normal(F.col(title))).filter("t is not null and t <> ''")
+    classes = t.groupBy(*block, "t").agg(F.min(id_col).alias("id"), F.count("*").alias("n"))
+    pairs = title_pairs(classes, classes, block, least)
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(*block, F.col("t").alias(side), F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}")), [*block, side])
+    return pairs.select(*block, "id_a", "id_b", "n_a", "n_b", "similarity")
 
 
 def category_fits(a: Column, b: Column) -> Column:

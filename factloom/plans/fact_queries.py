@@ -219,6 +219,19 @@ def title_similarity(spark, sf_dir):
     return R.title_classes(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", name.alias("name")), "c_custkey", ["c_nationkey"], "name")
 
 
+@query(
+    "title_similarity_names",
+    """
+    WITH c AS (SELECT c_nationkey, lower(trim(c_name)) AS t, min(c_custkey) AS id, count(*) AS n FROM customer GROUP BY 1, 2)
+    SELECT a.c_nationkey, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) AS similarity
+    FROM c a JOIN c b ON a.c_nationkey = b.c_nationkey AND a.t < b.t AND round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) >= 0.92
+    """,
+)
+def title_similarity_names(spark, sf_dir):
+    """The names as they are, of one word each."""
+    return R.title_classes(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name"), "c_custkey", ["c_nationkey"], "c_name")
+
+
 @query(
     "reconcile_fields",
     """

@@ -136,6 +136,28 @@ def test_title_classes_lose_no_pair(spark):
     assert got == want and want
 
 
+def test_title_classes_need_no_common_word(spark):
+    import random
+
+    rng, titles = random.Random(3), ["customer#000000001", "customer#000000011", "customer#00000001", "x" * 12, "x" * 13, "abcdefghijkl", "abcdefghijk"]
+    for n in (13, 24, 25, 26, 37, 38, 60, 75, 101):
+        for _ in range(3):
+            t = "".join(rng.choice("abcd ") for _ in range(n)).strip() or "a"
+            titles.append(t)
+            for edits in range(1, n // 12 + 2):
+                other = list(t)
+                for at in rng.sample(range(len(t)), edits):
+                    other[at] = rng.choice(["", "é", other[at] + "z"])
+                titles.append("".join(other).strip())
+    titles = sorted(set(titles))
+    rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(titles)], "id long, brand string, title string")
+    a, b = rows.alias("a"), rows.alias("b")
+    want = {(r.x, r.y) for r in a.join(b, F.col("a.id") < F.col("b.id")).filter(F.round(S.similarity(F.col("a.title"), F.col("b.title")), 9) >= 0.92).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()}
+    got = [(r.id_a, r.id_b) for r in R.title_classes(rows, "id", ["brand"], "title").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert (titles.index("customer#000000001"), titles.index("customer#000000011")) in want and len(want) > 40
+
+
 def test_pages(spark):
     body = "x" * 6000
     html = f"""<html><head><title>Chair - Shop</title><meta property="og:title" content="A &amp; B chair"><script type="application/ld+json">[{{"@type":"Product","name":"Chair","brand":{{"name":"Acme"}},"gtin13":"123","offers":{{"price":"10","priceCurrency":"EUR"}}}}]</script>
