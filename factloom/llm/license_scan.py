@@ -7,11 +7,14 @@
    a template's anchors as a match must have. It is compressed alone and with each template as a raw
    zstandard dictionary, and templates are ranked by how much smaller the block becomes.
 3. In that order, a template is aligned with the block word by word. The first whose wording differs in at
-   most a tenth of its words, none of them a number, is found there; what is left of the block is scanned on.
+   most a tenth of its words, none of them a version number, is found there; what is left of the block is scanned
+   on. Numbers of list items are words like others. Where a version number refutes a place, the template's
+   other places in the block are looked at, those of fewer differences first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +30,11 @@ SIZE = 3
 #: A template of n words may differ in n // TOLERANCE of them.
 TOLERANCE = 10
 LEVEL = 6
+#: The number of a list item stands where a sentence may begin: "1." or "(1)".
+ITEM = re.compile(r"(?:^|(?<=[.:;,)])\s|\n)\s*\(?(\d+)[.)]\s")
+#: What a version number follows, or has before it in one word.
+VERSION, VERSIONED = {b"version", b"versions", b"v", b"ver"}, re.compile(rb"(?:v|ver|version|[al]?gplv?|mplv?|apache|bsd|cc)\d+")
+DIGIT = re.compile(rb"\d")
 
 # The public wording of licenses and of the notices that stand for them.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
@@ -130,6 +138,8 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
         self.most = len(self.words) // TOLERANCE
+        items = {len(FOLD[np.frombuffer(text[: m.start(1)].encode(), np.uint8)].tobytes().split()) for m in ITEM.finditer(text)}
+        self.versions = {i for i, w in enumerate(self.words) if DIGIT.search(w) and (i not in items or i > 0 and self.words[i - 1] in VERSION)}
         raw = b" ".join(self.words)
         self.dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.dictionary.precompute_compress(level=LEVEL)
@@ -140,8 +150,11 @@ class Template:
         #: Each difference takes away three anchors at most.
         self.least = max(1, len(self.anchors) - SIZE * self.most)
 
-    def align(self, words: list[bytes]) -> tuple[int, int, list[str]]:
-        """Start and end of the words that differ least from the template, the earliest such end, and the differences."""
+    def align(self, words: list[bytes]) -> tuple[int, int, int, list[str]] | None:
+        """Cost, start and end of the words that differ least from the template, the earliest such end, and the differences.
+
+        Only places that no version number refutes, and that have few enough differences.
+        """
         n, m = len(words), len(self.words)
         code = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
         text = np.array([code.get(w, -1) for w in words], np.int32)
@@ -150,21 +163,33 @@ class Template:
         for i, w in enumerate(self.words, 1):
             row = np.append(np.int32(i), np.minimum(cost[i - 1, :-1] + (text != code[w]), cost[i - 1, 1:] + 1))
             cost[i] = np.minimum.accumulate(row - column) + column
-        end = j = int(cost[m].argmin())
-        i, found = m, []
-        while i:
-            if j and cost[i, j] == cost[i - 1, j - 1] + (text[j - 1] != code[self.words[i - 1]]):
-                i, j = i - 1, j - 1
-                if text[j] != code[self.words[i]]:
-                    found += [b"+" + words[j], b"-" + self.words[i]]
-            elif cost[i, j] == cost[i - 1, j] + 1:
-                i -= 1
-                found.append(b"-" + self.words[i])
-            else:
-                j -= 1
-                found.append(b"+" + words[j])
-        self.cost = int(cost[m, end])
-        return j, end, [x.decode(errors="replace") for x in found[::-1]]
+        ends = np.flatnonzero(cost[m] <= self.most)
+        for end in ends[np.argsort(cost[m, ends], kind="stable")].tolist():
+            i, j, found, refuted = m, end, [], False
+            while i and not refuted:
+                if j and cost[i, j] == cost[i - 1, j - 1] + (text[j - 1] != code[self.words[i - 1]]):
+                    i, j = i - 1, j - 1
+                    if text[j] != code[self.words[i]]:
+                        found += [b"+" + words[j], b"-" + self.words[i]]
+                        refuted = i in self.versions or self.is_version(words, j, i - 1, i + 1)
+                elif cost[i, j] == cost[i - 1, j] + 1:
+                    i -= 1
+                    found.append(b"-" + self.words[i])
+                    refuted = i in self.versions
+                else:
+                    j -= 1
+                    found.append(b"+" + words[j])
+                    refuted = self.is_version(words, j, i - 1, i)
+            if not refuted:
+                return int(cost[m, end]), j, end, [x.decode(errors="replace") for x in found[::-1]]
+        return None
+
+    def is_version(self, words: list[bytes], j: int, before: int, after: int) -> bool:
+        """Whether word j of a text, between two words of the template, is or belongs to a version number."""
+        w = words[j]
+        if not DIGIT.search(w):
+            return False
+        return before in self.versions or after in self.versions or VERSIONED.fullmatch(w) is not None or j > 0 and words[j - 1] in VERSION
 
 
 class Scanner:
@@ -201,9 +226,9 @@ class Scanner:
         for saved, t in sorted(rank, key=lambda x: -x[0]):
             if saved <= 0 or found and saved < found[0][0]:
                 break
-            start, end, differences = t.align(words)
-            if t.cost <= t.most and not any(ch.isdigit() for d in differences for ch in d):
-                found.append((saved, t.cost, t.name, start, end, differences))
+            if place := t.align(words):
+                cost, start, end, differences = place
+                found.append((saved, cost, t.name, start, end, differences))
         out = None
         if found:
             saved, _, name, start, end, differences = min(found, key=lambda x: (-x[0], x[1], x[2]))

@@ -91,3 +91,24 @@ def test_edges(spark, edge_docs, no_docs):
     long = "é " * 20000 + "Released under the MIT License. " + "ü " * 20000
     (row,) = license_scan.scan_licenses(frame(spark, [long])).collect()
     assert long.encode()[row.found[0].start : row.found[0].end].decode() == "Released under the MIT License"
+
+
+def test_only_version_numbers_refute(spark):
+    bsd2, bsd3 = (next(t for n, t in TEMPLATES if n == name) for name in ("BSD-2-Clause", "BSD-3-Clause"))
+    gnu = next(t for n, t in TEMPLATES if n == "GPL-3.0-or-later")
+    bullets = lambda t, marks: re.sub(r"\b([123])\. (?=[RN])", lambda m: marks[int(m[1]) - 1] + " ", t)
+    texts = [bullets(t, marks) for t in (bsd2, bsd3) for marks in ("***", ("(a)", "(b)", "(c)"), ("1)", "2)", "4)"))]
+    texts += [bsd2.replace("source code", "source code 2024"), gnu.replace("version 3", "version 4"), gnu.replace("version 3", "version 3.1"), gnu.replace("version 3", "version")]
+    texts += [gnu.replace("version 3", "version 4") + " and " + gnu.replace("either", "or")]
+    got = {r.doc_id: r.found for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert [[f.license for f in got[i]] for i in range(7)] == [["BSD-2-Clause"]] * 3 + [["BSD-3-Clause"]] * 3 + [["BSD-2-Clause"]]
+    assert got[0][0].differences == ["-1", "-2"]
+    assert not got[7] and not got[8] and not got[9]
+    assert [f.license for f in got[10]] == ["GPL-3.0-or-later"] and got[10][0].start > len(gnu)
+
+
+def test_second_place_of_a_refuted_template(spark):
+    own = [("x", "one two three version 2 four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen")]
+    text = own[0][1].replace("2", "3") + " and " + own[0][1].replace("seven eight", "zebra zebra")
+    (row,) = license_scan.scan_licenses(frame(spark, [text]), own).collect()
+    assert [f.license for f in row.found] == ["x"] and "zebra" in text[row.found[0].start : row.found[0].end]
