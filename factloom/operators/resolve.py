@@ -102,8 +102,8 @@ def category_fits(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b) | a.startswith(F.concat(b, F.lit("/"))) | b.startswith(F.concat(a, F.lit("/")))
 
 
-def dedupe(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """candidate, action (conflict, merge, review, new), product, by, one for each candidate.
+def _by_identifier(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """candidate, action (conflict, merge, review, new), product, by, title, category, one for each candidate.
 
     Both have product, gtin, brand, mpn, title, category. Rules in order: a gtin's hits in other categories
     conflict; one hit of the same brand merges, of another is reviewed; several are reviewed; brand and mpn
@@ -116,7 +116,7 @@ def dedupe(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     g = c.join(by_gtin, "g").groupBy("candidate").agg(F.sum("n").alias("g_hits"), F.bool_or(~category_fits(F.col("category"), F.col("ec"))).alias("g_far"), F.min("product").alias("g_product"), F.bool_and(F.col("b") == F.col("eb")).alias("g_brand"))
     by_model = e.filter("m is not null and eb <> ''").groupBy(F.col("eb").alias("b"), "m", "et", "ec").agg(F.min("product").alias("product"), F.count("*").alias("n"))
     m = c.join(by_model, ["b", "m"]).filter((similarity(F.col("title"), F.col("et")) >= TITLE) & category_fits(F.col("category"), F.col("ec"))).groupBy("candidate").agg(F.sum("n").alias("m_hits"), F.min("product").alias("m_product"))
-    all_ = c.select("candidate").join(g, "candidate", "left").join(m, "candidate", "left")
+    all_ = c.select("candidate", "title", "category").join(g, "candidate", "left").join(m, "candidate", "left")
     by = F.when(F.col("g_hits") > 0, "gtin").when(F.col("m_hits") > 0, "brand_mpn").otherwise("none")
     action = (
         F.when(F.col("g_far"), "conflict")
@@ -126,7 +126,29 @@ def dedupe(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         .when(F.col("m_hits") > 1, "review")
         .otherwise("new")
     )
-    return all_.select("candidate", action.alias("action"), F.coalesce("g_product", "m_product").alias("product"), by.alias("by"))
+    return all_.select("candidate", action.alias("action"), F.coalesce("g_product", "m_product").alias("product"), by.alias("by"), "title", "category")
+
+
+def dedupe_by_identifier(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """dedupe without its last rule: what has no strong identifier is new."""
+    return _by_identifier(candidates, existing).drop("title", "category")
+
+
+def dedupe(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """candidate, action (conflict, merge, review, new), product, by, one for each candidate.
+
+    After the rules of identifiers, what would be new is reviewed if a product has a similar title and a fitting
+    category. Titles are compared once each, by title_pairs, and categories by title and category.
+    """
+    found = _by_identifier(candidates, existing).withColumn("t", normal(F.col("title")))
+    asked = found.filter("action = 'new' AND t IS NOT NULL").select("t", "category").distinct()
+    known = existing.select(normal(F.col("title")).alias("b"), F.col("category").alias("ec"), "product").filter("b IS NOT NULL").groupBy("b", "ec").agg(F.min("product").alias("t_product"))
+    titles = asked.select("t").distinct()
+    links = title_pairs(titles, known.select(F.col("b").alias("t")).distinct(), []).select(F.col("a").alias("t"), "b").unionByName(titles.select("t", F.col("t").alias("b")))
+    hits = asked.join(links, "t").join(known, "b").filter(category_fits(F.col("category"), F.col("ec"))).groupBy(F.col("t").alias("ht"), F.col("category").alias("hc")).agg(F.min("t_product").alias("t_product"))
+    by_title = (F.col("action") == "new") & F.col("t_product").isNotNull()
+    out = found.join(hits, (F.col("action") == "new") & (F.col("t") == F.col("ht")) & F.col("category").eqNullSafe(F.col("hc")), "left")
+    return out.select("candidate", F.when(by_title, "review").otherwise(F.col("action")).alias("action"), F.when(by_title, F.col("t_product")).otherwise(F.col("product")).alias("product"), F.when(by_title, "title").otherwise(F.col("by")).alias("by"))
 
 
 def match_score(signals: dict[str, Column]) -> Column:

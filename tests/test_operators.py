@@ -118,6 +118,14 @@ def test_resolution(spark):
     assert one(spark, R.match_action(F.lit(0.7))) == "merge" and one(spark, R.match_action(F.lit(0.39))) == "keep_separate"
 
 
+def test_similar_titles_are_reviewed(spark):
+    schema = "product long, gtin string, brand string, mpn string, title string, category string"
+    known = spark.createDataFrame([(1, "77", "Acme", "m1", "Smallredwidget", "home/chair"), (2, None, None, None, "Smallredwidget", "toys"), (3, None, None, None, "tiny", None)], schema)
+    new = spark.createDataFrame([(10, None, None, None, " smallredwidgets", "home"), (11, "5", "B", "m9", "Smallredwodget", "toys"), (12, None, None, None, "Smallredwidget", "food"), (13, None, None, None, "small red widget", "toys"), (14, None, None, None, "TINY", "food"), (15, "77", "Acme", None, "Smallredwidget", "home"), (16, None, None, None, "smallredwidget", None), (17, None, None, None, None, None)], schema)
+    got = {r.candidate: (r.action, r.product, r.by) for r in R.dedupe(new, known).collect()}
+    assert got == {10: ("review", 1, "title"), 11: ("review", 2, "title"), 12: ("new", None, "none"), 13: ("new", None, "none"), 14: ("review", 3, "title"), 15: ("merge", 1, "gtin"), 16: ("review", 1, "title"), 17: ("new", None, "none")}
+
+
 def test_title_classes_lose_no_pair(spark):
     titles = [f"{a} {b} {c}" for a in ("red", "reds", "blue") for b in ("chair", "chairs", "lamp") for c in ("with long wooden legs", "with long woodenlegs", "of steel and of glass")]
     rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(titles)], "id long, brand string, title string")
