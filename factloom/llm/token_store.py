@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -53,7 +54,8 @@ class Encoder:
 
     A byte-level tokenizer starts a new word at a space between two characters that aren't white space, and
     before and after a line end between two such. Texts are cut there and each distinct piece is encoded
-    once. Texts with other white space next to a space or line end are encoded whole.
+    once. Texts with other white space next to a space or line end, and texts that contain an added token of the
+    tokenizer, are encoded whole.
     """
 
     ODD = r"\s\s|^\s|\s$|[\x{01}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]"
@@ -63,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([self.ODD, *(re.escape(t) for t in added if t)])
         # characters of a token stand for its bytes; tokens of special kinds don't come up
         self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -106,7 +109,7 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an END_ID after each text, and the n + 1 starts of texts. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, self.ODD))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         plain = texts.filter(pa.array(~odd))
         cut = pc.replace_substring(pc.replace_substring(plain, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")
         lists = pc.split_pattern(cut, MARK)

@@ -322,6 +322,17 @@ def test_encoder_is_the_library(spark):
     same()
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(token_store.tokenizer_path())
+    texts = ["one <|endoftext|> two", "plain one two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\nc", "<|endoftext |>", None, "one <|endof\ntext|> two"]
+    ids, starts = token_store.Encoder(token_store.tokenizer_path())(pa.array(texts, pa.string()))
+    got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert got == [[*reference.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert got[0] == [505, 220, 50256, 734, 0]
+
+
 def test_chunks_meet_again_after_an_insertion():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 50000, 60000).astype(np.uint32)
