@@ -1,14 +1,19 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
-1. Every text becomes a signature and a 128-bit hash of its shingle set. Texts of equal sets form a class;
-   from here on only the class's smallest doc_id takes part, so copies never meet each other.
+1. Every text becomes a signature and a 128-bit cryptographic hash of its words. Texts of the same words form
+   a class; from here on only the class's smallest doc_id takes part, so copies never meet each other.
 2. Signatures are cut into bands; documents that share a band are a bucket. Buckets with the same members
    count once. Bands are so short that a pair at the threshold shares none with a probability under 1e-6.
-3. A bucket is dealt to blocks of bounded size. In a block, full shingle sets are rebuilt from the texts
-   and compared exactly; a union-find keeps one link per merge, so a block gives fewer links than members.
-4. Where a bucket has several blocks, the members outside its largest component are sent to its other
-   blocks and compared with those of other components there. Nothing is left uncompared.
-5. Components are the least doc_id that reaches a document, by label propagation over the links.
+3. A bucket is dealt to blocks of bounded size. In a block, full shingle sets are rebuilt from the texts, on
+   words compared byte by byte, and compared exactly; a union-find keeps one link per merge, so a block gives
+   fewer links than members.
+4. Where a bucket has several blocks and is not one component by now, the members outside its largest component
+   go to the other blocks and are compared with those of other components there. Nothing is left uncompared.
+5. Where that would be more members than a block holds, they are filtered exactly first: two sets of the least
+   similarity share one of their rarest shingles (all but as many as they must share, and one). Documents with
+   such a shingle in common are a bucket again, unless they are one component, so documents that have only a
+   frequent passage in common never meet. Buckets go through 3 and 4; outsiders, if many, in chunks.
+6. Components are the least doc_id that reaches a document, by label propagation over the links.
 """
 
 from __future__ import annotations
@@ -22,29 +27,32 @@ from pyspark.sql import functions as F
 
 from factloom.llm import super_minhash as smh
 from factloom.llm.common import partitions, table, written
-from factloom.llm.words import U, blocks, mix
+from factloom.llm.words import U, blocks
 
 REGISTERS = 120
 #: Registers in a band, by the least similarity in percent: shorter bands for lower ones.
 BAND_ROWS = ((85, 5), (75, 4), (60, 3), (40, 2), (0, 1))
 #: A block holds so many documents or shingles of a bucket, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Slots that shingles are counted in, to tell rare ones from frequent ones.
+COUNT_SLOTS = 1 << 18
+#: Rounds of label propagation; labels jump, so a path of any length that fits a disk takes fewer.
+MOST_ROUNDS = 200
 
 
 def sign(docs: DataFrame, size: int, band_rows: int) -> DataFrame:
-    """doc_id, n (shingles), s1, s2 (the set's hash), bands for each row."""
+    """doc_id, n (shingles), s1, s2 (the words' hash), bands for each row."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                elements, firsts = smh.shingle_sets(part.column(1), size)
-                n = np.diff(firsts)
+                words = smh.Words(part.column(1))
+                elements, firsts = smh.shingle_sets(words, size)
                 keys = smh.bands(smh.signatures(elements, firsts, REGISTERS), band_rows)
-                sums = [np.concatenate([[U(0)], np.cumsum(mix(elements + U(c)))]) for c in (0x51ED27, 0x7F4A7C)]
-                s1, s2 = (mix(s[firsts[1:]] - s[firsts[:-1]]).view(np.int64) for s in sums)
+                digests = np.frombuffer(b"".join(words.digests()), np.int64).reshape(-1, 2)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(s1), pa.array(s2), bands], ["doc_id", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(firsts)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands], ["doc_id", "n", "s1", "s2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, s1 long, s2 long, bands array<bigint>")
 
@@ -116,25 +124,80 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def block_links(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: verified links inside each (bucket, block) of bucket, block, doc_id, comp, probe, text."""
+    """a, b: verified links inside each (bucket, block, chunk) of bucket, block, chunk, doc_id, comp, probe, text."""
     spark = members.sparkSession
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 2):
-            if group.num_rows < 2:
+        for group in groups(batches, 3):
+            comps, probe = group.column(4).to_pylist(), group.column(5).to_pylist()
+            if len(set(comps)) < 2 or not any(probe):
                 continue
-            texts, sets = group.column(5).combine_chunks(), []
-            for part in blocks(pa.RecordBatch.from_arrays([texts], ["text"])):
-                elements, firsts = smh.shingle_sets(part.column(0), size)
-                sets += [elements[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-            probe = group.column(4).to_pylist()
-            ids, comps = group.column(2).to_pylist(), group.column(3).to_pylist()
+            numbers, firsts = smh.exact_sets(smh.Words(group.column(6).combine_chunks()), size)
+            sets = [numbers[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+            ids = group.column(3).to_pylist()
             found = link_block(sets, percent, comps, [i for i, p in enumerate(probe) if p])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
 
-    dealt = members.repartition(partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "doc_id")
-    return dealt.select("bucket", "block", "doc_id", "comp", "probe", "text").mapInArrow(links, "a long, b long")
+    keys = ["bucket", "block", "chunk"]
+    dealt = members.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "doc_id")
+    return dealt.select(*keys, "doc_id", "comp", "probe", "text").mapInArrow(links, "a long, b long")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """bucket, blocks, block, doc_id of the buckets with two documents or more of bucket, doc_id, n, comp, all but
+    those of one component; of buckets with the same documents, one."""
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x2"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    buckets = sums.filter("least < most").groupBy("docs", "shingles", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+    n_blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    buckets = written(buckets.select("bucket", n_blocks.alias("blocks")), "buckets")
+    return rows.join(buckets, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "doc_id")
+
+
+def named(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with comp, a document without a link being its own."""
+    return members.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+
+
+def unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets of several blocks and several components, with comp and the bucket's largest, top."""
+    known = written(named(members.filter("blocks > 1"), comps), "named")
+    sizes = known.groupBy("bucket", "comp").count()
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("count").alias("docs")).filter("comps > 1")
+    return known.join(most.select("bucket", F.col("top.comp").alias("top"), (F.col("docs") - F.col("top.count")).alias("others")), "bucket")
+
+
+def rare_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """bucket (a shingle's hash), doc_id, n, comp: of each of doc_id, text, comp, the rarest of its shingles; as many
+    that two sets without one in common are under `percent`. Any order would do; the counts only make it a good one."""
+    docs = docs.select("doc_id", "text", "comp")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_SLOTS, np.int64)
+        for batch in batches:
+            for part in blocks(batch):
+                elements, _ = smh.shingle_sets(smh.Words(part.column(1)), size)
+                total += np.bincount((elements % U(COUNT_SLOTS)).astype(np.int64), minlength=COUNT_SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    slots = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNT_SLOTS rows at most
+    often = np.zeros(COUNT_SLOTS, np.int64)
+    often[slots["slot"]] = slots["n"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                elements, firsts = smh.shingle_sets(smh.Words(part.column(1)), size)
+                n = np.diff(firsts)
+                of = np.repeat(np.arange(len(n)), n)
+                by = np.lexsort((elements, often[(elements % U(COUNT_SLOTS)).astype(np.int64)], of))
+                keep = n + percent * -n // 100 + 1  # all but those that must be shared, and one
+                by = by[np.arange(len(by)) - firsts[of] < keep[of]]
+                ids, comp = part.column(0).take(pa.array(of[by])), part.column(2).take(pa.array(of[by]))
+                yield pa.RecordBatch.from_arrays([pa.array(elements[by].view(np.int64)), ids, pa.array(n[of[by]]), comp], ["bucket", "doc_id", "n", "comp"])
+
+    return docs.mapInArrow(run, "bucket long, doc_id long, n long, comp long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -146,7 +209,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select("b", "a")).distinct()
     edges = written(edges, "edges")
     labels = written(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
-    while True:
+    for _ in range(MOST_ROUNDS):
         near = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "doc_id").select("doc_id", F.least("comp", "near").alias("new"), "comp")
         jump = labels.select(F.col("doc_id").alias("new"), F.col("comp").alias("over"))
@@ -155,6 +218,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("doc_id", "comp")
         if moved.filter("moved").isEmpty():
             return labels
+    raise RuntimeError(f"labels still move after {MOST_ROUNDS} rounds")
+
+
+def across_blocks(left: DataFrame) -> DataFrame:
+    """bucket, block, chunk, doc_id, comp, probe from unsettled: every block with every chunk of members outside
+    the bucket's largest component that come from other blocks."""
+    chunks = F.ceil(F.col("others") / BLOCK_DOCS).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit("chunk")), chunks).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    probes = left.filter("comp <> top").select("bucket", F.col("block").alias("home"), chunk.alias("chunk"), "doc_id", "comp", F.lit(True).alias("probe"), upto(F.col("blocks")).alias("block"))
+    probes = probes.filter("home <> block").drop("home")
+    return left.select("bucket", "block", upto(chunks).alias("chunk"), "doc_id", "comp", F.lit(False).alias("probe")).unionByName(probes)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -171,30 +246,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     band_rows = next(r for p, r in BAND_ROWS if percent >= p)
     signed = written(sign(docs, size, band_rows), "signed")
     some = signed.filter("n > 0 and doc_id is not null")
+    if not some.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.distinct()  # a row that is repeated very often would fill its block
     classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
-    rows = written(reps.select("doc_id", "n", F.explode("bands").alias("bucket")).distinct(), "bands")
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x2")).filter("docs > 1")
-    buckets = buckets.groupBy("docs", "shingles", "x1", "x2").agg(F.min("bucket").alias("bucket"))
-    n_blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    buckets = written(buckets.select("bucket", n_blocks.alias("blocks")), "buckets")
-    members = rows.join(buckets, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int").alias("block"), "doc_id")
-    members = written(members, "members")
-    # the members grow with the corpus, so they are never broadcast: texts are shuffled at every size
-    first = members.hint("merge").join(docs, "doc_id").select("bucket", "block", "doc_id", F.col("doc_id").alias("comp"), F.lit(True).alias("probe"), "text")
-    links = written(block_links(first, size, percent), "links")
+    rows = written(reps.select("doc_id", "n", F.explode("bands").alias("bucket"), F.col("doc_id").alias("comp")).distinct(), "bands")
+    members = written(in_blocks(rows), "members")
+
+    def linked(blocks_: DataFrame) -> DataFrame:
+        # members grow with the corpus, so they are never broadcast: texts are shuffled at every size
+        return block_links(blocks_.hint("merge").join(docs, "doc_id"), size, percent)
+
+    inside = lambda m: m.select("bucket", "block", F.lit(0).alias("chunk"), "doc_id", "comp", F.lit(True).alias("probe"))
+    links = written(linked(inside(members.withColumn("comp", F.col("doc_id")))), "links")
     comps = components(links)
-    large = buckets.filter("blocks > 1")
-    if not large.isEmpty():
-        named = members.filter("blocks > 1").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        sizes = named.groupBy("bucket", "comp").count()
-        most = sizes.groupBy("bucket").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-        named = named.join(most.select("bucket", F.col("top.comp").alias("top")), "bucket")
-        out = named.filter("comp <> top").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        probes = out.filter("to <> block").select("bucket", F.col("to").alias("block"), "doc_id", "comp", F.lit(True).alias("probe"))
-        second = named.select("bucket", "block", "doc_id", "comp", F.lit(False).alias("probe")).unionByName(probes)
-        links = written(links.unionByName(block_links(second.hint("merge").join(docs, "doc_id"), size, percent)), "links")
+    if not members.filter("blocks > 1").isEmpty():
+        left = written(unsettled(members, comps), "unsettled")
+        found = linked(across_blocks(left.filter(F.col("others") <= BLOCK_DOCS)))
+        many = written(left.filter(F.col("others") > BLOCK_DOCS).select("doc_id", "comp").distinct(), "many")
+        again = None
+        if not many.isEmpty():
+            again = written(in_blocks(written(rare_shingles(many.hint("merge").join(docs, "doc_id"), size, percent), "rare")), "members")
+            found = found.unionByName(linked(inside(named(again, comps))))
+        links = written(links.unionByName(found), "links")
         comps = components(links)
+        if again is not None and not (left := written(unsettled(again, comps), "unsettled")).isEmpty():
+            links = written(links.unionByName(linked(across_blocks(left))), "links")
+            comps = components(links)
     answer = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

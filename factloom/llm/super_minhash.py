@@ -9,46 +9,93 @@ it ends after a round or two.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-from factloom.llm.words import U, doc_of, flat_bytes, lower_ascii, mix, prefix_hash, shingle_hash, slice_hash, word_bounds
+from factloom.llm.words import SPACE, U, flat_bytes, lower_ascii, mix, prefix_hash, shingle_hash, slice_hash, word_bounds, word_ids
+
+
+class Words:
+    """The words of a block of texts, A-Z lower-cased."""
+
+    def __init__(self, texts: pa.Array):
+        data, self.starts = flat_bytes(texts)
+        self.data = lower_ascii(data)
+        self.begin, self.end, self.first = word_bounds(self.data, self.starts)
+        self.hashes = slice_hash(prefix_hash(self.data), self.begin, self.end)
+        self.n = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+
+    def windows(self, size: int) -> np.ndarray:
+        """First word of each run of `size` words that is in one text."""
+        at = np.arange(max(0, len(self.doc) - size + 1))
+        return at[self.doc[at] == self.doc[at + size - 1]]
 
-#: An element is the upper bits of a shingle's hash; the lower ones of a key hold the text's number in its block.
-DOC_BITS = 12
+    def digests(self) -> list[bytes]:
+        """128 bits of a cryptographic hash of each text's words in turn."""
+        gap = SPACE[self.data]
+        keep = ~gap
+        keep[1:] |= ~gap[:-1]
+        plain = np.where(gap, np.uint8(32), self.data)[keep].tobytes()
+        at = np.concatenate([[0], np.cumsum(keep)])[self.starts].tolist()
+        return [hashlib.blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes (52 bits) of each text, one after another, and the n + 1 firsts.
+def grouped(of: np.ndarray, n: int) -> np.ndarray:
+    """The n + 1 firsts of sorted numbers below n."""
+    return np.searchsorted(of, np.arange(n + 1))
 
-    A-Z are lower-cased. A text of fewer than `size` words, but one at least, is one shingle.
+
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit shingle hashes of each text, one text after another, and the n + 1 firsts.
+
+    A text of fewer than `size` words, but one at least, is one shingle.
     """
-    assert len(texts) <= 1 << DOC_BITS
-    data, starts = flat_bytes(texts)
-    data = lower_ascii(data)
-    begin, end, first = word_bounds(data, starts)
-    words = slice_hash(prefix_hash(data), begin, end)
-    doc = doc_of(first, len(words))
-    hashes, of = shingle_hash(words, size), doc[: max(0, len(words) - size + 1)]
-    whole = of == doc[size - 1 :] if len(of) else np.zeros(0, bool)
-    hashes, of = hashes[whole], of[whole]
-    n_words = np.diff(first)
+    at = words.windows(size)
+    hashes, of = shingle_hash(words.hashes, size)[at], words.doc[at]
     for few in range(1, size):
-        at = np.flatnonzero(n_words == few)
-        if len(at):
-            hashes = np.concatenate([hashes, shingle_hash(words, few)[first[at]]])
-            of = np.concatenate([of, at])
-    keys = np.sort((of.astype(U) << U(64 - DOC_BITS)) | (hashes >> U(DOC_BITS)))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    firsts = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=U) << U(64 - DOC_BITS)) if len(texts) < 1 << DOC_BITS else np.append(np.searchsorted(keys, np.arange(len(texts), dtype=U) << U(64 - DOC_BITS)), len(keys))
-    return keys & U((1 << (64 - DOC_BITS)) - 1), firsts
+        short = np.flatnonzero(words.n == few)
+        if len(short):
+            hashes = np.concatenate([hashes, shingle_hash(words.hashes, few)[words.first[short]]])
+            of = np.concatenate([of, short])
+    if not len(of):
+        return hashes, np.zeros(len(words.n) + 1, np.int64)
+    once = np.unique(mix(hashes + of.astype(U) * U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
+    hashes, of = hashes[once], of[once]
+    by = np.argsort(of, kind="stable")
+    return hashes[by], grouped(of[by], len(words.n))
+
+
+def exact_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets, with sorted numbers for hashes: two shingles of the block have one number if and only if
+    they have the same words."""
+    ids = word_ids(words.data, words.begin, words.end, words.hashes)
+    at = words.windows(size)
+    short = np.flatnonzero((words.n > 0) & (words.n < size))
+    of = np.concatenate([words.doc[at], short])
+    code, above = np.zeros(len(of), np.int64), int(ids.max(initial=0)) + 1
+    bound = 1
+    for k in range(size):  # words beyond the end of a short text count as 0
+        there = words.n[short] > k
+        after = np.zeros(len(short), np.int64)
+        after[there] = ids[words.first[short[there]] + k]
+        if bound * above >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            bound = int(code.max(initial=0)) + 1
+        code, bound = code * above + np.concatenate([ids[at + k], after]), bound * above
+    code = np.unique(code, return_inverse=True)[1]
+    bound = int(code.max(initial=0)) + 1
+    keys = np.unique(of * bound + code)
+    return keys % bound, grouped(keys // bound, len(words.n))
 
 
 def signatures(elements: np.ndarray, firsts: np.ndarray, registers: int) -> np.ndarray:
     """One row of `registers` 64-bit values (round << 32 | fraction) for each set."""
     n = len(firsts) - 1
     sig = np.full(n * registers, np.iinfo(U).max, U)
-    doc, state, perm = doc_of(firsts, len(elements)), mix(elements * U(0x9E3779B97F4A7C15) + U(1)), None
+    doc, state, perm = np.repeat(np.arange(n), np.diff(firsts)), mix(elements * U(0x9E3779B97F4A7C15) + U(1)), None
     for j in range(registers):
         state = mix(state + U(0xBF58476D1CE4E5B9))
         k = (j + (((state & U(0xFFFFFFFF)) * U(registers - j)) >> U(32)).astype(np.int64)).astype(np.int64)

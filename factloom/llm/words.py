@@ -1,8 +1,9 @@
 """Words, lines and rolling hashes of whole Arrow batches of texts, in numpy.
 
 A word is a run of bytes other than space and \\x09-\\x0D; no byte of a longer UTF-8 sequence is one of
-those. Hashes are polynomials over the bytes modulo 2**64, finished by a mixer; a prefix sum of a batch
-gives the hash of any slice of it, so that words, lines and shingles cost a few array passes.
+those. Hashes are polynomials over the bytes modulo the prime 2**61 - 1, finished by a mixer; a prefix sum
+of a batch gives the hash of any slice of it, so that words, lines and shingles cost a few array passes.
+Where a result rests on equality, word_ids confirms equal hashes byte by byte.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers = {"n": 0}
+PRIME = (1 << 61) - 1
+BASE = 0x0E3779B97F4A7C15
+INVERSE = pow(BASE, -1, PRIME)
+#: Bytes whose powers are kept by a worker, and steps of the inverse powers.
+SPAN, SMALL = 1 << 21, 1 << 16
+_powers: dict = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,28 +31,97 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, for i below n at least; kept by the worker."""
-    if _powers["n"] < n:
-        n = max(n, 1 << 16)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            out = np.full(n, U(base), U)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any 64-bit x."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return x - U(PRIME) * (x >= U(PRIME))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 30 and 31 bits."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    cross = a1 * b0 + a0 * b1
+    return fold(((a1 * b1) << U(1)) + (cross >> U(30)) + ((cross & (low >> U(1))) << U(31)) + a0 * b0)
+
+
+def power_table(base: int, n: int) -> np.ndarray:
+    """base ** i modulo PRIME for i below n."""
+    out = np.ones(1, U)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.full(len(out), U(pow(base, len(out), PRIME))))])
+    return out[:n]
+
+
+def inverse_powers(at: np.ndarray) -> np.ndarray:
+    """BASE ** -i modulo PRIME for each i of at."""
+    if "small" not in _powers:
+        _powers["small"], _powers["large"] = power_table(INVERSE, SMALL), power_table(pow(INVERSE, SMALL, PRIME), 64)
+    most = int(at.max(initial=0)) // SMALL + 1
+    if most > len(_powers["large"]):
+        _powers["large"] = power_table(pow(INVERSE, SMALL, PRIME), most)
+    return times(_powers["small"][at % SMALL], _powers["large"][at // SMALL])
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """sums[i] is the sum of (data[j] + 1) * BASE ** j for j < i."""
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(len(data))[0][: len(data)], out=sums[1:])
+    """Two rows of sums of (data[j] + 1) times the upper and lower part of BASE ** j, for j < i: below 2 * PRIME,
+    and right modulo PRIME."""
+    if "up" not in _powers:
+        _powers["up"] = power_table(BASE, SPAN)
+        _powers["parts"] = halves(_powers["up"])
+    sums = np.zeros((2, len(data) + 1), U)
+    for at in range(0, len(data), SPAN):
+        part = data[at : at + SPAN].astype(U)
+        part += U(1)
+        pieces = [x[: len(part)] for x in _powers["parts"]] if not at else halves(times(_powers["up"][: len(part)], np.full(len(part), U(pow(BASE, at, PRIME)))))
+        for row, piece in zip(sums, pieces, strict=True):
+            here = row[at + 1 : at + len(part) + 1]
+            np.multiply(part, piece, out=here)
+            np.cumsum(here, out=here)
+            if at:
+                here += fold(row[at : at + 1])
     return sums
 
 
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x >> U(31), x & U((1 << 31) - 1)
+
+
 def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; equal slices have equal hashes wherever they stand."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
+    upper, lower = (row[end] + U(2 * PRIME) - row[start] for row in sums)
+    value = fold((upper >> U(30)) + ((upper & U((1 << 30) - 1)) << U(31)) + lower)
+    return mix(times(value, inverse_powers(start)) + (end - start).astype(U) * U(0xA24BAED4963EE407))
+
+
+def slices_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, limit: int = SPAN) -> np.ndarray:
+    """Whether data[a:a + size] is data[b:b + size], for each a, b and size; about `limit` bytes at a time."""
+    out, upto, at = np.ones(len(a), bool), np.cumsum(size), 0
+    while at < len(a):
+        done = upto[at] - size[at]
+        to = max(at + 1, int(np.searchsorted(upto, done + limit, "right")))
+        if to == at + 1:
+            out[at] = np.array_equal(data[a[at] : a[at] + size[at]], data[b[at] : b[at] + size[at]])
+        else:
+            n = size[at:to]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            same = data[np.repeat(a[at:to], n) + inner] == data[np.repeat(b[at:to], n) + inner]
+            wrong = np.repeat(np.arange(at, to), n)[~same]
+            out[wrong] = False
+        at = to
+    return out
+
+
+def word_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers from 1 for the words data[begin:end]: the same for two words if and only if their bytes are."""
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[ids]
+    size = end - begin
+    same = size == size[like]
+    if same.all() and slices_equal(data, begin, begin[like], size).all():
+        return ids + 1
+    known: dict[bytes, int] = {}  # two words of one hash: words are told apart by their bytes
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known) + 1) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
