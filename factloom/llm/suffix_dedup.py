@@ -9,12 +9,13 @@ Sorting all suffixes of a corpus isn't needed for that; most have no partner. So
 1. Anchors: in each window of `length` bytes, the K-byte string of least hash, leftmost, is its anchor.
    Equal windows have equal anchors at the same place, so windows meet their copies at their anchor.
    The windows with the same anchor occurrence are neighbours and form a segment.
-2. Segments equal to an earlier one are later copies as a whole; that settles most of a copy. A map task
-   sends only the first of equal segments on, since it knows the others for later copies by itself.
+2. Segments equal to an earlier one are later copies as a whole, and nothing is to be sorted for them. A map
+   task compares segments byte by byte and sends only the first of equal ones on; those of different tasks
+   are equal if hash and anchor are.
 3. What is left are first segments whose anchor's K bytes also occur in other segments. Their suffixes
-   are sorted together, by prefix doubling, in a task for many anchors; previous and next smaller
-   positions give the longest previous factors. An anchor with more segments than a task should hold has
-   its windows compared by a 128-bit hash instead, by a minimum that combines before the shuffle.
+   are brought in order together, by prefix doubling, in a task for many anchors; previous and next smaller
+   positions, by a stack, give the longest previous factors. Of an anchor with very many segments only the
+   windows take part that occur in more than one task, again once for each task: a bounded number.
 4. Each document gets its runs and is cut.
 """
 
@@ -28,18 +29,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import partitions, table, written
-from factloom.llm.words import U, blocks, flat_bytes, mix, powers, prefix_hash, slice_hash
+from factloom.llm.words import U, blocks, flat_bytes, mix, prefix_hash, slice_hash, slices_equal
 
 LENGTH = 100
 #: Bytes of an anchor.
 K = 32
-#: Segments of one anchor beyond which its windows are compared by hash.
+#: Segments of one anchor beyond which only windows that tasks have in common are sorted.
 GROUP = 2048
 #: Bytes that are handled at once in a task, and segments it compares with each other before it sends them on.
 CHUNK, FLUSH = 1 << 19, 400_000
 #: Anchors in more than one in HOT documents of a sample (one document in HOT_SAMPLE) are hot; at most so many.
 HOT, HOT_SAMPLE, HOT_MOST = 500, 16, 50_000
 POSITION_BITS = 21
+#: Other values of bytes, for a second hash that doesn't depend on the first.
+OTHER = np.random.default_rng(61).permutation(256).astype(np.uint8)
+
+
+def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of data[i:i + k] for each i where it fits; it says where strings meet, not whether they are equal."""
+    s = min(8, k)
+    part = np.zeros(max(0, len(data) - s + 1), U)
+    for i in range(s):
+        part = (part << U(8)) | data[i : i + len(part)].astype(U)
+    out = np.zeros(max(0, len(data) - k + 1), U)
+    for i, at in enumerate([*range(0, k - s, s), k - s]):
+        out += part[at : at + len(out)] * U((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF)
+        out ^= out >> U(29)
+    return mix(out)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -55,40 +71,48 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors_of(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Text, anchor, hash, first window and number of windows of each segment of a block from flat_bytes."""
-    sums, n = prefix_hash(data), len(data) - k + 1
-    size = np.diff(starts)
+def windows_of(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """First byte of each window that is in one text of a block from flat_bytes."""
     position = np.arange(max(0, len(data) - length + 1))
-    fits = position + length <= np.repeat(starts[1:] - 1, size)[: len(position)]
-    window = position[fits]
+    return position[position + length <= np.repeat(starts[1:] - 1, np.diff(starts))[: len(position)]]
+
+
+def anchor_places(data: np.ndarray, window: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all K-byte strings, and the place of each window's anchor."""
+    hashes = gram_hash(data, k)
+    packed = (hashes & ~U((1 << POSITION_BITS) - 1)) | np.arange(len(hashes), dtype=U)
+    return hashes, (sliding_min(packed, length - k + 1)[window] & U((1 << POSITION_BITS) - 1)).astype(np.int64)
+
+
+def anchors_of(data: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Text, anchor, two hashes, first window (in its text and in data) and number of windows of each segment."""
+    window = windows_of(data, starts, length)
     if not len(window):
         none = np.zeros(0, np.int64)
-        return none, none.view(U), none.view(U), none, none
-    hashes = mix((sums[k:] - sums[:n]) * powers(len(data) + 1)[1][:n])
-    packed = (hashes & ~U((1 << POSITION_BITS) - 1)) | np.arange(n, dtype=U)
-    at = (sliding_min(packed, length - k + 1)[fits] & U((1 << POSITION_BITS) - 1)).astype(np.int64)
+        return none, none.view(U), none.view(U), none.view(U), none, none, none
+    hashes, at = anchor_places(data, window, length, k)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     anchor, begin, end = hashes[at[first]], window[first], window[last]
-    seg = mix(slice_hash(sums, begin, end + length) ^ mix(anchor + (at[first] - begin).astype(U))) | U(1)
-    doc = np.repeat(np.arange(len(size)), size)[begin]
-    return doc, anchor, seg, begin - starts[doc], end - begin + 1
+    place = mix(anchor + (at[first] - begin).astype(U))
+    seg, other = (mix(slice_hash(prefix_hash(x), begin, end + length) ^ place) | U(1) for x in (data, OTHER[data]))
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[begin]
+    return doc, anchor, seg, other, begin - starts[doc], begin, end - begin + 1
 
 
 def text_segments(batch: pa.RecordBatch, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """anchors_of for all rows of a batch, of which `text` is the last column; texts count from its first row."""
+    """anchors_of for all rows of a batch, of which `text` is the last column, and the bytes; texts count from its first row."""
     at = 0
     for part in blocks(batch, limit=CHUNK):
         data, starts = flat_bytes(part.column(part.num_columns - 1))
         if len(data) <= 2 * CHUNK:
             doc, *rest = anchors_of(data, starts, length, k)
-            yield doc + at, *rest
+            yield doc + at, *rest, data
         else:  # one long text, in pieces that overlap; a segment over a border comes as two
             for lo in range(0, len(data) - length, CHUNK):
                 piece = np.append(data[lo : min(lo + CHUNK + length - 1, len(data) - 1)], np.uint8(32))
-                doc, anchor, seg, start, windows = anchors_of(piece, np.array([0, len(piece)]), length, k)
-                yield doc + at, anchor, seg, start + lo, windows
+                doc, anchor, seg, other, start, begin, windows = anchors_of(piece, np.array([0, len(piece)]), length, k)
+                yield doc + at, anchor, seg, other, start + lo, begin, windows, piece
         at += part.num_rows
 
 
@@ -101,7 +125,7 @@ def hot_anchors(docs: DataFrame, length: int, k: int) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(doc, anchor) for doc, anchor, *_ in text_segments(batch, length, k)]
+            found = [x[:2] for x in text_segments(batch, length, k)]
             doc, anchor = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, U))
             by = np.lexsort((anchor, doc))
             doc, anchor = doc[by], anchor[by]
@@ -118,39 +142,47 @@ def hot_anchors(docs: DataFrame, length: int, k: int) -> np.ndarray:
 def leaders(docs: DataFrame, hot: np.ndarray, length: int, k: int) -> DataFrame:
     """key, seg, doc_id, at (start << 8 | windows): each segment a task sees first, by place.
 
-    The others that the task has seen are later copies whatever other tasks see; they come as merged runs,
-    with seg 0 and at = start << 32 | end, and so a segment sends at most one row per task and flush. key
-    is the anchor, but for hot anchors a hash that spreads their segments (odd; other keys are even).
+    The others that the task has seen are later copies whatever other tasks see, since their bytes are those of
+    one it saw before; they come as merged runs, with seg 0 and at = start << 32 | end, and so a segment sends at
+    most one row per task and flush. key is the anchor, but for hot anchors a second hash of the segment, which
+    spreads them (odd; other keys are even).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, at = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            anchor, seg, doc, start, windows = (np.concatenate(c) for c in zip(*held, strict=True))
+            data = np.concatenate([h[-1] for h in held])
+            anchor, seg, other, doc, start, begin, windows = (np.concatenate(c) for c in list(zip(*held, strict=True))[:-1])
             held.clear()
             by = np.lexsort((start, doc))
             by = by[np.concatenate([[True], (doc[by[1:]] != doc[by[:-1]]) | (start[by[1:]] != start[by[:-1]])])[: len(by)]]  # a repeated row
-            anchor, seg, doc, start, windows = (c[by] for c in (anchor, seg, doc, start, windows))
-            lead = np.zeros(len(seg), bool)
-            lead[np.unique(seg, return_index=True)[1]] = True
+            anchor, seg, other, doc, start, begin, windows = (c[by] for c in (anchor, seg, other, doc, start, begin, windows))
+            _, first, inverse = np.unique(seg, return_index=True, return_inverse=True)
+            like = first[inverse]
+            late = np.flatnonzero(like != np.arange(len(seg)))
+            same = windows[late] == windows[like[late]]
+            same[same] = slices_equal(data, begin[late[same]], begin[like[late[same]]], windows[late[same]] + length - 1)
+            seg[late[~same]] = mix(seg[late[~same]] + late[~same].astype(U)) | U(1)  # of one hash, but not equal
+            late = late[same]
+            lead = np.ones(len(seg), bool)
+            lead[late] = False
             key = anchor & ~U(1)
             if len(hot):
-                at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-                key = np.where(hot[at] == anchor, mix(seg) | U(1), key)
-            late = np.flatnonzero(~lead)
+                near = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                key = np.where(hot[near] == anchor, other | U(1), key)
             d, a, b = merge_ranges(doc[late], start[late], start[late] + windows[late] + length - 1)
             cols = [np.concatenate([key[lead], mix(d.view(U) ^ mix(a.view(U))) & ~U(1)]).view(np.int64), np.concatenate([seg[lead], np.zeros(len(d), U)]).view(np.int64), np.concatenate([doc[lead], d]), np.concatenate([(start[lead] << 8) | windows[lead], (a << 32) | b])]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "seg", "doc_id", "at"])
 
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
-            for doc, anchor, seg, start, windows in text_segments(batch, length, k):
-                held.append((anchor, seg, ids[doc], start, windows))
-                size += len(doc)
-            if size > FLUSH:
-                yield out()
-                size = 0
+            for doc, anchor, seg, other, start, begin, windows, data in text_segments(batch, length, k):
+                held.append((anchor, seg, other, ids[doc], start, begin + at, windows, data))
+                size, at = size + len(doc), at + len(data)
+                if size > FLUSH or at > 32 * CHUNK:
+                    yield out()
+                    size = at = 0
         if held:
             yield out()
 
@@ -230,29 +262,46 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     while done < length:
         step = min(done, length - done)
         m = len(ranks) - step
-        if done + step == length:
-            pair = (ranks[starts].astype(U) << U(32)) | ranks[starts + step].astype(U)
-            return np.unique(pair, return_inverse=True)[1]
-        pair = (ranks[:m].astype(U) << U(32)) | ranks[step : step + m].astype(U)
+        at = starts if done + step == length else np.arange(m)
+        pair = (ranks[at].astype(U) << U(32)) | ranks[at + step].astype(U)
         ranks = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         done += step
-    return ranks[starts]
+    return ranks
 
 
-def later_copies(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest previous factor of each suffix is `length` or more; order: its place in the corpus.
+def previous_factors(place: list[int], common: list[int]) -> list[int]:
+    """Longest previous factors of suffixes in suffix order, from the place of each in the corpus and the length of
+    its common prefix with the suffix before it (0 for the first).
 
-    In suffix order with ties by place, suffixes that share `length` bytes are a run of rising places: the
-    previous smaller position of all but the first of a run is its neighbour in the run, at a common
-    prefix of `length` or more. The first of a run has its previous and next smaller positions outside
-    the run, where the common prefix is shorter.
+    A stack holds suffixes of rising places. The suffix that takes one off it is its next smaller position, the one
+    below it its previous smaller one; their common prefixes with it are the least ones between.
+    """
+    out, stack = [0] * len(place), []
+    for i in range(len(place) + 1):
+        here, prefix = (place[i], common[i]) if i < len(place) else (-1, 0)
+        while stack and place[stack[-1][0]] > here:
+            top, before = stack.pop()
+            out[top] = max(before, prefix)
+            prefix = min(before, prefix)
+        if i < len(place):
+            stack.append((i, prefix))
+    return out
+
+
+def later_copies(data: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Whether the longest previous factor of each suffix of data at `starts` is `length` or more.
+
+    Common prefixes are of all suffixes the longest with the neighbours in suffix order; suffixes that share less
+    than `length` with both can't reach it and stay off the stack. Shorter common prefixes count as 0 there.
     """
     ranks = suffix_ranks(data, starts, length)
-    by = np.lexsort((order, ranks))
-    same = np.zeros(len(by), bool)
-    same[1:] = ranks[by[1:]] == ranks[by[:-1]]
+    by = np.lexsort((place, ranks))
+    same = np.zeros(len(by) + 1, bool)
+    same[1:-1] = ranks[by[1:]] == ranks[by[:-1]]
+    on = np.flatnonzero(same[:-1] | same[1:])
+    factors = previous_factors(place[by[on]].tolist(), np.where(same[on], length, 0).tolist())
     out = np.zeros(len(by), bool)
-    out[by] = same
+    out[by[on]] = np.array(factors, np.int64) >= length
     return out
 
 
@@ -272,6 +321,8 @@ def sorted_suffix_runs(firsts: DataFrame, length: int) -> DataFrame:
         rest: list[pa.RecordBatch] = []
 
         def solve(t: pa.Table) -> pa.RecordBatch | None:
+            keys = np.stack([t.column(c).to_numpy() for c in ("anchor", "doc_id", "start")])
+            t = t.filter(pa.array(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])))  # a repeated row
             doc, start, windows = (t.column(c).to_numpy() for c in ("doc_id", "start", "windows"))
             data, at = flat_bytes(t.column("bytes"))
             data = np.concatenate([data, np.zeros(length, np.uint8)])
@@ -304,12 +355,12 @@ def sorted_suffix_runs(firsts: DataFrame, length: int) -> DataFrame:
         if rest and (found := solve(pa.Table.from_batches(rest))) is not None:
             yield found
 
-    dealt = firsts.repartition(partitions(firsts.sparkSession), "anchor").sortWithinPartitions("anchor")
+    dealt = firsts.repartition(partitions(firsts.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return dealt.select("anchor", "doc_id", "start", "windows", "bytes").mapInArrow(run, "doc_id long, start long, end long")
 
 
 def cut_segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """kind, anchor, doc_id, start, windows, bytes for each row of wanted (all but bytes)."""
+    """kind, anchor, doc_id, start, windows, bytes for each row of wanted (all but bytes); of repeated rows, mostly one."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "kind")).alias("segs"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +371,12 @@ def cut_segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays(cols, ["kind", "anchor", "doc_id", "start", "windows", "bytes"])
 
+        last = None
         for batch in batches:
-            for r in range(batch.num_rows):
+            for r, doc in enumerate(batch.column(0).to_pylist()):
+                if doc == last:  # a repeated row; the join has sorted them
+                    continue
+                last = doc
                 text = batch.column(1)[r].as_buffer().to_pybytes()
                 segs = batch.column(2)[r].values
                 anchor, start, windows, kind = (segs.field(i) for i in range(4))
@@ -337,48 +392,75 @@ def cut_segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def window_rows(segs: DataFrame, length: int) -> DataFrame:
-    """h1, h2 (128 bits of each window's bytes), doc_id, start, run: the window a task sees first, by place.
+    """h1, h2 (128 bits of each window's bytes), doc_id, segment, start, run: the window a task sees first, by place.
 
-    The others it has seen are later copies whatever other tasks see; they come as merged runs (start << 32 |
-    end, null for windows), and so a window sends at most one row per task and flush.
+    segment is the start of the segment that a window is of. The others that a task has seen are later copies
+    whatever other tasks see, since their bytes are those of one it saw before; they come as merged runs (start <<
+    32 | end, null for windows), and so a window sends at most one row per task and flush.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, shift = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            h1, h2, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            data = np.concatenate([h[-1] for h in held])
+            h1, h2, doc, segment, start, begin = (np.concatenate(c) for c in list(zip(*held, strict=True))[:-1])
             held.clear()
             by = np.lexsort((start, doc, h2, h1))
-            h1, h2, doc, start = (c[by] for c in (h1, h2, doc, start))
+            h1, h2, doc, segment, start, begin = (c[by] for c in (h1, h2, doc, segment, start, begin))
             other = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(h1)]
-            late = np.flatnonzero(~other & np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])[: len(h1)])
+            like = np.maximum.accumulate(np.where(other, np.arange(len(h1)), 0))
+            rest = np.flatnonzero(~other)
+            other[rest[~slices_equal(data, begin[rest], begin[like[rest]], np.full(len(rest), length))]] = True
+            late = np.flatnonzero(~other & ((doc != doc[like]) | (start != start[like])))
             late = late[np.lexsort((start[late], doc[late]))]
             d, a, b = runs_of(doc[late], start[late], length)
             none = np.zeros(int(other.sum()), np.int64)
-            cols = [np.concatenate([x[other].view(np.int64), y]) for x, y in ((h1, 0 * d), (h2, 0 * d), (doc, d), (start, a))]
+            cols = [np.concatenate([x[other].view(np.int64), y]) for x, y in ((h1, 0 * d), (h2, 0 * d), (doc, d), (segment, 0 * d), (start, a))]
             runs = pa.array(np.concatenate([none, (a << 32) | b]), mask=np.arange(len(none) + len(d)) < len(none))
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), runs], ["h1", "h2", "doc_id", "start", "run"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), runs], ["h1", "h2", "doc_id", "segment", "start", "run"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 t = batch.slice(lo, 4096)
-                data, at = flat_bytes(t.column(4))
-                windows = t.column(3).to_numpy()
+                data, at = flat_bytes(t.column(3))
+                windows = t.column(2).to_numpy()
                 inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
                 begin = np.repeat(at[:-1], windows) + inner
-                h1 = slice_hash(prefix_hash(data), begin, begin + length)
-                spread = mix(data.astype(U) + U(0x632BE59BD9B4E019)).view(np.uint8).reshape(-1, 8)[:, 3]
-                h2 = slice_hash(prefix_hash(spread), begin, begin + length)
-                held.append((h1, h2, np.repeat(t.column(1).to_numpy(), windows), np.repeat(t.column(2).to_numpy(), windows) + inner))
-                size += len(h1)
+                h1, h2 = (slice_hash(prefix_hash(x), begin, begin + length) for x in (data, OTHER[data]))
+                segment = np.repeat(t.column(1).to_numpy(), windows)
+                held.append((h1, h2, np.repeat(t.column(0).to_numpy(), windows), segment, segment + inner, begin + shift, data))
+                size, shift = size + len(h1), shift + len(data)
                 if size > FLUSH:
                     yield out()
-                    size = 0
+                    size = shift = 0
         if held:
             yield out()
 
-    return segs.select("anchor", "doc_id", "start", "windows", "bytes").mapInArrow(run, "h1 long, h2 long, doc_id long, start long, run long")
+    return segs.select("doc_id", "start", "windows", "bytes").mapInArrow(run, "h1 long, h2 long, doc_id long, segment long, start long, run long")
+
+
+def common_windows(segs: DataFrame, windows: DataFrame, length: int, k: int) -> DataFrame:
+    """anchor, doc_id, start, windows, bytes of the parts of segs that windows (doc_id, segment, start) are of."""
+    lists = windows.groupBy("doc_id", "segment").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, segment, starts, raws = (batch.column(c).to_pylist() for c in range(4))
+            rows = []
+            for d, s, at, raw in zip(doc, segment, starts, raws, strict=True):
+                at = np.unique(np.array(at, np.int64))
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    rows.append((d, int(part[0]), len(part), raw[part[0] - s : part[-1] - s + length]))
+            data, firsts = flat_bytes(pa.array([r[3] for r in rows], pa.binary()))
+            anchor = np.zeros(0, U)
+            if rows:  # all windows of a segment have one anchor, so the first one tells it
+                hashes, place = anchor_places(data, firsts[:-1], length, k)
+                anchor = hashes[place]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["anchor", "doc_id", "start", "windows", "bytes"])
+
+    joined = segs.select("doc_id", F.col("start").alias("segment"), "bytes").join(lists.hint("merge"), ["doc_id", "segment"])
+    return joined.select("doc_id", "segment", "starts", "bytes").mapInArrow(run, "anchor long, doc_id long, start long, windows int, bytes binary")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -388,17 +470,19 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
     open_ = rows.filter("kind > 0").select("kind", F.col("key").alias("anchor"), "doc_id", F.shiftrightunsigned("at", 8).alias("start"), F.col("at").bitwiseAND(255).cast("int").alias("windows"))
     cut = cut_segments(docs, open_, length)
     packed = F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("end")).alias("run")
+    names = ["anchor", "doc_id", "start", "windows", "bytes"]
     if rows.filter("kind = 2").isEmpty():
-        found = whole.union(sorted_suffix_runs(cut, length).select("doc_id", packed))
+        alike = cut.select(names)
     else:
         cut = written(cut, "segments")
-        found = whole.union(sorted_suffix_runs(cut.filter("kind = 1"), length).select("doc_id", packed))
-        windows = written(window_rows(cut.filter("kind = 2"), length), "windows")
-        firsts = windows.filter("run is null").select("h1", "h2", "doc_id", "start")
-        least = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).filter("n > 1")
-        late = firsts.join(least.select("h1", "h2", F.col("at.doc_id").alias("doc0"), F.col("at.start").alias("start0")), ["h1", "h2"]).filter("doc_id <> doc0 or start <> start0")
-        found = found.union(windows.filter("run is not null").select("doc_id", "run"))
-        found = found.union(late.select("doc_id", (F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("start") + length)).alias("run")))
+        many = cut.filter("kind = 2").select(names)
+        windows = written(window_rows(many, length), "windows")
+        whole = whole.union(windows.filter("run is not null").select("doc_id", "run"))
+        firsts = windows.filter("run is null")
+        shared = firsts.groupBy("h1", "h2").count().filter("count > 1").drop("count")
+        shared = firsts.join(shared.hint("merge"), ["h1", "h2"]).select("doc_id", "segment", "start")
+        alike = cut.filter("kind = 1").select(names).union(common_windows(many, shared, length, k))
+    found = whole.union(sorted_suffix_runs(alike, length).select("doc_id", packed))
     return found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
