@@ -1,13 +1,14 @@
 """Quality rules: base statistics of a text, and its divergence from its language.
 
 References are made from all documents: for each language, the shares of character classes and of its
-most common words. A document's own histograms are compared with its language's by the Jensen-Shannon
-distance. A short text's histogram says little, so the distance has to exceed a bound that also allows
+most common words, counted exactly. A document's own histograms are compared with its language's by the
+Jensen-Shannon distance. A short text's histogram says little, so the distance has to exceed a bound that also allows
 for the distance chance gives a text of its length; below a least length the verdict is the base rules'.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table, written
-from factloom.llm.words import SPACE, U, blocks, flat_bytes, mix, prefix_hash, shingle_hash, slice_hash, word_bounds
+from factloom.llm.words import SPACE, U, blocks, flat_bytes, mix, prefix_hash, shingle_hash, slice_hash, word_bounds, word_ids
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Lengths below which histograms aren't compared: of a document, and of a language's reference.
 GUARD_CHARS, GUARD_WORDS, GUARD_REFERENCE = 100, 20, 5000
 COMMON_WORDS = 40
-#: Words that take this share of a task's words in a language, at least, are counted; the common ones are among them.
-LEAST_SHARE = 0.002
+#: Words that a task counts before it sends them on.
+HELD_WORDS = 500_000
+#: References that are shipped with the code: under 5 MB.
+REFERENCES, LANG_BYTES = 1000, 256
 CHAR_LIMIT, WORD_LIMIT = 0.2, 0.5
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "symbol", "bracket", "letter beyond ASCII", "other")
 SYMBOLS = b"#*$%&|<>"
@@ -52,7 +55,7 @@ def per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def repeats(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For items of texts in turn: whether another item of its text is equal, and whether an earlier one is."""
-    key = (owner.astype(U) << U(52)) | (hashes >> U(12))
+    key = mix(hashes + owner.astype(U) * U(0xC2B2AE3D27D4EB4F))
     by = np.argsort(key, kind="stable")
     same = key[by[1:]] == key[by[:-1]]
     later, any_ = np.zeros(len(key), bool), np.zeros(len(key), bool)
@@ -62,6 +65,15 @@ def repeats(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return any_, later
 
 
+def class_counts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Characters of each class in each text of a block from flat_bytes."""
+    n = len(starts) - 1
+    doc = np.repeat(np.arange(n), np.diff(starts))
+    out = np.bincount(doc * 16 + CLASS[data], minlength=n * 16).reshape(n, 16)[:, : len(CLASSES)]
+    out[:, 3] -= 1  # the space after a text
+    return out
+
+
 class Counted:
     """Statistics of a block of texts; arrays with an entry for each."""
 
@@ -76,9 +88,9 @@ class Counted:
         chars = (data & 0xC0) != 0x80
         self.word_chars = per_text(chars & ~SPACE[data], starts)
         self.n_symbols = per_text(IS_SYMBOL[data], starts)
+        self.classes = class_counts(data, starts)
         kept = np.ones(len(data), bool)
         kept[starts[1:] - 1] = False
-        self.classes = np.bincount(doc[kept] * 16 + CLASS[data[kept]], minlength=n * 16).reshape(n, 16)[:, : len(CLASSES)]
         # lines that hold a word
         stop = np.flatnonzero((data == 10) | ~kept)
         start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
@@ -103,76 +115,101 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.clip((kl(p) + kl(q)) / 2, 0, 1))
 
 
-def references(docs: DataFrame) -> dict[str, dict]:
-    """For each language of docs (text, lang): shares of character classes, common words and their shares.
+def word_key(word: bytes) -> bytes:
+    """A word itself, or of one of 64 bytes or more its SHA-256 in hexadecimal."""
+    return word if len(word) < 64 else hashlib.sha256(word).hexdigest().encode()
 
-    Counts cover every document. A word that is common in the language is so in some task, where it is
-    named a candidate; candidates are then counted over all documents. The result has a few numbers for
-    each language, whatever the size of docs.
-    """
-    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
 
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word (its key), hash (that of Counted), n of docs (lang, text), partly summed in tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes, int], int] = {}
 
-        def out(lang: str) -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            often = n >= LEAST_SHARE * n.sum()
-            return pa.RecordBatch.from_arrays([pa.array([lang] * int(often.sum()), pa.string()), pa.array(word[often].view(np.int64))], ["lang", "word"])
+        def out() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.binary(), pa.int64())
+            cols = [pa.array([k[i] for k in held], kind) for i, kind in enumerate(kinds)]
+            cols.append(pa.array(list(held.values()), pa.int64()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, ["lang", "word", "hash", "n"])
 
         for batch in batches:
             for part in blocks(batch):
                 data, starts = flat_bytes(part.column(1))
                 begin, end, first = word_bounds(data, starts)
-                words, lang = slice_hash(prefix_hash(data), begin, end), np.array(part.column(0).to_pylist())
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for x in set(lang.tolist()):
-                    if len(mine := words[lang[owner] == x] if len(owner) else words):
-                        held.setdefault(x, []).append(mine)
-                    if x in held and sum(map(len, held[x])) > 1_000_000:
-                        yield out(x)
-        for x in list(held):
-            yield out(x)
-
-    named = docs.mapInArrow(candidates, "lang string, word long").distinct()
-    # more candidates than this would be as many tasks with wholly different common words
-    named = named.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("word")), 1, 1_000_000).alias("words")).collect()
-    lists = {r["lang"]: np.sort(np.array(r["words"], np.int64).view(U)) for r in named}
-
-    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+                if not len(begin):
+                    continue
+                langs = part.column(0).dictionary_encode()
+                lang = np.repeat(langs.indices.to_numpy(), np.diff(first))
+                hashes = slice_hash(prefix_hash(data), begin, end)
+                ids = word_ids(data, begin, end, hashes)
+                _, at, n = np.unique(lang * (int(ids.max()) + 1) + ids, return_index=True, return_counts=True)
+                names = langs.dictionary.to_pylist()
+                for x, a, b, h, k in zip(lang[at].tolist(), begin[at].tolist(), end[at].tolist(), hashes[at].view(np.int64).tolist(), n.tolist(), strict=True):
+                    key = (names[x], word_key(data[a:b].tobytes()), h)
+                    held[key] = held.get(key, 0) + k
+                if len(held) > HELD_WORDS:
+                    yield out()
+        yield out()
+
+    return docs.mapInArrow(run, "lang string, word binary, hash long, n long")
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """lang, classes, n_words, words, hashes, counts: a row for each language of docs (text, lang) with GUARD_REFERENCE words.
+
+    classes are the counts of character classes, words the keys of the COMMON_WORDS most frequent words, ties by
+    bytes, hashes and counts theirs. All documents are counted, and exactly, so partitioning changes nothing.
+    """
+    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    words = written(word_counts(docs).groupBy("lang", "word", "hash").agg(F.sum("n").alias("n")), "word-counts")
+    enough = words.groupBy("lang").agg(F.sum("n").alias("n_words")).filter(F.col("n_words") >= GUARD_REFERENCE)
+    # the most frequent of each salted part first, so that no task gets a language's whole vocabulary
+    salted = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
+    for keys in (["lang", "salt"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+        salted = salted.withColumn("nth", nth).filter(F.col("nth") <= COMMON_WORDS)
+    common = salted.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("nth", "word", "hash", "n"))).alias("top"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            cols = [pa.array(held, pa.string()), pa.array(list(held.values()), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["lang", "classes"])
+
         for batch in batches:
             for part in blocks(batch):
-                c, lang = Counted(part.column(1)), np.array(part.column(0).to_pylist())
-                for x in set(lang.tolist()):
-                    mine = lang == x
-                    common = lists.get(x, np.zeros(0, U))
-                    row = np.zeros(len(CLASSES) + 1 + len(common), np.int64)
-                    row[: len(CLASSES)] = c.classes[mine].sum(axis=0)
-                    words = c.words[mine[c.owner]]
-                    row[len(CLASSES)] = len(words)
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, words), len(common) - 1)
-                        row[len(CLASSES) + 1 :] = np.bincount(at[common[at] == words], minlength=len(common))
-                    total[x] = total[x] + row if x in total else row
-        for x, row in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(row), pa.string()), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], ["lang", "slot", "n"])
-
-    slots = docs.mapInArrow(counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang", F.col("slot") > len(CLASSES)).orderBy(F.desc("n"), "slot"))
-    rows = slots.withColumn("top", top).filter((F.col("slot") <= len(CLASSES)) | (F.col("top") <= COMMON_WORDS)).select("lang", "slot", "n").collect()
-    out: dict[str, dict] = {}
-    for lang in {r["lang"] for r in rows}:
-        n = {r["slot"]: r["n"] for r in rows if r["lang"] == lang}
-        classes, total = np.array([n.get(i, 0) for i in range(len(CLASSES))], float), n.get(len(CLASSES), 0)
-        slots_ = sorted(s for s in n if s > len(CLASSES) and n[s] > 0)
-        common = lists[lang][[s - len(CLASSES) - 1 for s in slots_]] if slots_ else np.zeros(0, U)
-        share = np.array([n[s] for s in slots_], float) / max(total, 1)
-        out[lang] = {"classes": classes / max(classes.sum(), 1), "words": total, "common": common, "share": np.append(share, max(0.0, 1 - share.sum()))}
-    return out
-
-
-def judge(docs: DataFrame, refs: dict[str, dict] | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+                data, starts = flat_bytes(part.column(1))
+                langs = part.column(0).dictionary_encode()
+                total = np.zeros((len(langs.dictionary), len(CLASSES)), np.int64)
+                np.add.at(total, langs.indices.to_numpy(), class_counts(data, starts))
+                for x, row in zip(langs.dictionary.to_pylist(), total, strict=True):
+                    held[x] = held[x] + row if x in held else row
+                if len(held) > HELD_WORDS // 16:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    classes = docs.mapInArrow(count, "lang string, classes array<bigint>").groupBy("lang").agg(*sums)
+    classes = classes.select("lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("classes"))
+    joined = enough.join(common, "lang").join(classes, "lang")
+    return joined.select("lang", "classes", "n_words", F.col("top.word").alias("words"), F.col("top.hash").alias("hashes"), F.col("top.n").alias("counts"))
+
+
+class Reference:
+    """A language's shares of character classes and of its common words, and the hashes of these words."""
+
+    def __init__(self, classes: list[int], n_words: int, words: list[bytes], hashes: list[int], counts: list[int]):
+        self.classes = np.array(classes, float) / max(1, sum(classes))
+        common = np.array(hashes, np.int64).view(U)
+        by = np.argsort(common)
+        share = np.array(counts, float)[by] / n_words
+        self.common, self.share = common[by], np.append(share, max(0.0, 1 - share.sum()))
+
+
+def judge(docs: DataFrame, refs: DataFrame | None = None, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
     word_distance, kept for each row of docs (doc_id, text, lang).
 
@@ -180,35 +217,47 @@ def judge(docs: DataFrame, refs: dict[str, dict] | None = None, char_limit: floa
     windows. kept: not base_failed, and no distance over its limit; distances are null, and say nothing,
     for texts under the guards and languages with few words. Limits grow by 1 / sqrt(length) for short texts.
     Null and empty texts have zeros and fail. A null lang is a language of its own. Rows are judged one by
-    one, so repeated ones alike; other columns are not read.
+    one, so repeated ones alike; other columns are not read. refs: those of `references`, of docs if None.
+
+    References go to tasks with the code up to REFERENCES languages of up to LANG_BYTES; that takes 5,000 words
+    of each, so there are more only where the column isn't languages, and then they are joined to the rows.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    refs = references(docs) if refs is None else refs
+    refs = written(references(docs) if refs is None else refs, "references")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    few = refs.filter(F.octet_length("lang") > LANG_BYTES).isEmpty() and refs.limit(REFERENCES + 1).count() <= REFERENCES
+    known = {r["lang"]: Reference(*r[1:]) for r in refs.collect()} if few else {}
+    if not few:
+        docs = docs.join(refs.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), "left").select(*docs.columns, "classes", "n_words", "words", "hashes", "counts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                c, lang = Counted(part.column(2)), np.array(part.column(1).to_pylist())
+                c, langs = Counted(part.column(2)), part.column(1).dictionary_encode()
+                lang, first = langs.indices.to_numpy(), np.unique(langs.indices.to_numpy(), return_index=True)[1]
                 chars = c.classes.sum(axis=1)
                 char_d, word_d = np.full(c.n, np.nan), np.full(c.n, np.nan)
-                for x in set(lang.tolist()):
-                    ref, mine = refs.get(x), np.flatnonzero(lang == x)
-                    if ref is None or ref["words"] < GUARD_REFERENCE:
+                by = np.argsort(lang, kind="stable")
+                upto = np.searchsorted(lang[by], np.arange(len(first) + 1))
+                number = np.empty(c.n, np.int64)
+                number[by] = np.arange(c.n) - upto[lang[by]]
+                words = np.argsort(lang[c.owner], kind="stable")
+                w_upto = np.searchsorted(lang[c.owner][words], np.arange(len(first) + 1))
+                for k, name in enumerate(langs.dictionary.to_pylist()):
+                    mine, rows = by[upto[k] : upto[k + 1]], words[w_upto[k] : w_upto[k + 1]]
+                    ref = known.get(name)
+                    if not few and part.column(3)[first[k]].is_valid:
+                        ref = Reference(*(part.column(i)[first[k]].as_py() for i in range(3, 8)))
+                    if ref is None:
                         continue
                     p = c.classes[mine] / np.maximum(chars[mine], 1)[:, None]
-                    char_d[mine] = np.where(chars[mine] >= GUARD_CHARS, distance(p, np.broadcast_to(ref["classes"], p.shape)), np.nan)
-                    k = len(ref["common"])
-                    number = np.full(c.n, -1)
-                    number[mine] = np.arange(len(mine))
-                    rows = np.flatnonzero(number[c.owner] >= 0)
-                    slot = np.full(len(rows), k)
-                    if k:
-                        at = np.minimum(np.searchsorted(ref["common"], c.words[rows]), k - 1)
-                        slot = np.where(ref["common"][at] == c.words[rows], at, k)
-                    h = np.bincount(number[c.owner[rows]] * (k + 1) + slot, minlength=len(mine) * (k + 1)).reshape(len(mine), k + 1)
+                    char_d[mine] = np.where(chars[mine] >= GUARD_CHARS, distance(p, np.broadcast_to(ref.classes, p.shape)), np.nan)
+                    n = len(ref.common)
+                    at = np.minimum(np.searchsorted(ref.common, c.words[rows]), n - 1)
+                    slot = np.where(ref.common[at] == c.words[rows], at, n)
+                    h = np.bincount(number[c.owner[rows]] * (n + 1) + slot, minlength=len(mine) * (n + 1)).reshape(len(mine), n + 1)
                     h = h / np.maximum(c.n_words[mine], 1)[:, None]
-                    word_d[mine] = np.where(c.n_words[mine] >= GUARD_WORDS, distance(h, np.broadcast_to(ref["share"], h.shape)), np.nan)
+                    word_d[mine] = np.where(c.n_words[mine] >= GUARD_WORDS, distance(h, np.broadcast_to(ref.share, h.shape)), np.nan)
                 failed = (c.n_words < MIN_WORDS) | (100 * c.n_repeat_words > MAX_REPEAT_PERCENT * c.n_words)
                 far = (char_d > char_limit + 1 / np.sqrt(np.maximum(chars, 1))) | (word_d > word_limit + 1 / np.sqrt(np.maximum(c.n_words, 1)))
                 cols = [c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words]
