@@ -1,10 +1,10 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed byte n-grams, and of word n-grams with their words renamed (aa, aaa and
-aba, with how often and in what share of the words they occur), which any vocabulary shares. Log-count ratios of the two classes, from every labelled
-training document, scale the indicators; a linear hinge-loss model on the scaled indicators is fitted by
-dual coordinate descent to a sample of bounded size. The margin becomes a probability by a logistic fit
-on the part of the sample that the descent has not seen.
+Features are indicators of hashed n-grams: of bytes, of words, and of words renamed by their first occurrence
+in the n-gram (aab, abab), which any vocabulary shares. Log-count ratios of the two classes, from every
+labelled training document, scale the indicators; a linear hinge-loss model on the scaled indicators is
+fitted by dual coordinate descent to a sample of bounded size. The margin becomes a probability by a
+logistic fit on the part of the sample that the descent has not seen.
 """
 
 from __future__ import annotations
@@ -19,47 +19,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table, written
-from factloom.llm.words import U, blocks, flat_bytes, mix, prefix_hash, slice_hash, word_bounds
+from factloom.llm.words import U, blocks, flat_bytes, mix, prefix_hash, shingle_hash, slice_hash, word_bounds
 
 BITS = 16
 BUCKETS = 1 << BITS
-GRAMS = (3, 5)
-#: Renamed word n-grams: the least counts and shares that have an indicator each, and their weight against one byte n-gram.
-COUNTS, SHARES, PATTERN_WEIGHT = (1, 2, 4, 8, 16), (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8), 8.0
-PATTERNS = 3 * (len(COUNTS) + len(SHARES))
+#: Lengths of byte n-grams, word n-grams and n-grams of renamed words.
+GRAMS, WORD_GRAMS, RENAMED = (3, 5), (1, 2), (2, 3, 4, 6, 8)
 #: Labelled documents that the linear model is fitted to, at most: those of least hash. Ratios use all.
 SAMPLE = 6000
 COST, ROUNDS = 1.0, 12
 
 
+def renamed(words: np.ndarray, size: int) -> np.ndarray:
+    """For each n-gram of `size` words, a code of its words numbered by first occurrence."""
+    n = len(words) - size + 1
+    code = np.zeros(n, U)
+    for i in range(1, size):
+        first = np.full(n, i)
+        for j in range(i - 1, -1, -1):
+            first = np.where(words[j : j + n] == words[i : i + n], j, first)
+        code = code * U(size) + first.astype(U)
+    return code
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers of x, which is sorted in place."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of each text, one text after another, and the text of each."""
+    """Distinct buckets of each text, one text after another in rising order, and the text of each."""
     data, starts = flat_bytes(texts)
-    n = len(starts) - 1
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    seen = np.zeros(n * BUCKETS, bool)
-    for size in GRAMS:
-        if len(data) < size:
-            continue
-        key = np.zeros(len(data) - size + 1, U)
-        for i in range(size):
-            key = (key << U(8)) | data[i : i + len(key)].astype(U)
-        within = doc[: len(key)] == doc[size - 1 :]  # the space after a text may be in its last n-gram
-        bucket = (((mix(key * U(31) + U(size)) >> U(32)) * U(BUCKETS - PATTERNS)) >> U(32)).astype(np.int64)
-        seen[(doc[: len(key)] * BUCKETS + bucket)[within]] = True
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     begin, end, first = word_bounds(data, starts)
-    words, owner, total = slice_hash(prefix_hash(data), begin, end), doc[begin], np.maximum(np.diff(first), 1)
-    twice, over = np.zeros(len(words), bool), np.zeros(len(words), bool)
-    twice[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    over[2:] = (words[2:] == words[:-2]) & (owner[2:] == owner[:-2])
-    thrice = twice & np.concatenate([[False], twice[:-1]])[: len(twice)]
-    place = BUCKETS - PATTERNS
-    for flag in (twice, thrice, over):
-        count = np.bincount(owner[flag], minlength=n)
-        for hit in [*(count >= c for c in COUNTS), *((count >= s * total) & (count > 0) for s in SHARES)]:
-            seen[np.flatnonzero(hit) * BUCKETS + place] = True
-            place += 1
-    at = np.flatnonzero(seen)
+    words, owner = slice_hash(prefix_hash(data), begin, end), np.repeat(np.arange(len(starts) - 1), np.diff(first))
+    found = []
+
+    def add(keys: np.ndarray, of: np.ndarray, size: int, salt: int) -> None:
+        n = len(keys)
+        within = of[:n] == of[size - 1 : size - 1 + n]  # the space after a text may be in its last n-gram
+        bucket = mix(keys[within] + U(salt)) >> U(64 - BITS)
+        found.append(distinct((of[:n][within].astype(np.int64) << BITS) | bucket.astype(np.int64)))
+
+    for size in GRAMS:
+        if len(data) >= size:
+            key = np.zeros(len(data) - size + 1, U)
+            for i in range(size):
+                key = (key << U(8)) | data[i : i + len(key)].astype(U)
+            add(key * U(31), doc, size, size)
+    for size in WORD_GRAMS:
+        if len(words) >= size:
+            add(shingle_hash(words, size), owner, size, 100 + size)
+    for size in RENAMED:
+        if len(words) >= size:
+            add(mix(renamed(words, size)), owner, size, 200 + size)
+    at = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return at & (BUCKETS - 1), at >> BITS
 
 
@@ -146,7 +161,6 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     n[0, counts["bucket"]], n[1, counts["bucket"]] = counts["n0"], counts["n1"]
     p = (n + 1) / (n + 1).sum(axis=1, keepdims=True)
     ratio = np.log(p[1] / p[0])
-    ratio[-PATTERNS:] *= PATTERN_WEIGHT
 
     def fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, label = [], []
@@ -185,9 +199,9 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, label of the documents that labels mark and that aren't held out.
 
-    Null labels and ids take no part, nor do ids that labels mark both ways.
+    Labels other than 0 and 1, null ones and ids take no part, nor do ids that labels mark both ways.
     """
-    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).filter("label = most")
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).filter("label = most")
     return docs.filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks.select("doc_id", "label").hint("merge"), "doc_id")
 
 
