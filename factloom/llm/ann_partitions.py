@@ -2,10 +2,17 @@
 
 On a bounded sample, the graph of nearest neighbours is cut into balanced partitions: partitions grow
 over the graph from seeds, and then vectors move to the partition that most of their neighbours are in,
-best gain first, while it has room. A small softmax classifier learns the partition from the vector. It
-files every vector of the table under its most probable partition and sends every query to its several
-most probable ones, where inner products are computed in double precision and the best are kept. How
-many partitions a query visits is measured on sample vectors that the classifier hasn't been fitted on.
+best gain first, while it has room. A small softmax classifier learns the partition from the vector and
+files every vector of the table under its most probable partition.
+
+A partition that holds too many vectors is cut again in the same way, on a sample of its own, and so on: the
+number of partitions grows with the table, and their size doesn't. A query goes down the same classifiers,
+along the most probable partitions at each level, and visits the most probable ones of the last; inner
+products are computed there in double precision and the best are kept. How many partitions a query visits
+is measured: for a bounded number of probes the whole table is searched by brute force, and the least number
+is taken that finds enough. So the work is in proportion to the table where vectors have a structure that
+partitions can follow; of vectors spread evenly in many dimensions most partitions have to be visited.
+
 Equal vectors are one candidate with its smallest ids, so a very common vector costs no more than others.
 """
 
@@ -19,15 +26,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions, table, written
+from factloom.llm.common import table, written
 
-#: The sample that partitions and classifier are fitted on: so many distinct vectors, by least hash. The index holds every row.
+#: The sample that a partition is cut on: so many distinct vectors, about. The index holds every row.
 SAMPLE = 6000
-#: Vectors in a partition, at least on average; partitions are at most SAMPLE_PER_PART-th of the sample.
-PART_VECTORS, SAMPLE_PER_PART = 750, 100
+#: Vectors in a partition, about; a cut makes so many at most, and the first one so many at least.
+CELL, MOST_PARTS, LEAST_PARTS = 1000, 60, 8
+#: Distinct vectors below which nothing is cut, and levels of cuts.
+LEAST, MOST_LEVELS = 200, 8
 NEIGHBOURS = 10
-#: Recall on the sample at which the number of visited partitions is set.
-AIM = 0.94
+#: Vectors that recall is measured on, partitions that their way down keeps, and the recall aimed at.
+PROBES, BEAM, AIM = 256, 4096, 0.93
 #: Vectors in a block of a partition and queries in a block, on average; a task compares block with block.
 BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -94,25 +103,20 @@ def fit_router(x: np.ndarray, part: np.ndarray, parts: int, near: np.ndarray, st
     return w
 
 
-def fit(x: np.ndarray, parts: int, k: int) -> dict:
-    """The router and the number of partitions a query visits, from a sample of distinct vectors."""
-    n = len(x)
-    if parts <= 1 or n < 10 * k:
-        return {"w": np.zeros((x.shape[1] + 1, 1)), "visit": 1}
-    held = np.arange(n) % 8 == 0
-    base = x[~held]
-    near = neighbour_graph(base, min(NEIGHBOURS, len(base) - 1))
-    w = fit_router(base, balanced_partition(near, parts), parts, near)
-    z = np.hstack([x, np.ones((n, 1))]) @ w
-    home = z.argmax(axis=1)
-    order = np.argsort(-z[held], axis=1)
-    s = x[held] @ x.T
-    s[np.arange(held.sum()), np.flatnonzero(held)] = -np.inf
-    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    place = np.argsort(order, axis=1)  # of each partition, in a query's order
-    at = np.take_along_axis(place, home[best], axis=1)
-    recall = [(at < m).mean() for m in range(1, parts + 1)]
-    return {"w": w, "visit": 1 + int(np.argmax(np.array(recall) >= AIM))}
+def fit(x: np.ndarray, parts: int) -> np.ndarray:
+    """The classifier's weights (dimensions + 1, parts), from a sample of distinct vectors."""
+    parts = min(parts, len(x) // (2 * NEIGHBOURS))
+    if parts < 2:
+        return np.zeros((x.shape[1] + 1, 1))
+    near = neighbour_graph(x, NEIGHBOURS)
+    return fit_router(x, balanced_partition(near, parts), parts, near)
+
+
+def chances(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log probabilities of the partitions, a row for each vector."""
+    z = np.hstack([x, np.ones((len(x), 1))]) @ w
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 def clean_vectors(vectors: DataFrame) -> DataFrame:
@@ -123,58 +127,137 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
     return some.filter(~bad & F.exists("embedding", lambda v: v != 0)).withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
 
 
+def down(rows: DataFrame, model: DataFrame, width: int) -> DataFrame:
+    """rows (with dim, cell, chance, key, embedding) at the partitions of `model` go to their `width` most probable
+    parts; those at other partitions stay. A task holds a block of the rows of a partition."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    at = rows.join(model.select("dim", "cell", "blocks"), ["dim", "cell"], "left")
+    block = F.pmod(F.xxhash64("key", F.lit("down")), F.col("blocks")).cast("int")
+    here = at.filter("blocks is not null").withColumn("block", block).drop("blocks")
+    models = model.select("dim", "cell", "weights", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    names = rows.columns
+
+    def route(b: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(b):
+            return b[names]
+        p = chances(pickle.loads(m["weights"].iloc[0]), np.stack(b["embedding"].to_list()))
+        best = np.argsort(-p, axis=1, kind="stable")[:, :width]
+        out = b.loc[b.index.repeat(best.shape[1])].reset_index(drop=True)
+        out["chance"] += np.take_along_axis(p, best, axis=1).ravel()
+        out["cell"] = out["cell"] * 64 + best.ravel() + 1
+        return out[names]
+
+    keys = ["dim", "cell", "block"]
+    moved = here.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(route, fields)
+    return moved.unionByName(at.filter("blocks is null").drop("blocks"))
+
+
+def build(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """classes with dim and cell, their partition, and the models of each level (dim, cell, blocks, weights)."""
+    filed, models, before = classes.withColumns({"cell": F.lit(0).cast("long"), "chance": F.lit(0.0)}), [], None
+    for level in range(MOST_LEVELS):
+        sizes = filed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+        cut = F.col("n") > (2 * CELL if level else LEAST)
+        if before is not None:  # a partition that its cut has left whole isn't cut again
+            parent = before.select("dim", F.col("cell").alias("parent"), F.col("n").alias("was"))
+            sizes = sizes.withColumn("parent", F.expr("(cell - 1) div 64")).join(parent, ["dim", "parent"], "left").drop("parent")
+            cut = cut & (F.col("was").isNull() | (F.col("n") < 0.9 * F.col("was")))
+        parts = F.greatest(F.lit(2 if level else LEAST_PARTS), F.least(F.lit(MOST_PARTS), F.expr(f"cast(n div {CELL} as int)")))
+        sizes = written(sizes.select("dim", "cell", "n", cut.alias("cut"), parts.alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
+        large = sizes.filter("cut").select("dim", "cell", "n", "parts", "blocks")
+        if large.isEmpty():
+            break
+        draw = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+        sample = filed.join(large, ["dim", "cell"]).filter(draw * F.col("n") < SAMPLE).select("dim", "cell", "parts", "blocks", "key", "embedding")
+
+        def train(b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values("key")
+            row = b[["dim", "cell", "blocks"]].head(1).copy()
+            row["weights"] = [pickle.dumps(fit(np.stack(b["embedding"].to_list()), int(b["parts"].iloc[0])))]
+            return row
+
+        models.append(written(sample.groupBy("dim", "cell").applyInPandas(train, "dim int, cell long, blocks int, weights binary"), "models"))
+        filed, before = written(down(filed, models[-1], 1), "vector-index"), sizes
+    return filed, models
+
+
+def ranked(queries: DataFrame, models: list[DataFrame], beam: int) -> DataFrame:
+    """queries (key, dim, embedding, query) with cell, once for each of the `beam` most probable partitions, and place, from 1."""
+    queries = queries.withColumns({"cell": F.lit(0).cast("long"), "chance": F.lit(0.0)})
+    place = F.row_number().over(Window.partitionBy("key", "query").orderBy(F.desc("chance"), "cell"))
+    for model in models:
+        queries = down(queries, model, min(beam, MOST_PARTS)).withColumn("place", place).filter(F.col("place") <= beam).drop("place")
+        queries = written(queries, "vector-ways")
+    return queries.withColumn("place", place)
+
+
+def brute_force(filed: DataFrame, probes: list, k: int) -> DataFrame:
+    """probe, cell of the k nearest classes of each probe, a row of key, dim, embedding; one scan."""
+    dims = {d: [p for p in probes if p["dim"] == d] for d in {p["dim"] for p in probes}}
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list] = {}
+        for b in batches:
+            for dim, rows in b.groupby("dim"):
+                if dim not in dims:
+                    continue
+                x = np.stack(rows["embedding"].to_list())
+                cells, keys = rows["cell"].to_numpy(), rows["key"].to_numpy()
+                for p in dims[dim]:
+                    s = x @ np.array(p["embedding"])
+                    s[keys == p["key"]] = -np.inf
+                    at = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
+                    kept = best.get(p["key"], []) + [(float(v), int(c)) for v, c in zip(s[at], cells[at], strict=True) if v > -np.inf]
+                    best[p["key"]] = sorted(kept, reverse=True)[:k]
+        rows = [(key, *r) for key, found in best.items() for r in found]
+        yield pd.DataFrame(rows, columns=["key", "score", "cell"]).astype({"key": "int64", "score": "float64", "cell": "int64"})
+
+    found = filed.select("dim", "key", "embedding", "cell").mapInPandas(run, "key long, score double, cell long")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "cell"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= k).select("key", "cell")
+
+
+def visits(filed: DataFrame, models: list[DataFrame], k: int) -> tuple[int, float]:
+    """The least number of partitions in which probes find AIM of their nearest, and the share they find there."""
+    probes = filed.select("key", "dim", "embedding").orderBy(F.xxhash64("key", F.lit("probe")), "key").limit(PROBES).collect()
+    asking = filed.sparkSession.createDataFrame(probes, "key long, dim int, embedding array<double>").withColumn("query", F.lit(0).cast("long"))
+    ways = ranked(asking, models, BEAM).select("key", "cell", "place")
+    there = brute_force(filed, probes, k).join(ways, ["key", "cell"], "left")
+    counts = {r["place"]: r["n"] for r in there.groupBy("place").agg(F.count("*").alias("n")).collect()}  # BEAM + 1 rows at most
+    total, found, m = sum(counts.values()), counts.get(1, 0), 1
+    while m < BEAM and found < AIM * total:
+        m += 1
+        found += counts.get(m, 0)
+    return m, found / total if total else 1.0
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, by largest inner product.
 
     vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by `every`; candidates are
-    all rows but those of the query's own vec_id. Ties go to the smaller vec_id. Rows whose vec_id is null,
-    or whose vector is null, empty, zero or holds a null or non-finite number, take no part, nor do
-    vectors of another length than most have. Repeated rows (vec_id and vector) count once.
+    all rows but those of the query's own vec_id, of vectors of the same length. Ties go to the smaller vec_id.
+    Rows whose vec_id is null, or whose vector is null, empty, zero or holds a null or non-finite number, take
+    no part. Repeated rows (vec_id and vector) count once.
     """
-    spark = vectors.sparkSession
-    rows = clean_vectors(vectors)
-    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).head()
-    dims = lengths[0] if lengths else 1
-    rows = rows.filter(F.size("embedding") == dims).withColumn("key", F.xxhash64("embedding"))
-    rows = written(rows, "vectors")
+    rows = written(clean_vectors(vectors).distinct().withColumn("key", F.xxhash64("embedding")).withColumn("dim", F.size("embedding")), "vectors")
     # classes of equal vectors: the k + 1 smallest ids are all that can be in an answer
     small = Window.partitionBy("key", "embedding").orderBy("vec_id")
-    firsts = rows.withColumn("nth", F.dense_rank().over(small)).filter(F.col("nth") <= k + 1).groupBy("key", "embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    firsts = rows.withColumn("nth", F.row_number().over(small)).filter(F.col("nth") <= k + 1).groupBy("key", "dim", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = rows.filter(F.col("vec_id") % every == 0)
-    classes = written(firsts.withColumn("first", F.col("ids")[0]), "vector-classes")
-    total = classes.count()
-    parts = int(max(1, min(total // PART_VECTORS, SAMPLE // SAMPLE_PER_PART)))
-
-    def train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = [np.stack(b["embedding"].to_list()) for b in batches if len(b)]
-        x = np.concatenate(x) if x else np.zeros((0, dims))
-        yield pd.DataFrame({"model": [pickle.dumps(fit(x, parts, k))]})
-
-    sample = classes.select("key", "embedding").orderBy("key").limit(SAMPLE).coalesce(1)
-    model = pickle.loads(sample.mapInPandas(train, "model binary").head()[0])
-    visit = model["visit"]
-
-    def route(width: int):
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    z = np.hstack([np.stack(b["embedding"].to_list()), np.ones((len(b), 1))]) @ model["w"]
-                    b["parts"] = list(np.argsort(-z, axis=1)[:, :width].astype(np.int32))
-                    yield b
-
-        return run
-
-    filed = classes.mapInPandas(route(1), "key long, embedding array<double>, ids array<long>, first long, parts array<int>")
-    filed = written(filed.withColumn("part", F.col("parts")[0]).drop("parts"), "vector-index")
-    alike = asked.groupBy("key", "embedding").agg(F.min("vec_id").alias("query"))
-    queries = written(alike.mapInPandas(route(visit), "key long, embedding array<double>, query long, parts array<int>").select("key", "query", "embedding", F.explode("parts").alias("part")), "vector-queries")
-    sizes = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    q_sizes = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    sizes = written(sizes.join(q_sizes, "part"), "vector-blocks")
+    classes = written(firsts, "vector-classes")
+    filed, models = build(classes)
+    alike = asked.groupBy("key", "dim", "embedding").agg(F.min("vec_id").alias("query"))
+    visit, _ = visits(filed, models, k)
+    # the way down keeps more than are visited, for the best parts of a partition that isn't among the first itself
+    queries = written(ranked(alike, models, 2 * visit).filter(F.col("place") <= visit), "vector-queries")
+    cell = ["dim", "cell"]
+    sizes = filed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    q_sizes = queries.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
+    sizes = written(sizes.join(q_sizes, cell), "vector-blocks")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     home = lambda n: F.pmod(F.xxhash64("key", F.lit("block")), F.col(n)).cast("int")
-    left = queries.join(sizes, "part").select("part", home("q_blocks").alias("q_block"), F.explode(spread("blocks")).alias("block"), "key", "query", "embedding")
-    right = filed.join(sizes, "part").select("part", F.explode(spread("q_blocks")).alias("q_block"), home("blocks").alias("block"), "key", "embedding", "ids")
+    left = queries.join(sizes, cell).select(*cell, home("q_blocks").alias("q_block"), F.explode(spread("blocks")).alias("block"), "key", "query", "embedding")
+    right = filed.join(sizes, cell).select(*cell, F.explode(spread("q_blocks")).alias("q_block"), home("blocks").alias("block"), "key", "embedding", "ids")
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -193,13 +276,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                     out.append((part["key"].iloc[i], part["query"].iloc[i], [{"below": -float(np.dot(x[i], b[j])), "ids": ids[j]} for j in hit]))
         return pd.DataFrame(out, columns=["key", "query", "found"])
 
-    found = left.groupBy("part", "q_block", "block").cogroup(right.groupBy("part", "q_block", "block")).applyInPandas(compare, "key long, query long, found array<struct<below:double,ids:array<long>>>")
+    keys = [*cell, "q_block", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "key long, query long, found array<struct<below:double,ids:array<long>>>")
     # k + 1 of each visited block: a bounded list for each query
     best = found.groupBy("key", "query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     flat = best.select("key", "query", F.explode("found").alias("f")).select("key", "query", (-F.col("f.below")).alias("score"), F.explode("f.ids").alias("vec_id"))
     order = Window.partitionBy("key", "query").orderBy(F.desc("score"), "vec_id")
     best = flat.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).drop("nth")
-    ids = asked.select(F.col("vec_id").alias("query_id"), "key", "embedding").distinct().join(alike, ["key", "embedding"]).select("query_id", "key", "query")
+    ids = asked.select(F.col("vec_id").alias("query_id"), "key", "embedding").join(alike, ["key", "embedding"]).select("query_id", "key", "query")
     answer = ids.join(best, ["key", "query"]).filter("query_id <> vec_id")
     # an id under two vectors is a candidate by its nearer one
     answer = answer.groupBy("query_id", "key", "vec_id").agg(F.max("score").alias("score"))
