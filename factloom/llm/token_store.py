@@ -16,6 +16,7 @@ A reader gets a document by its recipe; every level can be verified from the one
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.common import new_path, partitions, table
-from factloom.llm.near_dup import groups
 from factloom.llm.words import U, blocks, mix
 
 END_ID = 0
@@ -49,13 +49,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cuts_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file says that texts may be cut as Encoder does."""
+    before = tokenizer["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return plain and tokenizer["model"]["type"] == "BPE" and not any(tokenizer.get(k) for k in ("normalizer", "truncation", "padding"))
+
+
 class Encoder:
     """encode_batch of a byte-level BPE tokenizer, with the ids of frequent pieces remembered.
 
     A byte-level tokenizer starts a new word at a space between two characters that aren't white space, and
     before and after a line end between two such. Texts are cut there and each distinct piece is encoded
     once. Texts with other white space next to a space or line end, and texts that contain an added token of the
-    tokenizer, are encoded whole.
+    tokenizer, are encoded whole; so are all texts with a tokenizer of another kind.
     """
 
     ODD = r"\s\s|^\s|\s$|[\x{01}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]"
@@ -65,6 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = "|".join([self.ODD, *(re.escape(t) for t in added if t)])
         # characters of a token stand for its bytes; tokens of special kinds don't come up
@@ -74,7 +82,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
@@ -103,23 +111,23 @@ class Encoder:
         for i in np.flatnonzero(is_line):  # once at most
             before = int(size[:i].sum())
             own = np.concatenate([own[:before], line, own[before:]])
-        self.known.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces)), strict=True))
+        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.large_string())])
         self.pool, self.size = np.concatenate([self.pool, own]), np.concatenate([self.size, size])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an END_ID after each text, and the n + 1 starts of texts. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd)) if self.pieces else np.ones(len(texts), bool)
         plain = texts.filter(pa.array(~odd))
         cut = pc.replace_substring(pc.replace_substring(plain, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")
         lists = pc.split_pattern(cut, MARK)
         pieces = lists.flatten().dictionary_encode()
-        values = pieces.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.forget()
-        if new := [v for v in values if v not in self.known]:
-            self.learn(new)
-        slot = np.array([self.known[v] for v in values], np.int64)
+        slot = pc.fill_null(pc.index_in(pieces.dictionary, self.known).cast(pa.int64()), -1).to_numpy().copy()
+        if len(new := np.flatnonzero(slot < 0)):
+            slot[new] = len(self.known) + np.arange(len(new))
+            self.learn(pieces.dictionary.take(pa.array(new)).to_pylist())
         index = slot[pieces.indices.to_numpy()]
         whole = self.raw(texts.filter(pa.array(odd)).to_pylist())
         # a row of (start, length) in one pool for each piece, whole text and end, in order
@@ -194,13 +202,46 @@ def address(ids: np.ndarray) -> bytes:
     return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=ADDRESS_BYTES).digest()
 
 
+def node(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=ADDRESS_BYTES).digest()
+
+
+class Merkle:
+    """The root of a binary tree over leaves that come one by one; an odd last node of a level goes up as it is."""
+
+    def __init__(self, leaves: Iterable[bytes] = ()):
+        self.peaks: list[tuple[int, bytes]] = []  # (height, root) of full trees, each lower than the one before
+        for x in leaves:
+            self.add(x)
+
+    def add(self, leaf: bytes) -> None:
+        height, x = 0, node(b"\x00" + leaf)
+        while self.peaks and self.peaks[-1][0] == height:
+            height, x = height + 1, node(b"\x01" + self.peaks.pop()[1] + x)
+        self.peaks.append((height, x))
+
+    def root(self) -> bytes:
+        """Of no leaves: the hash of nothing."""
+        if not self.peaks:
+            return node(b"")
+        *rest, (_, x) = self.peaks
+        for _, left in reversed(rest):
+            x = node(b"\x01" + left + x)
+        return x
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Root of a binary tree over leaves; an odd last node goes up as it is. Of none: the hash of nothing."""
-    level = [hashlib.blake2b(b"\x00" + x, digest_size=ADDRESS_BYTES).digest() for x in leaves] or [hashlib.blake2b(b"", digest_size=ADDRESS_BYTES).digest()]
-    while len(level) > 1:
-        pairs = [hashlib.blake2b(b"\x01" + level[i] + level[i + 1], digest_size=ADDRESS_BYTES).digest() for i in range(0, len(level) - 1, 2)]
-        level = pairs + level[len(level) - len(level) % 2 :]
-    return level[0]
+    return Merkle(leaves).root()
+
+
+def in_turn(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of batches sorted by their first column, each of one value, with it."""
+    for batch in batches:
+        if batch.num_rows:
+            first = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield int(first[a]), batch.slice(a, b - a)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
@@ -270,11 +311,25 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
     again = spark.read.schema(rooted.schema).parquet(f"{path}/recipes")
 
     def manifest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 1):
-            ids = g.column(1)
-            tokens = pc.sum(g.column(2)).as_py()
-            row = [g.column(0)[0].as_py(), ids[0].as_py(), ids[-1].as_py(), g.num_rows, tokens, merkle_root(g.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), batch_type, batch_type, pa.int64(), pa.int64(), pa.binary()], strict=True)], ["part", "first_id", "last_id", "documents", "tokens", "root"])
+        now: list | None = None
+
+        def out() -> pa.RecordBatch:
+            *row, tree = now
+            kinds = [pa.int32(), batch_type, batch_type, pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*row, tree.root()], kinds, strict=True)], ["part", "first_id", "last_id", "documents", "tokens", "root"])
+
+        for part, g in in_turn(batches):
+            if now is None or now[0] != part:
+                if now is not None:
+                    yield out()
+                now = [part, g.column(1)[0].as_py(), None, 0, 0, Merkle()]
+            now[2] = g.column(1)[-1].as_py()
+            now[3] += g.num_rows
+            now[4] += pc.sum(g.column(2)).as_py()
+            for x in g.column(3).to_pylist():
+                now[5].add(x)
+        if now is not None:
+            yield out()
 
     batch_type = to_arrow_type(docs.schema["doc_id"].dataType)
     by_part = again.select("part", "doc_id", "n_tokens", "root", "row").repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "row")
@@ -364,14 +419,23 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     starts = manifest.withColumn("before", before).select("part", "before", F.col("documents").alias("m_documents"), F.col("tokens").alias("m_tokens"), F.col("root").alias("m_root"))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 1):
+        now: list | None = None
+
+        def check_part() -> None:
+            if now is not None and (*now[2:4], now[4].root()) != now[1]:
+                raise ValueError(f"part {now[0]} isn't what the manifest says")
+
+        for part, g in in_turn(batches):
+            if now is None or now[0] != part:
+                check_part()
+                now = [part, tuple(g.column(c)[0].as_py() for c in (7, 8, 9)), 0, 0, Merkle()]
             n = g.column(3).to_numpy()
-            first = {c: g.column(c)[0].as_py() for c in ("before", "m_documents", "m_tokens", "m_root")}
-            if (len(n), int(n.sum()), merkle_root(g.column(4).to_pylist())) != (first["m_documents"], first["m_tokens"], first["m_root"]):
-                raise ValueError(f"part {g.column(0)[0].as_py()} isn't what the manifest says")
-            start = first["before"] + np.cumsum(n) - n
-            t = pa.table([g.column(1), pa.array(start), g.column(3), g.column(5)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-            yield from t.combine_chunks().to_batches()
+            start = g.column(6)[0].as_py() + now[3] + np.cumsum(n) - n
+            now[2], now[3] = now[2] + len(n), now[3] + int(n.sum())
+            for x in g.column(4).to_pylist():
+                now[4].add(x)
+            yield pa.RecordBatch.from_arrays([g.column(1), pa.array(start), g.column(3), g.column(5)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        check_part()
 
     placed = done.join(starts, "part").repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "row")
     return placed.select("part", "doc_id", "row", "n_tokens", "root", "ids_crc32", "before", "m_documents", "m_tokens", "m_root").mapInArrow(place, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
