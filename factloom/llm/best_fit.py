@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import table, written
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Tokens that a sequence costs besides its length (kernel launch, padding to the batch).
 BIN_COST = 64
 #: Documents in a shard, on average; one task holds a shard's lengths.
 SHARD_DOCS = 20_000
+#: Copies of a repeated row that one task numbers at a time.
+COPIES = 1_000_000
 #: Pieces that are tried in thought to judge a length.
 LOOK_AHEAD = 6
 
@@ -76,20 +78,28 @@ def pack_documents(docs: DataFrame, length: Column, capacities: tuple[int, ...]
     """doc_id, piece (from 0), start, n_tokens, bin (string), capacity: one row for each piece.
 
     `length` is a document's tokens; null counts as 0. Documents of no tokens are placed too, as a piece of
-    length 0. Rows are packed as they come: repeated doc_ids are documents of their own. Every token of
-    every row is in one piece. Columns beyond doc_id and those `length` needs are not read.
+    length 0. Rows of one doc_id are documents of their own. Every token of every row is in one piece. Shards
+    go by doc_id, length and the number among equal rows, so that the partitioning of docs changes nothing,
+    and a row that is repeated very often spreads over all shards. Columns beyond doc_id and those `length`
+    needs are not read.
     """
     top = max(capacities)
-    shards = max(1, -(-docs.count() // shard_docs))
-    sized = docs.select("doc_id", F.coalesce(length, F.lit(0)).cast("long").alias("total"))
+    sized = docs.select("doc_id", F.coalesce(length, F.lit(0)).cast("long").alias("total")).groupBy("doc_id", "total").agg(F.count("*").alias("rows"))
+    sized = written(sized, "lengths")
+    rows, most = sized.agg(F.sum("rows"), F.max("rows")).head()
+    shards = max(1, -(-(rows or 0) // shard_docs))
     # a piece of exactly the longest length is a full bin by itself; the rest of each document is packed
     full = F.when(F.col("total") % top == 0, F.greatest(F.expr(f"total div {top}") - 1, F.lit(0))).otherwise(F.expr(f"total div {top}"))
-    sized = sized.withColumn("full", full).withColumn("row", F.monotonically_increasing_id())
-    whole = sized.filter("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece"), "row")
-    whole = whole.select("doc_id", F.col("piece").cast("long").alias("piece"), (F.col("piece").cast("long") * top).alias("start"), F.lit(top).cast("long").alias("n_tokens"), F.concat(F.lit("w"), F.col("row").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin"), F.lit(top).cast("long").alias("capacity"))
-    rest = sized.select("doc_id", F.col("full").alias("piece"), (F.col("full") * top).alias("start"), (F.col("total") - F.col("full") * top).alias("n_tokens"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
-
-    def pack_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    runs = sized.select("doc_id", "total", full.alias("full"), "rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows", F.lit(COPIES).cast("long"))).alias("first"))
+    if (most or 0) > COPIES:  # else no row has many copies to number
+        runs = runs.repartition("doc_id", "total", "first")
+    sized = runs.select("doc_id", "total", "full", F.explode(F.sequence("first", F.least("rows", F.col("first") + COPIES - 1))).alias("copy"))
+    name = F.concat_ws("-", F.when(F.col("doc_id").isNull(), "w").otherwise(F.concat(F.lit("w-"), F.col("doc_id").cast("string"))), "total", "copy", "piece")
+    whole = sized.filter("full > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
+    whole = whole.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.lit(top).cast("long").alias("n_tokens"), name.alias("bin"), F.lit(top).cast("long").alias("capacity"))
+    rest = sized.select("doc_id", F.col("full").alias("piece"), (F.col("full") * top).alias("start"), (F.col("total") - F.col("full") * top).alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "total", "copy"), F.lit(shards)).alias("shard"))
+
+    def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "start"], kind="stable", na_position="last").reset_index(drop=True)
         where, caps = pack(pdf["n_tokens"].tolist(), capacities, bin_cost)
         pdf["bin"] = [f"s{key[0]}-{b}" for b in where]
