@@ -180,7 +180,7 @@ def leaders(docs: DataFrame, hot: np.ndarray, length: int, k: int) -> DataFrame:
             for doc, anchor, seg, other, start, begin, windows, data in text_segments(batch, length, k):
                 held.append((anchor, seg, other, ids[doc], start, begin + at, windows, data))
                 size, at = size + len(doc), at + len(data)
-                if size > FLUSH or at > 32 * CHUNK:
+                if size > FLUSH or at > 16 * CHUNK:
                     yield out()
                     size = at = 0
         if held:

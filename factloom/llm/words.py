@@ -66,8 +66,9 @@ def inverse_powers(at: np.ndarray) -> np.ndarray:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Two rows of sums of (data[j] + 1) times the upper and lower part of BASE ** j, for j < i: below 2 * PRIME,
     and right modulo PRIME."""
-    if "up" not in _powers:
-        _powers["up"] = power_table(BASE, SPAN)
+    most = min(SPAN, 1 << max(0, len(data) - 1).bit_length())
+    if len(_powers.get("up", ())) < most:
+        _powers["up"] = power_table(BASE, most)
         _powers["parts"] = halves(_powers["up"])
     sums = np.zeros((2, len(data) + 1), U)
     for at in range(0, len(data), SPAN):
@@ -94,7 +95,7 @@ def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(times(value, inverse_powers(start)) + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
-def slices_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, limit: int = SPAN) -> np.ndarray:
+def slices_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, limit: int = 1 << 18) -> np.ndarray:
     """Whether data[a:a + size] is data[b:b + size], for each a, b and size; about `limit` bytes at a time."""
     out, upto, at = np.ones(len(a), bool), np.cumsum(size), 0
     while at < len(a):
