@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import lookup
@@ -13,7 +13,10 @@ OPENGRAPH = {"og:title": "title", "og:description": "description", "og:image": "
 CAPTCHA = r"(?i)captcha|robot check|are you human|access denied|pardon our interruption"
 ANTI_BOT = r"(?i)Access\s+Denied|Just\s+a\s+moment|Verifying\s+you\s+are\s+human|cf-browser-verification|captcha-delivery|unusual\s+traffic|<title>Attention Required"
 STRUCTURED = r"(?i)application/ld\+json|__NEXT_DATA__|itemprop=|property=[\"']og:"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&euro;": "€", "&pound;": "£", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&cent;": "¢",
+    "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "’", "&bull;": "•", "&times;": "×", "&amp;": "&",
+}
 MAX_BYTES = 4 * 1024 * 1024
 
 
@@ -32,6 +35,35 @@ def window_assignment(html: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(html, rf"(?s)window\.{name}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1), F.lit(""))
 
 
+def tags(html: Column) -> Column:
+    """All tags of a page in order: ends (whether it is an end tag), name (lower case), attrs, text (up to the next tag)."""
+    pattern = F.lit(r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>([^<]*+)")
+    parts = F.arrays_zip(*[F.regexp_extract_all(html, pattern, F.lit(i + 1)).alias(n) for i, n in enumerate(("e", "n", "a", "t"))])
+    return F.transform(parts, lambda p: F.struct((p["e"] == "/").alias("ends"), F.lower(p["n"]).alias("name"), p["a"].alias("attrs"), p["t"].alias("text")))
+
+
+def attribute(attrs: Column, name: str) -> Column:
+    """The value of an attribute, or null where it is missing or empty."""
+    pattern = rf"(?i)(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(attrs, pattern, i)), F.lit("")) for i in (1, 2, 3)])
+
+
+def has_class(attrs: Column, name: str) -> Column:
+    return F.array_contains(F.split(F.coalesce(attribute(attrs, "class"), F.lit("")), r"\s+"), name)
+
+
+def inside(all_: Column, i: Column, most: int = 64) -> Column:
+    """Text of the element that begins with tag i (from 0) of all, up to its end tag, `most` tags at most."""
+    top = F.get(all_, i)
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t["name"] != top["name"], 0).when(t["ends"], -1).otherwise(1)
+        return F.when(acc["depth"] == 0, acc).when(depth == 0, F.struct(F.lit(0).alias("depth"), acc["text"].alias("text"))).otherwise(F.struct(depth.cast("int").alias("depth"), F.concat(acc["text"], t["text"]).alias("text")))
+
+    begin = F.struct(F.lit(1).alias("depth"), top["text"].alias("text"))
+    return F.nullif(F.trim(F.aggregate(F.slice(all_, i + 2, F.lit(most)), begin, step)["text"]), F.lit(""))
+
+
 def page_title(html: Column) -> Column:
     """First of og:title, h1 and title without its suffix; struct of value and confidence."""
     og = F.regexp_extract(html, r"(?is)<meta[^>]*property=[\"']og:title[\"'][^>]*content=[\"']([^\"']+)", 1)
@@ -42,7 +74,17 @@ def page_title(html: Column) -> Column:
 
 
 def decode(text: Column) -> Column:
-    """Named entities as characters; &amp; last."""
+    """Named and numeric entities as characters, &amp; last; a number that is no character stays as it is."""
+
+    def char(ref: Column) -> Column:
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(ref, "^&#([0-9]+);", 1)).try_cast("long")
+        plane = code - 0x10000
+        units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.lpad(F.hex(0xD800 + F.shiftright(plane, 10)), 4, "0"), F.lpad(F.hex(0xDC00 + plane.bitwiseAND(0x3FF)), 4, "0")))
+        fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(fine, F.decode(F.unhex(units), "UTF-16BE")).otherwise(ref)
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    text = F.when(text.contains("&#"), F.aggregate(refs, text, lambda t, r: F.replace(t, r, char(r)))).otherwise(text)
     for k, v in ENTITIES.items():
         text = F.replace(text, F.lit(k), F.lit(v))
     return text
@@ -60,7 +102,7 @@ def clean(html: Column, most: int = 200_000) -> Column:
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header)\b[^>]*>", "\n")
     t = decode(F.regexp_replace(t, r"<[^>]+>", " "))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\f\r]+", " "), r" ?\n ?", "\n")
-    t = F.trim(F.regexp_replace(t, r"\n{2,}", "\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
     half = most // 2
     return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(half)), F.lit("\n…\n"), F.right(t, F.lit(half)))).otherwise(t)
 
@@ -90,41 +132,29 @@ def coverage_tier(html: Column) -> Column:
     return F.when(captcha_wall(html), 0.1).when(ld, 0.8).when(app, 0.7).otherwise(0.3)
 
 
+def readable(pages: DataFrame) -> DataFrame:
+    """Pages (html) that parsers read: of up to MAX_BYTES, and no captcha wall."""
+    return pages.filter((F.octet_length("html") <= MAX_BYTES) & ~F.coalesce(captcha_wall(F.col("html")), F.lit(True)))
+
+
 def property_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, raw_key, value, confidence, parser, ordinal from microdata (.80) and OpenGraph (.65) of captcha-free pages."""
-    ok = pages.filter(~F.coalesce(captcha_wall(F.col("html")), F.lit(True)))
+    ok = readable(pages)
     item = r"(?is)<[a-z][^>]*\bitemprop=[\"']([A-Za-z0-9]+)[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']"
     body = r"(?is)<[a-z][a-z0-9]*[^>]*\bitemprop=[\"']([A-Za-z0-9]+)[\"'][^>]*>([^<]+)<"
     meta = r"(?is)<meta[^>]*\bproperty=[\"']([^\"']+)[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']"
 
-    def of(pattern: str, names: dict, parser: str, confidence: float, offset: int) -> DataFrame:
-        both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("v"))
-        rows = ok.select(F.col(page).alias("page"), F.posexplode(both).alias("i", "kv"))
-        return rows.select("page", lookup(names, F.col("kv.k")).alias("raw_key"), decode(F.trim("kv.v")).alias("value"), F.lit(confidence).alias("confidence"), F.lit(parser).alias("parser"), (F.col("i") + offset).alias("ordinal")).filter("raw_key is not null and value <> ''")
-
-    micro = of(item, MICRODATA, "microdata", 0.80, 0).union(of(body, MICRODATA, "microdata", 0.80, 10_000))
-    first = micro.withColumn("_nth", F.row_number().over(Window.partitionBy("page", "raw_key").orderBy("ordinal"))).filter("_nth = 1").drop("_nth")
-    return first.union(of(meta, OPENGRAPH, "opengraph", 0.65, 20_000))
-
-
-def jsonld_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, raw_key, value, confidence (.95), parser, ordinal of the JSON-LD products of captcha-free pages.
-
-    Arrays are flattened one level; bad JSON gives nothing; of a page's products the first is taken.
-    """
-    ok = pages.filter(~F.coalesce(captcha_wall(F.col("html")), F.lit(True)))
-    raw = ok.select(F.col(page).alias("page"), F.posexplode(script_blocks(F.col("html"))).alias("b", "json"))
-    items = F.coalesce(F.from_json("json", "array<string>"), F.array("json"))
-    each = raw.select("page", "b", F.posexplode(F.when(F.trim("json").startswith("["), items).otherwise(F.array("json"))).alias("i", "j"))
-    product = each.filter(F.get_json_object("j", "$['@type']").rlike("Product")).groupBy("page").agg(F.min_by("j", F.struct("b", "i")).alias("j"))
-    get = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object("j", p), F.lit("")) for p in paths])
-    brand = F.coalesce(F.get_json_object("j", "$.brand.name"), F.get_json_object("j", "$.brand"))
-    fields = {
-        "title": get("$.name"), "description": get("$.description"), "brand": brand, "gtin": get("$.gtin13", "$.gtin12", "$.gtin14", "$.gtin8", "$.gtin"), "mpn": get("$.mpn"), "sku": get("$.sku"),
-        "base_price": get("$.offers.price", "$.offers[0].price", "$.offers.lowPrice"), "currency": get("$.offers.priceCurrency", "$.offers[0].priceCurrency"), "productType": get("$.category"),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("raw_key"), v.alias("value")) for k, v in fields.items()])
-    return product.select("page", F.posexplode(rows).alias("ordinal", "f")).select("page", "f.raw_key", "f.value", F.lit(0.95).alias("confidence"), F.lit("json_ld").alias("parser"), "ordinal").filter("value is not null")
+    def of(pattern: str, names: dict, parser: str, confidence: float, offset: int, mark: str) -> Column:
+        kind = "array<struct<raw_key:string,value:string,confidence:double,parser:string,ordinal:int>>"
+        keys, values = (F.regexp_extract_all("html", F.lit(pattern), F.lit(g)) for g in (1, 2))
+        each = lambda kv, i: F.struct(lookup(names, kv["k"]).alias("raw_key"), decode(F.trim(kv["v"])).alias("value"), F.lit(confidence).alias("confidence"), F.lit(parser).alias("parser"), (i + offset).alias("ordinal"))
+        rows = F.filter(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), each), lambda f: f["raw_key"].isNotNull() & (f["value"] != ""))
+        return F.coalesce(F.when(F.contains("html", F.lit(mark)), rows).cast(kind), F.array().cast(kind))
+
+    micro = F.concat(of(item, MICRODATA, "microdata", 0.80, 0, "itemprop"), of(body, MICRODATA, "microdata", 0.80, 10_000, "itemprop"))
+    first = F.aggregate(micro, F.filter(micro, lambda f: F.lit(False)), lambda had, f: F.when(F.exists(had, lambda g: g["raw_key"] == f["raw_key"]), had).otherwise(F.array_append(had, f)))
+    facts = F.concat(first, of(meta, OPENGRAPH, "opengraph", 0.65, 20_000, "property"))
+    return ok.select(F.col(page).alias("page"), F.explode(facts).alias("f")).select("page", "f.*")
 
 
 def breadcrumb(crumbs: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.html import captcha_wall, decode, script_blocks, script_by_id, window_assignment
+from factloom.functions.html import attribute, decode, has_class, inside, readable, script_blocks, script_by_id, tags, window_assignment
 from factloom.functions.scalars import let, lookup
 
 # Where a product stands in a page's state, and the members that give a raw key, best first.
@@ -17,6 +17,9 @@ HIT_TEXTS = {"title": ["name", "title"], "brand": ["brand", "vendor"], "gtin": [
 VIEW_TEXTS = {"title": ["productName", "name", "title"], "brand": ["brand"], "model_number": ["sku", "mpn", "model"], "gtin": ["gtin"], "description": ["description"]}
 VIEW_PRICE = ["price", "finalPrice"]
 BOX_PRICES = ["priceConfig.prices.finalPrice.amount", "priceConfig.prices.regularPrice.amount", "priceConfig.productPrice.amount"]
+RDFA_TYPES = ["Product", "schema:Product", "http://schema.org/Product"]
+WOO = {"page": "single-product", "title": "product_title", "price": "woocommerce-Price-amount", "product": "product", "sku": "data-product_sku", "id": "data-product_id"}
+VOID = ["meta", "link", "data"]
 RDFA = {"name": "title", "brand": "brand", "gtin13": "gtin", "gtin14": "gtin", "gtin12": "gtin", "gtin8": "gtin", "gtin": "gtin", "price": "base_price", "description": "description"}
 CONFIDENCE = {"nuxt": 0.85, "initial_state": 0.80, "magento": 0.80, "woocommerce": 0.75, "algolia": 0.75, "rdfa": 0.80}
 #: First ordinal of a parser's facts: the order of arrival, which decides ties.
@@ -122,35 +125,32 @@ def magento(html: Column) -> Column:
 
 
 def rdfa(html: Column) -> Column:
-    """Properties from the first element of type Product on: tags with a content first, then elements and their text."""
-    product = F.regexp_extract(html, r"(?is)<[a-z][^>]*\btypeof=[\"'](?:schema:Product|Product|http://schema\.org/Product)[\"'].*", 0)
-    attribute = lambda tag, name: F.trim(F.regexp_extract(tag, rf"(?i)^<[^>]*\b{name}=[\"']([^\"']*)[\"']", 1))
+    """Properties from the first element of a product's type on: of void elements first, then of those with a text."""
 
-    def fact(tag: Column) -> Column:
-        text = F.trim(F.regexp_replace(F.regexp_replace(tag, r"^<[^>]*>", ""), r"<[^>]+>", ""))
-        value = F.coalesce(F.nullif(attribute(tag, "content"), F.lit("")), F.nullif(text, F.lit("")))
-        return F.struct(lookup(RDFA, F.regexp_replace(attribute(tag, "property"), "^schema:", "")).alias("raw_key"), decode(value).alias("value"))
+    def facts(all_: Column) -> Column:
+        begin = F.array_position(F.transform(all_, lambda t: attribute(t["attrs"], "typeof").isin(RDFA_TYPES)), F.lit(True))
+        named = F.filter(F.transform(all_, lambda t, i: F.struct(i.alias("i"), (i >= begin).alias("own"), t["name"].alias("tag"), F.regexp_replace(attribute(t["attrs"], "property"), "^schema:", "").alias("p"), attribute(t["attrs"], "content").alias("c"))), lambda x: x["own"] & x["p"].isNotNull())
+        alone, others = F.filter(named, lambda x: x["tag"].isin(VOID)), F.filter(named, lambda x: ~x["tag"].isin(VOID))
+        value = lambda x: decode(F.coalesce(x["c"], inside(all_, x["i"])))
+        found = F.transform(F.concat(alone, others), lambda x: F.struct(lookup(RDFA, x["p"]).alias("raw_key"), value(x).alias("value")))
+        return F.when(begin > 0, _first_of_each(found.cast(_FACT)))
 
-    def facts(part: Column) -> Column:
-        alone = F.regexp_extract_all(part, F.lit(r"(?i)<(?:meta|link|data)\b[^>]*\bproperty=[\"'][^\"']+[\"'][^>]*>"), F.lit(0))
-        paired = F.regexp_extract_all(part, F.lit(r"(?i)<([a-z][a-z0-9]*)[^>]*\bproperty=[\"'][^\"']+[\"'][^>]*>.*?</\1>"), F.lit(0))
-        return _first_of_each(F.transform(F.concat(alone, paired), fact).cast(_FACT))
-
-    return F.filter(let(product, facts), lambda f: (f["raw_key"] != "base_price") | f["value"].rlike(_NUMBER))
+    return F.filter(let(tags(html), facts), lambda f: (f["raw_key"] != "base_price") | f["value"].rlike(_NUMBER))
 
 
 def woocommerce(html: Column) -> Column:
-    """Title, price and identifiers of a single-product page; a price may hold its currency in a further span."""
-    mark = lambda tag, name: rf"(?i)<{tag}[^>]+class=[\"'][^\"']*\b{name}\b[^\"']*[\"'][^>]*>"
-    single = F.regexp_extract(html, r"(?i)<body[^>]+class=[\"']([^\"']*)[\"']", 1).rlike(r"(?i)\bsingle-product\b")
-    title = decode(F.trim(F.regexp_extract(html, mark("h1", "product_title") + r"\s*([^<]+)", 1)))
-    inside = r"([^<]*(?:<span\b[^>]*>[^<]*</span>[^<]*|<(?!/?span\b)[^>]*>[^<]*){0,20})</span>"
-    shown = F.regexp_replace(F.regexp_extract(html, mark("span", "woocommerce-Price-amount") + inside, 1), r"<[^>]+>|&[#\w]+;", "")
-    price = let(F.trim(F.regexp_replace(shown, r"[^\d.\s]", "")), lambda x: F.when(x.try_cast("double") > 0, x))
-    div = F.regexp_extract(html, mark("div", "product"), 0)
-    value = lambda name: F.trim(F.regexp_extract(div, rf"(?i){name}=[\"']([^\"']+)[\"']", 1))
-    fields = [("title", title), ("base_price", price), ("model_number", value("data-product_sku")), ("sku", value("data-product_id"))]
-    return F.when(single, F.array(*[_fact(k, F.nullif(v, F.lit(""))) for k, v in fields]))
+    """Title, price and identifiers of a page whose body has the class of single products; prices above 0."""
+
+    def facts(all_: Column) -> Column:
+        is_like = lambda tag, name: F.transform(all_, lambda t: ~t["ends"] & (t["name"] == tag) & has_class(t["attrs"], name))
+        at = lambda tag, name: F.array_position(is_like(tag, name), F.lit(True)).cast("int") - 1
+        shown = let(at("span", WOO["price"]), lambda i: F.when(i >= 0, inside(all_, i)))
+        price = let(F.regexp_replace(F.regexp_replace(shown, r"&#?\w+;", ""), r"[^\d.]", ""), lambda x: F.when(x.try_cast("double") > 0, x))
+        title = let(at("h1", WOO["title"]), lambda i: F.when(i >= 0, decode(inside(all_, i))))
+        box = let(at("div", WOO["product"]), lambda i: F.when(i >= 0, F.get(all_, i)["attrs"]))
+        return F.when(at("body", WOO["page"]) >= 0, F.array(_fact("title", title), _fact("base_price", price), _fact("model_number", attribute(box, WOO["sku"])), _fact("sku", attribute(box, WOO["id"]))).cast(_FACT))
+
+    return let(tags(html), facts)
 
 
 #: Each parser, and what a page has where the parser could find anything: other pages cost one search.
@@ -165,7 +165,7 @@ def inline_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
 
     Broken JSON, a null page and a page of no such platform give nothing.
     """
-    ok = pages.filter(~F.coalesce(captcha_wall(F.col("html")), F.lit(True)))
+    ok = readable(pages)
 
     def of(name: str) -> Column:
         parser, mark = PARSERS[name]

@@ -32,8 +32,7 @@ UNITS = {
 }
 # Query parameters dropped from URLs, besides those that start with utm_.
 TRACKING = ["_ga", "_gl", "fbclid", "gclid", "mc_eid", "mc_cid", "msclkid", "ref", "ref_", "crid", "dib", "dib_tag", "keywords", "qid", "sprefix", "sr", "th", "psc"]
-# Country domain -> currency, for inference and for the choice among offers.
-TLD_CURRENCY = {"in": "INR", "au": "AUD", "uk": "GBP", "ca": "CAD", "jp": "JPY", "de": "EUR", "fr": "EUR", "it": "EUR", "es": "EUR", "nl": "EUR", "ie": "EUR", "nz": "NZD", "ch": "CHF", "se": "SEK", "no": "NOK", "dk": "DKK", "sg": "SGD"}
+# Country domain -> currency, for the choice among offers.
 OFFER_CURRENCY = {"in": "INR", "au": "AUD", "uk": "GBP", "gb": "GBP", "ca": "CAD", "jp": "JPY", "de": "EUR", "fr": "EUR", "it": "EUR", "es": "EUR", "nl": "EUR", "ie": "EUR", "eu": "EUR", "nz": "NZD", "sg": "SGD", "my": "MYR", "ae": "AED", "za": "ZAR"}
 # Names of variant axes.
 AXIS_ALIASES = {"color": "color", "colour": "color", "color_family": "color", "colour_family": "color", "colorway": "color", "size": "size", "size_uk": "size", "size_us": "size", "size_eu": "size", "size_in": "size", "size_inch": "size", "ram": "ram", "storage": "storage"}
@@ -159,15 +158,21 @@ def tld(host: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, tracking parameters dropped, no slash at the path's end; fragments stay.
 
-    Other parameters keep their order and their repeats. What is no http(s) URL stays as it is.
+    Other parameters keep their order and their repeats; names of parameters are compared as they are written, user
+    information stays as it is, and a port that is the scheme's own goes. On one marketplace's hosts, path segments that begin with ref= go too. What is no http(s) URL stays as it is.
     """
-    m = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?$"
+    m = r"^\s*([A-Za-z]+)://([^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*?)?\s*$"
     part = lambda i: F.regexp_extract(url, m, i)
-    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING) & ~F.lower(p).startswith("utm_"))
-    path = F.regexp_replace(F.regexp_replace(part(3), "/ref=[^/]*$", ""), "(.)/+$", "$1")
+    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+    kept = F.filter(F.split(part(5), "&"), lambda p: (p != "") & ~name(p).isin(TRACKING) & ~name(p).startswith("utm_"))
+    scheme = F.lower(part(1))
+    host = F.regexp_replace(F.lower(part(3)), F.when(scheme == "https", ":443$").otherwise(":80$"), "")
+    slashed = F.when(part(4) == "", "/").otherwise(part(4))
+    path = F.regexp_replace(slashed, "(.)/+$", "$1")
+    path = F.when(F.regexp_replace(host, r":\d+$", "").rlike(r"(^|\.)amazon\.[a-z.]+$"), F.regexp_replace(path, "/ref=[^/]+", "")).otherwise(path)
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    made = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), query, part(5))
-    return F.when(url.rlike(r"^(?i)https?://[^/?#]+"), made).otherwise(url)
+    made = F.concat(scheme, F.lit("://"), part(2), host, F.when(path == "", "/").otherwise(path), query, F.when(part(6) == "#", "").otherwise(part(6)))
+    return F.when(url.rlike(r"^\s*(?i)https?://([^/?#@]*@)?[^/?#@]+"), made).otherwise(url)
 
 
 def to_canonical_unit(value: Column, unit: Column, dimension: Column | None = None) -> Column:
@@ -190,19 +195,14 @@ def axis_value(axis: Column, value: Column) -> Column:
     return F.when(axis == "color", F.initcap(v)).when((axis == "size") & letters, F.upper(v)).otherwise(v)
 
 
-def js_number(c: Column) -> Column:
-    """A text as a number the way lenient parsers read one: null, empty and blank are 0, no number is null."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(t == "", 0.0).otherwise(t.try_cast("double"))
-
-
 def loose_number(c: Column) -> Column:
     """The digits and dots of a text as a number: 1,299.00 is 1299."""
     return F.regexp_replace(c, r"[^\d.]", "").try_cast("double")
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """c kept in low to high; null stays."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def backoff_ms(attempt: Column, base: float = 3000.0, most: float = 600000.0) -> Column:

@@ -189,5 +189,27 @@ def shadow_compare(old: DataFrame, new: DataFrame, key: str, fields: list[str])
     return both.select(F.explode(diff).alias("d")).groupBy("d.field").agg(F.count("*").alias("compared"), F.sum("d.different").cast("long").alias("different"))
 
 
+def shadow_fields(both: DataFrame, old: str, new: str, fields: list[str], maps: list[str]) -> DataFrame:
+    """both with differing (names of fields that differ, of maps field.key) and diff_ratio: their number over that of the
+    fields compared. old and new are structs; keys of maps count one by one, so the ratio may exceed 1."""
+    o, n = F.col(old), F.col(new)
+    plain = [F.when(~o[f].eqNullSafe(n[f]), f) for f in fields]
+    keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
+    at = lambda m, k: F.try_element_at(m, k)
+
+    def inner(m: str) -> Column:
+        unlike = F.filter(F.array_sort(F.array_union(keys(o[m]), keys(n[m]))), lambda k: ~at(o[m], k).eqNullSafe(at(n[m], k)))
+        return F.transform(unlike, lambda k: F.concat(F.lit(f"{m}."), k))
+
+    differing = F.concat(F.array_compact(F.array(*plain)), *[inner(m) for m in maps])
+    return both.withColumn("differing", differing).withColumn("diff_ratio", F.size("differing") / (len(fields) + len(maps)))
+
+
+def shadow_rate(events: DataFrame, as_of: Column) -> DataFrame:
+    """field, n: differences of the last seven days, from events (ts, event_type, metadata) that name a field."""
+    rows = events.filter((F.col("event_type") == "shadow.diff_detected") & (F.col("ts") > as_of - F.expr("INTERVAL 7 DAYS")))
+    return rows.groupBy(F.get_json_object("metadata", "$.field").alias("field")).agg(F.count("*").alias("n"))
+
+
 def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return newest(rows, by, order, 1)

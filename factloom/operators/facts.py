@@ -32,6 +32,8 @@ CORE_FIELDS = {
     "title": "title", "brand": "brand", "vendor": "brand", "gtin": "gtin", "barcode": "gtin", "model_number": "modelNumber", "modelNumber": "modelNumber", "mpn": "modelNumber",
     "description": "description", "base_price": "basePrice", "price": "basePrice", "currency": "currency", "category_path": "canonicalCategory", "productType": "canonicalCategory", "images": "images",
 }
+#: Fields whose sources are held against each other.
+COMPARED = ["base_price", "title", "brand", "gtin", "model_number"]
 SCORE_WEIGHTS = {"channel": 0.40, "synonym": 0.18, "embedding": 0.15, "type": 0.10, "unit": 0.07, "category": 0.06, "tenant": 0.04}
 BANDS = (("auto", 0.55), ("auto_warn", 0.45), ("suggestion", 0.25))
 
@@ -80,13 +82,14 @@ def merge_facts(facts: DataFrame) -> DataFrame:
 
 
 def infer_currency(facts: DataFrame, pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """facts, and for each page that has facts but no currency among them that of its url's top-level domain (.70).
+    """facts, and for each of pages without a currency among them that of its url's top-level domain (.70).
 
-    pages: page, url, a row per page. A url without a host, or of another domain, adds nothing.
+    pages: page, url, a row per page; a page without a fact gets one too. A url without a host, or of another domain,
+    adds nothing.
     """
-    without = facts.groupBy("page").agg(F.bool_or(F.col("raw_key") == "currency").alias("has")).filter("not coalesce(has, false)")
+    having = facts.filter("raw_key = 'currency'").select("page").distinct()
     urls = pages.select(F.col(page).alias("page"), lookup(TLD_CURRENCY, tld(host_of(F.col("url")))).alias("value")).filter("value is not null")
-    inferred = urls.join(without, "page", "left_semi").select("page", F.lit("currency").alias("raw_key"), "value", F.lit(0.70).alias("confidence"), F.lit("inferred").alias("parser"), F.lit(1_000_000).alias("ordinal"))
+    inferred = urls.join(having, "page", "left_anti").select("page", F.lit("currency").alias("raw_key"), "value", F.lit(0.70).alias("confidence"), F.lit("inferred").alias("parser"), F.lit(1_000_000).alias("ordinal"))
     return facts.select("page", "raw_key", "value", "confidence", "parser", "ordinal").unionByName(inferred)
 
 
@@ -101,18 +104,22 @@ def best_fact(facts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cross_validate(facts: DataFrame, boost: float = 0.05, penalty: float = 0.12) -> DataFrame:
-    """page, raw_key, value, confidence, sources, conflict of un-merged facts, one per source and key.
+    """page, raw_key, value, confidence, sources, conflict of un-merged facts.
 
-    Where all of several sources agree confidence rises by `boost` for each further one (1 at most); where
-    they don't it falls by `penalty` (0 at least). The value is the most confident one.
+    Of the comparable fields the first fact of each parser counts: where all of several parsers agree confidence
+    rises by `boost` for each further one (1 at most); where they don't it falls by `penalty` (0 at least). The value
+    is the most confident one. Facts of other keys are carried as they are, the first of each parser.
     """
-    plain = F.coalesce(F.format_number(F.round(F.col("value").try_cast("double"), 6), 6), F.lower(F.trim("value")))
-    g = facts.withColumn("_plain", plain).groupBy("page", "raw_key").agg(
-        F.max_by("value", F.struct("confidence", -F.col("ordinal"))).alias("value"), F.max("confidence").alias("best"), F.count("*").alias("sources"), F.countDistinct("_plain").alias("values")
-    )
+    n = F.round(F.col("value").try_cast("double"), 6)
+    own = facts.groupBy("page", "raw_key", "parser").agg(F.min_by(F.struct("value", "confidence"), F.struct("ordinal", -F.col("confidence"), "value")).alias("v"), F.min("ordinal").alias("ordinal"))
+    own = own.select("page", "raw_key", "v.*", "ordinal", F.col("raw_key").isin(COMPARED).alias("compared"))
+    one = own.filter("compared").withColumn("plain", F.when(n.isNotNull(), n.cast("string")).otherwise(F.lower(F.trim("value"))))
+    g = one.groupBy("page", "raw_key").agg(F.max_by("value", F.struct("confidence", -F.col("ordinal"))).alias("value"), F.max("confidence").alias("best"), F.count("*").alias("sources"), F.countDistinct("plain").alias("values"))
     agreed = F.least(F.lit(1.0), F.col("best") + boost * (F.col("sources") - 1))
     confidence = F.when(F.col("values") > 1, F.greatest(F.lit(0.0), F.col("best") - penalty)).otherwise(agreed)
-    return g.select("page", "raw_key", "value", F.round(confidence, 9).alias("confidence"), "sources", (F.col("values") > 1).alias("conflict"))
+    out = g.select("page", "raw_key", "value", F.round(confidence, 9).alias("confidence"), "sources", (F.col("values") > 1).alias("conflict"))
+    carried = own.filter("not compared").select("page", "raw_key", "value", "confidence")
+    return out.unionByName(carried.withColumns({"sources": F.lit(1).cast("long"), "conflict": F.lit(False)}))
 
 
 def mapping_score(signals: dict[str, Column]) -> Column:
@@ -131,32 +138,70 @@ def approval_band(score: Column, bands: tuple = BANDS) -> Column:
     return out.otherwise("unmapped")
 
 
-def map_facts(facts: DataFrame, channel: DataFrame, synonyms: DataFrame, overrides: DataFrame) -> DataFrame:
-    """facts (category, raw_key, ...) with canonical_key, score, band; variant paths stay unmapped.
+def type_fit(kind: Column, value_kind: Column, value: Column) -> Column:
+    """1 where a value's kind is the attribute's, .3 where not, .5 for an attribute of no known kind; a text that is a
+    number suits a number."""
+    fits = F.when(kind == "number", (value_kind == "number") | value.try_cast("double").isNotNull()).otherwise(kind == value_kind)
+    return F.when(kind.isin("string", "number", "boolean", "array", "object"), F.when(F.coalesce(fits, F.lit(False)), 1.0).otherwise(0.3)).otherwise(0.5)
+
+
+def unit_fit(unit_type: Column, allowed: Column, unit: Column) -> Column:
+    """1 without a constraint or for an allowed unit, .5 for a missing one, .2 for another."""
+    return F.when(unit_type.isNull(), 1.0).when(unit.isNull(), 0.5).when((F.size(allowed) == 0) | F.array_contains(allowed, unit), 1.0).otherwise(0.2)
+
+
+def category_fit(scope: Column, category: Column) -> Column:
+    """1 for an attribute of all categories or of an ancestor, .5 for an unknown category, .2 for another."""
+    return F.when(F.size(scope) == 0, 1.0).when(category.isNull(), 0.5).when(F.exists(scope, lambda s: category.startswith(s)), 1.0).otherwise(0.2)
+
+
+def channel_index(channel: DataFrame) -> DataFrame:
+    """path, category, canonical_key: of mappings (ordinal, category or *, source_path, canonical_key) of one path, as
+    it stands and as its leaf ($. and brackets cut), for a category or for all, the last."""
+    leaf = F.regexp_replace(F.regexp_replace("source_path", r"^\$\.", ""), r"\[.*", "")
+    paths = channel.withColumn("path", F.explode(F.array_distinct(F.array(F.col("source_path"), leaf))))
+    return paths.groupBy("path", "category").agg(F.max(F.struct("ordinal", "canonical_key")).alias("m")).select("path", "category", "m.ordinal", "m.canonical_key")
 
-    channel: category (or *), raw_key, canonical_key; synonyms: synonym, canonical_key (any case); overrides:
-    raw_key, canonical_key, priority: the highest wins and is approved outright. A candidate's score is the
-    sum of its signals; the best candidate, of equals the lesser key, is taken. Reference tables are joined
-    by key; Spark broadcasts those it knows to be small. Rows with null keys are unmapped.
+
+def map_facts(facts: DataFrame, channel: DataFrame, synonyms: DataFrame, overrides: DataFrame, attributes: DataFrame, top: int = 3) -> DataFrame:
+    """facts (category, raw_key, source_pointer, value, value_kind, unit, ...) with canonical_key, score, band, candidates.
+
+    channel: ordinal, category (or *), source_path, canonical_key; synonyms: synonym, canonical_key (any case);
+    overrides: raw_key, canonical_key, priority: the highest is approved outright; attributes: canonical_key,
+    data_type, unit_type, allowed_units, category_scope. The channel's key is that of the raw key, or else of the
+    source pointer, the last mapping for the category or for all; a synonym's key is a candidate if it is another.
+    An attribute that isn't defined fits by a half. candidates are the `top` best (key, score), of equals the
+    channel's first. Variant paths have none. Reference tables are joined by key; Spark broadcasts small ones.
     """
-    ids = facts.withColumn("_id", F.xxhash64("category", "raw_key"))
-    keys = ids.filter(~F.col("raw_key").startswith("variants[")).select("_id", "category", "raw_key").distinct()
-    leaf = F.regexp_replace(F.regexp_replace("raw_key", r"^\$\.", ""), r"\[.*", "")
-    paths = keys.withColumn("path", F.explode(F.array_distinct(F.array(F.col("raw_key"), leaf))))
-    c = channel.select(F.col("category").alias("_cat"), F.col("raw_key").alias("path"), "canonical_key")
-    by_channel = paths.join(c, "path").filter((F.col("_cat") == F.col("category")) | (F.col("_cat") == "*"))
-    by_channel = by_channel.groupBy("_id", "canonical_key").agg(F.lit(1.0).alias("channel"), F.max((F.col("_cat") == F.col("category")).cast("double")).alias("cat"))
-    s = synonyms.select(F.lower("synonym").alias("_low"), "canonical_key").distinct()
-    by_synonym = keys.withColumn("_low", F.lower("raw_key")).join(s, "_low").groupBy("_id", "canonical_key").agg(F.lit(1.0).alias("synonym"))
-    both = by_channel.join(by_synonym, ["_id", "canonical_key"], "full")
-    scored = both.withColumn("score", F.round(mapping_score({"channel": F.col("channel"), "synonym": F.col("synonym"), "category": F.col("cat")}), 9))
-    best = scored.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical_key")).alias("b")).select("_id", F.col("b.canonical_key").alias("canonical_key"), (-F.col("b.s")).alias("score"))
-    o = overrides.groupBy("raw_key").agg(F.max_by("canonical_key", F.struct("priority", "canonical_key")).alias("forced"))
-    out = ids.join(best, "_id", "left").join(o, "raw_key", "left")
-    score = F.when(F.col("forced").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-    band = F.when(F.col("forced").isNotNull(), "override").otherwise(approval_band(score))
-    key = F.coalesce("forced", F.when(band != "unmapped", F.col("canonical_key")))
-    return out.select(*facts.columns, key.alias("canonical_key"), score.alias("score"), band.alias("band"))
+    ids = facts.withColumn("_id", F.monotonically_increasing_id())
+    asked = ids.filter(~F.col("raw_key").startswith("variants["))
+    index = channel_index(channel).withColumnRenamed("category", "_cat")
+    paths = asked.select("_id", "category", F.posexplode(F.array("raw_key", "source_pointer")).alias("_nth", "path"))
+    here = paths.join(index, "path").filter((F.col("_cat") == F.col("category")) | (F.col("_cat") == "*"))
+    # the raw key's mapping before the pointer's; of one path's the last
+    by_channel = here.groupBy("_id").agg(F.min_by("canonical_key", F.struct("_nth", (-F.col("ordinal")).alias("o"))).alias("canonical_key")).withColumn("channel", F.lit(1.0))
+    s = synonyms.groupBy(F.lower("synonym").alias("_low")).agg(F.min("canonical_key").alias("canonical_key"))
+    by_synonym = asked.withColumn("_low", F.lower("raw_key")).join(s, "_low").select("_id", "canonical_key", F.lit(0.0).alias("channel"))
+    by_synonym = by_synonym.join(by_channel.select("_id", "canonical_key"), ["_id", "canonical_key"], "left_anti")
+    found = by_channel.select("_id", "canonical_key", "channel").unionByName(by_synonym).join(asked.select("_id", "category", "value", "value_kind", "unit"), "_id").join(attributes, "canonical_key", "left")
+    known = F.col("data_type").isNotNull()
+    half = lambda x: F.when(known, x).otherwise(0.5)
+    signals = {
+        "channel": F.col("channel"), "synonym": 1.0 - F.col("channel"), "type": half(type_fit(F.col("data_type"), F.col("value_kind"), F.col("value"))),
+        "unit": half(unit_fit(F.col("unit_type"), F.col("allowed_units"), F.col("unit"))), "category": half(category_fit(F.col("category_scope"), F.col("category"))),
+    }
+    scored = found.withColumn("score", F.round(mapping_score(signals), 9))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (1 - F.col("channel")).alias("c"), F.col("canonical_key").alias("key"))))
+    lists = scored.groupBy("_id").agg(F.slice(best, 1, top).alias("_best"))
+    o = overrides.groupBy("raw_key").agg(F.max_by("canonical_key", F.struct("priority", "canonical_key")).alias("_forced")).filter("not startswith(raw_key, 'variants[')")
+    out = ids.join(lists, "_id", "left").join(o, "raw_key", "left")
+    forced, first = F.col("_forced").isNotNull(), F.get("_best", F.lit(0))
+    score = F.when(forced, 1.0).otherwise(F.coalesce(-first["s"], F.lit(0.0)))
+    band = F.when(forced, "override").otherwise(approval_band(score))
+    own = F.transform("_best", lambda b: F.struct(b["key"].alias("key"), (-b["s"]).alias("score")))
+    candidates = F.when(forced, F.array(F.struct(F.col("_forced").alias("key"), F.lit(1.0).alias("score")))).otherwise(own)
+    key = F.when(forced, F.col("_forced")).when(band != "unmapped", first["key"])
+    return out.select(*facts.columns, key.alias("canonical_key"), score.alias("score"), band.alias("band"), candidates.alias("candidates"))
 
 
 def core_field(key: Column) -> Column:
@@ -170,12 +215,36 @@ def canonical_payload(facts: DataFrame) -> DataFrame:
     Currencies are in upper case; variant paths take no part.
     """
     plain = facts.filter(~F.col("raw_key").startswith("variants[")).withColumn("field", core_field(F.col("raw_key")))
-    core = best_fact(plain.filter("field is not null"), ["page", "field"])
     names = list(dict.fromkeys(CORE_FIELDS.values()))
-    wide = core.groupBy("page").agg(*[F.max(F.when(F.col("field") == n, F.upper("value") if n == "currency" else F.col("value"))).alias(n) for n in names])
-    rest = best_fact(plain.filter("field is null"), ["page", "raw_key"])
-    attributes = rest.groupBy("page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("raw_key").alias("key"), "value")))).alias("attributes"))
-    return wide.join(attributes, "page", "full")
+    best = F.struct("confidence", -F.col("ordinal"))
+    one = lambda n: F.max_by(F.upper("value") if n == "currency" else F.col("value"), F.when(F.col("field") == n, best)).alias(n)
+    # attributes are reduced to one fact a key before they are gathered
+    per_key = plain.groupBy("page", F.when(F.col("field").isNull(), F.col("raw_key")).alias("attribute"), "field").agg(F.max_by("value", best).alias("value"), F.max("confidence").alias("confidence"), F.min(F.struct(-F.col("confidence"), "ordinal")).getField("ordinal").alias("ordinal"))
+    entry = F.when(F.col("attribute").isNotNull(), F.struct(F.col("attribute").alias("key"), "value"))
+    attributes = F.array_sort(F.collect_list(entry))
+    return per_key.groupBy("page").agg(*[one(n) for n in names], F.when(F.size(attributes) > 0, F.map_from_entries(attributes)).alias("attributes"))
+
+
+def extract_variants(facts: DataFrame, options: DataFrame) -> DataFrame:
+    """page, variant, sku, barcode, price, axes, variant_key of facts (page, category, raw_key, value, ...).
+
+    axes are those that the category's schema names (options: category, axes) and, for a category without a schema, all
+    options of the variant. The key is a hash of the axes, in lower case, sorted: equal combinations have equal keys.
+    """
+    named = facts.groupBy("page").agg(F.max("category").alias("category")).join(options, "category", "left").select("page", F.col("axes").alias("_axes"))
+    v = variants(facts).join(named, "page", "left")
+    axes = F.when(F.size("_axes") > 0, F.map_filter("options", lambda k, x: F.array_contains("_axes", k))).otherwise(F.col("options"))
+    low = F.array_sort(F.transform(F.map_entries("axes"), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), F.lower(F.trim(e["value"])).alias("value"))))
+    key = F.substring(F.sha2(F.to_json(F.map_from_entries(low)), 256), 1, 16)
+    one = lambda name: F.try_element_at("fields", F.lit(name))
+    return v.withColumn("axes", axes).select("page", "variant", one("sku").alias("sku"), one("barcode").alias("barcode"), one("price").try_cast("double").alias("price"), "axes", key.alias("variant_key"))
+
+
+def parent_fields(facts: DataFrame) -> DataFrame:
+    """page, fields: a map of canonical key to value of the mapped facts beside variants; of several the last."""
+    own = facts.filter(~F.col("raw_key").startswith("variants[") & F.col("canonical_key").isNotNull())
+    last = own.groupBy("page", "canonical_key").agg(F.max_by("value", "ordinal").alias("value"))
+    return last.groupBy("page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("canonical_key").alias("key"), "value")))).alias("fields"))
 
 
 def variants(facts: DataFrame) -> DataFrame:

@@ -13,15 +13,18 @@ MERGE, REVIEW, TITLE = 0.70, 0.40, 0.92
 
 
 def identities(products: DataFrame) -> DataFrame:
-    """product, type, value, position of gtin, mpn and brand:mpn; distinct, nulls and blanks left out."""
+    """product, type, value, position of gtin, mpn, brand:mpn, and of variants (sku, barcode) where products have them;
+    distinct, nulls and blanks left out."""
     brand_mpn = F.concat_ws(":", F.lower(F.trim("brand")), F.lower(F.trim("mpn")))
     both = F.col("brand").isNotNull() & F.col("mpn").isNotNull()
-    found = F.array(
-        F.struct(F.lit("gtin").alias("type"), gtin(F.col("gtin")).alias("value")),
-        F.struct(F.lit("mpn").alias("type"), F.nullif(F.trim("mpn"), F.lit("")).alias("value")),
-        F.struct(F.lit("brand_mpn").alias("type"), F.when(both, brand_mpn).alias("value")),
-    )
-    return products.select("product", F.posexplode(found).alias("position", "i")).select("product", "i.type", "i.value", "position").filter("value is not null").dropDuplicates(["product", "type", "value"])
+    one = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    bare = lambda c: F.nullif(F.trim(c), F.lit(""))
+    found = F.array(one("gtin", gtin(F.col("gtin"))), one("mpn", bare(F.col("mpn"))), one("brand_mpn", F.when(both, brand_mpn)))
+    if "variants" in products.columns:
+        own = F.flatten(F.transform("variants", lambda v: F.array(one("sku", bare(v["sku"])), one("gtin", gtin(v["barcode"])))))
+        found = F.concat(found, F.coalesce(own, F.array().cast("array<struct<type:string,value:string>>")))
+    rows = products.select("product", F.posexplode(found).alias("position", "i")).filter("i.value is not null")
+    return rows.groupBy("product", "i.type", "i.value").agg(F.min("position").alias("position"))
 
 
 def resolve_identity(candidates: DataFrame, known: DataFrame) -> DataFrame:

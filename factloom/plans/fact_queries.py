@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
 from factloom.operators import facts as X
 from factloom.operators import policy as P
 from factloom.operators import resolve as R
+from factloom.operators import review as V
+from factloom.plans.fixtures import values
 from factloom.plans.register import query
 from factloom.sources.store import diff_fields, upsert
 from factloom.sources.tables import table
@@ -45,17 +48,40 @@ def merge_facts(spark, sf_dir):
     return X.merge_facts(line_facts(spark, sf_dir)).withColumn("alternatives", F.array_join("alternatives", "|"))
 
 
+_RANKS = values([(family, parser, rank) for family, row in X.PRECEDENCE.items() for parser, rank in zip(X.PARSERS, row, strict=True)], "family, parser, rank")
+_KEYS = ["gtin", "mrp", "variants[0].inventory_quantity", "variants[1].sku", "colour", "productType", "brand", "variants[2].price", "category_path"]
+_FAMILIES = ["identifier", "price", "inventory", "variants", "attribute", "category", "text", "price", "attribute"]
+
+
+@query(
+    "merge_precedence",
+    f"""
+    WITH f AS (SELECT l_orderkey AS page, l_partkey % {len(_KEYS)} AS k, (l_suppkey + l_partkey) % {len(X.PARSERS)} AS p, l_linenumber, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS ordinal, (l_quantity % 3) / 10 AS confidence FROM lineitem),
+         r AS (SELECT f.*, parser, rank FROM f JOIN {values(list(enumerate(_FAMILIES)), 'm, fam')} ON k = m JOIN {values(list(enumerate(X.PARSERS)), 'n, parser')} ON p = n JOIN {_RANKS.replace(') v(', ') w(')} USING (parser) WHERE family = fam)
+    SELECT page, (ARRAY{_KEYS})[k + 1] AS raw_key, parser, confidence, l_linenumber::VARCHAR AS value FROM r QUALIFY row_number() OVER (PARTITION BY page, k ORDER BY rank DESC, confidence DESC, ordinal) = 1
+    """,
+)
+def merge_precedence(spark, sf_dir):
+    """Every family of fields and every parser: which fact of an order's wins."""
+    key = F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("l_partkey") % len(_KEYS)).cast("int"))
+    parser = F.get(F.array(*[F.lit(p) for p in X.PARSERS]), ((F.col("l_suppkey") + F.col("l_partkey")) % len(X.PARSERS)).cast("int"))
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), key.alias("raw_key"), F.col("l_linenumber").cast("string").alias("value"), (F.col("l_quantity") % 3 / 10).alias("confidence"), parser.alias("parser"), (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ordinal"))
+    return X.merge_facts(facts).drop("alternatives")
+
+
 @query(
     "cross_validate",
     f"""
-    WITH {_FACTS}
+    WITH {_FACTS}, own AS (SELECT page, raw_key, parser, arg_min(value, (ordinal, -confidence, value)) AS value, arg_min(confidence, (ordinal, -confidence, value)) AS confidence, min(ordinal) AS ordinal FROM f GROUP BY ALL)
     SELECT page, raw_key, arg_max(value, (confidence, -ordinal)) AS value,
            round(CASE WHEN count(DISTINCT value) > 1 THEN greatest(0, max(confidence) - 0.12) ELSE least(1, max(confidence) + 0.05 * (count(*) - 1)) END, 6) AS confidence,
            count(*) AS sources, count(DISTINCT value) > 1 AS conflict
-    FROM f GROUP BY page, raw_key
+    FROM own WHERE raw_key <> 'colour' GROUP BY page, raw_key
+    UNION ALL SELECT page, raw_key, value, round(confidence, 6), 1, false FROM own WHERE raw_key = 'colour'
     """,
 )
 def cross_validate(spark, sf_dir):
+    """Titles and prices are compared, colours carried."""
     return X.cross_validate(line_facts(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -70,23 +96,45 @@ def canonical_payload(spark, sf_dir):
     return X.canonical_payload(line_facts(spark, sf_dir)).select("page", "title", F.col("basePrice").alias("price"), F.try_element_at("attributes", F.lit("colour")).alias("colour"))
 
 
+#: Raw key, source pointer, value, kind of value, unit of facts to be mapped.
+_TO_MAP = [("Colour", "$.x", "red", "string", None), ("size", "$.dims.size[0]", "12", "string", "cm"), ("vendor_code", "$.v", "a", "string", None), ("odd", "$.odd", "a", "string", None), ("wt", "$.wt", "heavy", "string", "lb"), ("variants[0].price", "$.p", "1", "number", None)]
+
+
 @query(
     "map_facts",
     """
-    SELECT p_partkey, key AS raw_key, CASE key WHEN 'Colour' THEN 'color' WHEN '$.dims.size[0]' THEN 'size' WHEN 'vendor_code' THEN 'mpn' END AS canonical_key,
-           CASE key WHEN 'Colour' THEN 0.18 WHEN '$.dims.size[0]' THEN CASE p_type WHEN 'SMALL' THEN 0.46 ELSE 0.40 END WHEN 'vendor_code' THEN 1.0 ELSE 0.0 END AS score,
-           CASE key WHEN 'Colour' THEN 'unmapped' WHEN '$.dims.size[0]' THEN CASE p_type WHEN 'SMALL' THEN 'auto_warn' ELSE 'suggestion' END WHEN 'vendor_code' THEN 'override' ELSE 'unmapped' END AS band
-    FROM (SELECT p_partkey, p_type, unnest(['Colour', '$.dims.size[0]', 'vendor_code', 'odd']) AS key FROM part)
-    """.replace("WHEN 'Colour' THEN 'color' ", ""),
+    WITH f AS (SELECT p_partkey, p_type, unnest(range(6)) AS m FROM part),
+         s AS (SELECT *, CASE m WHEN 0 THEN 0.18 + 0.10 + 0.07 + 0.06
+                                WHEN 1 THEN 0.40 + 0.10 + 0.07 + 0.06 * CASE WHEN p_type LIKE 'PROMO%' THEN 1 ELSE 0.2 END
+                                WHEN 2 THEN 1.0 WHEN 4 THEN 0.40 + 0.03 + 0.07 * 0.2 + 0.06 * CASE WHEN p_type LIKE 'SMALL%' OR p_type LIKE 'LARGE%' THEN 1 ELSE 0.2 END ELSE 0.0 END AS score FROM f)
+    SELECT p_partkey, (ARRAY['Colour', 'size', 'vendor_code', 'odd', 'wt', 'variants[0].price'])[m + 1] AS raw_key, (ARRAY['color', 'size', 'mpn', NULL, 'weight', NULL])[m + 1] AS canonical_key, round(score, 6) AS score,
+           CASE WHEN m = 2 THEN 'override' WHEN score >= 0.55 THEN 'auto' WHEN score >= 0.45 THEN 'auto_warn' WHEN score >= 0.25 THEN 'suggestion' ELSE 'unmapped' END AS band,
+           CASE m WHEN 4 THEN 'weight|mass' WHEN 0 THEN 'color' WHEN 1 THEN 'size' WHEN 2 THEN 'mpn' ELSE '' END AS candidates
+    FROM s
+    """,
 )
 def map_facts(spark, sf_dir):
-    """Raw keys of parts against an inline corpus."""
-    keys = F.explode(F.array(*[F.lit(k) for k in ("Colour", "$.dims.size[0]", "vendor_code", "odd")]))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("category"), keys.alias("raw_key"))
-    channel = spark.createDataFrame([("SMALL", "dims.size", "size"), ("*", "dims.size", "size")], "category string, raw_key string, canonical_key string")
-    synonyms = spark.createDataFrame([("colour", "color")], "synonym string, canonical_key string")
+    """Facts of parts against an inline corpus: a synonym, a pointer with two mappings, an override, a fact that two ways map."""
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("raw_key", "source_pointer", "value", "value_kind", "unit"), row, strict=True)]) for row in _TO_MAP]))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("category"), each.alias("f")).select("p_partkey", "category", "f.*")
+    channel = spark.createDataFrame([(1, "*", "$.dims.size[0]", "length"), (2, "*", "$.dims.size[0]", "size"), (3, "*", "wt", "weight"), (4, "NONE", "odd", "odd")], "ordinal int, category string, source_path string, canonical_key string")
+    synonyms = spark.createDataFrame([("colour", "color"), ("WT", "mass")], "synonym string, canonical_key string")
     overrides = spark.createDataFrame([("vendor_code", "sku", 1), ("vendor_code", "mpn", 5)], "raw_key string, canonical_key string, priority int")
-    return X.map_facts(rows, channel, synonyms, overrides).drop("category")
+    known = [("color", "string", None, [], []), ("size", "number", "length", ["cm", "in"], ["PROMO"]), ("weight", "number", "mass", ["g"], ["SMALL", "LARGE"]), ("length", "string", None, [], [])]
+    attributes = spark.createDataFrame(known, "canonical_key string, data_type string, unit_type string, allowed_units array<string>, category_scope array<string>")
+    out = X.map_facts(rows, channel, synonyms, overrides, attributes)
+    names = F.coalesce(F.array_join(F.transform("candidates", lambda c: c["key"]), "|"), F.lit(""))
+    return out.select("p_partkey", "raw_key", "canonical_key", F.round("score", 6).alias("score"), "band", names.alias("candidates"))
+
+
+_FACT = "struct<raw_key:string,value:string,unit:string,confidence:double,alternatives:array<string>>"
+
+
+def fact(key: str, value, confidence=0.9, unit=None, alternatives=()):
+    """A struct for the detectors; value and confidence may be columns."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    others = F.array(*[F.lit(a) for a in alternatives]).cast("array<string>")
+    return F.struct(F.lit(key).alias("raw_key"), as_col(value).cast("string").alias("value"), F.lit(unit).cast("string").alias("unit"), as_col(confidence).cast("double").alias("confidence"), others.alias("alternatives")).cast(_FACT)
 
 
 @query(
@@ -101,25 +149,79 @@ def map_facts(spark, sf_dir):
 )
 def route_products(spark, sf_dir):
     none = lambda kind: F.lit(None).cast(kind)
-    parts = table(spark, sf_dir, "part")
-    rows = parts.select(
+    rows = table(spark, sf_dir, "part").select(
         "p_partkey",
         F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("title"),
-        (F.col("p_size") % 10 / 10.0).alias("title_confidence"),
+        F.array(fact("title", F.col("p_name"), F.col("p_size") % 10 / 10.0), fact("base_price", F.col("p_retailprice"), 1.0)).alias("facts"),
         F.col("p_retailprice").alias("price"),
-        F.lit(1.0).alias("price_confidence"),
         F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).alias("category"),
         F.lit(0.9).alias("category_confidence"),
+        F.array().cast("array<string>").alias("required"),
         F.col("p_brand").alias("brand"),
         F.lpad(F.col("p_partkey").cast("string"), (8 + F.col("p_partkey") % 2).cast("int"), F.lit("0")).alias("gtin"),
-        none("string").alias("known_brand"),
+        *[none("string").alias(c) for c in ("model", "gtin_product", "gtin_brand", "mpn_product", "mpn_brand")],
+        none("map<string,array<string>>").alias("axes"),
+        none("long").alias("n_variants"),
         none("double").alias("median_price"),
         none("long").alias("samples"),
-        F.lit(False).alias("conflict"),
     )
     return P.route(P.detect(rows)).select("p_partkey", F.size("signals").cast("long").alias("n_signals"), "decision", F.round("score", 6).alias("score"))
 
 
+#: What fires for a part by its number: kind, severity, field.
+_FIRED = [
+    (1, "low_confidence_mapping", "medium", "title"), (2, "missing_required_attribute", "high", "title"), (3, "missing_required_attribute", "medium", "color"), (4, "field_conflict", "high", "base_price"),
+    (5, "unit_conflict", "medium", "weight"), (6, "potential_duplicate", "critical", None), (7, "category_ambiguous", "medium", None), (8, "variant_incomplete", "medium", None),
+    (9, "price_anomaly", "high", None), (10, "value_contradiction", "high", "color"), (11, "value_contradiction", "high", "gtin"), (12, "unit_conflict", "medium", "box_height"), (13, "potential_duplicate", "critical", None),
+]
+
+
+def detected(spark, sf_dir):
+    """Parts dealt to 15 cases: each detector fires for some, none for others (a unit that fits, an alternative that is equal)."""
+    m = F.col("p_partkey") % 15
+    on = lambda i, yes, no: F.when(m == i, yes).otherwise(no)
+    none = lambda kind: F.lit(None).cast(kind)
+    base = [fact("title", F.col("p_name"), on(1, 0.5, 0.9)), fact("currency", "EUR", 0.9)]
+    extra = [(4, fact("base_price", "10", alternatives=("10.0", "12"))), (5, fact("weight", "5")), (10, fact("color", "pink")), (12, fact("box_height", "5")), (14, fact("screen_size", "15", unit="in", alternatives=("15",))), (0, fact("base_price", "10", alternatives=("10.0000001",)))]
+    facts = F.array_compact(F.array(*base, *[F.when(m == i, f) for i, f in extra]))
+    products = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit("d.example").alias("domain"), on(2, none("string"), F.col("p_name")).alias("title"), facts.alias("facts"), on(9, F.lit(1000.0), F.lit(10.0)).alias("price"), on(7, none("string"), F.lit("a/b")).alias("category"), F.lit(0.9).alias("category_confidence"),
+        F.array(on(3, F.lit("color"), F.lit("title"))).alias("required"), F.lit(" Acme ").alias("brand"), F.when(m == 6, "0-40063813").when(m == 11, "123").when(m == 14, "40063821").alias("gtin"), F.when(m == 13, "M-1").alias("model"),
+        F.when(m == 8, F.create_map(F.lit("size"), F.array(F.lit("S"), F.lit("M")))).when(m == 10, F.create_map(F.lit("color"), F.array(F.lit("Red")))).alias("axes"), F.lit(1).cast("long").alias("n_variants"), F.lit(10.0).alias("median_price"), F.lit(10).cast("long").alias("samples"),
+    )
+    known = spark.createDataFrame([("gtin", "40063813", "p1"), ("gtin", "40063821", "p2"), ("mpn", "M-1", "p3")], "type string, value string, product string")
+    brands = spark.createDataFrame([("p1", "Other"), ("p2", "acme"), ("p3", None)], "product string, brand string")
+    # a gtin with a dash is no valid one: the payload's is checked without it
+    return P.detect(P.known_brands(products, known, brands).withColumn("gtin", F.regexp_replace("gtin", "-", "")).withColumn("gtin", F.when(F.col("gtin") == "040063813", "40063813").otherwise(F.col("gtin"))))
+
+
+@query(
+    "detect_signals",
+    f"""
+    SELECT p_partkey, coalesce(kind || ':' || severity || ':' || coalesce(field, ''), '') AS signals, CASE WHEN kind IS NULL THEN 'auto' ELSE 'review' END AS decision,
+           CASE severity WHEN 'medium' THEN 0.85 WHEN 'high' THEN 0.75 WHEN 'critical' THEN 0.55 ELSE 1.0 END AS score
+    FROM part LEFT JOIN {values(_FIRED, 'm, kind, severity, field')} ON p_partkey % 15 = m
+    """,
+)
+def detect_signals(spark, sf_dir):
+    names = F.array_join(F.transform("signals", lambda s: F.concat_ws(":", s["kind"], s["severity"], F.coalesce(s["field"], F.lit("")))), "|")
+    return P.route(detected(spark, sf_dir)).select("p_partkey", names.alias("signals"), "decision", F.round("score", 6).alias("score"))
+
+
+_DIMS = {"low_confidence_mapping": '"domain":"d.example","field":"title",', "missing_required_attribute": '"category":"a/b","domain":"d.example",', "field_conflict": '"domain":"d.example","field":"base_price",', "potential_duplicate": '"domain":"d.example",', "category_ambiguous": '"category":"(none)","domain":"d.example",', "variant_incomplete": '"domain":"d.example",', "price_anomaly": '"brand":" Acme ","category":"a/b","domain":"d.example",'}
+
+
+@query(
+    "review_tasks",
+    f"""
+    SELECT p_partkey, kind, severity, field, substr(sha256('{{' || coalesce(dims, '"domain":"d.example","field":"' || field || '",') || '"signal_kind":"' || kind || '"}}'), 1, 16) AS cluster_key
+    FROM part JOIN {values(_FIRED, 'm, kind, severity, field')} ON p_partkey % 15 = m LEFT JOIN {values(list(_DIMS.items()), 'k, dims').replace(') v(', ') w(')} ON kind = k
+    """,
+)
+def review_tasks(spark, sf_dir):
+    return V.review_tasks(detected(spark, sf_dir), "p_partkey").drop("nth")
+
+
 @query(
     "validate_parts",
     """
@@ -280,7 +382,18 @@ def diff_fields_query(spark, sf_dir):
     return diff_fields(old, old.withColumn("o_orderstatus", F.lit("F")), "o_orderkey", ["o_orderstatus", "o_orderpriority"], F.lit(None).cast("double"))
 
 
-@query("upsert_profiles", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer")
+@query(
+    "upsert_profiles",
+    """
+    SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS balance FROM customer
+    UNION ALL SELECT c_custkey + 1000000, 'added', 1.0 FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT NULL, 'null key', 2.0
+    """,
+)
 def upsert_profiles(spark, sf_dir):
-    stored = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    return upsert(stored, stored.filter("c_custkey % 2 = 0").withColumn("segment", F.lit("new")), ["c_custkey"])
+    """Changed rows, rows with a null that leaves what is stored, new rows, and a null key that is stored already."""
+    stored = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    no_key = spark.createDataFrame([(None, "old", 2.0)], stored.schema)
+    changed = stored.filter("c_custkey % 2 = 0").withColumns({"segment": F.lit("new"), "balance": F.when(F.col("c_custkey") % 4 == 0, 0.0)})
+    added = stored.filter("c_custkey % 10 = 0").select(F.col("c_custkey") + 1_000_000, F.lit("added"), F.lit(1.0))
+    new = changed.union(added).union(spark.createDataFrame([(None, "null key", None)], stored.schema))
+    return upsert(stored.union(no_key), new, ["c_custkey"])

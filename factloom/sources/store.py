@@ -8,14 +8,24 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def absent(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new, one per key, whose key isn't stored; nulls in keys are equal."""
+    """Rows of new, one per key (the least of its rows, where they can be ordered), whose key isn't stored; nulls in keys are equal."""
     key = F.struct(*[F.col(c) for c in keys])
-    return new.dropDuplicates(keys).withColumn("_key", key).join(stored.select(key.alias("_key")), "_key", "left_anti").drop("_key")
+    rest = [c for c in new.columns if c not in keys]
+    ordered = rest and not any("map<" in new.schema[c].dataType.simpleString() for c in rest)
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*new.columns) if ordered else new.dropDuplicates(keys)
+    return one.withColumn("_key", key).join(stored.select(key.alias("_key")), "_key", "left_anti").drop("_key")
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows with those of new in place of the same key; new holds a row per key."""
-    return stored.join(new.select(*keys), keys, "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
+    """Stored rows with those of new, a row per key, in place of the same key; nulls in keys are equal, and a null in a
+    new row leaves what is stored."""
+    same = None
+    for k in keys:
+        test = F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}"))
+        same = test if same is None else same & test
+    both = stored.withColumn("_stored", F.lit(True)).alias("s").join(new.withColumn("_new", F.lit(True)).alias("n"), same, "full")
+    key = lambda c: F.when(F.col("s._stored"), F.col(f"s.{c}")).otherwise(F.col(f"n.{c}"))
+    return both.select(*[key(c).alias(c) if c in keys else F.coalesce(f"n.{c}", f"s.{c}").alias(c) for c in stored.columns])
 
 
 def approved_only(versions: DataFrame, diffs: DataFrame) -> DataFrame:

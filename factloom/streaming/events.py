@@ -1,18 +1,62 @@
-"""Structured Streaming: webhooks once each, hourly health, single flight, connection states."""
+"""Structured Streaming: webhooks checked, typed, routed and taken once; hourly health, rung shares, single flight, connection states."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from factloom.sources.store import absent
+
 # States of a connection and where each may go.
 TRANSITIONS = {"pending": ["active", "pending_failed"], "pending_failed": ["pending", "deleted"], "active": ["active", "refresh_failing", "revoked"], "refresh_failing": ["active", "revoked"], "revoked": ["deleted"], "deleted": []}
 
 
+# Members of a webhook; what each type needs.
+WEBHOOK = """type string, operation string, success boolean, connectionId string, providerConfigKey string, provider string, syncType string, syncName string,
+model string, startedAt string, modifiedAfter string, responseResults struct<added:bigint,updated:bigint,deleted:bigint>"""
+OPERATIONS, SYNC_TYPES = ["creation", "override"], ["INITIAL", "INCREMENTAL", "FULL"]
+FRESH_SECONDS = 300
+
+
+def hmac_sha256(body: Column, secret: str) -> Column:
+    """Hex HMAC-SHA256 of a text, from two rounds of the built-in hash."""
+    key = secret.encode() if len(secret.encode()) <= 64 else hashlib.sha256(secret.encode()).digest()
+    pad = lambda b: F.lit(bytes(x ^ b for x in key.ljust(64, b"\0")))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), body.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def webhooks(raw: DataFrame, secrets: list[str], fresh_seconds: int = FRESH_SECONDS) -> DataFrame:
+    """raw (body, signature, ts) with webhook_id (the body's sha256), event (a struct) and error.
+
+    error: invalid_signature (of none of the secrets), invalid_payload (no JSON of a known type), stale (a sync that
+    started too long before ts); null for a good one. Works on streams and tables.
+    """
+    signed = F.lit(False)
+    for s in secrets:
+        signed = signed | (F.col("signature") == hmac_sha256(F.col("body"), s))
+    e = F.col("event")
+    here = lambda *names: F.forall(F.array(*[e[n].isNotNull() for n in names]), lambda x: x)
+    auth = (e["type"] == "auth") & e["operation"].isin(OPERATIONS) & here("success", "connectionId", "providerConfigKey", "provider")
+    counts = e["responseResults"].isNull() | (F.least(*[F.coalesce(e["responseResults"][c], F.lit(-1)) for c in ("added", "updated", "deleted")]) >= 0)
+    times = F.forall(F.array("event.startedAt", "event.modifiedAfter"), lambda t: t.isNull() | F.try_to_timestamp(t).isNotNull())
+    sync = (e["type"] == "sync") & e["syncType"].isin(SYNC_TYPES) & here("syncName", "model", "connectionId", "providerConfigKey") & counts & times
+    old = (e["type"] == "sync") & (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.try_to_timestamp("event.startedAt").cast("timestamp")) > fresh_seconds)
+    error = F.when(~F.coalesce(signed, F.lit(False)), "invalid_signature").when(~F.coalesce(auth | sync, F.lit(False)), "invalid_payload").when(F.coalesce(old, F.lit(False)), "stale")
+    return raw.withColumn("webhook_id", F.sha2("body", 256)).withColumn("event", F.from_json("body", WEBHOOK)).withColumn("error", error)
+
+
+def by_type(events: DataFrame) -> dict[str, DataFrame]:
+    """Good webhooks by the queue they belong to: auth and sync."""
+    good = events.filter("error is null")
+    return {kind: good.filter(F.col("event.type") == kind) for kind in ("auth", "sync")}
+
+
 def webhooks_once(raw: DataFrame, within: str = "1 hour") -> DataFrame:
     """raw (body, ts) with webhook_id, the body's sha256, each id once within the watermark."""
     return raw.withColumn("webhook_id", F.sha2("body", 256)).withWatermark("ts", within).dropDuplicatesWithinWatermark(["webhook_id"])
@@ -32,6 +76,51 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", "s.start", "s.end", "n")
 
 
+def rung_shares(events: DataFrame, rung: str = "llm", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """start, domain, fired, share: of the rungs (ts, domain, rung) that fired in a window, those of one rung."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "domain")
+    return w.agg(F.count("*").alias("fired"), F.avg((F.col("rung") == rung).cast("double")).alias("share")).select(F.col("w.start").alias("start"), "domain", "fired", "share")
+
+
+def jumps(shares: DataFrame, before: float = 0.05, after: float = 0.40) -> DataFrame:
+    """Windows whose share is `after` or more where the domain's window before had `before` or less."""
+    last = F.lag("share").over(Window.partitionBy("domain").orderBy("start"))
+    return shares.withColumn("was", last).filter((F.col("was") <= before) & (F.col("share") >= after))
+
+
+def single_flight(triggers: DataFrame, minutes: int = 15, late: str = "1 minute") -> DataFrame:
+    """key, ts, admitted of triggers (key, ts): one that comes less than `minutes` after an admitted one isn't.
+
+    The time of the last admitted trigger is a key's state; it goes when it can hold up no more.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (held,) = state.get if state.exists else (None,)
+        out = []
+        for ts in pd.concat(list(frames))["ts"].sort_values():
+            micros = int(ts.value // 1000)
+            free = held is None or micros - held >= minutes * 60_000_000
+            held = micros if free else held
+            out.append((key[0], ts, free))
+        state.update((held,))
+        until = held // 1000 + minutes * 60_000
+        if until > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(until)
+        yield pd.DataFrame(out, columns=["key", "ts", "admitted"])
+
+    rows = triggers.withWatermark("ts", late).groupBy("key")
+    return rows.applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "held long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def records_since(spark: SparkSession, path: str, schema: str, per_batch: int = 10) -> DataFrame:
+    """A stream of the record files (JSON lines) that come to a folder: with a checkpoint, a run resumes after the last
+    files it has stored, as a drain resumes at the last updated_at it has seen."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(path)
+
+
 def connection_states(changes: DataFrame) -> DataFrame:
     """connection, state, rejected: each connection's state after a batch, from changes (connection, ts, to).
 
@@ -52,16 +141,18 @@ def connection_states(changes: DataFrame) -> DataFrame:
     return changes.groupBy("connection").applyInPandasWithState(step, "connection string, state string, rejected long", "state string, rejected long", "update", GroupStateTimeout.NoTimeout)
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows of a micro-batch that the Parquet table at path doesn't hold; for foreachBatch."""
-    from factloom.sources.store import absent
+def append_new(batch: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Append the rows of a micro-batch that the Parquet table at path doesn't hold; for foreachBatch.
 
+    The table is partitioned by a hash of the key, and of what is stored only the batch's partitions and keys are read.
+    """
     spark = batch.sparkSession
-    one = batch.dropDuplicates(keys)
-    try:
-        stored = spark.read.schema(batch.schema).parquet(path)
-        one = absent(batch, stored, keys)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    one.write.mode("append").parquet(path)
+    own = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        here = [r[0] for r in own.select("_bucket").distinct().collect()]  # `buckets` numbers at most
+        stored = spark.read.schema(own.schema).parquet(path).filter(F.col("_bucket").isin(here)).select(*keys)
+        own = absent(own, stored, keys)
+    else:
+        own = absent(own, own.limit(0), keys)
+    own.write.mode("append").partitionBy("_bucket").parquet(path)

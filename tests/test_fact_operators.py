@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import html as H
+from factloom.functions.jsonld import jsonld_facts
 from factloom.functions import scalars as S
 from factloom.operators import analytics as A
 from factloom.operators import calibration as C
@@ -83,8 +84,8 @@ def test_inferred_currency_and_gaps(spark):
     facts = spark.createDataFrame([(1, "title", "a", 0.9, "json_ld", 0), (2, "title", "b", 0.9, "json_ld", 0), (2, "currency", "USD", 0.9, "json_ld", 1), (3, "title", "c", 0.9, "json_ld", 0), (5, None, None, 0.9, "json_ld", 0)], schema)
     pages = spark.createDataFrame([(1, "https://www.shop.co.uk/p"), (2, "https://shop.de/"), (3, None), (4, "https://x.in/"), (5, "http://y.se")], "page_id long, url string")
     got = X.infer_currency(facts, pages)
-    assert {(r.page, r.value, r.confidence) for r in got.filter("parser = 'inferred'").collect()} == {(1, "GBP", 0.7), (5, "SEK", 0.7)}
-    assert got.count() == 7
+    assert {(r.page, r.value, r.confidence) for r in got.filter("parser = 'inferred'").collect()} == {(1, "GBP", 0.7), (4, "INR", 0.7), (5, "SEK", 0.7)}
+    assert got.count() == 8
     site = spark.createDataFrame([(1, "title", "site", 0.9, "site", 0)], schema)
     assert {(r.page, r.raw_key, r.value) for r in X.fill_gaps(site, facts.filter("page < 3")).collect()} == {(1, "title", "site"), (2, "title", "b"), (2, "currency", "USD")}
 
@@ -95,12 +96,30 @@ def test_field_families(spark):
         assert one(spark, X.field_family(F.col("k")), k=k) == family
 
 
+DETECTOR_FACT = "array<struct<raw_key:string,value:string,unit:string,confidence:double,alternatives:array<string>>>"
+DETECTED = f"title string, facts {DETECTOR_FACT}, price double, category string, category_confidence double, required array<string>, brand string, gtin string, model string, gtin_product string, gtin_brand string, mpn_product string, mpn_brand string, axes map<string,array<string>>, n_variants long, median_price double, samples long"
+
+
+def product(facts=(), **changed):
+    base = {"title": "t", "facts": [("title", "t", None, 0.9, []), ("base_price", "10", None, 0.9, []), *facts], "price": 10.0, "category": "c", "category_confidence": 0.9, "required": [], "brand": "B", "median_price": 9.0, "samples": 20, "n_variants": 0}
+    return tuple((base | changed).get(name.split()[0]) for name in DETECTED.split(", "))
+
+
 def test_route_and_detect(spark):
-    schema = "title string, title_confidence double, price double, price_confidence double, category string, category_confidence double, brand string, gtin string, known_brand string, median_price double, samples long, conflict boolean"
-    rows = [("t", 0.9, 10.0, 0.9, "c", 0.9, "B", "12345678", "b", 9.0, 20, False), ("t", 0.9, 60.0, 0.9, "c", 0.9, "B", "123", "x", 9.0, 20, True), ("t", None, 60.0, None, "c", 0.9, None, None, None, 9.0, 9, None)]
-    a, b, c = P.route(P.detect(spark.createDataFrame(rows, schema))).collect()
-    assert (a.decision, a.score, c.decision) == ("auto", 1.0, "auto")
-    assert [s.kind for s in b.signals] == ["field_conflict", "potential_duplicate", "price_anomaly", "value_contradiction"] and b.score == 0.0
+    rows = [
+        product(gtin="12345678", gtin_product="p", gtin_brand=" b "),
+        product([("weight", "5", "kg", 0.9, [])], price=60.0, gtin="123", gtin_product="p", gtin_brand="x"),
+        product([("title", "t", None, 0.9, ["other", "T"])], required=["color"]),
+        product([("color", "Pink", None, 0.9, [])], axes={"color": ["red", " PINK "]}, n_variants=2),
+        product(title="", price=None, category=None, samples=9),
+        (None,) * len(DETECTED.split(", ")),
+    ]
+    got = [r for r in P.route(P.detect(spark.createDataFrame(rows, DETECTED))).collect()]
+    assert (got[0].decision, got[0].score, got[3].decision) == ("auto", 1.0, "auto")
+    assert [s.kind for s in got[1].signals] == ["potential_duplicate", "price_anomaly", "value_contradiction"] and got[1].score == pytest.approx(0.05)
+    assert [(s.kind, s.severity, s.field) for s in got[2].signals] == [("missing_required_attribute", "medium", "color"), ("field_conflict", "high", "title")]
+    assert [(s.kind, s.field) for s in got[4].signals] == [("missing_required_attribute", "title"), ("category_ambiguous", None)]
+    assert [s.kind for s in got[5].signals] == ["missing_required_attribute", "category_ambiguous"]
     assert one(spark, P.variants_are_incomplete(F.create_map(F.lit("size"), F.array(F.lit("s"), F.lit("m"))), F.lit(1))) is True
 
 
@@ -171,13 +190,13 @@ def test_pages(spark):
     html = f"""<html><head><title>Chair - Shop</title><meta property="og:title" content="A &amp; B chair"><script type="application/ld+json">[{{"@type":"Product","name":"Chair","brand":{{"name":"Acme"}},"gtin13":"123","offers":{{"price":"10","priceCurrency":"EUR"}}}}]</script>
     <script type="application/ld+json">not json</script></head><body><nav>menu</nav><h1>Big <b>chair</b></h1><p>See <a href="/a">this</a></p><!-- no --><span itemprop="sku">S1</span><meta itemprop="price" content="10">{body}</body></html>"""
     pages = spark.createDataFrame([(1, html), (2, None), (3, "are you human?"), (4, "")], "page_id long, html string")
-    facts = {(r.parser, r.raw_key): r.value for r in H.jsonld_facts(pages).union(H.property_facts(pages)).collect()}
+    facts = {(r.parser, r.raw_key): r.value for r in jsonld_facts(pages).union(H.property_facts(pages)).collect()}
     assert facts[("json_ld", "brand")] == "Acme" and facts[("json_ld", "gtin")] == "123" and facts[("json_ld", "base_price")] == "10"
     assert facts[("microdata", "mpn")] == "S1" and facts[("microdata", "base_price")] == "10" and facts[("opengraph", "title")] == "A & B chair"
     got = {r.page_id: r for r in pages.select("page_id", H.clean(F.col("html")).alias("t"), H.page_title(F.col("html")).alias("title"), H.captcha_wall(F.col("html")).alias("wall")).collect()}
     assert "this (/a)" in got[1].t and "menu" not in got[1].t and "Big chair" in got[1].t.replace("  ", " ") and got[1].title.confidence == 0.85
     assert got[3].wall and not got[1].wall and got[2].t is None
-    gaps = H.coverage(H.jsonld_facts(pages).select("page", "raw_key"), ["material"]).first().gaps
+    gaps = H.coverage(jsonld_facts(pages).select("page", "raw_key"), ["material"]).first().gaps
     assert gaps == ["material", "productType"]
     crumbs = F.array(F.struct(F.lit(2).alias("position"), F.lit("Chairs").alias("name")), F.struct(F.lit(1).alias("position"), F.lit("Home").alias("name")), F.struct(F.lit(None).cast("int").alias("position"), F.lit("This").alias("name")))
     assert one(spark, H.breadcrumb(crumbs)) == "home/chairs"
