@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.html import decode, page_title
+from factloom.functions.html import readable, decode, page_title
 from factloom.functions.scalars import let, slug
 
 # What marks prices, icons, size suffixes and separators.
@@ -47,7 +47,7 @@ def price(html: Column) -> Column:
         _all(html, r"(?i)<[a-z][^>]*\sitemprop=[\"']price[\"'][^>]*>[^<]*"),
         lambda t: F.struct(F.lit(-0.90).alias("c"), F.regexp_replace(F.coalesce(_attribute(t, "content"), _text(t)), "[$,€£₹¥]", "").try_cast("double").alias("v")),
     )
-    classed = rf"(?is)<(?=([a-z][a-z0-9]*)\b[^>]*\sclass=[\"'][^\"']*(?:{PRICE_CLASS})[^\"']*[\"'][^>]*>(.*?)</\1\s*>)"  # consumes one character, so that inner elements count too
+    classed = rf"(?is)<(?=([a-z][a-z0-9]*)\b[^>]*\sclass=[\"'][^\"']*(?:{PRICE_CLASS})[^\"']*[\"'][^>]*>(.{{0,20000}}?)</\1\s*>)"  # consumes one character, so that inner elements count too
     leaves = F.filter(_all(html, classed, 2), lambda m: F.regexp_count(m, F.lit("(?i)<[a-z]")) <= 5)
     amount = lambda t: F.regexp_replace(F.concat(F.regexp_extract(t, CURRENCY, 1), F.regexp_extract(t, CURRENCY, 2)), ",", "").try_cast("double")
     shown = F.transform(leaves, lambda m: F.struct(F.lit(-0.65).alias("c"), amount(_text(m)).alias("v")))
@@ -73,8 +73,8 @@ def images(html: Column) -> Column:
 
 def breadcrumb(html: Column) -> Column:
     """Category path of the first breadcrumb element, without the last step; .50 and .10 for each of four steps."""
-    inside = F.regexp_extract(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id|aria-label)=[\"'][^\"']*breadcrumb[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2)
-    listed, inline = _all(inside, r"(?is)<li\b[^>]*>(.*?)</li\s*>", 1), _all(inside, r"(?is)<(a|span|strong|em)\b[^>]*>(.*?)</\1\s*>", 2)
+    inside = F.regexp_extract(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id|aria-label)=[\"'][^\"']*breadcrumb[^\"']*[\"'][^>]*>(.{0,20000}?)</\1\s*>", 2)
+    listed, inline = _all(inside, r"(?is)<li\b[^>]*>(.{0,20000}?)</li\s*>", 1), _all(inside, r"(?is)<(a|span|strong|em)\b[^>]*>(.{0,20000}?)</\1\s*>", 2)
     steps = F.transform(F.when(F.size(listed) > 0, listed).otherwise(inline), _text)
     steps = let(F.filter(steps, lambda s: ~s.isin(SEPARATORS)), lambda all_: F.filter(all_, lambda s, i: (i == 0) | (s != F.get(all_, i - 1))))
     chain = let(steps, lambda all_: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0))), lambda s: F.regexp_replace(F.lower(s), r"\s+", "_")))
@@ -83,10 +83,10 @@ def breadcrumb(html: Column) -> Column:
 
 def spec_table(html: Column) -> Column:
     """Table rows of two cells and definition lists (.70)."""
-    rows = F.transform(_all(html, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1), lambda r: _all(r, r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>", 1))
+    rows = F.transform(_all(html, r"(?is)<tr\b[^>]*>(.{0,20000}?)</tr\s*>", 1), lambda r: _all(r, r"(?is)<t[hd]\b[^>]*>(.{0,20000}?)</t[hd]\s*>", 1))
     pairs = F.transform(F.filter(rows, lambda r: F.size(r) == 2), lambda r: F.struct(r[0].alias("k"), r[1].alias("v")))
-    lists = _all(html, r"(?is)<dl\b[^>]*>(.*?)</dl\s*>", 1)
-    cells = lambda d, name: _all(d, rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>", 1)
+    lists = _all(html, r"(?is)<dl\b[^>]*>(.{0,20000}?)</dl\s*>", 1)
+    cells = lambda d, name: _all(d, rf"(?is)<{name}\b[^>]*>(.{{0,20000}}?)</{name}\s*>", 1)
     defined = F.flatten(F.transform(lists, lambda d: F.zip_with(cells(d, "dt"), cells(d, "dd"), lambda k, v: F.struct(k.alias("k"), v.alias("v")))))
     facts = F.transform(F.concat(pairs, defined), lambda p: _fact(slug(_text(p["k"])), _text(p["v"]), 0.70))
     return F.filter(facts, lambda f: (f["raw_key"] != "") & (f["value"] != ""))
@@ -96,7 +96,7 @@ def variant_selectors(html: Column) -> Column:
     """Options of each select and of each group of radio buttons (.65)."""
     option = lambda t: F.when(t.rlike(r"(?i)^<option[^>]*\svalue="), _attribute(t, "value")).otherwise(F.nullif(_text(t), F.lit("")))
     chosen = lambda tags: F.array_distinct(F.filter(F.transform(tags, option), lambda v: v.isNotNull()))
-    selects = F.transform(_all(html, r"(?is)<select\b[^>]*>.*?</select\s*>"), lambda s: F.struct(_attribute(s, "name").alias("k"), chosen(_all(s, r"(?i)<option\b[^>]*>[^<]*")).alias("v")))
+    selects = F.transform(_all(html, r"(?is)<select\b[^>]*>.{0,20000}?</select\s*>"), lambda s: F.struct(_attribute(s, "name").alias("k"), chosen(_all(s, r"(?i)<option\b[^>]*>[^<]*")).alias("v")))
     buttons = F.transform(_all(html, r"(?i)<input\b[^>]*\stype=[\"']radio[\"'][^>]*>"), lambda t: F.struct(_attribute(t, "name").alias("k"), _attribute(t, "value").alias("v")))
     buttons = F.filter(buttons, lambda b: b["k"].isNotNull() & b["v"].isNotNull())
     values = lambda all_, n: F.array_distinct(F.transform(F.filter(all_, lambda b: b["k"] == n), lambda b: b["v"]))
@@ -113,7 +113,7 @@ def title(html: Column) -> Column:
 def description(html: Column) -> Column:
     """og:description (.80), the meta description (.70) or the longest element named so (.55); 20 characters at least."""
     meta = lambda a, v: _attribute(F.regexp_extract(html, rf"(?i)<meta[^>]*\s{a}=[\"']{v}[\"'][^>]*>", 0), "content")
-    named = F.transform(_all(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id)=[\"'][^\"']*description[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2), lambda m, i: F.struct(F.length(_text(m)).alias("n"), (-i).alias("i"), _text(m).alias("t")))
+    named = F.transform(_all(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id)=[\"'][^\"']*description[^\"']*[\"'][^>]*>(.{0,20000}?)</\1\s*>", 2), lambda m, i: F.struct(F.length(_text(m)).alias("n"), (-i).alias("i"), _text(m).alias("t")))
     one = lambda v, c: F.struct(v.alias("v"), F.lit(c).alias("c"))
     found = F.filter(F.array(one(meta("property", "og:description"), 0.80), one(meta("name", "description"), 0.70), one(F.array_max(named)["t"], 0.55)), lambda d: F.length(d["v"]) >= LEAST_DESCRIPTION)
     return F.transform(F.slice(found, 1, 1), lambda d: _fact("description", d["v"], d["c"]))
@@ -127,7 +127,10 @@ HEURISTICS = [
 
 
 def dom_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, raw_key, value, confidence, alternatives, parser (dom), ordinal of all heuristics; a null page has none."""
+    """page, raw_key, value, confidence, alternatives, parser (dom), ordinal of all heuristics.
+
+    Of an element 20,000 characters are read. A null page, one over 4 MB and a captcha wall have none.
+    """
     found = F.concat(*[F.coalesce(F.when(F.col("html").rlike(mark), h(F.col("html")).cast(_FACT)), F.array().cast(_FACT)) for h, mark in HEURISTICS])
-    rows = pages.select(F.col(page).alias("page"), F.posexplode(found).alias("ordinal", "f"))
+    rows = readable(pages).select(F.col(page).alias("page"), F.posexplode(found).alias("ordinal", "f"))
     return rows.select("page", "f.*", F.lit("dom").alias("parser"), "ordinal")

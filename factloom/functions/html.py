@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalars import lookup
+from factloom.functions.scalars import let, lookup
 
 # Property names and the raw keys they give; marks of walls; named entities.
 MICRODATA = {"name": "title", "brand": "brand", "price": "base_price", "priceCurrency": "currency", "description": "description", "image": "images", "sku": "mpn", "gtin13": "gtin", "gtin12": "gtin"}
@@ -22,7 +22,7 @@ MAX_BYTES = 4 * 1024 * 1024
 
 def script_blocks(html: Column, kind: str = r"application/ld\+json") -> Column:
     """Bodies of all scripts of a type, in order; an array."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<script[^>]*type=[\"']{kind}[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<script[^>]*type=[\"']{kind}[\"'][^>]*>([^<]*+(?:<(?!/script)[^<]*+)*+)</script>"), F.lit(1))
 
 
 def script_by_id(html: Column, name: str) -> Column:
@@ -69,8 +69,9 @@ def page_title(html: Column) -> Column:
     og = F.regexp_extract(html, r"(?is)<meta[^>]*property=[\"']og:title[\"'][^>]*content=[\"']([^\"']+)", 1)
     h1 = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", ""))
     title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+[-–|]\s+[^-–|]+$", ""))
-    one = lambda v, c: F.struct(decode(v).alias("value"), F.lit(c).alias("confidence"))
-    return F.when(og != "", one(og, 0.85)).when(h1 != "", one(h1, 0.75)).when(title != "", one(title, 0.55))
+    one = lambda v, c: F.struct(v.alias("value"), F.lit(c).alias("confidence"))
+    best = F.when(og != "", one(og, 0.85)).when(h1 != "", one(h1, 0.75)).when(title != "", one(title, 0.55))
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct(decode(b["value"]).alias("value"), b["confidence"].alias("confidence"))))
 
 
 def decode(text: Column) -> Column:
@@ -83,28 +84,40 @@ def decode(text: Column) -> Column:
         fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(fine, F.decode(F.unhex(units), "UTF-16BE")).otherwise(ref)
 
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
-    text = F.when(text.contains("&#"), F.aggregate(refs, text, lambda t, r: F.replace(t, r, char(r)))).otherwise(text)
+    refs = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    text = let(text, lambda t: F.when(t.contains("&#"), F.aggregate(refs(t), t, lambda s, r: F.replace(s, r, char(r)))).otherwise(t))
     for k, v in ENTITIES.items():
         text = F.replace(text, F.lit(k), F.lit(v))
     return text
 
 
+def up_to_last(text: Column, end: str, f) -> Column:
+    """text with f applied up to the last place of a pattern: beyond it nothing can end there, and so a search that looks
+    for the end from each beginning stays linear, whatever is left open."""
+    head = lambda t: F.regexp_extract(t, f"(?is)^.*(?:{end})", 0)
+    return let(text, lambda t: F.when(t.rlike(f"(?is){end}"), let(head(t), lambda h: F.concat(f(h), F.substring(t, F.length(h) + 1, F.length(t))))).otherwise(t))
+
+
+HIDDEN = ["script", "style", "noscript", "svg", "nav", "footer"]
+
+
 def clean(html: Column, most: int = 200_000) -> Column:
     """Readable text: no scripts, styles, comments, pictures, navigation; links as `text (href)`; a line for a block.
 
     Longer results keep their two ends in equal parts.
     """
-    t = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|nav|footer)\b[^>]*>.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
+    t = html
+    for name in HIDDEN:
+        t = up_to_last(t, rf"</{name}\s*>", lambda h: F.regexp_replace(h, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " "))
+    t = up_to_last(t, "-->", lambda h: F.regexp_replace(h, r"(?s)<!--.*?-->", " "))
     t = F.regexp_replace(t, r"(?is)<img[^>]*\balt=[\"']([^\"']+)[\"'][^>]*>", " $1 ")
-    t = F.regexp_replace(t, r"(?is)<a[^>]*\bhref=[\"']([^\"']+)[\"'][^>]*>(.*?)</a\s*>", "$2 ($1)")
+    t = up_to_last(t, r"</a\s*>", lambda h: F.regexp_replace(h, r"(?is)<a\s[^>]*\bhref=[\"']([^\"']+)[\"'][^>]*>(.*?)</a\s*>", "$2 ($1)"))
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header)\b[^>]*>", "\n")
     t = decode(F.regexp_replace(t, r"<[^>]+>", " "))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\f\r]+", " "), r" ?\n ?", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"\n{2,}", "\n"), r"^\s+|\s+$", "")
     half = most // 2
-    return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(half)), F.lit("\n…\n"), F.right(t, F.lit(half)))).otherwise(t)
+    return let(t, lambda x: F.when(F.length(x) > most, F.concat(F.left(x, F.lit(half)), F.lit("\n…\n"), F.right(x, F.lit(half)))).otherwise(x))
 
 
 def captcha_wall(html: Column) -> Column:

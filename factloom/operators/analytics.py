@@ -47,10 +47,29 @@ def cost_panel(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return recent.groupBy("tenant", bucket("day", "ts").alias("day")).agg(F.round(total("cost"), 6).alias("cost"), total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"), F.count("*").alias("calls"))
 
 
+def price_counts(prices: DataFrame, by: list[str], price: str = "price") -> DataFrame:
+    """by, price, c: how often each price of a group is observed; combined before the shuffle."""
+    return prices.groupBy(*by, price).agg(F.count("*").alias("c"))
+
+
 def price_clusters(prices: DataFrame, by: list[str], price: str = "price", least: int = 10) -> DataFrame:
-    """Exact median price and number of observations of groups of at least `least`."""
-    median = F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {price})")
-    return prices.groupBy(*by).agg(F.round(median, 6).alias("median_price"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    """Exact median price and number of observations of groups of at least `least`; null prices count, but have no rank.
+
+    Prices are counted first, and the median is found by running counts over a group's distinct prices in order, which
+    spill to disk: no group is held in memory as a whole.
+    """
+    return clusters_of_counts(price_counts(prices, by, price), by, price, least)
+
+
+def clusters_of_counts(counts: DataFrame, by: list[str], price: str = "price", least: int = 10) -> DataFrame:
+    """price_clusters, of price_counts."""
+    whole = Window.partitionBy(*by)
+    valued = F.when(F.col(price).isNotNull(), F.col("c")).otherwise(0)
+    run = counts.withColumn("_upto", F.sum(valued).over(whole.orderBy(price).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum(valued).over(whole)).withColumn("n", F.sum("c").over(whole))
+    holds = lambda place: F.col(price).isNotNull() & (F.col("_upto") > place) & (F.col("_upto") - F.col("c") <= place)
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    ends = run.filter("n >= " + str(int(least))).groupBy(*by).agg(F.max(F.when(holds(low), F.col(price))).alias("_low"), F.max(F.when(holds(high), F.col(price))).alias("_high"), F.max("n").alias("n"))
+    return ends.select(*by, F.round((F.col("_low") + F.col("_high")) / 2, 6).alias("median_price"), "n")
 
 
 def domain_profile(runs: DataFrame) -> DataFrame:
@@ -121,8 +140,12 @@ def psi(baseline: DataFrame, current: DataFrame, label: str, by: list[str] | Non
     by = by or []
     count = lambda df, name: df.groupBy(*by, label).agg(F.count("*").alias(name))
     both = count(baseline, "b").join(count(current, "c"), [*by, label], "full").fillna(0, ["b", "c"])
-    total = Window.partitionBy(*[F.col(x) for x in by]) if by else Window.partitionBy(F.lit(1))
-    shares = both.withColumn("nb", F.sum("b").over(total)).withColumn("nc", F.sum("c").over(total))
+    totals = [F.sum("b").alias("nb"), F.sum("c").alias("nc")]
+    if by:
+        whole = Window.partitionBy(*by)
+        shares = both.withColumn("nb", F.sum("b").over(whole)).withColumn("nc", F.sum("c").over(whole))
+    else:
+        shares = both.crossJoin(F.broadcast(both.agg(*totals)))  # one row
     p, q = F.greatest(F.lit(1e-4), F.col("b") / F.col("nb")), F.greatest(F.lit(1e-4), F.col("c") / F.col("nc"))
     part = F.when((F.col("nb") > 0) & (F.col("nc") > 0), (q - p) * F.ln(q / p)).otherwise(0.0)
     out = shares.withColumn("part", part).groupBy(*by).agg(F.round(F.sum("part"), 9).alias("psi"))
@@ -138,7 +161,7 @@ def schema_drift(baseline: DataFrame, current: DataFrame, keys: str = "keys", of
 
     def freq(df: DataFrame, name: str) -> DataFrame:
         n = df.agg(F.count("*").alias("total"))
-        return df.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).crossJoin(n).select("key", (F.col("n") / F.col("total")).alias(name))
+        return df.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("key", (F.col("n") / F.col("total")).alias(name))
 
     both = freq(baseline, "baseline").join(freq(current, "current"), "key", "full").fillna(0.0, ["baseline", "current"])
     change = F.when((F.col("current") >= often) & (F.col("baseline") < rare), "new").when((F.col("baseline") >= often) & (F.col("current") < rare), "vanished")

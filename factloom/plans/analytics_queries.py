@@ -46,10 +46,11 @@ def price_anomaly(spark, sf_dir):
     """Observations far from their cluster's median; the bounds are parameters, here narrow enough for these tables."""
     from factloom.operators.policy import price_is_odd
 
-    p = prices(spark, sf_dir)
-    known = p.join(A.price_clusters(p, ["brand", "category"]).withColumnRenamed("n", "samples"), ["brand", "category"])
+    by = ["brand", "category"]
+    counts = A.price_counts(prices(spark, sf_dir), by)
+    known = counts.join(A.clusters_of_counts(counts, by).withColumnRenamed("n", "samples"), by)
     odd = price_is_odd(F.col("price"), F.col("median_price"), F.col("samples"), 1.4, 0.7)
-    return known.groupBy("brand", "category").agg(F.count("*").alias("n"), F.count_if(odd).alias("anomalies"))
+    return known.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.coalesce(odd, F.lit(False)), F.col("c")).otherwise(0)).alias("anomalies"))
 
 
 @query(
