@@ -231,7 +231,7 @@ def apply_diffs(diffs: DataFrame, versions: DataFrame, facts: DataFrame, rules:
     the caller clears the cache.
     """
     due = diffs.filter(F.col("status").isin("approved", "auto_approved")).join(versions.select("diff_id"), "diff_id", "left_anti")
-    due = refilled(due.withColumn("payload", payload(F.col("payload"))), facts).persist()
+    due = refilled(due.withColumn("payload", payload(F.col("payload"))).persist(), facts).persist()
     titled = due.filter("payload.title is not null")
     checked = validate(titled.select(F.col("diff_id").alias("id"), F.col("payload.canonicalCategory").alias("category"), "payload.attributes"), rules).withColumnRenamed("id", "diff_id").persist()
     fine = titled.join(checked.filter("valid").select("diff_id"), "diff_id", "left_semi")
