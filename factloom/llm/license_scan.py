@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table
+from factloom.llm.license_texts import BEGINNINGS, SHORT
 from factloom.llm.words import U, blocks, flat_bytes, prefix_hash, shingle_hash, slice_hash, word_bounds
 
 SIZE = 3
 #: A template of n words may differ in n // TOLERANCE of them.
 TOLERANCE = 10
 LEVEL = 6
+#: Words of a part of a long template.
+PART_WORDS = 250
 #: The number of a list item stands where a sentence may begin: "1." or "(1)".
 ITEM = re.compile(r"(?:^|(?<=[.:;,)])\s|\n)\s*\(?(\d+)[.)]\s")
 #: What a version number follows, or has before it in one word.
@@ -68,13 +72,6 @@ TEMPLATES = [
         substantial portions of the Software. """
         + _WARRANTY,
     ),
-    (
-        "ISC",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
-        SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
-        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
-    ),
     ("BSD-2-Clause", _TWO_CLAUSES + " " + _BSD_WARRANTY),
     (
         "BSD-3-Clause",
@@ -83,19 +80,6 @@ TEMPLATES = [
         promote products derived from this software without specific prior written permission. """
         + _BSD_WARRANTY,
     ),
-    (
-        "Zlib",
-        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
-        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
-        software for any purpose, including commercial applications, and to alter it and redistribute it freely,
-        subject to the following restrictions:""",
-    ),
-    (
-        "Unlicense",
-        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
-        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
-        for any purpose, commercial or non-commercial, and by any means.""",
-    ),
     (
         "Apache-2.0",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
@@ -125,6 +109,8 @@ TEMPLATES = [
     ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *SHORT,
+    *BEGINNINGS,
 ]
 
 #: Bytes of words as they are compared; others part words.
@@ -134,6 +120,25 @@ for _range in (range(48, 58), range(97, 123), range(128, 256)):
 FOLD[65:91] = np.arange(97, 123)
 
 
+def in_parts(name: str, text: str, words: int = PART_WORDS) -> list[tuple[str, str]]:
+    """A text as templates of one name, of up to `words` words each: an alignment's cost is that of a part's length."""
+    own = text.split()
+    return [(name, " ".join(own[i : i + words])) for i in range(0, len(own), words)]
+
+
+def folder_templates(path: str, words: int = PART_WORDS) -> list[tuple[str, str]]:
+    """Templates of all text files of a folder that the driver sees, named by their files, long ones in parts.
+
+    A whole copy of a license is found as its parts, one after another.
+    """
+    files = sorted(f for f in os.listdir(path) if os.path.isfile(os.path.join(path, f)))
+    out = []
+    for f in files:
+        with open(os.path.join(path, f), encoding="utf-8", errors="replace") as file:
+            out += in_parts(os.path.splitext(f)[0], file.read(), words)
+    return out
+
+
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes().split()

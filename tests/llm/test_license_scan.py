@@ -112,3 +112,28 @@ def test_second_place_of_a_refuted_template(spark):
     text = own[0][1].replace("2", "3") + " and " + own[0][1].replace("seven eight", "zebra zebra")
     (row,) = license_scan.scan_licenses(frame(spark, [text]), own).collect()
     assert [f.license for f in row.found] == ["x"] and "zebra" in text[row.found[0].start : row.found[0].end]
+
+
+def test_whole_texts_of_a_folder(spark, tmp_path):
+    """A long license in a file is found in a document as its parts, one after another; the listed beginnings as well."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}term" for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr"]
+    long = " ".join(rng.choice(vocabulary) for _ in range(1100))
+    (tmp_path / "Long-1.0.txt").write_text(long)
+    own = license_scan.folder_templates(str(tmp_path), 250)
+    assert [n for n, _ in own] == ["Long-1.0"] * 5
+    changed = long.split()
+    for i in range(7, 1100, 90):
+        changed[i] = "zebra"
+    text = noise(rng, 60) + "\n" + " ".join(changed) + "\n" + noise(rng, 60)
+    (row,) = license_scan.scan_licenses(frame(spark, [text]), own).collect()
+    assert len(row.found) == 5 and row.found[0].start < row.found[-1].start and row.found[-1].end - row.found[0].start > 0.98 * len(" ".join(changed))
+
+
+def test_beginnings_of_long_licenses(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Artistic-1.0", "CC0-1.0", "Zlib", "ISC", "0BSD", "BSL-1.0", "Unlicense", "WTFPL"]
+    longest = {n: max((t for m, t in TEMPLATES if m == n), key=len) for n in names}
+    rng = random.Random(9)
+    texts = [noise(rng, 30) + "\n * " + t.replace(". ", ".\n * ") + "\n" + noise(rng, 30) for t in longest.values()]
+    got = {r.doc_id: [f.license for f in r.found] for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[i][0] if got[i] else None for i in range(len(names))] == names
