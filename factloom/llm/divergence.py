@@ -23,8 +23,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Lengths below which histograms aren't compared: of a document, and of a language's reference.
 GUARD_CHARS, GUARD_WORDS, GUARD_REFERENCE = 100, 20, 5000
 COMMON_WORDS = 40
-#: Words that a task counts before it sends them on.
-HELD_WORDS = 500_000
+#: Bytes of text whose words are counted at once, and languages whose classes a task sums before it sends them on.
+COUNTED_BYTES, HELD_LANGUAGES = 2 << 20, 30_000
 #: References that are shipped with the code: under 5 MB.
 REFERENCES, LANG_BYTES = 1000, 256
 CHAR_LIMIT, WORD_LIMIT = 0.2, 0.5
@@ -121,36 +121,33 @@ def word_key(word: bytes) -> bytes:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word (its key), hash (that of Counted), n of docs (lang, text), partly summed in tasks."""
+    """lang, word (its key), hash (that of Counted), n of docs (lang, text), summed over a few MB of texts each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes, int], int] = {}
-
-        def out() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.binary(), pa.int64())
-            cols = [pa.array([k[i] for k in held], kind) for i, kind in enumerate(kinds)]
-            cols.append(pa.array(list(held.values()), pa.int64()))
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["lang", "word", "hash", "n"])
-
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=COUNTED_BYTES, most=1 << 16):
                 data, starts = flat_bytes(part.column(1))
                 begin, end, first = word_bounds(data, starts)
                 if not len(begin):
                     continue
                 langs = part.column(0).dictionary_encode()
-                lang = np.repeat(langs.indices.to_numpy(), np.diff(first))
+                lang = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(first))
                 hashes = slice_hash(prefix_hash(data), begin, end)
                 ids = word_ids(data, begin, end, hashes)
                 _, at, n = np.unique(lang * (int(ids.max()) + 1) + ids, return_index=True, return_counts=True)
-                names = langs.dictionary.to_pylist()
-                for x, a, b, h, k in zip(lang[at].tolist(), begin[at].tolist(), end[at].tolist(), hashes[at].view(np.int64).tolist(), n.tolist(), strict=True):
-                    key = (names[x], word_key(data[a:b].tobytes()), h)
-                    held[key] = held.get(key, 0) + k
-                if len(held) > HELD_WORDS:
-                    yield out()
-        yield out()
+                size = (end - begin)[at]
+                for some, short in ((size < 64, True), (size >= 64, False)):
+                    a, m = at[some], size[some]
+                    if not len(a):
+                        continue
+                    if short:
+                        upto = np.cumsum(m)
+                        raw = data[np.repeat(begin[a] - (upto - m), m) + np.arange(upto[-1])]
+                        offsets = np.concatenate([[0], upto]).astype(np.int32)
+                        word = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                    else:
+                        word = pa.array([word_key(data[x : x + k].tobytes()) for x, k in zip(begin[a].tolist(), m.tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[a])), word, pa.array(hashes[a].view(np.int64)), pa.array(n[some])], ["lang", "word", "hash", "n"])
 
     return docs.mapInArrow(run, "lang string, word binary, hash long, n long")
 
@@ -186,7 +183,7 @@ def references(docs: DataFrame) -> DataFrame:
                 np.add.at(total, langs.indices.to_numpy(), class_counts(data, starts))
                 for x, row in zip(langs.dictionary.to_pylist(), total, strict=True):
                     held[x] = held[x] + row if x in held else row
-                if len(held) > HELD_WORDS // 16:
+                if len(held) > HELD_LANGUAGES:
                     yield out()
                     held.clear()
         yield out()
