@@ -109,14 +109,14 @@ def _by_identifier(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidate, action (conflict, merge, review, new), product, by, title, category, one for each candidate.
 
     Both have product, gtin, brand, mpn, title, category. Rules in order: a gtin's hits in other categories
-    conflict; one hit of the same brand merges, of another is reviewed; several are reviewed; brand and mpn
+    conflict; one hit merges, unless both have a brand and another one, which is reviewed; several are reviewed; brand and mpn
     with a similar title and a fitting category: one merges, several are reviewed; else new. Existing products
     are first grouped by (gtin, brand, category), and by their counts the rules decide: no pairs of rows arise.
     """
     c = candidates.select(F.col("product").alias("candidate"), gtin(F.col("gtin")).alias("g"), F.coalesce(normal(F.col("brand")), F.lit("")).alias("b"), normal(F.col("mpn")).alias("m"), "title", "category")
     e = existing.select("product", gtin(F.col("gtin")).alias("g"), F.coalesce(normal(F.col("brand")), F.lit("")).alias("eb"), normal(F.col("mpn")).alias("m"), F.col("title").alias("et"), F.col("category").alias("ec"))
     by_gtin = e.filter("g is not null").groupBy("g", "eb", "ec").agg(F.min("product").alias("product"), F.count("*").alias("n"))
-    g = c.join(by_gtin, "g").groupBy("candidate").agg(F.sum("n").alias("g_hits"), F.bool_or(~category_fits(F.col("category"), F.col("ec"))).alias("g_far"), F.min("product").alias("g_product"), F.bool_and(F.col("b") == F.col("eb")).alias("g_brand"))
+    g = c.join(by_gtin, "g").groupBy("candidate").agg(F.sum("n").alias("g_hits"), F.bool_or(~category_fits(F.col("category"), F.col("ec"))).alias("g_far"), F.min("product").alias("g_product"), F.min(F.when(~category_fits(F.col("category"), F.col("ec")), F.col("product"))).alias("far_product"), F.bool_and((F.col("b") == "") | (F.col("eb") == "") | (F.col("b") == F.col("eb"))).alias("g_brand"))
     by_model = e.filter("m is not null and eb <> ''").groupBy(F.col("eb").alias("b"), "m", "et", "ec").agg(F.min("product").alias("product"), F.count("*").alias("n"))
     m = c.join(by_model, ["b", "m"]).filter((similarity(F.col("title"), F.col("et")) >= TITLE) & category_fits(F.col("category"), F.col("ec"))).groupBy("candidate").agg(F.sum("n").alias("m_hits"), F.min("product").alias("m_product"))
     all_ = c.select("candidate", "title", "category").join(g, "candidate", "left").join(m, "candidate", "left")
@@ -129,12 +129,7 @@ def _by_identifier(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         .when(F.col("m_hits") > 1, "review")
         .otherwise("new")
     )
-    return all_.select("candidate", action.alias("action"), F.coalesce("g_product", "m_product").alias("product"), by.alias("by"), "title", "category")
-
-
-def dedupe_by_identifier(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """dedupe without its last rule: what has no strong identifier is new."""
-    return _by_identifier(candidates, existing).drop("title", "category")
+    return all_.select("candidate", action.alias("action"), F.coalesce(F.when(F.col("g_far"), F.col("far_product")), "g_product", "m_product").alias("product"), by.alias("by"), "title", "category")
 
 
 def dedupe(candidates: DataFrame, existing: DataFrame) -> DataFrame:

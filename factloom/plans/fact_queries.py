@@ -288,24 +288,30 @@ def products(spark, sf_dir):
     )
 
 
+_FITS = "(x.c IS NULL OR e.c IS NULL OR x.c = e.c OR starts_with(x.c, e.c || '/') OR starts_with(e.c, x.c || '/'))"
+
+
 @query(
     "dedupe_rules",
-    """
-    WITH p AS (SELECT p_partkey AS id, nullif(CASE WHEN p_partkey % 3 = 0 THEN ltrim((p_partkey % 100)::VARCHAR, '0') END, '') AS g, lower(p_brand) AS b, p_size AS m, lower(p_name) AS t, p_type AS c FROM part),
+    f"""
+    WITH p AS (SELECT p_partkey AS id, nullif(CASE WHEN p_partkey % 3 = 0 THEN ltrim((p_partkey % 100)::VARCHAR, '0') END, '') AS g, CASE WHEN p_partkey % 7 <> 0 THEN lower(p_brand) END AS b, p_size AS m, lower(p_name) || ' ' || (p_partkey % 500) AS t,
+                      CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_type WHEN 2 THEN p_type || '/x' ELSE p_type || '/x/y' END AS c FROM part),
          x AS (SELECT * FROM p WHERE id % 10 = 1 OR id % 30 = 3), e AS (SELECT * FROM p WHERE NOT (id % 10 = 1 OR id % 30 = 3)),
-         g AS (SELECT x.id, count(*) AS hits, bool_or(x.c <> e.c) AS far, min(e.id) AS pid, bool_and(x.b = e.b) AS same FROM x JOIN e ON x.g = e.g GROUP BY x.id),
-         m AS (SELECT x.id, count(*) AS hits, min(e.id) AS pid FROM x JOIN e ON x.b = e.b AND x.m = e.m AND x.c = e.c
-               AND 1 - levenshtein(x.t, e.t) / greatest(length(x.t), length(e.t)) >= 0.92 GROUP BY x.id)
-    SELECT x.id AS candidate, CASE WHEN g.far THEN 'conflict' WHEN g.hits = 1 AND g.same THEN 'merge' WHEN g.hits >= 1 THEN 'review' WHEN m.hits = 1 THEN 'merge' WHEN m.hits > 1 THEN 'review' ELSE 'new' END AS action,
-           coalesce(g.pid, m.pid) AS product, CASE WHEN g.hits > 0 THEN 'gtin' WHEN m.hits > 0 THEN 'brand_mpn' ELSE 'none' END AS "by"
-    FROM x LEFT JOIN g USING (id) LEFT JOIN m USING (id)
+         g AS (SELECT x.id, count(*) AS hits, bool_or(NOT {_FITS}) AS far, min(e.id) FILTER (NOT {_FITS}) AS fid, min(e.id) AS pid, bool_and(x.b IS NULL OR e.b IS NULL OR x.b = e.b) AS same FROM x JOIN e ON x.g = e.g GROUP BY x.id),
+         t AS (SELECT x.id, coalesce(x.b = e.b AND x.m = e.m, false) AS model, e.id AS eid FROM x JOIN e ON {_FITS} AND 1 - levenshtein(x.t, e.t) / greatest(length(x.t), length(e.t)) >= 0.92),
+         m AS (SELECT id, count(*) AS hits, min(eid) AS pid FROM t WHERE model GROUP BY id), n AS (SELECT id, min(eid) AS pid FROM t GROUP BY id)
+    SELECT x.id AS candidate, CASE WHEN g.far THEN 'conflict' WHEN g.hits = 1 AND g.same THEN 'merge' WHEN g.hits >= 1 THEN 'review' WHEN m.hits = 1 THEN 'merge' WHEN m.hits > 1 OR n.pid IS NOT NULL THEN 'review' ELSE 'new' END AS action,
+           coalesce(CASE WHEN g.far THEN fid END, g.pid, m.pid, n.pid) AS product, CASE WHEN g.hits > 0 THEN 'gtin' WHEN m.hits > 0 THEN 'brand_mpn' WHEN n.pid IS NOT NULL THEN 'title' ELSE 'none' END AS "by"
+    FROM x LEFT JOIN g USING (id) LEFT JOIN m USING (id) LEFT JOIN n USING (id)
     """,
 )
 def dedupe_rules(spark, sf_dir):
-    """Some products as candidates against the others, by identifiers alone as in its SQL; all rules: dedupe_titles."""
-    p = products(spark, sf_dir)
-    is_new = (F.col("product") % 10 == 1) | (F.col("product") % 30 == 3)
-    return R.dedupe_by_identifier(p.filter(is_new), p.filter(~is_new))
+    """Some products as candidates against the others; brands are missing here and there, categories are paths or missing."""
+    p = F.col("product")
+    category = F.when(p % 5 == 1, F.col("category")).when(p % 5 == 2, F.concat("category", F.lit("/x"))).when(p % 5 > 2, F.concat("category", F.lit("/x/y")))
+    all_ = products(spark, sf_dir).withColumns({"category": category, "brand": F.when(p % 7 != 0, F.col("brand")), "title": F.concat("title", F.lit(" "), (p % 500).cast("string"))})
+    is_new = (p % 10 == 1) | (p % 30 == 3)
+    return R.dedupe(all_.filter(is_new), all_.filter(~is_new))
 
 
 @query(
@@ -313,16 +319,16 @@ def dedupe_rules(spark, sf_dir):
     """
     WITH p AS (SELECT p_partkey AS id, nullif(CASE WHEN p_partkey % 3 = 0 THEN ltrim((p_partkey % 100)::VARCHAR, '0') END, '') AS g, lower(p_brand) AS b, p_size AS m, lower(p_name) || ' number ' || (p_partkey % 400) AS t, p_type AS c FROM part),
          x AS (SELECT * FROM p WHERE id % 10 = 1 OR id % 30 = 3), e AS (SELECT * FROM p WHERE NOT (id % 10 = 1 OR id % 30 = 3)),
-         g AS (SELECT x.id, count(*) AS hits, bool_or(x.c <> e.c) AS far, min(e.id) AS pid, bool_and(x.b = e.b) AS same FROM x JOIN e ON x.g = e.g GROUP BY x.id),
+         g AS (SELECT x.id, count(*) AS hits, bool_or(x.c <> e.c) AS far, min(e.id) FILTER (x.c <> e.c) AS fid, min(e.id) AS pid, bool_and(x.b = e.b) AS same FROM x JOIN e ON x.g = e.g GROUP BY x.id),
          t AS (SELECT x.id, x.b = e.b AND x.m = e.m AS model, e.id AS eid FROM x JOIN e ON x.c = e.c AND 1 - levenshtein(x.t, e.t) / greatest(length(x.t), length(e.t)) >= 0.92),
          m AS (SELECT id, count(*) AS hits, min(eid) AS pid FROM t WHERE model GROUP BY id), n AS (SELECT id, min(eid) AS pid FROM t GROUP BY id)
     SELECT x.id AS candidate, CASE WHEN g.far THEN 'conflict' WHEN g.hits = 1 AND g.same THEN 'merge' WHEN g.hits >= 1 THEN 'review' WHEN m.hits = 1 THEN 'merge' WHEN m.hits > 1 OR n.pid IS NOT NULL THEN 'review' ELSE 'new' END AS action,
-           coalesce(g.pid, m.pid, n.pid) AS product, CASE WHEN g.hits > 0 THEN 'gtin' WHEN m.hits > 0 THEN 'brand_mpn' WHEN n.pid IS NOT NULL THEN 'title' ELSE 'none' END AS "by"
+           coalesce(fid, g.pid, m.pid, n.pid) AS product, CASE WHEN g.hits > 0 THEN 'gtin' WHEN m.hits > 0 THEN 'brand_mpn' WHEN n.pid IS NOT NULL THEN 'title' ELSE 'none' END AS "by"
     FROM x LEFT JOIN g USING (id) LEFT JOIN m USING (id) LEFT JOIN n USING (id)
     """,
 )
 def dedupe_titles(spark, sf_dir):
-    """dedupe_rules with all rules, over longer titles."""
+    """dedupe_rules over longer titles, with brands and categories that are always known."""
     p = products(spark, sf_dir).withColumn("title", F.concat("title", F.lit(" number "), (F.col("product") % 400).cast("string")))
     is_new = (F.col("product") % 10 == 1) | (F.col("product") % 30 == 3)
     return R.dedupe(p.filter(is_new), p.filter(~is_new))
