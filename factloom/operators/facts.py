@@ -138,10 +138,10 @@ def approval_band(score: Column, bands: tuple = BANDS) -> Column:
     return out.otherwise("unmapped")
 
 
-def type_fit(kind: Column, value_kind: Column, value: Column) -> Column:
+def type_fit(kind: Column, value_kind: Column, numeric: Column) -> Column:
     """1 where a value's kind is the attribute's, .3 where not, .5 for an attribute of no known kind; a text that is a
-    number suits a number."""
-    fits = F.when(kind == "number", (value_kind == "number") | value.try_cast("double").isNotNull()).otherwise(kind == value_kind)
+    number (numeric) suits a number."""
+    fits = F.when(kind == "number", (value_kind == "number") | numeric).otherwise(kind == value_kind)
     return F.when(kind.isin("string", "number", "boolean", "array", "object"), F.when(F.coalesce(fits, F.lit(False)), 1.0).otherwise(0.3)).otherwise(0.5)
 
 
@@ -173,8 +173,10 @@ def map_facts(facts: DataFrame, channel: DataFrame, synonyms: DataFrame, overrid
     An attribute that isn't defined fits by a half. candidates are the `top` best (key, score), of equals the
     channel's first. Variant paths have none. Reference tables are joined by key; Spark broadcasts small ones.
     """
-    ids = facts.withColumn("_id", F.monotonically_increasing_id())
-    asked = ids.filter(~F.col("raw_key").startswith("variants["))
+    # what a fact's candidates depend on is its key: equal facts are mapped once, and a rerun gives the same keys
+    numeric = F.col("value").try_cast("double").isNotNull().alias("numeric")
+    ids = facts.withColumn("_id", F.struct("category", "raw_key", "source_pointer", "value_kind", numeric, "unit"))
+    asked = ids.filter(~F.col("raw_key").startswith("variants[")).select("_id").distinct().select("_id", "_id.*")
     index = channel_index(channel).withColumnRenamed("category", "_cat")
     paths = asked.select("_id", "category", F.posexplode(F.array("raw_key", "source_pointer")).alias("_nth", "path"))
     here = paths.join(index, "path").filter((F.col("_cat") == F.col("category")) | (F.col("_cat") == "*"))
@@ -183,11 +185,11 @@ def map_facts(facts: DataFrame, channel: DataFrame, synonyms: DataFrame, overrid
     s = synonyms.groupBy(F.lower("synonym").alias("_low")).agg(F.min("canonical_key").alias("canonical_key"))
     by_synonym = asked.withColumn("_low", F.lower("raw_key")).join(s, "_low").select("_id", "canonical_key", F.lit(0.0).alias("channel"))
     by_synonym = by_synonym.join(by_channel.select("_id", "canonical_key"), ["_id", "canonical_key"], "left_anti")
-    found = by_channel.select("_id", "canonical_key", "channel").unionByName(by_synonym).join(asked.select("_id", "category", "value", "value_kind", "unit"), "_id").join(attributes, "canonical_key", "left")
+    found = by_channel.select("_id", "canonical_key", "channel").unionByName(by_synonym).join(asked.select("_id", "category", "value_kind", "numeric", "unit"), "_id").join(attributes, "canonical_key", "left")
     known = F.col("data_type").isNotNull()
     half = lambda x: F.when(known, x).otherwise(0.5)
     signals = {
-        "channel": F.col("channel"), "synonym": 1.0 - F.col("channel"), "type": half(type_fit(F.col("data_type"), F.col("value_kind"), F.col("value"))),
+        "channel": F.col("channel"), "synonym": 1.0 - F.col("channel"), "type": half(type_fit(F.col("data_type"), F.col("value_kind"), F.col("numeric"))),
         "unit": half(unit_fit(F.col("unit_type"), F.col("allowed_units"), F.col("unit"))), "category": half(category_fit(F.col("category_scope"), F.col("category"))),
     }
     scored = found.withColumn("score", F.round(mapping_score(signals), 9))
