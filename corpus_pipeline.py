@@ -16,14 +16,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good; it is fitted to those of labels that are in docs."""
+    """Documents that the classifier predicts to be good; it is fitted to those of labels that are in docs.
+
+    Null and empty texts and rows without a doc_id are scored like others, repeated rows alike; without labels of both
+    classes all have the prior's verdict. An empty table stays empty; columns beyond those of documents go.
+    """
     return nbsvm.classify(docs.select(COLUMNS), table(spark, sf_dir, "labels")).filter("predicted = 1").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8), that of the least doc_id.
 
-    Repeated rows of one doc_id and text count once; rows without a doc_id all stay.
+    Repeated rows of one doc_id and text count once; rows without a doc_id all stay, and so do null and wordless texts,
+    which are no one's duplicates. An empty table stays empty; columns beyond those of documents go.
     """
     docs = docs.select(COLUMNS)
     kept = near_dup.near_duplicates(docs, size=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
@@ -34,19 +39,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what stands in an earlier document or earlier in the same, from 100 bytes on."""
+    """Texts without what stands in an earlier document or earlier in the same, from 100 bytes on.
+
+    A character of which a repeat has only some bytes stays. Null texts stay null, rows without a doc_id and all but one of
+    the texts of a doc_id pass whole. n_chars is the new text's. An empty table stays empty; other columns go.
+    """
     done = suffix_dedup.remove_repeats(docs.select(COLUMNS), as_text=True)
     text = F.when(F.size("removed_spans") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources weigh as the square roots of their sizes, in shuffled order."""
+    """Documents repeated so that sources weigh as the square roots of their sizes, in shuffled order.
+
+    A null source is a source; null texts and repeated rows are drawn like others, rows of one doc_id alike, rows without
+    one as an empty one. An empty table stays empty; columns beyond those of documents go.
+    """
     return source_mix.mix_sources(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every piece of every document in a sequence of a permitted length."""
+    """Place of every piece of every document in a sequence of a permitted length.
+
+    A null or empty text has its end token alone; rows of one doc_id, null too, are documents of their own. An empty
+    table gives no places; other columns are not read.
+    """
     return best_fit.pack_documents(docs, best_fit.byte_tokens())
 
 
