@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -47,11 +47,15 @@ def diff_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str], con
     return rows.select(key, "d.field", "d.old", "d.new", "confidence", (F.col("confidence") >= least).alias("auto"))
 
 
-def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str]) -> DataFrame:
-    """Rows of headed CSV files with an attributes map of the columns named attributes.* and errors.
+def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str], most_bytes: int = 100 << 20, most_rows: int = 100_000) -> DataFrame:
+    """Rows of headed CSV files with row (from 1, in each file), an attributes map of the columns named attributes.*, and errors.
 
-    Headers are read from the first line, which must hold the required columns and no unknown ones.
+    Headers are read from the first line, which must hold the required columns and no unknown ones. Files that are too
+    large together, or have too many rows, are refused.
     """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() > most_bytes:
+        raise ValueError(f"over {most_bytes} bytes")
     header = spark.read.option("header", True).csv(path).columns
     if missing := [c for c in required if c not in header]:
         raise ValueError(f"missing columns: {missing}")
@@ -59,7 +63,12 @@ def read_csv(spark: SparkSession, path: str, required: list[str], optional: list
         raise ValueError(f"unknown columns: {unknown}")
     schema = StructType([StructField(c, StringType()) for c in [*header, "_corrupt"]])
     rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    place = Window.partitionBy("_file").orderBy("_block", "_order")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"))
+    rows = rows.withColumn("row", F.row_number().over(place)).persist()
+    if rows.count() > most_rows:
+        raise ValueError(f"over {most_rows} rows")
     extra = [c for c in header if c.startswith("attributes.")]
     pairs = F.filter(F.array(*[F.struct(F.lit(c.removeprefix("attributes.")).alias("key"), F.col(f"`{c}`").alias("value")) for c in extra]), lambda p: p["value"].isNotNull()) if extra else F.array().cast("array<struct<key:string,value:string>>")
     errors = F.array_compact(F.array(F.when(F.col("_corrupt").isNotNull(), F.lit("corrupt")), *[F.when(F.trim(F.col(f"`{c}`")).isNull() | (F.trim(F.col(f"`{c}`")) == ""), F.lit(f"{c} is empty")) for c in required]))
-    return rows.select(*[F.col(f"`{c}`") for c in header if c not in extra], F.map_from_entries(pairs).alias("attributes"), errors.alias("errors"))
+    return rows.select("row", *[F.col(f"`{c}`") for c in header if c not in extra], F.map_from_entries(pairs).alias("attributes"), errors.alias("errors"))

@@ -212,8 +212,11 @@ def test_stores(spark, tmp_path):
     (tmp_path / "a.csv").write_text("sku,title,attributes.color\n1,Chair,red\n2,,\n")
     rows = store.read_csv(spark, str(tmp_path / "a.csv"), ["sku", "title"], []).orderBy("sku").collect()
     assert rows[0].attributes == {"color": "red"} and rows[0].errors == [] and rows[1].errors == ["title is empty"]
-    with pytest.raises(ValueError):
-        store.read_csv(spark, str(tmp_path / "a.csv"), ["sku", "price"], ["title"])
+    assert [r.row for r in rows] == [1, 2]
+    for wrong in ({"required": ["sku", "price"]}, {"most_rows": 1}, {"most_bytes": 10}, {"optional": []}):
+        args = {"required": ["sku"], "optional": ["title"]} | wrong
+        with pytest.raises(ValueError):
+            store.read_csv(spark, str(tmp_path / "a.csv"), **args)
 
 
 def run_stream(spark, tmp_path, make, schema, files, mode="append"):
