@@ -28,6 +28,8 @@ GRAMS, WORD_GRAMS, RENAMED = (3, 5), (1, 2), (2, 3, 4, 6, 8)
 #: Labelled documents that the linear model is fitted to, at most: those of least hash. Ratios use all.
 SAMPLE = 6000
 COST, ROUNDS = 1.0, 12
+#: Bytes of text whose n-grams are held at once.
+BLOCK_BYTES = 1 << 20
 
 
 def renamed(words: np.ndarray, size: int) -> np.ndarray:
@@ -138,7 +140,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
         counts = np.zeros((2, BUCKETS), np.int64)
         names = ["bucket", "n0", "n1", "draw", "label", "buckets"]
         for batch in batches:
-            for part in blocks(batch.select(["draw", "label", "text"])):
+            for part in blocks(batch.select(["draw", "label", "text"]), limit=BLOCK_BYTES):
                 bucket, doc = features(part.column(2))
                 label = np.asarray(part.column(1)).astype(np.int64)
                 draw = np.asarray(part.column(0))
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=BLOCK_BYTES):
                 bucket, doc = features(part.column(part.schema.get_field_index("text")))
                 k = np.bincount(doc, minlength=part.num_rows)
                 margin = (np.bincount(doc, w[bucket], minlength=part.num_rows) + bias) / np.sqrt(k + 1)

@@ -46,7 +46,7 @@ def sign(docs: DataFrame, size: int, band_rows: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=1 << 20):
                 words = smh.Words(part.column(1))
                 elements, firsts = smh.shingle_sets(words, size)
                 keys = smh.bands(smh.signatures(elements, firsts, REGISTERS), band_rows)

@@ -344,7 +344,7 @@ def sorted_suffix_runs(firsts: DataFrame, length: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rest.append(batch)
-            if sum(b.num_rows for b in rest) < 20_000:
+            if sum(b.num_rows for b in rest) < 10_000:
                 continue
             t = pa.Table.from_batches(rest)
             anchor = t.column("anchor").to_numpy()
