@@ -31,7 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and reread: cuts lineage, and several readers share one computation."""
     spark = df.sparkSession
     df.write.option("compression", "zstd").parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

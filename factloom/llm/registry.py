@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import ann_partitions, best_fit, divergence, license_scan, nbsvm, near_dup, source_mix, suffix_dedup, token_store, url_rules
+from factloom.llm import ann_partitions, best_fit, divergence, license_scan, nbsvm, near_dup, source_mix, suffix_dedup, token_store, url_rules, whitening
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (nbsvm, license_scan, divergence, ann_partitions, near_dup, suffix_dedup, token_store, url_rules, best_fit, source_mix):
+for _module in (nbsvm, license_scan, divergence, ann_partitions, near_dup, suffix_dedup, token_store, url_rules, best_fit, source_mix, whitening):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))
