@@ -41,7 +41,8 @@ def flat_entries(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     vectors = vectors.cast(kind)
     offsets = np.asarray(vectors.offsets)
     length = np.where(np.asarray(vectors.is_null()), -1, np.diff(offsets))
-    return vectors.values.to_numpy(zero_copy_only=False), offsets[:-1], length
+    values = vectors.values.slice(offsets[0], offsets[-1] - offsets[0])  # a slice's values are those of the whole batch
+    return values.to_numpy(zero_copy_only=False), offsets[:-1] - offsets[0], length
 
 
 def on_grid(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:

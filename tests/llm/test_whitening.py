@@ -73,6 +73,17 @@ def test_deviations_beyond_64_bits(spark):
     assert sorted(int(r.deviation) for r in got) == sorted(deviation) and max(deviation) > 2**63
 
 
+def test_batches_of_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 7 == 3 else rng.normal(size=2).tolist()) for i in range(9500)]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    ids, n, deviation, white, _ = plain(rows)
+    by = {r.vec_id: r for r in got}
+    assert [int(by[i].deviation) for i in ids] == deviation and len(got) == n
+    w = np.array([by[i].whitened for i in ids])
+    np.testing.assert_allclose(w * np.sign((w * white).sum(axis=0)), white, atol=1e-9)
+
+
 def test_any_partitioning(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     one, many = ({r.vec_id: r for r in whitening.whiten(table.repartition(p, F.col("vec_id"))).collect()} for p in (1, 7))
