@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+#: Tables of the blocks of `scratch` that are open.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Deletes the tables that are written in its block when that ends, but for those the yielded function is given."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        _scopes.pop()
+        stay = {df.written_at for df in kept}
+        deleted(*(df for df in mine if df.written_at not in stay))
+        if _scopes:  # a block around this one may still let them go
+            _scopes[-1].extend(df for df in mine if df.written_at in stay)
+
+
 def deleted(*tables: DataFrame) -> None:
     """Delete tables that `written` gave and that nothing reads any more."""
     for df in tables:

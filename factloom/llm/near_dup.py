@@ -13,7 +13,9 @@
    similarity share one of their rarest shingles (all but as many as they must share, and one). Documents with
    such a shingle in common are a bucket again, unless they are one component, so documents that have only a
    frequent passage in common never meet. Buckets go through 3 and 4; outsiders, if many, in chunks.
-6. Components are the least doc_id that reaches a document, by label propagation over the links.
+6. Components are the least doc_id that reaches a document: roots are hooked to their least neighbours, pointers
+   are doubled to the end, and what is left between roots is linked again. Each round joins every root with
+   another, so a chain of n documents takes log2(n) rounds at most, and each of these as many doublings.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import super_minhash as smh
-from factloom.llm.common import partitions, table, written
+from factloom.llm.common import deleted, partitions, scratch, table, written
 from factloom.llm.words import U, blocks
 
 REGISTERS = 120
@@ -36,8 +38,6 @@ BAND_ROWS = ((85, 5), (75, 4), (60, 3), (40, 2), (0, 1))
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Slots that shingles are counted in, to tell rare ones from frequent ones.
 COUNT_SLOTS = 1 << 18
-#: Rounds of label propagation; labels jump, so a path of any length that fits a disk takes fewer.
-MOST_ROUNDS = 200
 
 
 def sign(docs: DataFrame, size: int, band_rows: int) -> DataFrame:
@@ -200,25 +200,46 @@ def rare_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, doc_id long, n long, comp long")
 
 
+def roots(edges: DataFrame) -> DataFrame:
+    """doc_id, up for each end of edges (a, b): every document is hooked to its least neighbour, and up is its tree's root."""
+    both = edges.union(edges.select("b", "a"))
+    near = both.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("up"))
+    # hooks to least neighbours run in circles of two only; the lesser of the two is the root
+    back = near.select(F.col("doc_id").alias("up"), F.col("up").alias("back"))
+    hooked = near.join(back, "up").select("doc_id", F.when((F.col("back") == F.col("doc_id")) & (F.col("doc_id") < F.col("up")), F.col("doc_id")).otherwise(F.col("up")).alias("up"))
+    hooked = written(hooked, "hooks")
+    while True:
+        over = hooked.select(F.col("doc_id").alias("up"), F.col("up").alias("over"))
+        moved = written(hooked.join(over, "up").select("doc_id", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")), "hooks")
+        deleted(hooked)
+        hooked = moved
+        if moved.filter("moved").isEmpty():
+            return hooked
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id, comp (the least doc_id it is joined with) for each end of links (a, b).
 
-    Labels take the least of their neighbours' and then their label's label, until nothing changes; sums
-    and minima combine before the shuffle, so that a hub costs no more than other documents.
+    Minima combine before the shuffle, so that a hub costs no more than other documents.
     """
-    edges = links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select("b", "a")).distinct()
-    edges = written(edges, "edges")
-    labels = written(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
-    for _ in range(MOST_ROUNDS):
-        near = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "doc_id").select("doc_id", F.least("comp", "near").alias("new"), "comp")
-        jump = labels.select(F.col("doc_id").alias("new"), F.col("comp").alias("over"))
-        moved = step.join(jump, "new").select("doc_id", F.least("new", "over").alias("comp"), (F.least("new", "over") < F.col("comp")).alias("moved"))
-        moved = written(moved, "labels")
-        labels = moved.select("doc_id", "comp")
-        if moved.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still move after {MOST_ROUNDS} rounds")
+    ends = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = written(ends(links), "edges")
+    trees: list[DataFrame] = []
+    while not edges.isEmpty() or not trees:
+        trees.append(roots(edges))
+        root = trees[-1].select("doc_id", "up")
+        between = edges.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        between = written(ends(between), "edges")
+        deleted(edges)
+        edges = between
+    deleted(edges)
+    found = trees[-1].select("doc_id", "up")
+    for tree in reversed(trees[:-1]):  # a root of one round is a document of the next
+        found = tree.select("doc_id", "up").join(found.toDF("up", "top"), "up", "left").select("doc_id", F.coalesce("top", "up").alias("up"))
+    found = written(found, "roots")
+    out = written(found.join(found.groupBy("up").agg(F.min("doc_id").alias("comp")), "up").select("doc_id", "comp"), "labels")
+    deleted(found, *trees)
+    return out
 
 
 def across_blocks(left: DataFrame) -> DataFrame:
@@ -244,35 +265,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     band_rows = next(r for p, r in BAND_ROWS if percent >= p)
-    signed = written(sign(docs, size, band_rows), "signed")
-    some = signed.filter("n > 0 and doc_id is not null")
-    if not some.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.distinct()  # a row that is repeated very often would fill its block
-    classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
-    rows = written(reps.select("doc_id", "n", F.explode("bands").alias("bucket"), F.col("doc_id").alias("comp")).distinct(), "bands")
-    members = written(in_blocks(rows), "members")
-
-    def linked(blocks_: DataFrame) -> DataFrame:
-        # members grow with the corpus, so they are never broadcast: texts are shuffled at every size
-        return block_links(blocks_.hint("merge").join(docs, "doc_id"), size, percent)
-
-    inside = lambda m: m.select("bucket", "block", F.lit(0).alias("chunk"), "doc_id", "comp", F.lit(True).alias("probe"))
-    links = written(linked(inside(members.withColumn("comp", F.col("doc_id")))), "links")
-    comps = components(links)
-    if not members.filter("blocks > 1").isEmpty():
-        left = written(unsettled(members, comps), "unsettled")
-        found = linked(across_blocks(left.filter(F.col("others") <= BLOCK_DOCS)))
-        many = written(left.filter(F.col("others") > BLOCK_DOCS).select("doc_id", "comp").distinct(), "many")
-        again = None
-        if not many.isEmpty():
-            again = written(in_blocks(written(rare_shingles(many.hint("merge").join(docs, "doc_id"), size, percent), "rare")), "members")
-            found = found.unionByName(linked(inside(named(again, comps))))
-        links = written(links.unionByName(found), "links")
+    with scratch() as keep:
+        signed = written(sign(docs, size, band_rows), "signed")
+        some = signed.filter("n > 0 and doc_id is not null")
+        if not some.groupBy("doc_id").count().filter("count > 1").isEmpty():
+            docs = docs.distinct()  # a row that is repeated very often would fill its block
+        classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+        reps = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
+        rows = written(reps.select("doc_id", "n", F.explode("bands").alias("bucket"), F.col("doc_id").alias("comp")).distinct(), "bands")
+        members = written(in_blocks(rows), "members")
+
+        def linked(blocks_: DataFrame) -> DataFrame:
+            # members grow with the corpus, so they are never broadcast: texts are shuffled at every size
+            return block_links(blocks_.hint("merge").join(docs, "doc_id"), size, percent)
+
+        inside = lambda m: m.select("bucket", "block", F.lit(0).alias("chunk"), "doc_id", "comp", F.lit(True).alias("probe"))
+        links = written(linked(inside(members.withColumn("comp", F.col("doc_id")))), "links")
         comps = components(links)
-        if again is not None and not (left := written(unsettled(again, comps), "unsettled")).isEmpty():
-            links = written(links.unionByName(linked(across_blocks(left))), "links")
+        if not members.filter("blocks > 1").isEmpty():
+            left = written(unsettled(members, comps), "unsettled")
+            found = linked(across_blocks(left.filter(F.col("others") <= BLOCK_DOCS)))
+            many = written(left.filter(F.col("others") > BLOCK_DOCS).select("doc_id", "comp").distinct(), "many")
+            again = None
+            if not many.isEmpty():
+                again = written(in_blocks(written(rare_shingles(many.hint("merge").join(docs, "doc_id"), size, percent), "rare")), "members")
+                found = found.unionByName(linked(inside(named(again, comps))))
+            links = written(links.unionByName(found), "links")
             comps = components(links)
+            if again is not None and not (left := written(unsettled(again, comps), "unsettled")).isEmpty():
+                links = written(links.unionByName(linked(across_blocks(left))), "links")
+                comps = components(links)
+        keep(signed, classes, comps)
     answer = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
