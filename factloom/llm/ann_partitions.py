@@ -10,7 +10,7 @@ number of partitions grows with the table, and their size doesn't. A query goes
 along the most probable partitions at each level, and visits the most probable ones of the last; inner
 products are computed there in double precision and the best are kept. How many partitions a query visits
 is measured: for a bounded number of probes the whole table is searched by brute force, and the least number
-is taken that finds enough. So the work is in proportion to the table where vectors have a structure that
+is taken that finds enough, all of them if need be. So the work is in proportion to the table where vectors have a structure that
 partitions can follow; of vectors spread evenly in many dimensions most partitions have to be visited.
 
 Equal vectors are one candidate with its smallest ids, so a very common vector costs no more than others.
@@ -18,6 +18,7 @@ Equal vectors are one candidate with its smallest ids, so a very common vector c
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -35,7 +36,7 @@ CELL, MOST_PARTS, LEAST_PARTS = 1000, 60, 8
 #: Distinct vectors below which nothing is cut, and levels of cuts.
 LEAST, MOST_LEVELS = 200, 8
 NEIGHBOURS = 10
-#: Vectors that recall is measured on, partitions that their way down keeps, and the recall aimed at.
+#: Vectors that recall is measured on, partitions that their way down keeps at first, and the recall aimed at.
 PROBES, BEAM, AIM = 256, 4096, 0.93
 #: Vectors in a block of a partition and queries in a block, on average; a task compares block with block.
 BLOCK, QUERY_BLOCK = 4096, 2048
@@ -217,18 +218,23 @@ def brute_force(filed: DataFrame, probes: list, k: int) -> DataFrame:
     return found.withColumn("nth", nth).filter(F.col("nth") <= k).select("key", "cell")
 
 
-def visits(filed: DataFrame, models: list[DataFrame], k: int) -> tuple[int, float]:
-    """The least number of partitions in which probes find AIM of their nearest, and the share they find there."""
+def visits(filed: DataFrame, models: list[DataFrame], k: int) -> int:
+    """The least number of partitions in which probes find AIM of their nearest."""
     probes = filed.select("key", "dim", "embedding").orderBy(F.xxhash64("key", F.lit("probe")), "key").limit(PROBES).collect()
     asking = filed.sparkSession.createDataFrame(probes, "key long, dim int, embedding array<double>").withColumn("query", F.lit(0).cast("long"))
-    ways = ranked(asking, models, BEAM).select("key", "cell", "place")
-    there = brute_force(filed, probes, k).join(ways, ["key", "cell"], "left")
-    counts = {r["place"]: r["n"] for r in there.groupBy("place").agg(F.count("*").alias("n")).collect()}  # BEAM + 1 rows at most
-    total, found, m = sum(counts.values()), counts.get(1, 0), 1
-    while m < BEAM and found < AIM * total:
-        m += 1
-        found += counts.get(m, 0)
-    return m, found / total if total else 1.0
+    there = written(brute_force(filed, probes, k), "vector-probes")
+    total, cells, beam = there.count(), filed.select("dim", "cell").distinct().count(), BEAM
+    while True:
+        ways = ranked(asking, models, beam).select("key", "cell", "place")
+        places = sorted(r["place"] for r in there.join(ways, ["key", "cell"]).select("place").collect())  # PROBES * k at most
+        enough = max(1, math.ceil(AIM * total))
+        if len(places) >= enough:
+            return places[enough - 1]
+        if beam >= cells:  # all partitions were on the way
+            if total:
+                raise RuntimeError(f"probes find {len(places)} of {total} nearest in all partitions")
+            return 1
+        beam *= 8
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -247,7 +253,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     classes = written(firsts, "vector-classes")
     filed, models = build(classes)
     alike = asked.groupBy("key", "dim", "embedding").agg(F.min("vec_id").alias("query"))
-    visit, _ = visits(filed, models, k)
+    visit = visits(filed, models, k)
     # the way down keeps more than are visited, for the best parts of a partition that isn't among the first itself
     queries = written(ranked(alike, models, 2 * visit).filter(F.col("place") <= visit), "vector-queries")
     cell = ["dim", "cell"]
