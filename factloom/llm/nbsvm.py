@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from factloom.llm.common import table, written
 from factloom.llm.words import U, blocks, flat_bytes, mix, prefix_hash, shingle_hash, slice_hash, word_bounds
 
-BITS = 16
+BITS = 18
 BUCKETS = 1 << BITS
 #: Lengths of byte n-grams, word n-grams and n-grams of renamed words.
 GRAMS, WORD_GRAMS, RENAMED = (3, 5), (1, 2), (2, 3, 4, 6, 8)
 #: Labelled documents that the linear model is fitted to, at most: those of least hash. Ratios use all.
 SAMPLE = 6000
+#: Bytes of their bucket lists, at most: of long texts fewer are fitted to. A byte of text has so many n-grams at most.
+FIT_BYTES, GRAMS_A_BYTE = 128 << 20, 6
 COST, ROUNDS = 1.0, 12
 #: Bytes of text whose n-grams are held at once.
 BLOCK_BYTES = 1 << 20
@@ -87,17 +89,19 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     Classes weigh alike in sum.
     """
     w, alpha = np.zeros(len(ratio) + 1), np.zeros(len(rows))
-    values = [np.append(ratio[r], 1.0) / np.sqrt(len(r) + 1) for r in rows]
-    index = [np.append(r, len(ratio)) for r in rows]
-    norms = [float(v @ v) for v in values]
+    roots = np.sqrt([len(r) + 1 for r in rows])
+    norms = [float(ratio[r] @ ratio[r] + 1) / (len(r) + 1) for r in rows]
     share = {c: cost * len(y) / (2 * max(1, (y == c).sum())) for c in (-1, 1)}
     rng = np.random.default_rng(3)
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[index[i]] @ values[i]) - 1
+            values = ratio[rows[i]]  # made anew each time: the lists alone are held
+            gradient = y[i] * (w[rows[i]] @ values + w[-1]) / roots[i] - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), share[int(y[i])])
             if new != alpha[i]:
-                w[index[i]] += (new - alpha[i]) * y[i] * values[i]
+                step = (new - alpha[i]) * y[i] / roots[i]
+                w[rows[i]] += step * values
+                w[-1] += step
                 alpha[i] = new
     return w
 
@@ -121,20 +125,21 @@ def fit_sample(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) ->
     """Model of bucket lists and labels 0/1; of fewer than two classes, a constant."""
     if len(set(label.tolist())) < 2 or len(rows) < 20:
         prior = (label.sum() + 1) / (len(label) + 2)
-        return {"w": np.zeros(BUCKETS), "bias": 0.0, "a": 0.0, "b": float(np.log(prior / (1 - prior)))}
+        return {"w": np.zeros(BUCKETS), "bias": 0.0, "a": 0.0, "b": float(np.log(prior / (1 - prior))), "rows": len(rows)}
     y = np.where(label > 0, 1, -1)
     late = np.arange(len(rows)) % 5 == 4
     w = descend([r for r, s in zip(rows, late, strict=True) if not s], y[~late], ratio)
     margin = np.array([((w[:-1] * ratio)[r].sum() + w[-1]) / np.sqrt(len(r) + 1) for r in rows])
     held = late if len(set(label[late].tolist())) == 2 else ~late
     a, b = logistic(margin[held], label[held])
-    return {"w": w[:-1] * ratio, "bias": float(w[-1]), "a": a, "b": b}
+    return {"w": w[:-1] * ratio, "bias": float(w[-1]), "a": a, "b": b, "rows": len(rows)}
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model of doc_id, text, label (0 or 1)."""
-    total = labelled.count()
-    share = min(1.0, 1.3 * sample / total) if total else 1.0
+    """The model of doc_id, text, label (0 or 1): ratios of all rows, weights of `sample` rows and FIT_BYTES at most."""
+    size = F.least(F.lit(BUCKETS), GRAMS_A_BYTE * F.coalesce(F.octet_length("text"), F.lit(0))) * 4
+    total, bytes_ = labelled.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head()
+    share, most = min(1.0, 1.3 * sample / max(1, total), FIT_BYTES / max(1, bytes_)), FIT_BYTES
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
@@ -165,10 +170,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     ratio = np.log(p[1] / p[0])
 
     def fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, label = [], []
+        rows, label, held = [], [], 0
         for b in batches:
-            rows += [np.frombuffer(x, np.int32) for x in b["buckets"]]
-            label += b["label"].tolist()
+            for x, y in zip(b["buckets"], b["label"], strict=True):
+                if held + len(x) <= most:
+                    rows.append(np.frombuffer(x, np.int32))
+                    label.append(y)
+                held += len(x)
         yield pd.DataFrame({"model": [pickle.dumps(fit_sample(rows, np.array(label, np.int64), ratio))]})
 
     chosen = out.filter("buckets is not null").select("draw", "label", "buckets").orderBy("draw", "label", "buckets").limit(sample)
