@@ -79,11 +79,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
 
     A document appears as often as its draw says, or not at all. Repeated rows of one doc_id draw alike;
     a null doc_id draws as an empty one; a null or empty text is replicated like any other. An empty table
-    gives an empty one. Columns of docs named copy, mix_key or rate are replaced.
+    gives an empty one. Columns of docs named copy, mix_key or rate are replaced, all others are kept.
     """
     spark = docs.sparkSession
     docs = docs.drop("copy", "mix_key", "rate")
+    names = docs.columns
     rates = target_rates(docs.select("source"), weights, power, epochs)
+    # a row goes as a whole, so that helper names don't meet the table's
+    docs = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     n = draws(F.col("rate"))
     steps = rates.filter("rate > 0").select(F.col("source").alias("_mix_source"), n.alias("_mix_draws"), poisson_steps(F.col("rate") / n).alias("_mix_steps"))
     most = 8 * (PIECE_RATE + 12 * PIECE_RATE**0.5 + 31) + 64  # bytes of a list and what goes with it
@@ -93,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     drawn = drawn.withColumn("_mix_times", times(seed, F.col("doc_id"), F.col("_mix_draws"), F.col("_mix_steps"))).filter("_mix_times > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
-    return copies.select(*docs.columns, "copy", "mix_key").repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
+    return copies.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "copy", "mix_key").repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
