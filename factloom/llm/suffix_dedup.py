@@ -15,7 +15,8 @@ Sorting all suffixes of a corpus isn't needed for that; most have no partner. So
 3. What is left are first segments whose anchor's K bytes also occur in other segments. Their suffixes
    are brought in order together, by prefix doubling, in a task for many anchors; previous and next smaller
    positions, by a stack, give the longest previous factors. Of an anchor with very many segments only the
-   windows take part that occur in more than one task, again once for each task: a bounded number.
+   windows take part that occur in more than one task, again once for each task, and each window is a group of its
+   own: suffixes that agree in all its bytes, a row for each task at most.
 4. Each document gets its runs and is cut.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions, table, written
+from factloom.llm.common import deleted, partitions, scratch, table, written
 from factloom.llm.words import U, blocks, flat_bytes, mix, prefix_hash, slice_hash, slices_equal
 
 LENGTH = 100
@@ -224,6 +225,11 @@ def settled(rows: DataFrame, length: int) -> DataFrame:
             many = int(key[-1]) if going_on else None
             return pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int8)), pa.array(key[keep]), pa.array(doc[keep]), pa.array(at[keep])], ["kind", "key", "doc_id", "at"])
 
+        def copies(x: np.ndarray) -> pa.RecordBatch:
+            start = x[3] >> 8
+            at = (start << 32) | (start + (x[3] & 255) + length - 1)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(x.shape[1], np.int8)), pa.array(x[0]), pa.array(x[2]), pa.array(at)], ["kind", "key", "doc_id", "at"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -236,6 +242,9 @@ def settled(rows: DataFrame, length: int) -> DataFrame:
             if x.shape[1] > 4 * GROUP + 4:
                 # a key of very many rows: what is held is judged as of many, up to the last segment, which may go on
                 cut = int(np.searchsorted(x[1], x[1][-1])) if x[1][0] != x[1][-1] else 0
+                if not cut and x[1][0]:  # of one segment: all but its first row are later copies
+                    yield copies(x[:, 1:])
+                    x = x[:, :1]
                 if cut > GROUP:
                     many = int(x[0][0])
                     yield judge(x[:, :cut], True)
@@ -440,24 +449,22 @@ def window_rows(segs: DataFrame, length: int) -> DataFrame:
     return segs.select("doc_id", "start", "windows", "bytes").mapInArrow(run, "h1 long, h2 long, doc_id long, segment long, start long, run long")
 
 
-def common_windows(segs: DataFrame, windows: DataFrame, length: int, k: int) -> DataFrame:
-    """anchor, doc_id, start, windows, bytes of the parts of segs that windows (doc_id, segment, start) are of."""
-    lists = windows.groupBy("doc_id", "segment").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+def common_windows(segs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """anchor, doc_id, start, windows (1), bytes of windows (h1, doc_id, segment, start) of segs; anchor is h1, so that
+    equal windows alone meet."""
+    lists = windows.groupBy("doc_id", "segment").agg(F.collect_list(F.struct("start", "h1")).alias("starts"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, segment, starts, raws = (batch.column(c).to_pylist() for c in range(4))
-            rows = []
-            for d, s, at, raw in zip(doc, segment, starts, raws, strict=True):
-                at = np.unique(np.array(at, np.int64))
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    rows.append((d, int(part[0]), len(part), raw[part[0] - s : part[-1] - s + length]))
-            data, firsts = flat_bytes(pa.array([r[3] for r in rows], pa.binary()))
-            anchor = np.zeros(0, U)
-            if rows:  # all windows of a segment have one anchor, so the first one tells it
-                hashes, place = anchor_places(data, firsts[:-1], length, k)
-                anchor = hashes[place]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["anchor", "doc_id", "start", "windows", "bytes"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lists, many = part.column(2), part.column(2).value_lengths()
+                of = pa.array(np.repeat(np.arange(part.num_rows), many.to_numpy()))
+                start, h1 = (lists.flatten().field(i) for i in range(2))
+                at = (start.to_numpy() - part.column(1).take(of).to_numpy()).tolist()
+                raws = part.column(3).to_pylist()
+                cut = pa.array([raws[i][a : a + length] for i, a in zip(of.to_pylist(), at, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([h1, part.column(0).take(of), start, pa.array(np.ones(len(of), np.int32)), cut], ["anchor", "doc_id", "start", "windows", "bytes"])
 
     joined = segs.select("doc_id", F.col("start").alias("segment"), "bytes").join(lists.hint("merge"), ["doc_id", "segment"])
     return joined.select("doc_id", "segment", "starts", "bytes").mapInArrow(run, "anchor long, doc_id long, start long, windows int, bytes binary")
@@ -480,10 +487,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
         whole = whole.union(windows.filter("run is not null").select("doc_id", "run"))
         firsts = windows.filter("run is null")
         shared = firsts.groupBy("h1", "h2").count().filter("count > 1").drop("count")
-        shared = firsts.join(shared.hint("merge"), ["h1", "h2"]).select("doc_id", "segment", "start")
-        alike = cut.filter("kind = 1").select(names).union(common_windows(many, shared, length, k))
+        shared = firsts.join(shared.hint("merge"), ["h1", "h2"]).select("h1", "doc_id", "segment", "start")
+        alike = cut.filter("kind = 1").select(names).union(common_windows(many, shared, length))
     found = whole.union(sorted_suffix_runs(alike, length).select("doc_id", packed))
-    return found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    return written(found.groupBy("doc_id").agg(F.collect_list("run").alias("runs")), "runs")
 
 
 def merged(runs: np.ndarray) -> np.ndarray:
@@ -510,7 +517,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, as_text: b
 
     docs: doc_id (long), text; texts are UTF-8 bytes, null is empty; matches never cross documents. Rows of
     equal doc_id and text are one document and get the same answer. Of rows that share a doc_id but not
-    the text, the one of the least hash is the document; the others, and rows of a null doc_id, pass
+    the text, the one of the least SHA-256 is the document; the others, and rows of a null doc_id, pass
     whole and are nobody's earlier copy. Texts under `length` bytes pass whole. Other columns are kept,
     but for ones named n_bytes, removed_spans, kept_bytes or kept_text.
     """
@@ -519,15 +526,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, as_text: b
     k = min(k, length // 3)
     if length - k > 254:
         raise ValueError("the anchor is too short for this length")
-    docs = docs.drop("n_bytes", "removed_spans", "kept_bytes", "kept_text", "_ours", "_digest", "_runs").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    digests = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("_digest"), F.max("digest").alias("most"))
-    clash = written(digests.filter("_digest <> most").select("doc_id", "_digest"), "clashes")
-    ours = docs.withColumn("_ours", F.col("doc_id").isNotNull())
-    if not clash.isEmpty():
-        ours = docs.join(clash, "doc_id", "left").withColumn("_ours", F.col("doc_id").isNotNull() & (F.col("_digest").isNull() | (F.col("_digest") == F.xxhash64("text")))).drop("_digest")
-    runs = repeated_runs(ours.filter("_ours").select("doc_id", "text"), length, k)
-    names = [c for c in docs.columns if c != "text"]
-    joined = ours.join(runs.hint("merge"), "doc_id", "left").select(*names, "text", F.when(F.col("_ours"), F.col("runs")).alias("_runs"))
+    docs = docs.drop("n_bytes", "removed_spans", "kept_bytes", "kept_text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    order = docs.columns
+    others = [c for c in order if c not in ("doc_id", "text")]
+    # other columns go as one, so that helper names don't meet the table's
+    docs = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("_")).alias("rest"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    digests = docs.filter("doc_id is not null").select("doc_id", digest.alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    with scratch() as keep:
+        clash = written(digests.filter("least <> most").select("doc_id", "least"), "clashes")
+        ours = docs.withColumn("ours", F.col("doc_id").isNotNull())
+        if clash.isEmpty():
+            deleted(clash)
+        else:
+            ours = docs.join(clash, "doc_id", "left").withColumn("ours", F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("least") == digest))).drop("least")
+        runs = repeated_runs(ours.filter("ours").select("doc_id", "text"), length, k)
+        keep(clash, runs)
+    names = ["doc_id", "rest"]
+    joined = ours.join(runs.hint("merge"), "doc_id", "left").select(*names, "text", F.when(F.col("ours"), F.col("runs")).alias("_runs"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -553,7 +569,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, as_text: b
 
     last = ("kept_text", "string") if as_text else ("kept_bytes", "binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*names, "text").schema)
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, removed_spans array<struct<start:long,end:long>>, {last[0]} {last[1]}")
+    done = joined.mapInArrow(cut, f"{fields}, n_bytes long, removed_spans array<struct<start:long,end:long>>, {last[0]} {last[1]}")
+    return done.select(*(F.col(f"rest.`{c}`").alias(c) if c in others else c for c in order), "n_bytes", "removed_spans", last[0])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def edge_docs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     from pyspark.sql import functions as F
 
-    for name in ("n_chars", "score", "copy", "kept", "n_words", "bucket", "key", "steps", "label", "n_bytes", "piece"):
+    for name in ("n_chars", "score", "copy", "kept", "n_words", "bucket", "key", "steps", "label", "n_bytes", "piece", "runs", "ours", "rest", "row", "_mix_steps", "_mix_source", "least"):
         docs = docs.withColumn(name, F.lit(7).cast("long"))
     return docs
 

@@ -118,7 +118,7 @@ def test_repeats_match_brute_force(spark, sf_dir, monkeypatch, group):
 
 def test_repeats_edges(spark, edge_docs, no_docs):
     done = suffix_dedup.remove_repeats(edge_docs, length=20)
-    assert done.count() == edge_docs.count() and "n_words" in done.columns
+    assert done.count() == edge_docs.count() and {*edge_docs.columns} <= {*done.columns} and done.filter("runs = 7 and rest = 7 and n_words = 7").count() == done.count()
     rows = [r for r in done.collect() if r.doc_id is not None]
     want = removed(pairs(edge_docs), 20)
     for r in rows:
