@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import best_fit, nbsvm, near_dup, source_mix, suffix_dedup
-from factloom.llm.common import table, written
+from factloom.llm.common import deleted, scratch, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(COLUMNS)
     kept = near_dup.near_duplicates(docs, size=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars"))
+    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("lang", "source", "n_chars"))
     named = named.withColumn("_first", first).filter("_first = 1").select(COLUMNS)
     return named.unionByName(docs.filter("doc_id is null"))
 
@@ -79,7 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; tables that no later stage reads are deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            done = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(done)
+        if name != STAGES[0][0]:
+            deleted(docs)
+        docs = done
     return docs
