@@ -161,8 +161,8 @@ def validate(records: DataFrame, rules: DataFrame) -> DataFrame:
     """id, valid, missing, errors of records (id, category, attributes map<string,string>).
 
     rules: category, tier, key, keyword, arg; keywords are required, type (string, number, integer, boolean),
-    enum (values joined by |), minimum, maximum, exclusiveMinimum, multipleOf, const, pattern. Every rule is
-    tried. Records whose category has no rule, or none of the authoritative tier, are valid.
+    enum (values joined by |), minimum, maximum, exclusiveMinimum, multipleOf, const, pattern, and any other fails. Every
+    rule is tried (schemas.check_records has all keywords, on nested records). Records whose category has no rule, or none of the authoritative tier, are valid.
     """
     strict = rules.filter("tier = 'authoritative'").groupBy("category").agg(F.sort_array(F.collect_list(F.struct("key", "keyword", "arg"))).alias("rules"))
     both = records.select("id", "category", "attributes").join(strict, "category", "left")
@@ -181,6 +181,7 @@ def validate(records: DataFrame, rules: DataFrame) -> DataFrame:
             .when(r["keyword"] == "multipleOf", F.pmod(n, arg.try_cast("double")) != 0)
             .when(r["keyword"] == "const", v != arg)
             .when(r["keyword"] == "pattern", ~F.rlike(v, arg))
+            .otherwise(F.raise_error(F.concat(F.lit("unknown keyword: "), r["keyword"])).cast("boolean"))
         )
         return v.isNotNull() & F.coalesce(bad, F.lit(False))
 
@@ -199,23 +200,3 @@ def with_overlay(rules: DataFrame, overlay: DataFrame, tenant: str) -> DataFrame
     tiers = rules.groupBy("category").agg(F.min("tier").alias("tier"))
     own = overlay.filter(F.col("tenant") == tenant).drop("tenant", "tier").join(tiers, "category")
     return rules.unionByName(own.select(rules.columns)).distinct()
-
-
-def detect_category(title: Column, leaf: Column, tags: Column, paths: list[str]) -> Column:
-    """Struct of path and confidence: exact leaf .85, substring .75, a title word of four letters or more .65, a tag .60.
-
-    The first path in list order within a rule; path null and 0 if none fits.
-    """
-    last = [p.rsplit("/", 1)[-1].lower() for p in paths]
-    low, words = F.lower(F.trim(leaf)), F.filter(F.split(F.lower(title), r"[^a-z0-9]+"), lambda w: F.length(w) >= 4)
-
-    def first(test) -> Column:
-        return F.coalesce(*[F.when(F.coalesce(test(x), F.lit(False)), F.lit(p)) for p, x in zip(paths, last, strict=True)], F.lit(None).cast("string"))
-
-    tests = [(lambda x: low == x, 0.85), (lambda x: (low != "") & (F.contains(low, F.lit(x)) | F.contains(F.lit(x), low)), 0.75), (lambda x: F.array_contains(words, x), 0.65), (lambda x: F.array_contains(F.transform(tags, lambda t: F.lower(t)), x), 0.60)]
-    out = None
-    for test, confidence in tests:
-        path = first(test)
-        found = F.struct(path.alias("path"), F.lit(confidence).alias("confidence"))
-        out = F.when(path.isNotNull(), found) if out is None else out.when(path.isNotNull(), found)
-    return out.otherwise(F.struct(F.lit(None).cast("string").alias("path"), F.lit(0.0).alias("confidence")))

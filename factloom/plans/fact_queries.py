@@ -240,19 +240,6 @@ def validate_parts(spark, sf_dir):
     return P.validate(records, rules).select("id", "valid", F.size("errors").alias("n_errors"), F.size("missing").alias("n_missing"))
 
 
-@query(
-    "category_detect",
-    """
-    SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' THEN 'parts/widget' WHEN p_name LIKE '%bolt%' THEN 'parts/bolt' WHEN p_type = 'PROMO' THEN 'deals/promo' END AS path,
-           CASE WHEN p_type = 'PROMO' THEN 0.85 WHEN p_name LIKE '%widget%' OR p_name LIKE '%bolt%' THEN 0.65 ELSE 0.0 END AS confidence
-    FROM part
-    """.replace("CASE WHEN p_name LIKE '%widget%' THEN 'parts/widget'", "CASE WHEN p_type = 'PROMO' THEN 'deals/promo' WHEN p_name LIKE '%widget%' THEN 'parts/widget'", 1),
-)
-def category_detect(spark, sf_dir):
-    found = P.detect_category(F.col("p_name"), F.col("p_type"), F.array().cast("array<string>"), ["parts/widget", "parts/bolt", "deals/promo"])
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.path", "f.confidence")
-
-
 @query(
     "unit_convert",
     "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 2.54 WHEN 1 THEN p_size * 453.592 WHEN 2 THEN NULL ELSE p_size * 1000.0 END AS value FROM part",
