@@ -1,7 +1,7 @@
-"""Facts from a page's visible markup, for pages without structured data, in SQL functions: one scan, no shuffle.
+"""Facts from a page's visible markup, for pages without structured data: one scan, no shuffle.
 
-Elements are found in the text: an element ends at the next closing tag of its name, so one that holds
-another of its own name is cut there. Values are texts; several options are a JSON array.
+Tags are swept once for the intervals of their elements, and heuristics are SQL functions on those. Values are texts;
+several options are a JSON array.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.html import readable, decode, page_title
+from factloom.functions.elements import below, inner, text_of, with_elements
+from factloom.functions.html import attribute, decode, page_title, readable
 from factloom.functions.scalars import let, slug
 
 # What marks prices, icons, size suffixes and separators.
@@ -18,7 +19,7 @@ PRICE_CLASS = "price|amount|cost"
 ICON = r"(?i)/(favicon|icon|sprite|logo)"
 SIZE_SUFFIX = r"(?i)[_-]\d{2,4}x\d{2,4}(?=\.[a-z]{2,4}(?:$|\?))"
 SEPARATORS = ["", ">", "/", "›"]
-MOST_IMAGES, MOST_ALTERNATIVES, LEAST_PIXELS, LEAST_DESCRIPTION = 10, 3, 200, 20
+MOST_IMAGES, MOST_ALTERNATIVES, MOST_INNER, LEAST_PIXELS, LEAST_DESCRIPTION = 10, 3, 5, 200, 20
 _FACT = "array<struct<raw_key:string,value:string,confidence:double,alternatives:array<string>>>"
 
 
@@ -31,8 +32,21 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.nullif(decode(F.trim(F.regexp_extract(tag, rf"(?i)^<[^>]*\s{name}=[\"']([^\"']*)[\"']", 1))), F.lit(""))
 
 
-def _text(markup: Column) -> Column:
-    return F.regexp_replace(decode(F.regexp_replace(markup, r"<[^>]+>", "")), r"^\s+|\s+$", "")
+def _named(e: Column, name: str) -> Column:
+    """Value of an element's attribute; null where it is missing or empty."""
+    return decode(attribute(e["attrs"], name))
+
+
+def _is(e: Column, *names: str) -> Column:
+    return e["name"].isin(*names)
+
+
+def _has(e: Column, pattern: str, *attributes: str) -> Column:
+    """Whether one of an element's attributes fits a pattern."""
+    out = F.lit(False)
+    for a in attributes:
+        out = out | F.coalesce(attribute(e["attrs"], a).rlike(pattern), F.lit(False))
+    return e["attrs"].rlike(pattern) & out
 
 
 def _fact(key, value: Column, confidence, alternatives: Column | None = None) -> Column:
@@ -41,23 +55,20 @@ def _fact(key, value: Column, confidence, alternatives: Column | None = None) ->
     return F.struct(of(key).alias("raw_key"), value.alias("value"), of(confidence).alias("confidence"), none.alias("alternatives"))
 
 
-def price(html: Column) -> Column:
-    """The most confident price, of equals the least: itemprop (.90), then elements of a price's class (.65)."""
-    marked = F.transform(
-        _all(html, r"(?i)<[a-z][^>]*\sitemprop=[\"']price[\"'][^>]*>[^<]*"),
-        lambda t: F.struct(F.lit(-0.90).alias("c"), F.regexp_replace(F.coalesce(_attribute(t, "content"), _text(t)), "[$,€£₹¥]", "").try_cast("double").alias("v")),
-    )
-    classed = rf"(?is)<(?=([a-z][a-z0-9]*)\b[^>]*\sclass=[\"'][^\"']*(?:{PRICE_CLASS})[^\"']*[\"'][^>]*>(.{{0,20000}}?)</\1\s*>)"  # consumes one character, so that inner elements count too
-    leaves = F.filter(_all(html, classed, 2), lambda m: F.regexp_count(m, F.lit("(?i)<[a-z]")) <= 5)
+def price(html: Column, all_: Column, words: Column) -> Column:
+    """The most confident price, of equals the least: itemprop (.90), then elements of a price's class (.65) with few inside."""
+    number = lambda t: F.regexp_replace(F.trim(t), "[$,€£₹¥]", "").try_cast("double")
+    marked = F.transform(F.filter(all_, lambda e: e["attrs"].contains("price") & F.coalesce(attribute(e["attrs"], "itemprop") == "price", F.lit(False))), lambda e: F.struct(F.lit(-0.90).alias("c"), number(F.coalesce(_named(e, "content"), text_of(words, e))).alias("v")))
+    small = F.filter(all_, lambda e: _has(e, f"(?i){PRICE_CLASS}", "class") & (F.size(inner(all_, e)) <= MOST_INNER))
     amount = lambda t: F.regexp_replace(F.concat(F.regexp_extract(t, CURRENCY, 1), F.regexp_extract(t, CURRENCY, 2)), ",", "").try_cast("double")
-    shown = F.transform(leaves, lambda m: F.struct(F.lit(-0.65).alias("c"), amount(_text(m)).alias("v")))
+    shown = F.transform(small, lambda e: F.struct(F.lit(-0.65).alias("c"), amount(text_of(words, e)).alias("v")))
     ranked = F.array_sort(F.filter(F.concat(marked, shown), lambda p: (p["v"] > 0) & (p["v"] < float("inf"))))
     as_text = lambda p: p["v"].cast("string")
     others = lambda all_: F.transform(F.slice(all_, 2, MOST_ALTERNATIVES), as_text)
     return let(ranked, lambda all_: F.transform(F.slice(all_, 1, 1), lambda p: _fact("base_price", as_text(p), -p["c"], others(all_))))
 
 
-def images(html: Column) -> Column:
+def images(html: Column, all_: Column, words: Column) -> Column:
     """og:image (.80), then img (.60): no data, icons or small ones; sizes of one picture count once."""
     size = lambda t, name: F.coalesce(_attribute(t, name).try_cast("double"), F.lit(0.0))
     large = lambda t, name: ~((size(t, name) > 0) & (size(t, name) < LEAST_PIXELS))
@@ -71,33 +82,49 @@ def images(html: Column) -> Column:
     return F.transform(F.slice(first, 1, MOST_IMAGES), lambda x: _fact("image_url", x["u"], x["c"]))
 
 
-def breadcrumb(html: Column) -> Column:
-    """Category path of the first breadcrumb element, without the last step; .50 and .10 for each of four steps."""
-    inside = F.regexp_extract(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id|aria-label)=[\"'][^\"']*breadcrumb[^\"']*[\"'][^>]*>(.{0,20000}?)</\1\s*>", 2)
-    listed, inline = _all(inside, r"(?is)<li\b[^>]*>(.{0,20000}?)</li\s*>", 1), _all(inside, r"(?is)<(a|span|strong|em)\b[^>]*>(.{0,20000}?)</\1\s*>", 2)
-    steps = F.transform(F.when(F.size(listed) > 0, listed).otherwise(inline), _text)
-    steps = let(F.filter(steps, lambda s: ~s.isin(SEPARATORS)), lambda all_: F.filter(all_, lambda s, i: (i == 0) | (s != F.get(all_, i - 1))))
-    chain = let(steps, lambda all_: F.transform(F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0))), lambda s: F.regexp_replace(F.lower(s), r"\s+", "_")))
+def breadcrumb(html: Column, all_: Column, words: Column) -> Column:
+    """Category path of the first breadcrumb element, without the last step; .50 and .10 for each of four steps.
+
+    Steps are its list items, or else what is right inside it, or else what is a link or a span.
+    """
+    mark = "(?i)breadcrumb"
+    one = F.get(F.filter(all_, lambda e: _has(e, mark, "class", "id") | (_is(e, "nav") & _has(e, mark, "aria-label"))), F.lit(0))
+
+    def steps(elements: Column) -> Column:
+        named = F.filter(F.transform(elements, lambda e: text_of(words, e)), lambda s: ~s.isin(SEPARATORS))
+        return let(named, lambda n: F.filter(n, lambda s, i: (i == 0) | (s != F.get(n, i - 1))))
+
+    def found(e: Column) -> Column:
+        inside = below(all_, e)
+        listed, right, inline = F.filter(inside, lambda x: _is(x, "li")), inner(all_, e), F.filter(inside, lambda x: _is(x, "a", "span", "strong", "em"))
+        return F.when(F.size(listed) > 0, steps(listed)).otherwise(let(steps(right), lambda r: F.when(F.size(r) > 0, r).otherwise(steps(inline))))
+
+    chain = let(let(one, found), lambda s: F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda x: F.regexp_replace(F.lower(x), r"\s+", "_")))
     return let(chain, lambda c: F.when(F.size(c) > 0, F.array(_fact("category_path", F.array_join(c, "/"), F.round(F.least(F.size(c), F.lit(4)) * 0.10 + 0.50, 2)).cast(_FACT[6:-1]))))
 
 
-def spec_table(html: Column) -> Column:
+def spec_table(html: Column, all_: Column, words: Column) -> Column:
     """Table rows of two cells and definition lists (.70)."""
-    rows = F.transform(_all(html, r"(?is)<tr\b[^>]*>(.{0,20000}?)</tr\s*>", 1), lambda r: _all(r, r"(?is)<t[hd]\b[^>]*>(.{0,20000}?)</t[hd]\s*>", 1))
-    pairs = F.transform(F.filter(rows, lambda r: F.size(r) == 2), lambda r: F.struct(r[0].alias("k"), r[1].alias("v")))
-    lists = _all(html, r"(?is)<dl\b[^>]*>(.{0,20000}?)</dl\s*>", 1)
-    cells = lambda d, name: _all(d, rf"(?is)<{name}\b[^>]*>(.{{0,20000}}?)</{name}\s*>", 1)
-    defined = F.flatten(F.transform(lists, lambda d: F.zip_with(cells(d, "dt"), cells(d, "dd"), lambda k, v: F.struct(k.alias("k"), v.alias("v")))))
-    facts = F.transform(F.concat(pairs, defined), lambda p: _fact(slug(_text(p["k"])), _text(p["v"]), 0.70))
+    some = lambda e, *names: F.filter(below(all_, e), lambda x: _is(x, *names))
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    tables = F.filter(all_, lambda e: _is(e, "table"))
+    # the outermost tables: rows of one inside another are among theirs
+    outer = F.filter(tables, lambda e: ~F.exists(tables, lambda t: (t["pre"] < e["pre"]) & (t["last"] >= e["last"])))
+    rows = F.flatten(F.transform(outer, lambda t: some(t, "tr")))
+    cells = F.filter(F.transform(rows, lambda r: some(r, "th", "td")), lambda c: F.size(c) == 2)
+    pairs = F.transform(cells, lambda c: pair(c[0], c[1]))
+    lists = F.filter(all_, lambda e: _is(e, "dl"))
+    defined = F.flatten(F.transform(lists, lambda d: let(F.struct(some(d, "dt").alias("k"), some(d, "dd").alias("v")), lambda b: F.zip_with(F.slice(b["k"], 1, F.size(b["v"])), F.slice(b["v"], 1, F.size(b["k"])), pair))))
+    facts = F.transform(F.concat(pairs, defined), lambda p: _fact(slug(text_of(words, p["k"])), text_of(words, p["v"]), 0.70))
     return F.filter(facts, lambda f: (f["raw_key"] != "") & (f["value"] != ""))
 
 
-def variant_selectors(html: Column) -> Column:
+def variant_selectors(html: Column, all_: Column, words: Column) -> Column:
     """Options of each select and of each group of radio buttons (.65)."""
-    option = lambda t: F.when(t.rlike(r"(?i)^<option[^>]*\svalue="), _attribute(t, "value")).otherwise(F.nullif(_text(t), F.lit("")))
-    chosen = lambda tags: F.array_distinct(F.filter(F.transform(tags, option), lambda v: v.isNotNull()))
-    selects = F.transform(_all(html, r"(?is)<select\b[^>]*>.{0,20000}?</select\s*>"), lambda s: F.struct(_attribute(s, "name").alias("k"), chosen(_all(s, r"(?i)<option\b[^>]*>[^<]*")).alias("v")))
-    buttons = F.transform(_all(html, r"(?i)<input\b[^>]*\stype=[\"']radio[\"'][^>]*>"), lambda t: F.struct(_attribute(t, "name").alias("k"), _attribute(t, "value").alias("v")))
+    option = lambda e: F.when(e["attrs"].rlike(r"(?i)(^|\s)value\s*="), F.nullif(F.trim(_named(e, "value")), F.lit(""))).otherwise(F.nullif(text_of(words, e), F.lit("")))
+    chosen = lambda s: F.array_distinct(F.filter(F.transform(F.filter(below(all_, s), lambda e: _is(e, "option")), option), lambda v: v.isNotNull()))
+    selects = F.transform(F.filter(all_, lambda e: _is(e, "select")), lambda s: F.struct(_named(s, "name").alias("k"), chosen(s).alias("v")))
+    buttons = F.transform(F.filter(all_, lambda e: _is(e, "input") & _has(e, "(?i)radio", "type")), lambda e: F.struct(_named(e, "name").alias("k"), _named(e, "value").alias("v")))
     buttons = F.filter(buttons, lambda b: b["k"].isNotNull() & b["v"].isNotNull())
     values = lambda all_, n: F.array_distinct(F.transform(F.filter(all_, lambda b: b["k"] == n), lambda b: b["v"]))
     radios = let(buttons, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda b: b["k"])), lambda n: F.struct(n.alias("k"), values(all_, n).alias("v"))))
@@ -105,17 +132,18 @@ def variant_selectors(html: Column) -> Column:
     return F.transform(groups, lambda g: _fact(slug(g["k"]), F.to_json(g["v"]), 0.65))
 
 
-def title(html: Column) -> Column:
+def title(html: Column, all_: Column, words: Column) -> Column:
     t = page_title(html)
     return F.when(t.isNotNull(), F.array(_fact("title", t["value"], t["confidence"])))
 
 
-def description(html: Column) -> Column:
+def description(html: Column, all_: Column, words: Column) -> Column:
     """og:description (.80), the meta description (.70) or the longest element named so (.55); 20 characters at least."""
     meta = lambda a, v: _attribute(F.regexp_extract(html, rf"(?i)<meta[^>]*\s{a}=[\"']{v}[\"'][^>]*>", 0), "content")
-    named = F.transform(_all(html, r"(?is)<([a-z][a-z0-9]*)\b[^>]*\s(?:class|id)=[\"'][^\"']*description[^\"']*[\"'][^>]*>(.{0,20000}?)</\1\s*>", 2), lambda m, i: F.struct(F.length(_text(m)).alias("n"), (-i).alias("i"), _text(m).alias("t")))
+    named = F.filter(all_, lambda e: _has(e, "(?i)description", "class", "id"))
+    longest = F.array_max(F.transform(named, lambda e: F.struct(F.length(text_of(words, e)).alias("n"), (-e["pre"]).alias("i"), text_of(words, e).alias("t"))))
     one = lambda v, c: F.struct(v.alias("v"), F.lit(c).alias("c"))
-    found = F.filter(F.array(one(meta("property", "og:description"), 0.80), one(meta("name", "description"), 0.70), one(F.array_max(named)["t"], 0.55)), lambda d: F.length(d["v"]) >= LEAST_DESCRIPTION)
+    found = F.filter(F.array(one(meta("property", "og:description"), 0.80), one(meta("name", "description"), 0.70), one(longest["t"], 0.55)), lambda d: F.length(d["v"]) >= LEAST_DESCRIPTION)
     return F.transform(F.slice(found, 1, 1), lambda d: _fact("description", d["v"], d["c"]))
 
 
@@ -126,11 +154,17 @@ HEURISTICS = [
 ]
 
 
+#: What a page has that any heuristic needs elements of.
+SWEPT = "(?i)" + "|".join([PRICE_CLASS, "breadcrumb", "<tr|<dl", "<select|radio", "description"])
+
+
 def dom_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, raw_key, value, confidence, alternatives, parser (dom), ordinal of all heuristics.
 
-    Of an element 20,000 characters are read. A null page, one over 4 MB and a captcha wall have none.
+    A null page, one over 4 MB and a captcha wall have none.
     """
-    found = F.concat(*[F.coalesce(F.when(F.col("html").rlike(mark), h(F.col("html")).cast(_FACT)), F.array().cast(_FACT)) for h, mark in HEURISTICS])
-    rows = readable(pages).select(F.col(page).alias("page"), F.posexplode(found).alias("ordinal", "f"))
+    swept = with_elements(readable(pages).select(F.col(page).alias("page"), "html"), SWEPT)
+    html, all_, words = F.col("html"), F.col("elements"), F.col("words")
+    found = F.concat(*[F.coalesce(F.when(html.rlike(mark), h(html, all_, words).cast(_FACT)), F.array().cast(_FACT)) for h, mark in HEURISTICS])
+    rows = swept.select("page", F.posexplode(found).alias("ordinal", "f"))
     return rows.select("page", "f.*", F.lit("dom").alias("parser"), "ordinal")

@@ -35,13 +35,6 @@ def window_assignment(html: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(html, rf"(?s)window\.{name}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1), F.lit(""))
 
 
-def tags(html: Column) -> Column:
-    """All tags of a page in order: ends (whether it is an end tag), name (lower case), attrs, text (up to the next tag)."""
-    pattern = F.lit(r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>([^<]*+)")
-    parts = F.arrays_zip(*[F.regexp_extract_all(html, pattern, F.lit(i + 1)).alias(n) for i, n in enumerate(("e", "n", "a", "t"))])
-    return F.transform(parts, lambda p: F.struct((p["e"] == "/").alias("ends"), F.lower(p["n"]).alias("name"), p["a"].alias("attrs"), p["t"].alias("text")))
-
-
 def attribute(attrs: Column, name: str) -> Column:
     """The value of an attribute, or null where it is missing or empty."""
     pattern = rf"(?i)(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -52,18 +45,6 @@ def has_class(attrs: Column, name: str) -> Column:
     return F.array_contains(F.split(F.coalesce(attribute(attrs, "class"), F.lit("")), r"\s+"), name)
 
 
-def inside(all_: Column, i: Column, most: int = 64) -> Column:
-    """Text of the element that begins with tag i (from 0) of all, up to its end tag, `most` tags at most."""
-    top = F.get(all_, i)
-
-    def step(acc: Column, t: Column) -> Column:
-        depth = acc["depth"] + F.when(t["name"] != top["name"], 0).when(t["ends"], -1).otherwise(1)
-        return F.when(acc["depth"] == 0, acc).when(depth == 0, F.struct(F.lit(0).alias("depth"), acc["text"].alias("text"))).otherwise(F.struct(depth.cast("int").alias("depth"), F.concat(acc["text"], t["text"]).alias("text")))
-
-    begin = F.struct(F.lit(1).alias("depth"), top["text"].alias("text"))
-    return F.nullif(F.trim(F.aggregate(F.slice(all_, i + 2, F.lit(most)), begin, step)["text"]), F.lit(""))
-
-
 def page_title(html: Column) -> Column:
     """First of og:title, h1 and title without its suffix; struct of value and confidence."""
     og = F.regexp_extract(html, r"(?is)<meta[^>]*property=[\"']og:title[\"'][^>]*content=[\"']([^\"']+)", 1)
@@ -150,24 +131,30 @@ def readable(pages: DataFrame) -> DataFrame:
     return pages.filter((F.octet_length("html") <= MAX_BYTES) & ~F.coalesce(captcha_wall(F.col("html")), F.lit(True)))
 
 
-def property_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, raw_key, value, confidence, parser, ordinal from microdata (.80) and OpenGraph (.65) of captcha-free pages."""
-    ok = readable(pages)
+#: What a parser gives: its facts in the order that they arrive in.
+FOUND = "array<struct<raw_key:string,value:string,confidence:double,parser:string,ordinal:int>>"
+
+
+def property_array(html: Column) -> Column:
+    """FOUND of a page's microdata (.80) and OpenGraph (.65)."""
     item = r"(?is)<[a-z][^>]*\bitemprop=[\"']([A-Za-z0-9]+)[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']"
     body = r"(?is)<[a-z][a-z0-9]*[^>]*\bitemprop=[\"']([A-Za-z0-9]+)[\"'][^>]*>([^<]+)<"
     meta = r"(?is)<meta[^>]*\bproperty=[\"']([^\"']+)[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']"
 
     def of(pattern: str, names: dict, parser: str, confidence: float, offset: int, mark: str) -> Column:
-        kind = "array<struct<raw_key:string,value:string,confidence:double,parser:string,ordinal:int>>"
-        keys, values = (F.regexp_extract_all("html", F.lit(pattern), F.lit(g)) for g in (1, 2))
+        keys, values = (F.regexp_extract_all(html, F.lit(pattern), F.lit(g)) for g in (1, 2))
         each = lambda kv, i: F.struct(lookup(names, kv["k"]).alias("raw_key"), decode(F.trim(kv["v"])).alias("value"), F.lit(confidence).alias("confidence"), F.lit(parser).alias("parser"), (i + offset).alias("ordinal"))
         rows = F.filter(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), each), lambda f: f["raw_key"].isNotNull() & (f["value"] != ""))
-        return F.coalesce(F.when(F.contains("html", F.lit(mark)), rows).cast(kind), F.array().cast(kind))
+        return F.coalesce(F.when(F.contains(html, F.lit(mark)), rows).cast(FOUND), F.array().cast(FOUND))
 
     micro = F.concat(of(item, MICRODATA, "microdata", 0.80, 0, "itemprop"), of(body, MICRODATA, "microdata", 0.80, 10_000, "itemprop"))
-    first = F.aggregate(micro, F.filter(micro, lambda f: F.lit(False)), lambda had, f: F.when(F.exists(had, lambda g: g["raw_key"] == f["raw_key"]), had).otherwise(F.array_append(had, f)))
-    facts = F.concat(first, of(meta, OPENGRAPH, "opengraph", 0.65, 20_000, "property"))
-    return ok.select(F.col(page).alias("page"), F.explode(facts).alias("f")).select("page", "f.*")
+    first = let(micro, lambda all_: F.aggregate(all_, F.array().cast(FOUND), lambda had, f: F.when(F.exists(had, lambda g: g["raw_key"] == f["raw_key"]), had).otherwise(F.array_append(had, f))))
+    return F.concat(first, of(meta, OPENGRAPH, "opengraph", 0.65, 20_000, "property"))
+
+
+def property_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, raw_key, value, confidence, parser, ordinal from microdata and OpenGraph of captcha-free pages."""
+    return readable(pages).select(F.col(page).alias("page"), F.explode(property_array(F.col("html"))).alias("f")).select("page", "f.*")
 
 
 def breadcrumb(crumbs: Column) -> Column:

@@ -1,11 +1,12 @@
-"""Facts from what shop platforms write into a page's scripts and classes, in SQL functions: one scan, no shuffle."""
+"""Facts from what shop platforms write into a page's scripts, classes and properties, in SQL functions: one scan, no shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.html import attribute, decode, has_class, inside, readable, script_blocks, script_by_id, tags, window_assignment
+from factloom.functions.elements import text_of, with_elements
+from factloom.functions.html import FOUND, attribute, decode, has_class, readable, script_blocks, script_by_id, window_assignment
 from factloom.functions.scalars import let, lookup
 
 # Where a product stands in a page's state, and the members that give a raw key, best first.
@@ -124,33 +125,34 @@ def magento(html: Column) -> Column:
     return _first_of_each(F.flatten(F.transform(components, facts)))
 
 
-def rdfa(html: Column) -> Column:
-    """Properties from the first element of a product's type on: of void elements first, then of those with a text."""
+def _shown(words: Column, e: Column) -> Column:
+    return F.nullif(text_of(words, e), F.lit(""))
 
-    def facts(all_: Column) -> Column:
-        begin = F.array_position(F.transform(all_, lambda t: attribute(t["attrs"], "typeof").isin(RDFA_TYPES)), F.lit(True))
-        named = F.filter(F.transform(all_, lambda t, i: F.struct(i.alias("i"), (i >= begin).alias("own"), t["name"].alias("tag"), F.regexp_replace(attribute(t["attrs"], "property"), "^schema:", "").alias("p"), attribute(t["attrs"], "content").alias("c"))), lambda x: x["own"] & x["p"].isNotNull())
-        alone, others = F.filter(named, lambda x: x["tag"].isin(VOID)), F.filter(named, lambda x: ~x["tag"].isin(VOID))
-        value = lambda x: decode(F.coalesce(x["c"], inside(all_, x["i"])))
-        found = F.transform(F.concat(alone, others), lambda x: F.struct(lookup(RDFA, x["p"]).alias("raw_key"), value(x).alias("value")))
-        return F.when(begin > 0, _first_of_each(found.cast(_FACT)))
 
-    return F.filter(let(tags(html), facts), lambda f: (f["raw_key"] != "base_price") | f["value"].rlike(_NUMBER))
+def rdfa(html: Column, all_: Column, words: Column) -> Column:
+    """Properties from the first element of a product's type on: of void elements first, then of those with a text."""
+    own = F.get(F.filter(all_, lambda e: attribute(e["attrs"], "typeof").isin(RDFA_TYPES)), F.lit(0))
 
+    def facts(begin: Column) -> Column:
+        some = F.filter(all_, lambda e: (e["pre"] >= begin["pre"]) & e["attrs"].contains("property"))
+        named = F.filter(F.transform(some, lambda e: F.struct(e.alias("e"), F.regexp_replace(attribute(e["attrs"], "property"), "^schema:", "").alias("p"))), lambda x: x["p"].isNotNull())
+        alone, others = F.filter(named, lambda x: x["e"]["name"].isin(VOID)), F.filter(named, lambda x: ~x["e"]["name"].isin(VOID))
+        value = lambda e: F.coalesce(decode(attribute(e["attrs"], "content")), _shown(words, e))
+        found = F.transform(F.concat(alone, others), lambda x: F.struct(lookup(RDFA, x["p"]).alias("raw_key"), value(x["e"]).alias("value")))
+        return F.when(begin.isNotNull(), _first_of_each(found.cast(_FACT)))
 
-def woocommerce(html: Column) -> Column:
-    """Title, price and identifiers of a page whose body has the class of single products; prices above 0."""
+    return F.filter(let(own, facts), lambda f: (f["raw_key"] != "base_price") | f["value"].rlike(_NUMBER))
 
-    def facts(all_: Column) -> Column:
-        is_like = lambda tag, name: F.transform(all_, lambda t: ~t["ends"] & (t["name"] == tag) & has_class(t["attrs"], name))
-        at = lambda tag, name: F.array_position(is_like(tag, name), F.lit(True)).cast("int") - 1
-        shown = let(at("span", WOO["price"]), lambda i: F.when(i >= 0, inside(all_, i)))
-        price = let(F.regexp_replace(F.regexp_replace(shown, r"&#?\w+;", ""), r"[^\d.]", ""), lambda x: F.when(x.try_cast("double") > 0, x))
-        title = let(at("h1", WOO["title"]), lambda i: F.when(i >= 0, decode(inside(all_, i))))
-        box = let(at("div", WOO["product"]), lambda i: F.when(i >= 0, F.get(all_, i)["attrs"]))
-        return F.when(at("body", WOO["page"]) >= 0, F.array(_fact("title", title), _fact("base_price", price), _fact("model_number", attribute(box, WOO["sku"])), _fact("sku", attribute(box, WOO["id"]))).cast(_FACT))
 
-    return let(tags(html), facts)
+def woocommerce(html: Column, all_: Column, words: Column) -> Column:
+    """Title, price and identifiers of a page whose body has the class of single products; prices above 0."""
+    first = lambda tag, name: F.get(F.filter(all_, lambda e: (e["name"] == tag) & has_class(e["attrs"], name)), F.lit(0))
+    shown = let(first("span", WOO["price"]), lambda e: F.when(e.isNotNull(), _shown(words, e)))
+    price = let(F.regexp_replace(shown, r"[^\d.]", ""), lambda x: F.when(x.try_cast("double") > 0, x))
+    title = let(first("h1", WOO["title"]), lambda e: F.when(e.isNotNull(), _shown(words, e)))
+    box = first("div", WOO["product"])["attrs"]
+    facts = F.array(_fact("title", title), _fact("base_price", price), _fact("model_number", attribute(box, WOO["sku"])), _fact("sku", attribute(box, WOO["id"]))).cast(_FACT)
+    return F.when(first("body", WOO["page"]).isNotNull(), facts)
 
 
 #: Each parser, and what a page has where the parser could find anything: other pages cost one search.
@@ -158,19 +160,28 @@ PARSERS = {
     "nuxt": (nuxt, r"window\.__NUXT__"), "initial_state": (initial_state, r"window\.__(INITIAL|PRELOADED)_STATE__"), "magento": (magento, "(?i)text/x-magento-init"),
     "woocommerce": (woocommerce, "(?i)single-product"), "algolia": (algolia, "(?i)__ALGOLIA_DATA__"), "rdfa": (rdfa, "(?i)typeof="),
 }
+#: Parsers that read elements, and what pages have that need them.
+OF_ELEMENTS = ["woocommerce", "rdfa"]
+SWEPT = "(?i)" + "|".join(PARSERS[n][1].removeprefix("(?i)") for n in OF_ELEMENTS)
 
 
-def inline_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, raw_key, value, confidence, parser, ordinal of all parsers here, for captcha-free pages.
-
-    Broken JSON, a null page and a page of no such platform give nothing.
-    """
-    ok = readable(pages)
+def inline_array(html: Column, elements: Column, words: Column) -> Column:
+    """FOUND of all parsers here; elements and words as of with_elements, null for pages without SWEPT."""
 
     def of(name: str) -> Column:
         parser, mark = PARSERS[name]
         row = lambda f, i: F.struct(f["raw_key"].alias("raw_key"), f["value"].alias("value"), F.lit(CONFIDENCE[name]).alias("confidence"), F.lit(name).alias("parser"), (i + ORDINAL[name]).alias("ordinal"))
-        return F.transform(F.coalesce(F.when(F.col("html").rlike(mark), parser(F.col("html")).cast(_FACT)), F.array().cast(_FACT)), row)
+        found = parser(html, elements, words) if name in OF_ELEMENTS else parser(html)
+        facts = F.transform(F.coalesce(F.when(html.rlike(mark), found.cast(_FACT)), F.array().cast(_FACT)), row)
+        return F.filter(facts, lambda f: f["value"].isNotNull()).cast(FOUND)
+
+    return F.concat(*[of(n) for n in PARSERS])
+
+
+def inline_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, raw_key, value, confidence, parser, ordinal of all parsers here, for captcha-free pages.
 
-    rows = ok.select(F.col(page).alias("page"), F.explode(F.concat(*[of(n) for n in PARSERS])).alias("f"))
-    return rows.select("page", "f.*").filter("value is not null")
+    Broken JSON, a null page and a page of no such platform give nothing.
+    """
+    swept = with_elements(readable(pages).select(F.col(page).alias("page"), "html"), SWEPT)
+    return swept.select("page", F.explode(inline_array(F.col("html"), F.col("elements"), F.col("words"))).alias("f")).select("page", "f.*")

@@ -122,10 +122,14 @@ def crumb_facts(found: Column) -> Column:
     return facts_with_values(F.array(one))
 
 
+def jsonld_array(html: Column, url: Column) -> Column:
+    """FOUND of a page's linked data: its product, and the breadcrumb list."""
+    row = lambda parser, offset: lambda f, i: F.struct(f["raw_key"].alias("raw_key"), f["value"].alias("value"), f["confidence"].alias("confidence"), F.lit(parser).alias("parser"), (i + offset).alias("ordinal"))
+    facts = lambda found: F.when(F.size(found) > 0, F.concat(F.transform(product(found, url), row("json_ld", 0)), F.transform(crumb_facts(found), row("breadcrumb_list", 95_000))))
+    return let(F.when(html.rlike("(?i)application/ld\\+json"), items(html)), facts)
+
+
 def jsonld_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, raw_key, value, confidence, parser (json_ld, breadcrumb_list), ordinal of captcha-free pages (html, url)."""
-    row = lambda parser, offset: lambda f, i: F.struct(f["raw_key"].alias("raw_key"), f["value"].alias("value"), f["confidence"].alias("confidence"), F.lit(parser).alias("parser"), (i + offset).alias("ordinal"))
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    found = readable(pages).select(F.col(page).alias("page"), url.alias("url"), F.when(F.col("html").rlike("(?i)application/ld\\+json"), items(F.col("html"))).alias("found")).filter("size(found) > 0")
-    facts = F.concat(F.transform(product(F.col("found"), F.col("url")), row("json_ld", 0)), F.transform(crumb_facts(F.col("found")), row("breadcrumb_list", 95_000)))
-    return found.select("page", F.explode(facts).alias("f")).select("page", "f.*")
+    return readable(pages).select(F.col(page).alias("page"), F.explode(jsonld_array(F.col("html"), url)).alias("f")).select("page", "f.*")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from factloom.functions.html import script_by_id
 from factloom.functions.scalars import let, strip_key
@@ -89,7 +89,7 @@ def record_facts(records: DataFrame, key: str = "external_id", raw: str = "raw")
 def normal_records(raw: DataFrame, column: str = "raw") -> DataFrame:
     """external_id, modified_at, raw of records (raw: JSON text) that have an id: without the sync's own metadata.
 
-    A time that is none is null. Records without an id go to missing_id (see there).
+    A time that is none is null. Records without an id, and those that aren't JSON, go to missing_id (see there).
     """
     stripped = raw.withColumn(column, strip_key("_nango_metadata")(F.col(column)))
     return stripped.select(F.nullif(get(F.col(column), "$.id"), F.lit("")).alias("external_id"), F.try_to_timestamp(get(F.col(column), "$.updated_at")).alias("modified_at"), column).filter("external_id is not null")
@@ -230,22 +230,20 @@ def next_facts_of(text: str | None) -> list[tuple[str, str]]:
     return [(k, x) for k, x in _generic_facts(product) if x is not None] if product else []
 
 
-def next_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, raw_key, value, confidence, parser, ordinal of the application state that pages (page, html) hold as JSON.
+@F.pandas_udf(ArrayType(StructType([StructField("raw_key", StringType()), StructField("value", StringType())])))
+def _next_product(json_: pd.Series) -> pd.Series:
+    return json_.map(lambda text: None if text is None else [{"raw_key": k, "value": v} for k, v in next_facts_of(text)])
 
-    A state nests to any depth, which SQL functions can't follow: pages that have one go to Arrow batches.
-    """
-    rows = pages.select(F.col(page).alias("page"), script_by_id(F.col("html"), "__NEXT_DATA__").alias("json")).filter("json is not null")
-    kind = rows.schema["page"].dataType.simpleString()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(i, n, k, v) for i, text in enumerate(b.column(1).to_pylist()) for n, (k, v) in enumerate(next_facts_of(text))]
-            ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([f[2] for f in found], pa.string()), pa.array([f[3] for f in found], pa.string()), pa.array([f[1] + 10_000 for f in found], pa.int32())], ["page", "raw_key", "value", "ordinal"])
+def next_array(html: Column) -> Column:
+    """FOUND of the application state that a page holds as JSON, which nests to any depth; other pages send a null."""
+    found = _next_product(F.when(html.contains("__NEXT_DATA__"), script_by_id(html, "__NEXT_DATA__")))
+    return F.transform(found, lambda f, i: F.struct(f["raw_key"].alias("raw_key"), f["value"].alias("value"), F.lit(NEXT_CONFIDENCE).alias("confidence"), F.lit("next_data").alias("parser"), (i + 10_000).alias("ordinal")))
 
-    out = rows.mapInArrow(run, f"page {kind}, raw_key string, value string, ordinal int")
-    return out.select("page", "raw_key", "value", F.lit(NEXT_CONFIDENCE).alias("confidence"), F.lit("next_data").alias("parser"), "ordinal")
+
+def next_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, raw_key, value, confidence, parser, ordinal of the application state of pages (page, html)."""
+    return pages.select(F.col(page).alias("page"), F.explode(next_array(F.col("html"))).alias("f")).select("page", "f.*")
 
 
 #: Marketplace -> its records' facts.

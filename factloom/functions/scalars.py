@@ -121,16 +121,22 @@ def canonical_json(c: pd.Series) -> pd.Series:
 
 
 def strip_key(name: str):
-    """A function that drops every object member called `name`, at any depth, from JSON text."""
+    """A function that drops every object member called `name`, at any depth, from JSON text; null for what is none."""
 
     def prune(v):
         if isinstance(v, dict):
             return {k: prune(x) for k, x in v.items() if k != name}
         return [prune(x) for x in v] if isinstance(v, list) else v
 
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(prune(json.loads(x)), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
     @F.pandas_udf(StringType())
     def strip(c: pd.Series) -> pd.Series:
-        return c.map(lambda x: None if x is None else json.dumps(prune(json.loads(x)), separators=(",", ":"), ensure_ascii=False))
+        return c.map(one)
 
     return strip
 

@@ -51,7 +51,7 @@ def record_facts(spark, sf_dir):
 def record_norm(spark, sf_dir):
     """Records without their sync's metadata, by the part they were dealt to."""
     raw = dealt_records(spark, sf_dir).withColumn("raw", F.regexp_replace("raw", r"^\{", F.concat(F.lit('{"part":'), F.col("external_id").cast("string"), F.lit(","))))
-    good = R.normal_records(raw.filter(F.try_parse_json("raw").isNotNull()).select("raw"))
+    good = R.normal_records(raw.select("raw"))
     return good.select(F.get_json_object("raw", "$.part").cast("long").alias("p_partkey"), "external_id", "modified_at", F.col("raw").contains("_nango_metadata").alias("has_metadata"))
 
 
@@ -124,7 +124,7 @@ def llm_cost(spark, sf_dir):
     """,
 )
 def vision_escalation(spark, sf_dir):
-    html = dealt(['<img src="/size-chart.png">', '<img class="spec_image">', '<div class="product-gallery"><img src="sale-banner.png"></div>', "<p>text</p>"], F.col("page_id"))
+    html = F.concat("html", dealt(['<img src="/size-chart.png">', '<img class="spec_image">', '<div class="product-gallery"><img src="sale-banner.png"></div>', "<p>text</p>"], F.col("page_id")))
     args = (html, F.col("page_id") % 3 == 0, F.col("page_id") % 7)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(M.vision_reasons(*args), "|").alias("reasons"), M.to_vision(*args).alias("to_vision"))
 
@@ -173,9 +173,7 @@ def webhooks(spark, sf_dir):
     signature = F.when(F.col("event_id") % 11 == 0, "0" * 64).otherwise(dealt(_SIGNED, F.col("event_id")))
     raw = table(spark, sf_dir, "events").select("event_id", "ts", dealt(_BODIES, F.col("event_id")).alias("body"), signature.alias("signature"))
     checked = E.webhooks(raw, _SECRETS)
-    queues = E.by_type(checked)
-    routed = queues["auth"].withColumn("queue", F.lit("auth")).unionByName(queues["sync"].withColumn("queue", F.lit("sync"))).unionByName(checked.filter("error is not null").withColumn("queue", F.lit("none")))
-    return routed.select("event_id", "webhook_id", "error", "queue")
+    return checked.select("event_id", "webhook_id", "error", E.queue_of(F.col("event"), F.col("error")).alias("queue"))
 
 
 @query(
@@ -192,7 +190,18 @@ def rung_share_jumps(spark, sf_dir):
     return E.jumps(E.rung_shares(rows, width="1 day"), after=0.15).select("start", "domain", "fired", F.round("share", 9).alias("share"))
 
 
-@query("coverage_tier", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 ELSE 0.3 END AS tier FROM pages")
+_ENDS = ["<p>are you human?</p>", '<script type="application/ld+json">{}</script>', "<script>window.__NUXT__={}</script>", "<p>plain</p>"]
+
+
+@query(
+    "coverage_tier",
+    f"""
+    WITH p AS (SELECT page_id, html || e AS html FROM pages JOIN {values(list(enumerate(_ENDS)), 'm, e')} ON page_id % {len(_ENDS)} = m)
+    SELECT page_id, CASE WHEN length(html) < 10000 AND regexp_matches(html, '(?i)captcha|robot check|are you human|access denied|pardon our interruption') THEN 0.1
+      WHEN contains(lower(html), 'application/ld+json') THEN 0.8 WHEN contains(html, '__NEXT_DATA__') OR contains(html, '__NUXT__') THEN 0.7 ELSE 0.3 END::DOUBLE AS tier FROM p
+    """,
+)
 def coverage_tier(spark, sf_dir):
-    html = dealt(["are you human?", '<script type="application/ld+json">{}</script>', "<script>window.__NUXT__={}</script>", "<p>plain</p>"], F.col("page_id"))
+    """Pages, each with an end of one of several kinds."""
+    html = F.concat("html", dealt(_ENDS, F.col("page_id")))
     return table(spark, sf_dir, "pages").select("page_id", H.coverage_tier(html).alias("tier"))

@@ -51,6 +51,11 @@ def webhooks(raw: DataFrame, secrets: list[str], fresh_seconds: int = FRESH_SECO
     return raw.withColumn("webhook_id", F.sha2("body", 256)).withColumn("event", F.from_json("body", WEBHOOK)).withColumn("error", error)
 
 
+def queue_of(event: Column, error: Column) -> Column:
+    """The queue that a checked webhook belongs to: auth or sync, and none for one with an error."""
+    return F.when(error.isNotNull(), "none").when(event["type"].isin("auth", "sync"), event["type"])
+
+
 def by_type(events: DataFrame) -> dict[str, DataFrame]:
     """Good webhooks by the queue they belong to: auth and sync."""
     good = events.filter("error is null")

@@ -34,3 +34,46 @@ def test_values(rows):
 
 def test_prices_of_lower_rank_are_kept(rows):
     assert rows[0].alternatives == ["1200.0", "1299.0", "1299.0"]
+
+
+NESTED = [
+    "<select name='size'>" + "".join(f"<option value='{i}'>size number {i} of a very long list of sizes</option>" for i in range(600)) + "</select>",
+    "<dl>" + "".join(f"<dt>Key {i}</dt><dd>{'value ' * 20}{i}</dd>" for i in range(300)) + "</dl>",
+    '<div class="breadcrumb"><div><div>Home</div></div><div>Lamps</div><div><div>Desk</div></div></div>',
+    '<div class="price"><div>now</div><div>$<b>12.50</b></div></div>',
+    '<div id="Description"><div>A lamp</div><div> for the desk, with a long arm.</div></div><p>',
+]
+
+
+def test_nested_and_long_elements(spark):
+    rows = dom.dom_facts(spark.createDataFrame(list(enumerate(NESTED)), "page_id long, html string")).collect()
+    got = {(r.page, r.raw_key): r.value for r in rows}
+    assert json.loads(got[0, "size"]) == [str(i) for i in range(600)]
+    assert len([k for k in got if k[0] == 1]) == 300 and got[1, "key_299"].endswith("299")
+    assert got[2, "category_path"] == "home/lamps" and got[3, "base_price"] == "12.5" and got[4, "description"] == "A lamp for the desk, with a long arm."
+
+
+def test_elements_that_are_not_closed(spark):
+    pages = ["<table><tr><th>A<td>1<tr><td>B<td>2 <table><tr><td>C<td>3</table></table><dl><dt>D<dd>4<dt>E<dd>5</dl>", "<ul class=breadcrumb><li>One<li>Two<li>Three</ul><select name=s><option>x<option>y</select>"]
+    rows = dom.dom_facts(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    got = [{(r.raw_key, r.value) for r in rows if r.page == i} for i in range(2)]
+    assert got == [{("a", "1"), ("c", "3"), ("d", "4"), ("e", "5")}, {("category_path", "one/two"), ("s", '["x","y"]')}]
+
+
+def test_sweep_is_the_tree(sf_dir):
+    """Names, nesting and texts of all elements are those of the element tree, on real pages and odd ones."""
+    import pyarrow.parquet as pq
+
+    from factloom.functions import elements, tree
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist()[:100]
+    pages += ["<div><div>a</div>b</div>c", "<p>x</b>y</p>", "<a href='>'>q</a><!-- <b> -->z<br/>w", "<script>if (a<b) {}</script>t<style>p{}</style>", "a < b <i>c", "&amp;<b>&lt;&#233;</b>", ""]
+    for page in pages:
+        text, named, place = elements.sweep(page)
+        root = tree.read(page)
+        want = list(root.below())
+        assert [n for n, _ in named] == [e.name for e in want]
+        for (name, _), (last, up, start, end), e in zip(named, place, want, strict=True):
+            if name not in elements.RAW:
+                assert text[start:end].strip() == e.text(), (name, page[:50])
+            assert (named[up][0] if up >= 0 else "") == e.up.name and len(list(e.below())) == last - want.index(e)
