@@ -168,7 +168,7 @@ def canonical_url(url: Column) -> Column:
     information stays as it is, and a port that is the scheme's own goes. On one marketplace's hosts, path segments that begin with ref= go too. What is no http(s) URL stays as it is.
     """
     m = r"^\s*([A-Za-z]+)://([^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*?)?\s*$"
-    part = lambda i: F.regexp_extract(url, m, i)
+    part = lambda i: F.regexp_extract(F.regexp_replace(url, r"\s+$", ""), m, i)
     name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
     kept = F.filter(F.split(part(5), "&"), lambda p: (p != "") & ~name(p).isin(TRACKING) & ~name(p).startswith("utm_"))
     scheme = F.lower(part(1))
