@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.elements import below, inner, text_of, with_elements
-from factloom.functions.html import attribute, decode, page_title, readable
+from factloom.functions.elements import below, counted, inner, text_of, with_elements
+from factloom.functions.html import MAX_BYTES, attribute, decode, page_title, readable
 from factloom.functions.scalars import let, slug
 
 # What marks prices, icons, size suffixes and separators.
@@ -55,11 +55,17 @@ def _fact(key, value: Column, confidence, alternatives: Column | None = None) ->
     return F.struct(of(key).alias("raw_key"), value.alias("value"), of(confidence).alias("confidence"), none.alias("alternatives"))
 
 
+def _bounded(elements: Column, times: int = 1) -> Column:
+    """elements, or none where their texts together are longer than `times` pages may be: ones that nest thousands deep."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, e: n + e["end"] - e["start"])
+    return let(elements, lambda x: F.when(total(x) <= times * MAX_BYTES, x).otherwise(F.slice(x, 1, 0)))
+
+
 def price(html: Column, all_: Column, words: Column) -> Column:
     """The most confident price, of equals the least: itemprop (.90), then elements of a price's class (.65) with few inside."""
     number = lambda t: F.regexp_replace(F.trim(t), "[$,€£₹¥]", "").try_cast("double")
     marked = F.transform(F.filter(all_, lambda e: e["attrs"].contains("price") & F.coalesce(attribute(e["attrs"], "itemprop") == "price", F.lit(False))), lambda e: F.struct(F.lit(-0.90).alias("c"), number(F.coalesce(_named(e, "content"), text_of(words, e))).alias("v")))
-    small = F.filter(all_, lambda e: _has(e, f"(?i){PRICE_CLASS}", "class") & (F.size(inner(all_, e)) <= MOST_INNER))
+    small = _bounded(F.filter(all_, lambda e: _has(e, f"(?i){PRICE_CLASS}", "class") & (e["inner"] <= MOST_INNER)), 16)
     amount = lambda t: F.regexp_replace(F.concat(F.regexp_extract(t, CURRENCY, 1), F.regexp_extract(t, CURRENCY, 2)), ",", "").try_cast("double")
     shown = F.transform(small, lambda e: F.struct(F.lit(-0.65).alias("c"), amount(text_of(words, e)).alias("v")))
     ranked = F.array_sort(F.filter(F.concat(marked, shown), lambda p: (p["v"] > 0) & (p["v"] < float("inf"))))
@@ -91,7 +97,7 @@ def breadcrumb(html: Column, all_: Column, words: Column) -> Column:
     one = F.get(F.filter(all_, lambda e: _has(e, mark, "class", "id") | (_is(e, "nav") & _has(e, mark, "aria-label"))), F.lit(0))
 
     def steps(elements: Column) -> Column:
-        named = F.filter(F.transform(elements, lambda e: text_of(words, e)), lambda s: ~s.isin(SEPARATORS))
+        named = F.filter(F.transform(_bounded(elements), lambda e: text_of(words, e)), lambda s: ~s.isin(SEPARATORS))
         return let(named, lambda n: F.filter(n, lambda s, i: (i == 0) | (s != F.get(n, i - 1))))
 
     def found(e: Column) -> Column:
@@ -105,16 +111,17 @@ def breadcrumb(html: Column, all_: Column, words: Column) -> Column:
 
 def spec_table(html: Column, all_: Column, words: Column) -> Column:
     """Table rows of two cells and definition lists (.70)."""
-    some = lambda e, *names: F.filter(below(all_, e), lambda x: _is(x, *names))
+    named = lambda *names: F.filter(all_, lambda e: _is(e, *names))
     pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
-    tables = F.filter(all_, lambda e: _is(e, "table"))
-    # the outermost tables: rows of one inside another are among theirs
-    outer = F.filter(tables, lambda e: ~F.exists(tables, lambda t: (t["pre"] < e["pre"]) & (t["last"] >= e["last"])))
-    rows = F.flatten(F.transform(outer, lambda t: some(t, "tr")))
-    cells = F.filter(F.transform(rows, lambda r: some(r, "th", "td")), lambda c: F.size(c) == 2)
-    pairs = F.transform(cells, lambda c: pair(c[0], c[1]))
-    lists = F.filter(all_, lambda e: _is(e, "dl"))
-    defined = F.flatten(F.transform(lists, lambda d: let(F.struct(some(d, "dt").alias("k"), some(d, "dd").alias("v")), lambda b: F.zip_with(F.slice(b["k"], 1, F.size(b["v"])), F.slice(b["v"], 1, F.size(b["k"])), pair))))
+    rows = F.filter(all_, lambda e: _is(e, "tr") & e["tabled"] & (e["past"] - e["first"] == 2))
+    pairs = let(named("th", "td"), lambda cells: F.transform(rows, lambda r: let(counted(cells, r), lambda c: pair(c[0], c[1]))))
+
+    def of(lists: Column) -> Column:
+        few = lambda d: F.least(d["past"] - d["first"], d["past2"] - d["first2"])
+        both = lambda d: F.zip_with(F.slice(counted(lists["k"], d), 1, few(d)), F.slice(counted(lists["v"], d, True), 1, few(d)), pair)
+        return F.flatten(F.transform(named("dl"), both))
+
+    defined = let(pair(named("dt"), named("dd")), of)
     facts = F.transform(F.concat(pairs, defined), lambda p: _fact(slug(text_of(words, p["k"])), text_of(words, p["v"]), 0.70))
     return F.filter(facts, lambda f: (f["raw_key"] != "") & (f["value"] != ""))
 
@@ -122,8 +129,8 @@ def spec_table(html: Column, all_: Column, words: Column) -> Column:
 def variant_selectors(html: Column, all_: Column, words: Column) -> Column:
     """Options of each select and of each group of radio buttons (.65)."""
     option = lambda e: F.when(e["attrs"].rlike(r"(?i)(^|\s)value\s*="), F.nullif(F.trim(_named(e, "value")), F.lit(""))).otherwise(F.nullif(text_of(words, e), F.lit("")))
-    chosen = lambda s: F.array_distinct(F.filter(F.transform(F.filter(below(all_, s), lambda e: _is(e, "option")), option), lambda v: v.isNotNull()))
-    selects = F.transform(F.filter(all_, lambda e: _is(e, "select")), lambda s: F.struct(_named(s, "name").alias("k"), chosen(s).alias("v")))
+    chosen = lambda options, s: F.array_distinct(F.filter(F.transform(counted(options, s), option), lambda v: v.isNotNull()))
+    selects = let(F.filter(all_, lambda e: _is(e, "option")), lambda options: F.transform(F.filter(all_, lambda e: _is(e, "select")), lambda s: F.struct(_named(s, "name").alias("k"), chosen(options, s).alias("v"))))
     buttons = F.transform(F.filter(all_, lambda e: _is(e, "input") & _has(e, "(?i)radio", "type")), lambda e: F.struct(_named(e, "name").alias("k"), _named(e, "value").alias("v")))
     buttons = F.filter(buttons, lambda b: b["k"].isNotNull() & b["v"].isNotNull())
     values = lambda all_, n: F.array_distinct(F.transform(F.filter(all_, lambda b: b["k"] == n), lambda b: b["v"]))
@@ -140,8 +147,14 @@ def title(html: Column, all_: Column, words: Column) -> Column:
 def description(html: Column, all_: Column, words: Column) -> Column:
     """og:description (.80), the meta description (.70) or the longest element named so (.55); 20 characters at least."""
     meta = lambda a, v: _attribute(F.regexp_extract(html, rf"(?i)<meta[^>]*\s{a}=[\"']{v}[\"'][^>]*>", 0), "content")
-    named = F.filter(all_, lambda e: _has(e, "(?i)description", "class", "id"))
-    longest = F.array_max(F.transform(named, lambda e: F.struct(F.length(text_of(words, e)).alias("n"), (-e["pre"]).alias("i"), text_of(words, e).alias("t"))))
+    # what is inside another one is no longer than it
+    none = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("t"))
+
+    def longer(had: Column, e: Column) -> Column:
+        better = lambda t: F.struct(e["last"].alias("reach"), F.greatest(F.length(t), had["n"]).alias("n"), F.when(F.length(t) > had["n"], t).otherwise(had["t"]).alias("t"))
+        return F.when(e["pre"] <= had["reach"], had).otherwise(let(text_of(words, e), better))
+
+    longest = F.aggregate(F.filter(all_, lambda e: _has(e, "(?i)description", "class", "id")), none, longer)
     one = lambda v, c: F.struct(v.alias("v"), F.lit(c).alias("c"))
     found = F.filter(F.array(one(meta("property", "og:description"), 0.80), one(meta("name", "description"), 0.70), one(longest["t"], 0.55)), lambda d: F.length(d["v"]) >= LEAST_DESCRIPTION)
     return F.transform(F.slice(found, 1, 1), lambda d: _fact("description", d["v"], d["c"]))
@@ -161,7 +174,8 @@ SWEPT = "(?i)" + "|".join([PRICE_CLASS, "breadcrumb", "<tr|<dl", "<select|radio"
 def dom_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, raw_key, value, confidence, alternatives, parser (dom), ordinal of all heuristics.
 
-    A null page, one over 4 MB and a captcha wall have none.
+    A null page, one over 4 MB and a captcha wall have none. Steps of a breadcrumb that are longer together than a page may be,
+    and prices that are longer than 16, come from elements that nest without end, and don't count.
     """
     swept = with_elements(readable(pages).select(F.col(page).alias("page"), "html"), SWEPT)
     html, all_, words = F.col("html"), F.col("elements"), F.col("words")

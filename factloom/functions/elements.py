@@ -2,8 +2,8 @@
 of numbers, in SQL functions.
 
 Elements stand in the order of their start tags, so all that is inside element i are the next ones up to its `last`, a
-slice of the array. The page's text is one string, and an element's text is a part of it: nothing is copied
-or searched twice, however deep elements nest and however long they are.
+slice of the array. Rows, cells, options and the like are numbered among their own kind besides, so that those of a row or a
+table are a slice of these. The page's text is one string, and an element's text is a part of it.
 """
 
 from __future__ import annotations
@@ -25,27 +25,37 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset(["script", "style"])
 IMPLIED = {
     "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
-    "tr": (("td", "th", "tr"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "select": (("select",), ()), "tr": (("td", "th", "tr"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-KIND = "array<struct<pre:int,last:int,up:int,name:string,attrs:string,start:int,end:int>>"
+#: What is numbered, by its name, and what of it an element counts inside itself: two kinds at most, others count list items.
+NUMBERED = {"td": "cell", "th": "cell", "option": "option", "dt": "dt", "dd": "dd", "li": "li", "tr": "tr"}
+COUNTED = {"tr": ("cell", "tr"), "select": ("option", "tr"), "dl": ("dt", "dd"), "table": ("tr", "tr")}
+FIELDS = ["last", "up", "start", "end", "inner", "first", "past", "first2", "past2"]
+KIND = f"array<struct<pre:int,name:string,attrs:string,tabled:boolean,{','.join(f + ':int' for f in FIELDS)}>>"
 
 
-def sweep(html: str) -> tuple[str, list[tuple[str, str]], list[list[int]]]:
-    """The page's text; name and attributes of each element; last, up (-1: none), start and end in the text of each.
+def sweep(html: str) -> tuple[str, list[tuple[str, str, bool]], list[list[int]]]:
+    """The page's text; of each element name, attributes and whether it is in a table, and its FIELDS.
+
+    up is -1 for outermost ones; start and end are places in the text; inner counts elements right inside; first and past
+    are the numbers of the first COUNTED element inside and of the first behind it.
 
     Comments, scripts and styles have no text. An end without a start is left; an element that isn't closed ends with the
     one around it, or where its kind of element can't go on.
     """
     texts, size, at = [], 0, 0
-    named: list[tuple[str, str]] = []
+    named: list[tuple[str, str, bool]] = []
     place: list[list[int]] = []
     stack: list[int] = []
     open_: dict[str, int] = {}  # elements of each name on the stack: what isn't open isn't looked for
 
+    numbers = dict.fromkeys(NUMBERED.values(), 0)
+
     def close(i: int) -> None:
-        place[i][0], place[i][3] = len(named) - 1, size
+        of, of2 = COUNTED.get(named[i][0], ("li", "tr"))
+        place[i][0], place[i][3], place[i][6], place[i][8] = len(named) - 1, size, numbers[of], numbers[of2]
         open_[named[i][0]] -= 1
 
     while True:
@@ -79,8 +89,13 @@ def sweep(html: str) -> tuple[str, list[tuple[str, str]], list[list[int]]]:
                 depth -= 1
             while found is not None and len(stack) > found:
                 close(stack.pop())
-        named.append((name, tag[3]))
-        place.append([len(named) - 1, stack[-1] if stack else -1, size, size])
+        if stack:
+            place[stack[-1]][4] += 1
+        if name in NUMBERED:
+            numbers[NUMBERED[name]] += 1
+        of, of2 = COUNTED.get(name, ("li", "tr"))
+        named.append((name, tag[3], open_.get("table", 0) > 0))
+        place.append([len(named) - 1, stack[-1] if stack else -1, size, size, 0, numbers[of], numbers[of], numbers[of2], numbers[of2]])
         if name in VOID:
             continue
         if name in RAW:
@@ -117,10 +132,11 @@ def with_elements(pages: DataFrame, mark: str) -> DataFrame:
                     sizes.append(len(named))
                     tags += named
                     places += place
-                p = np.array(places, np.int32).reshape(-1, 4)
+                p = np.array(places, np.int32).reshape(-1, len(FIELDS))
                 pre = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32) if sizes else np.zeros(0, np.int32)
-                cols = [pre, p[:, 0], p[:, 1], pa.array([n for n, _ in tags], pa.string()), pa.array([a for _, a in tags], pa.string()), p[:, 2], p[:, 3]]
-                struct = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in cols], ["pre", "last", "up", "name", "attrs", "start", "end"])
+                cols = [pa.array(pre), pa.array([t[0] for t in tags], pa.string()), pa.array([t[1] for t in tags], pa.string()), pa.array([t[2] for t in tags], pa.bool_())]
+                cols += [pa.array(np.ascontiguousarray(p[:, i])) for i in range(len(FIELDS))]
+                struct = pa.StructArray.from_arrays(cols, ["pre", "name", "attrs", "tabled", *FIELDS])
                 none = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), struct, mask=none)
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, lists, pa.array(texts, pa.string())], [*names, "elements", "words"])
@@ -140,6 +156,12 @@ def inner(all_: Column, e: Column) -> Column:
     return F.filter(below(all_, e), lambda x: x["up"] == e["pre"])
 
 
+def counted(numbered: Column, e: Column, second: bool = False) -> Column:
+    """Of all elements of a kind that is COUNTED, those inside e."""
+    first, past = (e["first2"], e["past2"]) if second else (e["first"], e["past"])
+    return F.slice(numbered, first + 1, past - first)
+
+
 def text_of(words: Column, e: Column) -> Column:
     """Text of an element and all inside it, without white space at its ends."""
     return F.regexp_replace(F.substring(words, e["start"] + 1, e["end"] - e["start"]), r"^\s+|\s+$", "")

@@ -72,8 +72,18 @@ def test_sweep_is_the_tree(sf_dir):
         text, named, place = elements.sweep(page)
         root = tree.read(page)
         want = list(root.below())
-        assert [n for n, _ in named] == [e.name for e in want]
-        for (name, _), (last, up, start, end), e in zip(named, place, want, strict=True):
+        assert [n for n, _, _ in named] == [e.name for e in want]
+        for (name, _, _), (last, up, start, end, inner, *_), e in zip(named, place, want, strict=True):
+            assert inner == sum(isinstance(x, tree.Element) for x in e.inside)
             if name not in elements.RAW:
                 assert text[start:end].strip() == e.text(), (name, page[:50])
             assert (named[up][0] if up >= 0 else "") == e.up.name and len(list(e.below())) == last - want.index(e)
+
+
+def test_deep_pages_take_time_in_proportion(spark):
+    import time
+
+    pages = ["<table><tr><td>" * 40_000 + "<th>k<td>v", "<div class=description>" * 60_000 + "long enough to be one of them", "<select name=a><option>x" * 40_000, "<ul class=breadcrumb><li>a" * 30_000]
+    began = time.time()
+    rows = dom.dom_facts(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert time.time() - began < 60 and {r.page for r in rows} >= {1, 2}
