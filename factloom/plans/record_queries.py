@@ -187,7 +187,46 @@ def webhooks(spark, sf_dir):
 def rung_share_jumps(spark, sf_dir):
     rung = F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 5 < F.dayofmonth("ts") % 4), "llm").otherwise("rules")
     rows = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("domain"), rung.alias("rung"))
-    return E.jumps(E.rung_shares(rows, width="1 day"), after=0.15).select("start", "domain", "fired", F.round("share", 9).alias("share"))
+    return E.jumps(rows, after=0.15, width="1 day").select("start", "domain", "fired", F.round("share", 9).alias("share"))
+
+
+@query(
+    "single_flight",
+    """
+    WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM (SELECT DISTINCT user_id, ts FROM events)),
+    f AS (
+      SELECT key, ts, n, ts AS held, true AS admitted FROM e WHERE n = 1
+      UNION ALL
+      SELECT e.key, e.ts, e.n, CASE WHEN e.ts - f.held >= INTERVAL 600 MINUTE THEN e.ts ELSE f.held END, e.ts - f.held >= INTERVAL 600 MINUTE FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+    SELECT key, ts, admitted FROM f
+    """,
+)
+def single_flight(spark, sf_dir):
+    """Triggers of users, of which one in ten hours may run."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts").distinct()
+    return E.single_flight(rows, minutes=600).select("key", "ts", "admitted")
+
+
+_TO = ["active", "refresh_failing", "revoked", "active", "pending_failed"]
+
+
+@query(
+    "connection_states",
+    f"""
+    WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS connection, ts, to_, row_number() OVER (PARTITION BY user_id ORDER BY ts, to_) AS n FROM events JOIN {values(list(enumerate(_TO)), 'm, to_')} ON event_id % {len(_TO)} = m),
+    allowed AS (SELECT * FROM {values([(a, b) for a, all_ in E.TRANSITIONS.items() for b in all_], 'a, b')}),
+    f AS (
+      SELECT connection, ts, n, CASE WHEN EXISTS (SELECT 1 FROM allowed WHERE a = 'pending' AND b = to_) THEN to_ ELSE 'pending' END AS state, (NOT EXISTS (SELECT 1 FROM allowed WHERE a = 'pending' AND b = to_))::BIGINT AS rejected FROM e WHERE n = 1
+      UNION ALL
+      SELECT e.connection, e.ts, e.n, CASE WHEN b IS NULL THEN f.state ELSE e.to_ END, f.rejected + (b IS NULL)::BIGINT
+      FROM f JOIN e ON e.connection = f.connection AND e.n = f.n + 1 LEFT JOIN allowed ON a = f.state AND b = e.to_)
+    SELECT connection, ts, state, rejected FROM f
+    """,
+)
+def connection_states(spark, sf_dir):
+    """Users as connections, and their events as changes of state."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("connection"), "ts", dealt(_TO, F.col("event_id")).alias("to"))
+    return E.connection_states(rows)
 
 
 _ENDS = ["<p>are you human?</p>", '<script type="application/ld+json">{}</script>', "<script>window.__NUXT__={}</script>", "<p>plain</p>"]

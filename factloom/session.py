@@ -15,6 +15,8 @@ def build_session(app: str = "factloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # states with timers and maps need it
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **{k.replace("_", "."): v for k, v in conf.items()}}.items():

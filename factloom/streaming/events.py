@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from factloom.sources.store import absent
 
@@ -87,37 +88,177 @@ def rung_shares(events: DataFrame, rung: str = "llm", width: str = "1 hour", lat
     return w.agg(F.count("*").alias("fired"), F.avg((F.col("rung") == rung).cast("double")).alias("share")).select(F.col("w.start").alias("start"), "domain", "fired", "share")
 
 
-def jumps(shares: DataFrame, before: float = 0.05, after: float = 0.40) -> DataFrame:
-    """Windows whose share is `after` or more where the domain's window before had `before` or less."""
-    last = F.lag("share").over(Window.partitionBy("domain").orderBy("start"))
-    return shares.withColumn("was", last).filter((F.col("was") <= before) & (F.col("share") >= after))
+class InOrder(StatefulProcessor):
+    """Takes the rows of a key one time after another: a row waits, in a map by its millisecond, until the watermark has
+    passed it, and then a timer hands it to `step`, with those of the same millisecond in order.
+
+    Chunks of rows are put away as they come, so no batch of a key is held; what waits is what the watermark allows to be late.
+    """
+
+    time = "ts"
+    columns: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "rows array<string>")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """States of its own."""
+
+    def step(self, key: tuple, row: dict) -> Iterator[tuple]:
+        """What comes out of one row: (row, in the order of columns)."""
+        raise NotImplementedError
+
+    def expired(self, key: tuple, at: int) -> None:
+        """A timer without waiting rows: one that step has set."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            micros = frame[self.time].astype("datetime64[us]").astype("int64")
+            rest = frame.drop(columns=[self.time]).to_dict("records")
+            new: dict[int, list[str]] = {}
+            for at, row in zip(micros.tolist(), rest, strict=True):
+                new.setdefault(at // 1000, []).append(json.dumps([at, {k: None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for k, v in row.items()}]))
+            for at, texts in new.items():
+                had = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+                self.waiting.updateValue((at,), (had + texts,))
+                self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        out: list[tuple] = []
+        if self.waiting.containsKey((at,)):
+            texts = list(self.waiting.getValue((at,))[0])
+            self.waiting.removeKey((at,))
+            for micros, row in sorted((json.loads(t) for t in texts), key=lambda x: (x[0], json.dumps(x[1], sort_keys=True))):
+                out += self.step(key, {self.time: pd.Timestamp(micros, unit="us"), **row})
+        else:
+            self.expired(key, at)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class _Value:
+    """A value state of a key of a table."""
+
+    row: tuple | None = None
+
+    def exists(self) -> bool:
+        return self.row is not None
+
+    def get(self) -> tuple | None:
+        return self.row
+
+    def update(self, row: tuple) -> None:
+        self.row = row
+
+    clear = lambda self: self.update(None)
+
+
+class _Table:
+    """What a processor needs of a handle where the rows are a table's: all times have passed, so no timer is needed."""
+
+    def getValueState(self, name: str, schema: str) -> _Value:  # noqa: N802
+        return _Value()
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        pass
+
+
+def in_order(rows: DataFrame, key: str, processor: InOrder, schema: str) -> DataFrame:
+    """What the processor gives for the rows of each key; rows has a watermark if it is a stream.
+
+    A table is sorted and its rows go by one at a time, with the state of one key; on a stream states and timers are the
+    store's. Rows without a time have no place and are left out.
+    """
+    rows = rows.filter(F.col(processor.time).isNotNull())
+    if rows.isStreaming:
+        return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rest = [c for c in rows.columns if c not in (key, processor.time)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: list = []
+        for batch in batches:
+            out: list[tuple] = []
+            for of, time, *row in batch.itertuples(index=False, name=None):
+                of = None if pd.isna(of) else of
+                if last != [of]:
+                    last = [of]
+                    processor.handle = _Table()
+                    processor.open(processor.handle)
+                out += processor.step((of,), {processor.time: time, **dict(zip(rest, row, strict=True))})
+            yield pd.DataFrame(out, columns=processor.columns)
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, processor.time, *rest)
+    return dealt.select(key, processor.time, *rest).mapInPandas(run, schema)
+
+
+class Jumps(InOrder):
+    time, columns = "end", ["start", "domain", "fired", "share", "was"]
+
+    def __init__(self, before: float, after: float):
+        self.before, self.after = before, after
+
+    def open(self, handle):
+        self.last = handle.getValueState("last", "share double")
+
+    def step(self, key, row):
+        was = self.last.get()[0] if self.last.exists() else None
+        self.last.update((row["share"],))
+        if was is not None and was <= self.before and row["share"] >= self.after:
+            yield pd.Timestamp(row["start"], unit="us"), key[0], row["fired"], row["share"], was
+
+
+def jumps(events: DataFrame, before: float = 0.05, after: float = 0.40, rung: str = "llm", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """start, domain, fired, share, was: windows in which a rung's share is `after` or more, where the domain's window before
+    had `before` or less; of events (ts, domain, rung), a stream or a table.
+
+    Two operators with state in a chain: windows are summed, and when the watermark has passed one, it is compared with
+    the last share of its domain, which is that domain's state. A window without events is none.
+    """
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "domain")
+    share = F.avg((F.col("rung") == rung).cast("double"))
+    # the time of a window is its last moment: what follows goes by the same watermark
+    shares = w.agg(F.count("*").alias("fired"), share.alias("share")).select(F.window_time("w").alias("end"), F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "domain", "fired", "share")
+    schema = "start timestamp, domain string, fired long, share double, was double"
+    return in_order(shares, "domain", Jumps(before, after), schema)
+
+
+class SingleFlight(InOrder):
+    columns = ["key", "ts", "admitted"]
+
+    def __init__(self, minutes: int):
+        self.micros = minutes * 60_000_000
+
+    def open(self, handle):
+        self.held = handle.getValueState("held", "at long")
+
+    def step(self, key, row):
+        now = row["ts"].value // 1000
+        free = not self.held.exists() or now - self.held.get()[0] >= self.micros
+        if free:
+            self.held.update((now,))
+            self.handle.registerTimer((now + self.micros) // 1000 + 1)
+        yield key[0], row["ts"], free
+
+    def expired(self, key, at):
+        if self.held.exists() and self.held.get()[0] + self.micros <= at * 1000:
+            self.held.clear()
 
 
 def single_flight(triggers: DataFrame, minutes: int = 15, late: str = "1 minute") -> DataFrame:
     """key, ts, admitted of triggers (key, ts): one that comes less than `minutes` after an admitted one isn't.
 
-    The time of the last admitted trigger is a key's state; it goes when it can hold up no more.
+    Triggers are taken in the order of their times, whatever order they come in; each has its answer when the watermark
+    has passed it. The time of the last admitted one is a key's state; it goes when it can hold up no more.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (held,) = state.get if state.exists else (None,)
-        out = []
-        for ts in pd.concat(list(frames))["ts"].sort_values():
-            micros = int(ts.value // 1000)
-            free = held is None or micros - held >= minutes * 60_000_000
-            held = micros if free else held
-            out.append((key[0], ts, free))
-        state.update((held,))
-        until = held // 1000 + minutes * 60_000
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        yield pd.DataFrame(out, columns=["key", "ts", "admitted"])
-
-    rows = triggers.withWatermark("ts", late).groupBy("key")
-    return rows.applyInPandasWithState(step, "key string, ts timestamp, admitted boolean", "held long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = triggers.select("key", "ts").withWatermark("ts", late)
+    return in_order(rows, "key", SingleFlight(minutes), "key string, ts timestamp, admitted boolean")
 
 
 def records_since(spark: SparkSession, path: str, schema: str, per_batch: int = 10) -> DataFrame:
@@ -126,24 +267,30 @@ def records_since(spark: SparkSession, path: str, schema: str, per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(path)
 
 
-def connection_states(changes: DataFrame) -> DataFrame:
-    """connection, state, rejected: each connection's state after a batch, from changes (connection, ts, to).
+class Connections(InOrder):
+    columns = ["connection", "ts", "state", "rejected"]
 
-    A change the graph doesn't allow is counted in rejected and leaves the state; a connection begins as pending.
-    """
+    def open(self, handle):
+        self.now = handle.getValueState("now", "state string, rejected long")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, rejected = state.get if state.exists else ("pending", 0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for to in rows["to"]:
-            if to in TRANSITIONS.get(now, []):
-                now = to
-            else:
-                rejected += 1
-        state.update((now, rejected))
-        yield pd.DataFrame({"connection": [key[0]], "state": [now], "rejected": [rejected]})
-
-    return changes.groupBy("connection").applyInPandasWithState(step, "connection string, state string, rejected long", "state string, rejected long", "update", GroupStateTimeout.NoTimeout)
+    def step(self, key, row):
+        now, rejected = self.now.get() if self.now.exists() else ("pending", 0)
+        if row["to"] in TRANSITIONS.get(now, []):
+            now = row["to"]
+        else:
+            rejected += 1
+        self.now.update((now, rejected))
+        yield key[0], row["ts"], now, rejected
+
+
+def connection_states(changes: DataFrame, late: str = "1 minute") -> DataFrame:
+    """connection, ts, state, rejected: a connection's state after each of changes (connection, ts, to), in order of time.
+
+    A change the graph doesn't allow leaves the state and is counted in rejected; a connection begins as pending. Changes of
+    one moment are taken in the order of their names. On a stream a change has its answer when the watermark has passed it.
+    """
+    schema = "connection string, ts timestamp, state string, rejected long"
+    return in_order(changes.select("connection", "ts", "to").withWatermark("ts", late), "connection", Connections(), schema)
 
 
 def append_new(batch: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:

@@ -245,15 +245,6 @@ def test_hourly_health_stream(spark, tmp_path):
     assert got[0] == (2, 1)
 
 
-def test_connection_states(spark, tmp_path):
-    rows = [("a", T, "active"), ("a", T + datetime.timedelta(hours=1), "deleted"), ("a", T + datetime.timedelta(hours=2), "revoked")]
-    schema = "connection string, ts timestamp, to string"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    q = E.connection_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.table("states").collect()] == [("a", "revoked", 1)]
-
-
 def test_append_new_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     batch = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, v int")

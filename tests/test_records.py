@@ -97,17 +97,6 @@ def test_webhooks(spark):
     assert E.by_type(out)["sync"].count() == 2 and E.by_type(out)["auth"].count() == 0
 
 
-def test_single_flight(spark, tmp_path):
-    at = lambda m: NOW + datetime.timedelta(minutes=m)
-    for i, rows in enumerate([[("a", at(0)), ("a", at(5)), ("b", at(1)), ("a", at(15))], [("a", at(29)), ("b", at(40)), ("a", at(31))]]):
-        spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        out = E.single_flight(spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in")))
-        q = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
-        q.awaitTermination()
-    got = {(r.key, int((r.ts - NOW).total_seconds() // 60)): r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {("a", 0): True, ("a", 5): False, ("b", 1): True, ("a", 15): True, ("a", 29): False, ("b", 40): True, ("a", 31): True}
-
-
 def test_records_resume_where_a_run_ended(spark, tmp_path):
     for i in range(3):
         (tmp_path / "in").mkdir(exist_ok=True)
