@@ -14,7 +14,8 @@ from factloom.operators import models as M
 from factloom.plans import fixtures as X
 from factloom.plans.fixtures import dealt, values
 from factloom.plans.register import query
-from factloom.sources.tables import table
+from factloom.sources import record_pages as D
+from factloom.sources.tables import shared_path, table
 from factloom.streaming import events as E
 
 
@@ -190,6 +191,23 @@ def rung_share_jumps(spark, sf_dir):
     return E.jumps(rows, after=0.15, width="1 day").select("start", "domain", "fired", F.round("share", 9).alias("share"))
 
 
+@query(
+    "record_drain",
+    """
+    WITH r AS (SELECT p_brand AS connection, p_partkey AS id, p_name AS title, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (p_partkey // 7), '%Y-%m-%dT%H:%M:%SZ') AS updated_at FROM part),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY connection ORDER BY updated_at, id::VARCHAR) - 1) // 50 AS page FROM r)
+    SELECT connection, page::INT AS page, updated_at, id::VARCHAR AS external_id, title FROM n WHERE updated_at > '2024-01-01T00:00:30Z'
+    """,
+)
+def record_drain(spark, sf_dir):
+    """Parts as records of their brands' shops, paged, and drained from a time on."""
+    at = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.expr("p_partkey div 7")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    raw = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), at.alias("updated_at")))
+    records = table(spark, sf_dir, "part").select(F.col("p_brand").alias("connection"), at.alias("updated_at"), F.col("p_partkey").cast("string").alias("external_id"), raw.alias("raw"))
+    D.write_pages(records, path := shared_path(spark, "record-pages"))
+    return D.drain(spark, path, "2024-01-01T00:00:30Z").select("connection", "page", "updated_at", "external_id", F.get_json_object("raw", "$.title").alias("title"))
+
+
 @query(
     "single_flight",
     """
