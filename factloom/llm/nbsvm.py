@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import table, written
 from factloom.llm.words import U, blocks, flat_bytes, mix, prefix_hash, shingle_hash, slice_hash, word_bounds
 
-BITS = 18
+BITS = 17
 BUCKETS = 1 << BITS
 #: Lengths of byte n-grams, word n-grams and n-grams of renamed words.
 GRAMS, WORD_GRAMS, RENAMED = (3, 5), (1, 2), (2, 3, 4, 6, 8)
