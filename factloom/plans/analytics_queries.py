@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators import analytics as A
 from factloom.operators import calibration as C
+from factloom.operators import views as W
 from factloom.plans.register import query
-from factloom.sources.tables import table
+from factloom.sources.tables import shared_path, table
 
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-31 00:00:00", "2001-08-02 00:00:00"
 
@@ -18,6 +19,13 @@ def prices(spark, sf_dir):
     return items.join(parts, "l_partkey")
 
 
+def part_price_counts(spark, sf_dir):
+    """brand, category, price, c: lines are counted by part and price before they meet the parts."""
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
+    return A.price_counts(items, ["l_partkey"]).join(parts, "l_partkey").groupBy("brand", "category", "price").agg(F.sum("c").alias("c"))
+
+
 @query(
     "price_clusters",
     """
@@ -28,7 +36,26 @@ def prices(spark, sf_dir):
     """,
 )
 def price_clusters(spark, sf_dir):
-    return A.price_clusters(prices(spark, sf_dir), ["brand", "category"])
+    return A.clusters_of_counts(part_price_counts(spark, sf_dir), ["brand", "category"])
+
+
+@query(
+    "view_refresh",
+    """
+    WITH p AS (SELECT p_brand AS brand, p_type AS category, l_extendedprice / l_quantity AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE NOT (l_orderkey % 3 = 0 AND l_linenumber = 2))
+    SELECT brand, category, round(quantile_cont(price, 0.5), 6) AS median_price, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 10
+    """,
+)
+def view_refresh(spark, sf_dir):
+    """Price clusters kept up over three batches of orders; of the first, lines are withdrawn with the last."""
+    view, folder = W.price_clusters(["brand", "category"]), shared_path(spark, "view")
+    items = prices(spark, sf_dir)
+    for i in range(3):
+        came = items.filter(F.col("l_orderkey") % 3 == i).withColumn("change", F.lit(1))
+        if i == 2:
+            came = came.unionByName(items.filter("l_orderkey % 3 = 0 and l_linenumber = 2").withColumn("change", F.lit(-1)))
+        W.refresh(view, folder, came, i)
+    return W.shown(view, spark, folder, ORDERS_AS_OF)
 
 
 @query(
@@ -47,7 +74,7 @@ def price_anomaly(spark, sf_dir):
     from factloom.operators.policy import price_is_odd
 
     by = ["brand", "category"]
-    counts = A.price_counts(prices(spark, sf_dir), by)
+    counts = part_price_counts(spark, sf_dir)
     known = counts.join(A.clusters_of_counts(counts, by).withColumnRenamed("n", "samples"), by)
     odd = price_is_odd(F.col("price"), F.col("median_price"), F.col("samples"), 1.4, 0.7)
     return known.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.coalesce(odd, F.lit(False)), F.col("c")).otherwise(0)).alias("anomalies"))
