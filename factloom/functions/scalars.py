@@ -211,5 +211,10 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
-def backoff_ms(attempt: Column, base: float = 3000.0, most: float = 600000.0) -> Column:
-    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+def backoff_ms(attempt: Column, base: float = 3000.0, most: float = 600000.0, jitter: float = 0.0, key: Column | None = None) -> Column:
+    """Milliseconds to wait before an attempt (from 0); with jitter, up to that share of it less, drawn from key and attempt."""
+    wait = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+    if not jitter:
+        return wait
+    draw = F.pmod(F.xxhash64(key if key is not None else F.lit(0), attempt), F.lit(1 << 30)) / float(1 << 30)
+    return wait * (1 - jitter * draw)

@@ -211,6 +211,35 @@ def core_field(key: Column) -> Column:
     return lookup(CORE_FIELDS, key)
 
 
+def with_core_fallback(facts: DataFrame, least: float = 0.85, score: float = 0.95) -> DataFrame:
+    """facts with the core field of their raw key where they aren't mapped: canonical_key, method, candidates, approved.
+
+    What is mapped stays; of the others with a core field, a method or candidates that are there stay too, and those of
+    `least` confidence are approved. Reads raw_key, confidence and these four (candidates: array of key, score).
+    """
+    field = core_field(F.col("raw_key"))
+    fits = F.col("canonical_key").isNull() & field.isNotNull()
+    one = F.array(F.struct(field.alias("key"), F.lit(score).alias("score")))
+    return facts.withColumns({
+        "canonical_key": F.coalesce("canonical_key", field),
+        "method": F.when(fits, F.coalesce("method", F.lit("core_field"))).otherwise(F.col("method")),
+        "candidates": F.when(fits, F.coalesce("candidates", one)).otherwise(F.col("candidates")),
+        "approved": F.when(fits, F.col("confidence") >= least).otherwise(F.col("approved")),
+    })
+
+
+def first_fact_per_path(facts: DataFrame, by: list[str]) -> DataFrame:
+    """Of each by and canonical path the most confident fact, in order of path, those without one last and by raw key.
+
+    Reads canonical_key, raw_key, confidence and ordinal, which decides ties; place is the fact's number within by, from 1.
+    """
+    path = F.struct(F.col("canonical_key").isNull().alias("last"), F.coalesce("canonical_key", "raw_key").alias("path"))
+    rest = [c for c in facts.columns if c not in by]
+    best = facts.withColumn("_path", path).groupBy(*by, "_path").agg(F.max_by(F.struct(*rest), F.struct("confidence", -F.col("ordinal"))).alias("f"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_path"))
+    return best.withColumn("place", place).select(*by, "f.*", "place")
+
+
 def canonical_payload(facts: DataFrame) -> DataFrame:
     """One row per page: core fields, each the most confident fact's, and a map of the other attributes.
 

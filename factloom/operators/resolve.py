@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scalars import gtin, jaro_winkler, normal, similarity
@@ -183,3 +183,47 @@ def variant_matrix(variants: DataFrame, by: list[str], axes: list[str]) -> DataF
         expected = expected * s
     out = variants.groupBy(*by).agg(expected.alias("expected"), F.countDistinct(*axes).alias("present"))
     return out.withColumn("missing", F.greatest(F.lit(0), F.col("expected") - F.col("present")))
+
+
+def reconcile_pairs(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """by, value, attribution (a, b, neither) of the fields of two sides (by, value, confidence, ts), one row a key on each.
+
+    The side that has a value wins, of two the more confident, then the newer, then a; null confidences are the least.
+    """
+    x, y = (side.select(F.struct(*by).alias("_key"), F.struct("value", F.coalesce("confidence", F.lit(float("-inf"))).alias("c"), "ts").alias(name)) for side, name in ((a, "a"), (b, "b")))
+    both = x.join(y, "_key", "full")
+    better = (F.col("a.c") > F.col("b.c")) | ((F.col("a.c") == F.col("b.c")) & (F.coalesce(F.col("a.ts") >= F.col("b.ts"), F.col("b.ts").isNull())))
+    won = F.when(F.col("a.value").isNull(), F.when(F.col("b.value").isNull(), "neither").otherwise("b")).when(F.col("b.value").isNull() | better, "a").otherwise("b")
+    return both.select("_key.*", F.when(won == "a", F.col("a.value")).otherwise(F.col("b.value")).alias("value"), won.alias("attribution"))
+
+
+def missing_variants(variants: DataFrame, by: list[str], axes: list[str], step: int = 10_000) -> DataFrame:
+    """by, axes: the combinations of a group's axis values that no variant has, in order of the axes' values.
+
+    A combination's rank is a number in mixed radix: the ranks that are there leave gaps, and only what is in the gaps is
+    enumerated, `step` at a time, so the product of the axes is never held. As many are given as the group has fewer rows than
+    combinations, the first ones: rows that repeat a combination, or have none, may stand for one that isn't known. An axis
+    without any value takes no part (null); a group in which no axis has one lacks nothing.
+    """
+    key = F.struct(*by)
+    groups = variants.groupBy(key.alias("_key")).agg(F.count("*").alias("_actual"), *[F.array_sort(F.collect_set(a)).alias(f"_{a}") for a in axes])
+    size = lambda a: F.greatest(F.size(f"_{a}"), F.lit(1)).cast("long")
+    strides = {}
+    stride = F.lit(1).cast("long")
+    for a in reversed(axes):
+        strides[a], stride = stride, stride * size(a)
+    groups = groups.withColumn("_all", F.when(F.greatest(*[F.size(f"_{a}") for a in axes], F.lit(0)) > 0, stride).otherwise(0)) if len(axes) else groups
+    place = lambda a: F.when(F.size(f"_{a}") == 0, 0).otherwise(F.array_position(f"_{a}", F.col(a)) - 1)
+    rank = F.lit(0).cast("long")
+    for a in axes:
+        rank = rank + place(a) * strides[a]
+    there = variants.select(key.alias("_key"), *axes).distinct().join(groups, "_key").withColumn("_rank", rank).filter("_rank is not null and _all > 0").select("_key", "_rank")
+    # each rank and the end of the group close a gap
+    closed = there.withColumn("_to", F.col("_rank")).unionByName(groups.select("_key", F.lit(None).cast("long").alias("_rank"), F.col("_all").alias("_to")))
+    order = Window.partitionBy("_key").orderBy("_to", F.col("_rank").isNull())
+    gaps = closed.withColumn("_from", F.coalesce(F.lag("_to").over(order) + 1, F.lit(0))).withColumn("_before", F.row_number().over(order) - 1)
+    gaps = gaps.join(groups, "_key").withColumn("_last", F.least(F.col("_to"), F.col("_before") + F.greatest(F.col("_all") - F.col("_actual"), F.lit(0))) - 1).filter("_from <= _last")
+    starts = gaps.withColumn("_start", F.explode(F.sequence("_from", "_last", F.lit(step).cast("long"))))
+    each = starts.withColumn("_n", F.explode(F.sequence("_start", F.least(F.col("_start") + step - 1, F.col("_last")))))
+    value = lambda a: F.get(f"_{a}", (F.call_function("div", F.col("_n"), strides[a]) % size(a)).cast("int"))
+    return each.select("_key.*", *[value(a).alias(a) for a in axes])

@@ -23,7 +23,8 @@ EXACT = "decimal(38,9)"
 
 @dataclass(frozen=True)
 class View:
-    """keys and sums: columns of a source row; finish: what is shown of the summed states, as of a moment.
+    """keys and sums: columns of a source row; finish: what is shown of the summed states, as of a moment, which is to be
+    a whole hour, or for states by day a whole day.
 
     Only sums are kept, so what finish makes of them has to be a function of sums.
     """
@@ -43,7 +44,8 @@ def _total(name: str) -> Column:
 
 
 def _recent(at: str, days: float) -> Callable[[DataFrame, str], DataFrame]:
-    return lambda states, as_of: states.filter(since(at, as_of, days))
+    """States of the last days; the unit that begins just then is among them."""
+    return lambda states, as_of: states.filter(since(at, as_of, days) | (F.col(at) == F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL '{int(days * 24)}' HOUR")))
 
 
 def fleet_overview(days: float = 7) -> View:

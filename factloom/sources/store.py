@@ -47,6 +47,30 @@ def diff_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str], con
     return rows.select(key, "d.field", "d.old", "d.new", "confidence", (F.col("confidence") >= least).alias("auto"))
 
 
+# Fields of a payload that reviewers see, in order.
+PAYLOAD_FIELDS = ["title", "brand", "gtin", "modelNumber", "description", "basePrice", "currency", "canonicalCategory", "images", "attributes", "variants"]
+
+
+def payload_diffs(payloads: DataFrame, facts: DataFrame, key: str, least: float = 0.9, fallback: float = 0.6) -> DataFrame:
+    """key, field, value, confidence, auto: a row for each PAYLOAD_FIELDS that a payload has (null, or no such column: none).
+
+    A field's confidence is the greatest of the facts (key, canonical_key, raw_key, confidence) whose canonical key, or raw
+    key where there is none, is the field's name; `fallback` without one. Values are texts, nested ones JSON.
+    """
+    plain = {f.name: f.dataType.typeName() for f in payloads.schema}
+    text = lambda n: F.to_json(F.col(n)) if plain[n] in ("array", "map", "struct") else F.col(n).cast("string")
+    each = F.array(*[F.struct(F.lit(n).alias("field"), text(n).alias("value")) for n in PAYLOAD_FIELDS if n in plain])
+    rows = payloads.select(key, F.explode(F.filter(each, lambda e: e["value"].isNotNull())).alias("e")).select(key, "e.*")
+    best = facts.groupBy(key, F.coalesce("canonical_key", "raw_key").alias("field")).agg(F.max("confidence").alias("confidence"))
+    confidence = F.coalesce("confidence", F.lit(fallback))
+    return rows.join(best, [key, "field"], "left").select(key, "field", "value", confidence.alias("confidence"), (confidence >= least).alias("auto"))
+
+
+def latest_schemas(schemas: DataFrame) -> DataFrame:
+    """Of each category the active schema of the greatest version."""
+    return current(schemas.filter(F.coalesce("active", F.lit(True))), "category", ["version"])
+
+
 def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str], most_bytes: int = 100 << 20, most_rows: int = 100_000) -> DataFrame:
     """Rows of headed CSV files with row (from 1, in each file), an attributes map of the columns named attributes.*, and errors.
 
