@@ -137,7 +137,8 @@ def fit_sample(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) ->
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """The model of doc_id, text, label (0 or 1): ratios of all rows, weights of `sample` rows and FIT_BYTES at most."""
-    size = F.least(F.lit(BUCKETS), GRAMS_A_BYTE * F.coalesce(F.octet_length("text"), F.lit(0))) * 4
+    n_bytes = F.col("n_bytes") if "n_bytes" in labelled.columns else F.octet_length("text")
+    size = F.least(F.lit(BUCKETS), GRAMS_A_BYTE * F.coalesce(n_bytes, F.lit(0))) * 4
     total, bytes_ = labelled.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head()
     share, most = min(1.0, 1.3 * sample / max(1, total), FIT_BYTES / max(1, bytes_)), FIT_BYTES
 
@@ -207,12 +208,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label of the documents that labels mark and that aren't held out.
+    """doc_id, text, n_bytes, label of the documents that labels mark and that aren't held out; n_bytes (of text) is there
+    before the join, so that sums of it need no texts.
 
     Labels other than 0 and 1, null ones and ids take no part, nor do ids that labels mark both ways.
     """
     marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).filter("label = most")
-    return docs.filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "text").join(marks.select("doc_id", "label").hint("merge"), "doc_id")
+    return docs.filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "text", F.octet_length("text").alias("n_bytes")).join(marks.select("doc_id", "label").hint("merge"), "doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
