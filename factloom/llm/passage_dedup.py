@@ -384,3 +384,17 @@ def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_passage_dedup": op13_passage_dedup}
+ORACLES = {
+    "op13_passage_dedup": f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    w AS (SELECT doc_id, len(words) AS n, unnest(range(1, len(words) + 1)) AS p, words FROM d),
+    windows AS (SELECT doc_id, p, array_to_string(words[p:p + {LENGTH - 1}], ' ') AS s FROM w WHERE p + {LENGTH - 1} <= n),
+    firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+    late AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE least < doc_id),
+    marked AS (
+      SELECT w.doc_id, w.p, words[w.p] AS word, coalesce(w.p - max(late.p) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS UNBOUNDED PRECEDING) < {LENGTH}, false) AS gone
+      FROM w LEFT JOIN late ON late.doc_id = w.doc_id AND late.p = w.p),
+    kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
+    SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """
+}
