@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.html import MAX_BYTES
 from factloom.functions.scalars import host_of
 from factloom.functions.tree import Element, read
 
@@ -180,16 +181,21 @@ def facts_of(site: str, url: str, html: str | None) -> list[Fact]:
     return out + list(shown(root, site, {k for k, _, _ in out}))
 
 
+#: Pages whose facts are held at once in a task.
+PAGES = 32
+
+
 def site_facts(pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, raw_key, value, confidence, parser, ordinal of the pages of known sites; others are not read.
 
-    pages: page, url, html. A null page gives what its url tells. Images are a JSON list of their addresses.
+    pages: page, url, html. A null page, and one over 4 MB, gives what its url tells. Images are a JSON list of their addresses.
     """
-    rows = pages.select(F.col(page).alias("page"), "url", "html").join(site_of(pages, page), "page").select("page", "site", "url", "html")
+    read_html = F.when(F.octet_length("html") <= MAX_BYTES, F.col("html")).alias("html")
+    rows = pages.select(F.col(page).alias("page"), "url", read_html).join(site_of(pages, page), "page").select("page", "site", "url", "html")
     kind = rows.schema["page"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, PAGES) for whole in batches for lo in range(0, whole.num_rows, PAGES)):
             at, facts = [], []
             for i, (site, url, html) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                 for n, (key, value, confidence) in enumerate(facts_of(site, url, html)):

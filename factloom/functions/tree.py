@@ -7,8 +7,6 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Bytes of a page that are read; the rest of a longer one is left.
-MAX_CHARS = 4 * 1024 * 1024
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:=['\"]?([^'\"\]]*)['\"]?)?\]|:(last-child)", re.I)
 
 
@@ -88,6 +86,6 @@ class _Reader(HTMLParser):
 def read(html: str | None) -> Element:
     """The root of a page; unclosed elements end with the one around them."""
     reader = _Reader()
-    reader.feed((html or "")[:MAX_CHARS])
+    reader.feed(html or "")
     reader.close()
     return reader.root

@@ -116,3 +116,15 @@ def test_tasks_without_parts(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     (r,) = V.tasks_with_diffs(tasks, none("diff_id int, s string"), none("diff_id int, f string"), none("artifact int, u string")).collect()
     assert r.diff is None and r.fields == [] and r.artifact_row is None
+
+
+def test_long_site_pages_give_what_the_url_tells(spark):
+    from factloom.functions import sites
+
+    url = "https://www.amazon.in/dp/B000TEST00"
+    page = "<span id='productTitle'>A lamp</span>"
+    rows = [(i, url, page) for i in range(70)] + [(90, url, page + "<p>" * 1_500_000), (91, url, None)]
+    got = {}
+    for r in sites.site_facts(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect():
+        got.setdefault(r.page, []).append((r.raw_key, r.value))
+    assert len(got) == 72 and got[90] == got[91] and len(got[91]) == 1 and all(got[i] == got[0] and len(got[0]) > 1 for i in range(70))
