@@ -28,7 +28,7 @@ GRAMS, WORD_GRAMS, RENAMED = (3, 5), (1, 2), (2, 3, 4, 6, 8)
 #: Labelled documents that the linear model is fitted to, at most: those of least hash. Ratios use all.
 SAMPLE = 6000
 #: Bytes of their bucket lists, at most: of long texts fewer are fitted to. A byte of text has so many n-grams at most.
-FIT_BYTES, GRAMS_A_BYTE = 128 << 20, 6
+FIT_BYTES, GRAMS_A_BYTE = 64 << 20, 6
 COST, ROUNDS = 1.0, 12
 #: Bytes of text whose n-grams are held at once.
 BLOCK_BYTES = 1 << 20
