@@ -15,7 +15,7 @@ every window would send a row for each word of the corpus; a difference cover ne
 4. Each document gets its runs of words and is cut.
 
 Anchors only say where to look. Surroundings are equal if the hash of the anchor and one of another function over all words
-are; windows if two hashes of 61 bits are.
+are; windows if two hashes of 61 bits are; what a task compares among its own FLUSH_BYTES, if 64 bits made of both are.
 """
 
 from __future__ import annotations
