@@ -105,21 +105,36 @@ def category_fits(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b) | a.startswith(F.concat(b, F.lit("/"))) | b.startswith(F.concat(a, F.lit("/")))
 
 
-def _by_identifier(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+def title_links(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """t, b: normal titles of the ones and similar (or equal) normal titles of the others; each title is compared once."""
+    titles, known = (side.select(normal(F.col("title")).alias("t")).filter("t IS NOT NULL").distinct() for side in (candidates, existing))
+    return title_pairs(titles, known, []).select(F.col("a").alias("t"), "b").unionByName(titles.select("t", F.col("t").alias("b")))
+
+
+def _by_identifier(candidates: DataFrame, existing: DataFrame, links: DataFrame) -> DataFrame:
     """candidate, action (conflict, merge, review, new), product, by, title, category, one for each candidate.
 
     Both have product, gtin, brand, mpn, title, category. Rules in order: a gtin's hits in other categories
     conflict; one hit merges, unless both have a brand and another one, which is reviewed; several are reviewed; brand and mpn
-    with a similar title and a fitting category: one merges, several are reviewed; else new. Existing products
-    are first grouped by (gtin, brand, category), and by their counts the rules decide: no pairs of rows arise.
+    with a similar title and a fitting category: one merges, several are reviewed; else new. No pairs of rows arise: of a
+    gtin one row is enough but for its categories, and those of a brand and mpn are met by links of titles, by equality.
     """
-    c = candidates.select(F.col("product").alias("candidate"), gtin(F.col("gtin")).alias("g"), F.coalesce(normal(F.col("brand")), F.lit("")).alias("b"), normal(F.col("mpn")).alias("m"), "title", "category")
-    e = existing.select("product", gtin(F.col("gtin")).alias("g"), F.coalesce(normal(F.col("brand")), F.lit("")).alias("eb"), normal(F.col("mpn")).alias("m"), F.col("title").alias("et"), F.col("category").alias("ec"))
-    by_gtin = e.filter("g is not null").groupBy("g", "eb", "ec").agg(F.min("product").alias("product"), F.count("*").alias("n"))
-    g = c.join(by_gtin, "g").groupBy("candidate").agg(F.sum("n").alias("g_hits"), F.bool_or(~category_fits(F.col("category"), F.col("ec"))).alias("g_far"), F.min("product").alias("g_product"), F.min(F.when(~category_fits(F.col("category"), F.col("ec")), F.col("product"))).alias("far_product"), F.bool_and((F.col("b") == "") | (F.col("eb") == "") | (F.col("b") == F.col("eb"))).alias("g_brand"))
-    by_model = e.filter("m is not null and eb <> ''").groupBy(F.col("eb").alias("b"), "m", "et", "ec").agg(F.min("product").alias("product"), F.count("*").alias("n"))
-    m = c.join(by_model, ["b", "m"]).filter((similarity(F.col("title"), F.col("et")) >= TITLE) & category_fits(F.col("category"), F.col("ec"))).groupBy("candidate").agg(F.sum("n").alias("m_hits"), F.min("product").alias("m_product"))
-    all_ = c.select("candidate", "title", "category").join(g, "candidate", "left").join(m, "candidate", "left")
+    c = candidates.select(F.col("product").alias("candidate"), gtin(F.col("gtin")).alias("g"), F.coalesce(normal(F.col("brand")), F.lit("")).alias("b"), normal(F.col("mpn")).alias("m"), normal(F.col("title")).alias("t"), "title", "category")
+    e = existing.select("product", gtin(F.col("gtin")).alias("g"), F.coalesce(normal(F.col("brand")), F.lit("")).alias("b"), normal(F.col("mpn")).alias("m"), normal(F.col("title")).alias("t"), F.col("category").alias("ec"))
+    brand = F.nullif("b", F.lit(""))
+    by_gtin = e.filter("g is not null").groupBy("g").agg(F.count("*").alias("n"), F.min("product").alias("p"), F.min(brand).alias("b_least"), F.max(brand).alias("b_most"))
+    by_category = e.filter("g is not null").groupBy("g", "ec").agg(F.min("product").alias("far"))
+    far = c.filter("g is not null").select("g", "category").distinct().join(by_category, "g").filter(~category_fits(F.col("category"), F.col("ec"))).groupBy("g", "category").agg(F.min("far").alias("far"))
+    same = (F.col("b") == "") | F.col("b_least").isNull() | ((F.col("b") == F.col("b_least")) & (F.col("b") == F.col("b_most")))
+    g = c.join(by_gtin, "g").join(far, ["g", "category"], "left").groupBy("candidate").agg(F.sum("n").alias("g_hits"), F.bool_or(F.col("far").isNotNull()).alias("g_far"), F.min("p").alias("g_product"), F.min("far").alias("far_product"), F.bool_and(same).alias("g_brand"))
+    all_ = c.join(g, "candidate", "left")
+    # titles of a brand and mpn that are asked for, once each; then what they found meets the candidates' categories
+    by_model = e.filter("m is not null and b <> ''").groupBy("b", "m", "t", "ec").agg(F.min("product").alias("p"), F.count("*").alias("n"))
+    asked = all_.filter("g_hits is null and m is not null and b <> ''").select("candidate", "b", "m", "t", "category")
+    near = asked.select("b", "m", "t").distinct().join(links.withColumnRenamed("b", "et"), "t")
+    hits = near.join(by_model.withColumnRenamed("t", "et"), ["b", "m", "et"]).groupBy("b", "m", "t", "ec").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+    m = asked.join(hits, ["b", "m", "t"]).filter(category_fits(F.col("category"), F.col("ec"))).groupBy("candidate").agg(F.sum("n").alias("m_hits"), F.min("p").alias("m_product"))
+    all_ = all_.join(m, "candidate", "left")
     by = F.when(F.col("g_hits") > 0, "gtin").when(F.col("m_hits") > 0, "brand_mpn").otherwise("none")
     action = (
         F.when(F.col("g_far"), "conflict")
@@ -136,14 +151,15 @@ def dedupe(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidate, action (conflict, merge, review, new), product, by, one for each candidate.
 
     After the rules of identifiers, what would be new is reviewed if a product has a similar title and a fitting
-    category. Titles are compared once each, by title_pairs, and categories by title and category.
+    category. Titles are compared once each, by title_pairs, and categories by title and category: what a title's links find
+    is one row for each category, whatever the number of titles that are like it.
     """
-    found = _by_identifier(candidates, existing).withColumn("t", normal(F.col("title")))
+    links = title_links(candidates, existing)
+    found = _by_identifier(candidates, existing, links).withColumn("t", normal(F.col("title")))
     asked = found.filter("action = 'new' AND t IS NOT NULL").select("t", "category").distinct()
     known = existing.select(normal(F.col("title")).alias("b"), F.col("category").alias("ec"), "product").filter("b IS NOT NULL").groupBy("b", "ec").agg(F.min("product").alias("t_product"))
-    titles = asked.select("t").distinct()
-    links = title_pairs(titles, known.select(F.col("b").alias("t")).distinct(), []).select(F.col("a").alias("t"), "b").unionByName(titles.select("t", F.col("t").alias("b")))
-    hits = asked.join(links, "t").join(known, "b").filter(category_fits(F.col("category"), F.col("ec"))).groupBy(F.col("t").alias("ht"), F.col("category").alias("hc")).agg(F.min("t_product").alias("t_product"))
+    near = links.join(known, "b").groupBy("t", "ec").agg(F.min("t_product").alias("t_product"))
+    hits = asked.join(near, "t").filter(category_fits(F.col("category"), F.col("ec"))).groupBy(F.col("t").alias("ht"), F.col("category").alias("hc")).agg(F.min("t_product").alias("t_product"))
     by_title = (F.col("action") == "new") & F.col("t_product").isNotNull()
     out = found.join(hits, (F.col("action") == "new") & (F.col("t") == F.col("ht")) & F.col("category").eqNullSafe(F.col("hc")), "left")
     return out.select("candidate", F.when(by_title, "review").otherwise(F.col("action")).alias("action"), F.when(by_title, F.col("t_product")).otherwise(F.col("product")).alias("product"), F.when(by_title, "title").otherwise(F.col("by")).alias("by"))
