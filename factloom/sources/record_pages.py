@@ -2,7 +2,8 @@
 
 A page is a folder `connection=C/page=N/last=T` of JSON lines, N being the cursor that the page before it named and T the
 greatest updated_at of its records; pages of a connection follow each other in order of updated_at. Planning lists
-names, tasks read pages, one each: no record passes the driver, and a drain of any length is as many tasks as pages.
+names, tasks read pages, one after the other: no record passes the driver. Few pages are a task each; of many, up to A_TASK
+are one, so that a long drain isn't spent on starting tasks.
 A stream's offset is the last page of each connection and its T, so a run that ends anywhere goes on after what it has
 stored, and records of one updated_at on both sides of a page's end are neither lost nor read twice.
 """
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Records of a page, as the marketplaces give them.
 PAGE = 50
+#: Pages are a task each up to TASKS of them; beyond, a task has as many as that takes, but A_TASK at most.
+TASKS, A_TASK = 200, 100
 SCHEMA = "connection string, page int, updated_at string, external_id string, raw string"
 
 
@@ -33,6 +36,18 @@ class Page(InputPartition):
     path: str
 
 
+@dataclass
+class Pages(InputPartition):
+    """Pages that one task reads."""
+
+    pages: list[Page]
+
+
+def bundled(pages: list[Page]) -> list[Pages]:
+    n = min(A_TASK, max(1, -(-len(pages) // TASKS)))
+    return [Pages(pages[i : i + n]) for i in range(0, len(pages), n)]
+
+
 def listed(path: str) -> list[Page]:
     """All pages of a folder, by connection and number; one that was being written when its job died has no data yet."""
     fs, root = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
@@ -52,10 +67,14 @@ class _Reader:
     def pages(self) -> list[Page]:
         return [p for p in listed(self.path) if not self.since or p.last > self.since]
 
-    def read(self, page: Page | None) -> Iterator[pa.RecordBatch]:
-        if page is None:  # there are no pages
+    def read(self, part: Pages | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no pages
             return
         fs, _ = pafs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        for page in part.pages:
+            yield from self.records(fs, page)
+
+    def records(self, fs: pafs.FileSystem, page: Page) -> Iterator[pa.RecordBatch]:
         for info in sorted(fs.get_file_info(pafs.FileSelector(page.path)), key=lambda i: i.path):
             if info.type != pafs.FileType.File or info.base_name.startswith(("_", ".")):
                 continue
@@ -77,8 +96,8 @@ class _Reader:
 
 
 class PagesReader(_Reader, DataSourceReader):
-    def partitions(self) -> list[Page]:
-        return self.pages()
+    def partitions(self) -> list[Pages]:
+        return bundled(self.pages())
 
 
 class PagesStreamReader(_Reader, DataSourceStreamReader):
@@ -91,9 +110,9 @@ class PagesStreamReader(_Reader, DataSourceStreamReader):
             out[p.connection] = [p.number, p.last]
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         none = [-1, ""]
-        return [p for p in self.pages() if start.get(p.connection, none)[0] < p.number <= end.get(p.connection, none)[0]]
+        return bundled([p for p in self.pages() if start.get(p.connection, none)[0] < p.number <= end.get(p.connection, none)[0]])
 
     def commit(self, end: dict) -> None:
         pass
@@ -133,9 +152,11 @@ def write_pages(records: DataFrame, path: str, size: int = PAGE, first: Column |
     """Deal records (connection, updated_at, external_id, raw: JSON text) to pages of `size` in order of updated_at and id.
 
     first is each connection's number of its first new page (a column of connection; 0 if None). A connection's records are
-    ordered in one task, which spills; nothing of them is held.
+    ordered in one task, which spills; nothing of them is held. A page is a file of one task.
     """
     nth = F.row_number().over(Window.partitionBy("connection").orderBy("updated_at", "external_id")) - 1
     page = F.floor(nth / size).cast("int") + (F.lit(0) if first is None else first)
     numbered = records.withColumn("page", page).withColumn("last", F.max("updated_at").over(Window.partitionBy("connection", "page")))
-    numbered.select("connection", "page", "last", "raw").write.mode("append").partitionBy("connection", "page", "last").text(path)
+    # opening files takes the time, whatever the rows: a connection's pages are written by all tasks
+    spread = numbered.select("connection", "page", "last", "raw").repartition(max(records.sparkSession.sparkContext.defaultParallelism, 1), "connection", "page")
+    spread.write.mode("append").partitionBy("connection", "page", "last").text(path)

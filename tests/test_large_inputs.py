@@ -1,6 +1,7 @@
 """How work grows with its input: pairs that don't arise, tasks that stay small."""
 
 from factloom.operators import resolve as R
+from factloom.sources import record_pages as D
 
 
 def test_dedupe_makes_no_pairs_of_a_model(spark):
@@ -14,3 +15,13 @@ def test_dedupe_makes_no_pairs_of_a_model(spark):
     assert all("(key#" in line for line in joins), joins
     rows = {r.candidate: (r.action, r.product, r.by) for r in got.collect()}
     assert rows == {1000: ("review", 1, "brand_mpn"), 1001: ("new", None, "none"), 1002: ("review", 0, "gtin"), 1003: ("merge", 900, "gtin"), 1004: ("merge", 900, "gtin"), 1005: ("conflict", 900, "gtin"), 1006: ("review", 29, "title"), 1007: ("new", None, "none")}
+
+
+def test_many_pages_are_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    rows = spark.range(1000).selectExpr("if(id % 2 = 0, 'a', 'b') AS connection", "lpad(id, 5, '0') AS updated_at", "string(id) AS external_id", """concat('{"id":', id, ',"updated_at":"', lpad(id, 5, '0'), '"}') AS raw""")
+    D.write_pages(rows, path, size=2)
+    got = D.drain(spark, path)
+    assert got.rdd.getNumPartitions() <= D.TASKS < len(D.listed(path)) == 500
+    assert sorted(map(tuple, got.select("external_id", "connection", "page", "updated_at").collect())) == sorted((str(i), "ab"[i % 2], i // 4, f"{i:05}") for i in range(1000))
+    assert len(D.bundled([None] * 150_000)) == 1500
