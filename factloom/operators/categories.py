@@ -69,6 +69,9 @@ def detect_categories(products: DataFrame, paths: DataFrame) -> DataFrame:
     ones fit nothing, and no path at all gives a null path and 0. Columns other than these aren't read.
     """
     products = products.select("id", "title", "type", "tags")
+    # what is asked of the index doesn't depend on ids: equal titles, types and tags are asked once
+    said = ["title", "type", "tags"]
+    contents = products.select(*said).distinct()
     index = path_index(paths)
     lengths = index.filter("rule = 5").agg(F.sort_array(F.collect_set(F.char_length("key")))).head()[0]  # lengths of segments: few
     type_, title = plain(F.col("type")), plain(F.col("title"))
@@ -78,10 +81,11 @@ def detect_categories(products: DataFrame, paths: DataFrame) -> DataFrame:
     typed = F.when(type_ != "", F.concat(F.array(cand(1, F.lit(0), type_), cand(2, F.lit(0), type_)), each(5, parts(type_, F.lit(lengths).cast("array<int>"))))).otherwise(none)
     titled = F.when(title != "", each(3, F.concat(words(title), F.array(F.lit(""))))).otherwise(none)
     tagged = F.coalesce(F.filter(F.transform("tags", lambda t, i: cand(4, i, plain(t))), lambda c: c["key"] != ""), none)
-    asked = products.select("*", title.alias("_title"), F.explode(F.concat(typed, titled, tagged, F.array(cand(9, F.lit(0), F.lit(""))))).alias("c"))
-    asked = asked.select("id", "title", "type", "tags", F.when(F.col("c.rule") == 3, F.col("_title")).alias("_title"), F.col("c.rule").alias("_rule"), F.col("c.key").alias("_key"), F.col("c.pos").alias("_pos"))
-    met = asked.join(index, (F.col("_rule") == F.col("rule")) & (F.col("_key") == F.col("key")) & ((F.col("rule") != 3) | contains_word(F.col("_title"), F.col("segment"))), "left")
+    asked = contents.select("*", title.alias("_title"), F.explode(F.concat(typed, titled, tagged)).alias("c"))
+    asked = asked.select(*said, F.when(F.col("c.rule") == 3, F.col("_title")).alias("_title"), F.col("c.rule").alias("_rule"), F.col("c.key").alias("_key"), F.col("c.pos").alias("_pos"))
+    met = asked.join(index, (F.col("_rule") == F.col("rule")) & (F.col("_key") == F.col("key")) & ((F.col("rule") != 3) | contains_word(F.col("_title"), F.col("segment"))))
     rule = F.when(F.col("rule") == 5, 2).otherwise(F.col("rule"))
-    best = met.groupBy("id", "title", "type", "tags").agg(F.min(F.when(F.col("rule").isNotNull(), F.struct(rule.alias("rule"), "_pos", "ordinal", "path"))).alias("b"))
+    found = met.groupBy(F.struct(*said).alias("_said")).agg(F.min(F.struct(rule.alias("rule"), "_pos", "ordinal", "path")).alias("b"))
+    best = products.distinct().withColumn("_said", F.struct(*said)).join(found, "_said", "left")
     confidence = F.coalesce(*[F.when(F.col("b.rule") == k, F.lit(v)) for k, v in CONFIDENCE.items()], F.lit(0.0))
     return best.select("id", "title", "type", "tags", F.col("b.path").alias("path"), confidence.alias("confidence"))

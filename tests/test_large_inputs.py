@@ -1,5 +1,6 @@
 """How work grows with its input: pairs that don't arise, tasks that stay small."""
 
+from factloom.operators import categories as C
 from factloom.operators import resolve as R
 from factloom.sources import record_pages as D
 
@@ -25,3 +26,13 @@ def test_many_pages_are_few_tasks(spark, tmp_path):
     assert got.rdd.getNumPartitions() <= D.TASKS < len(D.listed(path)) == 500
     assert sorted(map(tuple, got.select("external_id", "connection", "page", "updated_at").collect())) == sorted((str(i), "ab"[i % 2], i // 4, f"{i:05}") for i in range(1000))
     assert len(D.bundled([None] * 150_000)) == 1500
+
+
+def test_equal_contents_are_asked_once(spark, tmp_path):
+    """Rows of the index meet titles, types and tags, not products."""
+    rows = spark.range(500).selectExpr("id", "'a lamp' AS title", "if(id % 2 = 0, 'lamp', null) AS type", "array('home') AS tags")
+    paths = spark.createDataFrame([(0, "home/lamp")], "ordinal long, path string")
+    got = C.detect_categories(rows, paths)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "_key" in x]
+    assert joins and all("Join Inner" in x for x in joins)
+    assert sorted((r.id, r.path, r.confidence) for r in got.collect()) == [(i, "home/lamp", 0.65 if i % 2 else 0.85) for i in range(500)]
