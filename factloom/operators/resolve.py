@@ -23,7 +23,8 @@ def identities(products: DataFrame) -> DataFrame:
     if "variants" in products.columns:
         own = F.flatten(F.transform("variants", lambda v: F.array(one("sku", bare(v["sku"])), one("gtin", gtin(v["barcode"])))))
         found = F.concat(found, F.coalesce(own, F.array().cast("array<struct<type:string,value:string>>")))
-    rows = products.select("product", F.posexplode(found).alias("position", "i")).filter("i.value is not null")
+    # dealt by product before they are many: rows hardly ever repeat an identity, so to combine them where they are read only holds them
+    rows = products.repartition("product").select("product", F.posexplode(found).alias("position", "i")).filter("i.value is not null")
     return rows.groupBy("product", "i.type", "i.value").agg(F.min("position").alias("position"))
 
 
