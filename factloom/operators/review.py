@@ -208,7 +208,8 @@ def refilled(diffs: DataFrame, facts: DataFrame) -> DataFrame:
     keys = {k: (field, i) for field, names in REFILL.items() for i, k in enumerate(names)}
     pairs = facts.filter(F.col("raw_key").isin(list(keys)) & full(F.col("value")).isNotNull())
     pairs = pairs.select("fact_set", lookup({k: f for k, (f, _) in keys.items()}, F.col("raw_key")).alias("field"), F.struct(lookup({k: i for k, (_, i) in keys.items()}, F.col("raw_key")).alias("i"), "ordinal").alias("at"), full(F.col("value")).alias("value"))
-    wide = pairs.groupBy("fact_set").agg(*[F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("at"))).alias(f"_{f}") for f in REFILL])
+    # facts are dealt by set first, so that a task holds the sets of its part alone, not those of all that it reads
+    wide = pairs.repartition("fact_set").groupBy("fact_set").agg(*[F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("at"))).alias(f"_{f}") for f in REFILL])
     p = F.col("payload")
     for f in REFILL:
         found = F.col(f"_{f}").try_cast("double") if f == "basePrice" else F.upper(f"_{f}") if f == "currency" else F.col(f"_{f}")

@@ -2,6 +2,7 @@
 
 from factloom.operators import categories as C
 from factloom.operators import resolve as R
+from factloom.plans.catalog import QUERIES
 from factloom.sources import record_pages as D
 
 
@@ -28,6 +29,29 @@ def test_many_pages_are_few_tasks(spark, tmp_path):
     assert len(D.bundled([None] * 150_000)) == 1500
 
 
+def held_before_shuffles(df):
+    """Aggregates and sorts of the plan that come before any exchange, where they hold all of what a task reads."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    out = []
+    for i, line in enumerate(plan):
+        if "Aggregate(" in line or "Sort [" in line or "SortAggregate" in line:
+            below = []
+            for x in plan[i + 1 :]:
+                if depth(x) <= depth(line):
+                    break
+                below.append(x)
+            if not any("Exchange" in x for x in below):
+                out.append(line.strip(" :+-"))
+    return out
+
+
+def test_rows_are_dealt_before_they_are_held(spark, sf_dir):
+    """Groups of hardly more than a row aren't collected by the tasks that read them."""
+    for name in ("identities", "rehydrate"):
+        assert held_before_shuffles(QUERIES[name](spark, sf_dir)) == [], name
+
+
 def test_equal_contents_are_asked_once(spark, tmp_path):
     """Rows of the index meet titles, types and tags, not products."""
     rows = spark.range(500).selectExpr("id", "'a lamp' AS title", "if(id % 2 = 0, 'lamp', null) AS type", "array('home') AS tags")
