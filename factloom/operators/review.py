@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from factloom.functions.records import full
 from factloom.functions.scalars import clamp, cluster_key, host_of, let, lookup
 from factloom.operators.policy import signal_cluster, validate
 from factloom.operators.resolve import identities, match_action, match_score, pair_signals, resolve_identity
 from factloom.sources.store import absent
+from factloom.sources.tables import dealt
 
 # Severity of a failure; members of a payload; raw keys that fill an empty core field, first ones first.
 FAILURE_SEVERITY = {"fetch_failed": "high", "captcha_wall": "high", "no_data_extracted": "high", "artifact_duplicate": "low"}
@@ -278,29 +280,35 @@ def decide(decisions: DataFrame, tasks: DataFrame, diffs: DataFrame, artifacts:
     diff lives on. merge: the url becomes the product's identity, the diff is rejected. All resolve their task. A diff
     that is still open or pending, has no other open task and isn't merged away is to be applied, after all edits. Of
     several decisions on a task the last counts.
+
+    Rows are dealt before they are grouped or joined, and no table is broadcast, so that a task holds its share of the
+    rows and not what it reads. What the tables share is kept on disk (persist) until the session ends or the caller
+    clears the cache.
     """
-    last = decisions.groupBy("task").agg(F.max_by(F.struct(*[c for c in decisions.columns if c != "task"]), "at").alias("d")).select("task", "d.*")
-    urls = diffs.join(artifacts, "fact_set", "left").select("diff_id", "url")
-    known = last.join(tasks.select("task", "tenant", "diff_id", F.col("field").alias("task_field")), "task").join(urls, "diff_id", "left").withColumn("domain", host_of(F.col("url")))
+    last = dealt(decisions, "task").groupBy("task").agg(F.max_by(F.struct(*[c for c in decisions.columns if c != "task"]), "at").alias("d")).select("task", "d.*")
+    urls = dealt(diffs.select("diff_id", "fact_set"), "fact_set").join(artifacts.hint("merge"), "fact_set", "left").select("diff_id", "url")
+    asked = last.join(tasks.select("task", "tenant", "diff_id", F.col("field").alias("task_field")).hint("merge"), "task")
+    known = dealt(asked, "diff_id").join(urls.hint("merge"), "diff_id", "left").withColumn("domain", host_of(F.col("url"))).persist(StorageLevel.DISK_ONLY)
     edits = known.filter("action = 'edit' and diff_id is not null")
     overrides = edits.filter("canonical_key is not null").select("tenant", F.nullif("domain", F.lit("")).alias("domain"), F.col("field").alias("raw_key"), "canonical_key", "task")
     synonyms = overrides.filter("raw_key <> canonical_key").select(F.col("raw_key").alias("synonym"), "canonical_key", F.lit("human_review").alias("source")).distinct()
     rejects = known.filter("action = 'reject'").withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), F.lit("unknown")))
     failures = rejects.groupBy("tenant", "domain", "reason").agg(F.count("*").alias("occurrences"), F.max_by("note", F.when(F.col("note").isNotNull(), F.struct("at", "task"))).alias("note"), F.min_by("task_field", F.struct("at", "task")).alias("raw_key"), F.max("at").alias("last_seen"))
     merges = known.filter("action = 'merge' and url is not null")
-    aliases = merges.select("product", F.lit("url").alias("type"), F.col("url").alias("value")).distinct()
+    aliases = dealt(merges.select("product", F.lit("url").alias("type"), F.col("url").alias("value")), "value").distinct()
     value = edits.filter(full(F.col("value")).isNotNull()).groupBy("diff_id", "field").agg(F.max_by("value", F.struct("at", "task")).alias("value"))
     patch = value.groupBy("diff_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("patch"))
-    gone = merges.select("diff_id").distinct().withColumn("merged", F.lit(True))
+    merged, touched = (F.col("action") == "merge") & F.col("url").isNotNull(), F.col("action").isin("edit", "reject")
+    marks = known.groupBy("diff_id").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(name) for name, c in (("merged", merged), ("touched", touched))])
     kept = F.map_filter("payload", lambda k, v: ~F.map_contains_key("patch", k))
-    new_diffs = diffs.join(patch, "diff_id", "left").join(gone, "diff_id", "left")
+    new_diffs = dealt(diffs, "diff_id").join(patch.hint("merge"), "diff_id", "left").join(marks.filter("merged").hint("merge"), "diff_id", "left")
     new_diffs = new_diffs.withColumn("payload", F.when(F.col("patch").isNull(), F.col("payload")).otherwise(F.map_concat(F.when(F.col("patch").isNull(), F.col("payload")).otherwise(kept), "patch")))
     new_diffs = new_diffs.withColumn("status", F.when(F.col("merged"), "rejected").otherwise(F.col("status"))).select(*diffs.columns)
-    resolved = tasks.join(last.select("task", F.col("note").alias("notes"), F.lit(True).alias("_done")), "task", "left")
+    resolved = dealt(tasks, "task").join(last.select("task", F.col("note").alias("notes"), F.lit(True).alias("_done")).hint("merge"), "task", "left")
     resolved = resolved.withColumn("status", F.when(F.col("_done"), "resolved").otherwise(normal_status(F.col("status")))).drop("_done")
-    touched = known.filter(F.col("action").isin("edit", "reject")).select("diff_id").distinct()
     still = resolved.filter("status = 'open'").select("diff_id").distinct()
-    to_apply = new_diffs.filter(F.col("status").isin(*APPROVABLE)).join(touched, "diff_id", "left_semi").join(still, "diff_id", "left_anti")
+    waiting = diffs.filter(F.col("status").isin(*APPROVABLE)).select("diff_id")
+    to_apply = dealt(waiting, "diff_id").join(marks.filter("touched and not merged").hint("merge"), "diff_id", "left_semi").join(still.hint("merge"), "diff_id", "left_anti")
     return {"overrides": overrides, "synonyms": synonyms, "diffs": new_diffs, "failures": failures, "identities": aliases, "tasks": resolved, "to_apply": to_apply.select("diff_id")}
 
 

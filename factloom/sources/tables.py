@@ -22,3 +22,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as spark.sql.shuffle.partitions says. Unlike the parts of other shuffles these aren't
+    joined to larger ones, so what a task holds is always that share of all rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

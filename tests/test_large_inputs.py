@@ -60,3 +60,11 @@ def test_equal_contents_are_asked_once(spark, tmp_path):
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "_key" in x]
     assert joins and all("Join Inner" in x for x in joins)
     assert sorted((r.id, r.path, r.confidence) for r in got.collect()) == [(i, "home/lamp", 0.65 if i % 2 else 0.85) for i in range(500)]
+
+
+def test_decisions_are_dealt_by_all_tasks(spark, sf_dir):
+    """Decisions, tasks and diffs aren't held by the tasks that read them, nor broadcast; a task has its share of them."""
+    df = QUERIES["decide"](spark, sf_dir)
+    assert [x for x in held_before_shuffles(df) if "bloom_filter_agg" not in x] == []  # a filter has a fixed size
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("REPARTITION_BY_NUM") > 5
