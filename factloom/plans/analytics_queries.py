@@ -8,7 +8,7 @@ from factloom.operators import analytics as A
 from factloom.operators import calibration as C
 from factloom.operators import views as W
 from factloom.plans.register import query
-from factloom.sources.tables import shared_path, table
+from factloom.sources.tables import dealt, shared_path, table
 
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-31 00:00:00", "2001-08-02 00:00:00"
 
@@ -20,10 +20,10 @@ def prices(spark, sf_dir):
 
 
 def part_price_counts(spark, sf_dir):
-    """brand, category, price, c: lines are counted by part and price before they meet the parts."""
+    """brand, category, price, c: lines are counted by part and price before they meet the parts, all dealt by part first."""
     items = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
-    return A.price_counts(items, ["l_partkey"]).join(parts, "l_partkey").groupBy("brand", "category", "price").agg(F.sum("c").alias("c"))
+    return A.price_counts(dealt(items, "l_partkey"), ["l_partkey"]).join(parts.hint("merge"), "l_partkey").groupBy("brand", "category", "price").agg(F.sum("c").alias("c"))
 
 
 @query(

@@ -68,3 +68,11 @@ def test_decisions_are_dealt_by_all_tasks(spark, sf_dir):
     assert [x for x in held_before_shuffles(df) if "bloom_filter_agg" not in x] == []  # a filter has a fixed size
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and plan.count("REPARTITION_BY_NUM") > 5
+
+
+def test_prices_are_dealt_before_they_are_counted(spark, sf_dir):
+    """Prices of parts aren't counted by the tasks that read them, and parts aren't broadcast."""
+    for name in ("price_clusters", "price_anomaly"):
+        df = QUERIES[name](spark, sf_dir)
+        assert held_before_shuffles(df) == [], name
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString(), name
