@@ -1,9 +1,9 @@
 """Category schemas: JSON Schema documents read as rows, compiled to rules, and checked against nested records.
 
 A schema becomes a table of rules (path, keyword, arg); a path is a pattern such as /sizes/*/width, where * is any item
-of an array. A record is taken apart level by level into nodes (pointer, pattern, value), as deep as the rules
-of its category go, and nodes meet rules by equality of category and pattern. So a thousand schemas are a
-thousand tables' worth of rows and one plan, and a record's nodes are summed up before its result is shuffled.
+of an array. Records are dealt by id and category, parsed, and taken apart into nodes (pointer, pattern, value), each level once and
+as deep as the rules of its category go; nodes meet rules by equality of category and pattern. So a thousand schemas are a
+thousand tables' worth of rows and one plan; of a record only its document is shuffled, once. Rules are broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.scalars import lookup
+from factloom.sources.tables import dealt
+
 # Keywords that say something about a value, and keywords that only describe.
 KEYWORDS = [
     "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format",
@@ -118,32 +121,52 @@ def compile_schemas(schemas: DataFrame) -> DataFrame:
 
 def kind_of(v: Column) -> Column:
     """The JSON type of a variant; integers are numbers."""
-    first = F.substring(F.to_json(v), 1, 1)
-    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
+    kinds = {"OBJ": "object", "ARR": "array", "STR": "string", "BOO": "boolean", "VOI": "null"}
+    return F.when(v.isNotNull(), F.coalesce(lookup(kinds, F.substring(F.schema_of_variant(v), 1, 3)), F.lit("number")))
 
 
-def plain(v: Column) -> Column:
+def plain(v: Column, kind: Column | None = None) -> Column:
     """Text that is equal for equal JSON values: numbers by value, objects whatever the order of their keys."""
-    return F.when(kind_of(v) == "number", F.concat(F.lit("#"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.to_json(v))
+    kind = kind_of(v) if kind is None else kind
+    return F.when(kind == "number", F.concat(F.lit("#"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.to_json(v))
 
 
-def broken(kind: Column, value: Column, word: Column, arg: Column) -> Column:
-    """Whether a node breaks a rule; keywords hold for values of a kind that they aren't about."""
-    number, text = F.try_variant_get(value, "$", "double"), F.when(kind == "string", F.try_variant_get(value, "$", "string"))
-    items = F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>"))
-    keys = F.when(kind == "object", F.json_object_keys(F.to_json(value)))
-    number = F.when(kind == "number", number)
-    least = arg.try_cast("double")
-    listed = F.from_json(arg, "array<string>")
-    values = F.transform(F.try_variant_get(F.try_parse_json(arg), "$", "array<variant>"), plain)
+def keys_of(v: Column) -> Column:
+    """Names of an object's members; null for other kinds."""
+    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def with_args(rules: DataFrame) -> DataFrame:
+    """category, pattern, keyword of rules, and their args as tests need them: read once a rule, not once a node."""
+    word, arg = F.col("keyword"), F.col("arg")
     one = F.get_json_object(F.concat(F.lit('{"a":'), arg, F.lit("}")), "$.a")  # the string that arg is
+    values = F.transform(F.try_variant_get(F.try_parse_json(arg), "$", "array<variant>"), lambda v: plain(v))
+    return rules.select(
+        "category",
+        F.col("path").alias("pattern"),
+        "keyword",
+        arg.try_cast("double").alias("least"),
+        F.when(word.isin("type", "required", "additionalProperties"), F.from_json(arg, "array<string>")).alias("listed"),
+        F.when(word.isin("enum", "const"), values).alias("values"),
+        F.when(word.isin("pattern", "format"), one).alias("one"),
+        (arg == "true").alias("on"),
+    )
+
+
+def broken() -> Column:
+    """Whether a node (kind, value) breaks a rule (`with_args`); keywords hold for values of a kind that they aren't about."""
+    kind, value, word, least, listed, values, one = map(F.col, ("kind", "value", "keyword", "least", "listed", "values", "one"))
+    number = F.when(kind == "number", F.try_variant_get(value, "$", "double"))
+    text = F.when(kind == "string", F.try_variant_get(value, "$", "string"))
+    items = F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>"))
+    keys = F.when(kind == "object", keys_of(value))
     typed = F.array_contains(listed, kind) | (F.array_contains(listed, F.lit("integer")) & F.coalesce(number == F.floor(number), F.lit(False)))
     shaped = F.coalesce(*[F.when(one == name, F.rlike(text, F.lit(shape))) for name, shape in FORMATS.items()])
     dated = F.when(one.isin("date", "date-time"), F.substring(text, 1, 10).try_cast("date").isNotNull()).otherwise(True)
     tests = {
         "type": ~typed,
-        "enum": ~F.array_contains(values, plain(value)),
-        "const": ~F.array_contains(values, plain(value)),
+        "enum": ~F.array_contains(values, plain(value, kind)),
+        "const": ~F.array_contains(values, plain(value, kind)),
         "minimum": number < least,
         "maximum": number > least,
         "exclusiveMinimum": number <= least,
@@ -153,28 +176,45 @@ def broken(kind: Column, value: Column, word: Column, arg: Column) -> Column:
         "maxLength": F.char_length(text) > least,
         "pattern": ~F.rlike(text, one),
         "format": ~(shaped & dated),
-        "minItems": F.size(items) < least,
-        "maxItems": F.size(items) > least,
-        "uniqueItems": (arg == "true") & (F.size(F.array_distinct(F.transform(items, plain))) < F.size(items)),
+        "minItems": items.isNotNull() & (F.size(items) < least),
+        "maxItems": items.isNotNull() & (F.size(items) > least),
+        "uniqueItems": F.col("on") & (F.size(F.array_distinct(F.transform(items, lambda v: plain(v)))) < F.size(items)),
         "required": F.size(F.array_except(listed, keys)) > 0,
         "additionalProperties": F.size(F.array_except(keys, listed)) > 0,
         "minProperties": F.size(keys) < least,
         "maxProperties": F.size(keys) > least,
     }
-    out = F.lit(False)
+    out = F
     for name in KEYWORDS:
-        out = F.when(word == name, F.coalesce(tests[name] if name not in ("minItems", "maxItems") else items.isNotNull() & tests[name], F.lit(False))).otherwise(out)
-    return out
-
-
-def children(nodes: DataFrame) -> DataFrame:
-    """Members and items of nodes (id, category, pointer, pattern, value)."""
-    kind, value = F.col("kind"), F.col("value")
-    items = F.transform(F.when(kind == "array", F.try_variant_get(value, "$", "array<variant>")), lambda v, i: F.struct(i.cast("string").alias("part"), F.lit("*").alias("like"), v.alias("value")))
-    part = lambda k: F.regexp_replace(F.regexp_replace(k, "~", "~0"), "/", "~1")
-    members = F.transform(F.map_entries(F.when(kind == "object", F.try_variant_get(value, "$", "map<string,variant>"))), lambda e: F.struct(part(e["key"]).alias("part"), part(e["key"]).alias("like"), e["value"].alias("value")))
-    each = nodes.select("id", "category", "pointer", "pattern", F.explode(F.coalesce(items, members)).alias("c"))
-    return each.select("id", "category", F.concat_ws("/", "pointer", "c.part").alias("pointer"), F.concat_ws("/", "pattern", "c.like").alias("pattern"), F.col("c.value").alias("value"))
+        out = out.when(word == name, tests[name])
+    return F.coalesce(out, F.lit(False))
+
+
+def known_paths(rules: DataFrame) -> DataFrame:
+    """category, known, more: paths that a rule is about or below, and whether a rule is about something below."""
+    steps = F.split("path", "/")
+    upper = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat_ws("/", F.slice(steps, F.lit(1), n)))
+    each = rules.select("category", "path", F.explode(upper).alias("known"))
+    return each.groupBy("category", "known").agg(F.bool_or(F.col("known") != F.col("path")).alias("more"))
+
+
+def with_children(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Nodes (id, category, bad, pointer, pattern, kind, value, fresh), and members or items of fresh ones that rules are about
+    something below; these are fresh now. Fresh nodes that no rule is about or below go."""
+    nodes = nodes.withColumn("known", F.when(F.col("fresh"), F.col("pattern"))).join(F.broadcast(known), ["category", "known"], "left")
+    nodes = nodes.filter("more is not null or not fresh")
+    entry = "array<struct<key:string,value:variant>>"
+    members = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")).cast(entry)
+    items = F.try_variant_get("value", "$", "array<variant>")
+    items = F.arrays_zip(F.slice(F.sequence(F.lit(0), F.size(items)), F.lit(1), F.size(items)).cast("array<string>"), items).cast(entry)
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value")))
+    below = F.when(F.col("more"), F.coalesce(F.when(F.col("kind") == "object", members), F.when(F.col("kind") == "array", items)))
+    each = nodes.select("id", "category", "bad", "pointer", "pattern", "kind", F.explode(F.concat(itself, F.coalesce(below, F.array().cast(entry)))).alias("e"))
+    key, value, old = F.col("e.key"), F.col("e.value"), F.col("e.key").isNull()
+    part = F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    at = lambda name, of: F.when(old, F.col(name)).otherwise(F.concat(F.col(name), F.lit("/"), of)).alias(name)
+    kind = F.when(old, F.col("kind")).otherwise(kind_of(value))
+    return each.select("id", "category", "bad", at("pointer", part), at("pattern", F.when(F.col("kind") == "array", "*").otherwise(part)), kind.alias("kind"), value.alias("value"), (~old).alias("fresh"))
 
 
 def check_records(records: DataFrame, rules: DataFrame) -> DataFrame:
@@ -186,30 +226,29 @@ def check_records(records: DataFrame, rules: DataFrame) -> DataFrame:
     records apart; rows of one id and category are one record. Values aren't coerced: "5" is no number.
     """
     deepest = rules.agg(F.max(F.size(F.split("path", "/")) - 1)).head()[0] or 0  # rules are as many as schemas have lines
-    records = records.select("id", "category", F.try_parse_json("document").alias("value"))
-    tiers = rules.groupBy("category").agg(F.min("tier").alias("tier"))
-    # paths that something lies below; nodes elsewhere are not taken apart
-    inner = rules.select("category", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.concat_ws("/", F.slice(F.split("path", "/"), F.lit(1), n)))).alias("pattern"), "path")
-    inner = inner.filter("path <> pattern").select("category", "pattern").distinct()
-    level = records.filter("value is not null").select("id", "category", F.lit("").alias("pointer"), F.lit("").alias("pattern"), "value")
-    nodes = level
+    rows = dealt(records.select("id", "category", "document"), "id", "category")
+    rows = rows.select("id", "category", F.try_parse_json("document").alias("value"))
+    # each row twice: what stands for the record, which no rule meets, and the node of the whole
+    rows = rows.select("id", "category", "value", F.explode(F.array(F.lit(None).cast("string"), F.lit(""))).alias("pattern"))
+    whole = F.col("pattern").isNotNull()
+    nodes = rows.filter(~whole | F.col("value").isNotNull()).select(
+        "id", "category", F.when(~whole, F.col("value").isNull()).alias("bad"), F.col("pattern").alias("pointer"), "pattern", F.when(whole, kind_of(F.col("value"))).alias("kind"), F.when(whole, F.col("value")).alias("value"), whole.alias("fresh")
+    )
+    known = known_paths(rules)
     for _ in range(deepest):
-        level = children(level.join(inner, ["category", "pattern"], "left_semi").withColumn("kind", kind_of(F.col("value"))))
-        nodes = nodes.unionByName(level)
-    met = nodes.withColumn("kind", kind_of(F.col("value"))).join(rules.select("category", F.col("path").alias("pattern"), "keyword", "arg"), ["category", "pattern"])
-    wrong = met.filter(broken(F.col("kind"), F.col("value"), F.col("keyword"), F.col("arg")))
-    pointer = F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer"))
-    absent = F.when(F.col("keyword") == "required", F.array_except(F.from_json("arg", "array<string>"), F.json_object_keys(F.to_json("value"))))
-    at = pointer.alias("path")
+        nodes = with_children(nodes, known)
+    wrong = nodes.join(F.broadcast(with_args(rules)), ["category", "pattern"], "left").filter(F.col("bad").isNotNull() | broken())
+    path = F.when(F.col("pointer") == "", "/").otherwise(F.col("pointer")).alias("path")
+    absent = F.when(F.col("keyword") == "required", F.array_except("listed", keys_of(F.col("value"))))
+    wrong = wrong.select("id", "category", "bad", path, "keyword", absent.alias("absent"))
     found = wrong.groupBy("id", "category").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.transform(absent, lambda n: F.struct(n.alias("name"), at))))).alias("missing"),
-        F.array_sort(F.collect_set(F.when(F.col("keyword") != "required", F.struct(at, F.col("keyword").alias("keyword"))))).alias("errors"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform("absent", lambda n: F.struct(n.alias("name"), F.col("path")))))).alias("missing"),
+        F.array_sort(F.collect_set(F.when(F.col("keyword") != "required", F.struct("path", "keyword")))).alias("errors"),
+        F.bool_or("bad").alias("bad"),
+        F.bool_or(~F.col("bad")).alias("good"),
     )
+    bad = F.array(F.struct(F.lit("/").alias("path"), F.lit("json").alias("keyword")))
     found = found.withColumn("missing", F.transform(F.array_sort("missing"), lambda m: m["name"]))
-    key = lambda df: df.withColumns({"_id": F.struct("id"), "_category": F.struct("category")})  # noqa: E731  null ids and categories join too
-    out = key(records).join(key(found).drop("id", "category"), ["_id", "_category"], "left").join(tiers, "category", "left")
-    bad = F.struct(F.lit("/").alias("path"), F.lit("json").alias("keyword"))
-    kind = out.schema["errors"].dataType.simpleString()
-    errors = F.when(F.col("value").isNull(), F.array(bad)).otherwise(F.coalesce("errors", F.array().cast(kind)))
-    out = out.select("id", "category", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), errors.alias("errors"), "tier")
-    return out.select("id", "category", ((F.size("missing") == 0) & (F.size("errors") == 0)).alias("valid"), "missing", "errors", "tier").distinct()
+    found = found.withColumn("errors", F.explode(F.array_compact(F.array(F.when(F.col("good"), F.col("errors")), F.when(F.col("bad"), bad)))))
+    out = found.join(F.broadcast(rules.groupBy("category").agg(F.min("tier").alias("tier"))), "category", "left")
+    return out.select("id", "category", ((F.size("missing") == 0) & (F.size("errors") == 0)).alias("valid"), "missing", "errors", "tier")

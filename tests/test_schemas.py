@@ -96,3 +96,26 @@ def test_one_plan_for_many_schemas(spark):
     got = J.check_records(records, rules)
     assert got.filter("valid").count() == 2
     assert all([(e.path, e.keyword) for e in r.errors] == ([("/n", "maximum")] if r.id % 300 < 150 else [("/deep/m", "minimum")]) for r in got.filter("not valid").collect())
+
+
+def test_rows_of_one_record(spark):
+    """Rows of one id and category are one record, whether or not each of them is JSON."""
+    rules = J.compile_schemas(spark.createDataFrame([("c", "inferred", '{"required": ["a"], "properties": {"b": {"type": "string"}}}')], "category string, tier string, document string"))
+    records = spark.createDataFrame([(1, "c", '{"a": 1, "b": 2}'), (1, "c", '{"b": "x"}'), (2, "c", "{}"), (2, "c", "{"), (3, "c", "{"), (3, "c", None)], "id long, category string, document string")
+    got = sorted((r.id, r.missing, [tuple(e) for e in r.errors]) for r in J.check_records(records, rules).collect())
+    assert got == [(1, ["a"], [("/b", "type")]), (2, ["a"], []), (2, ["a"], [("/", "json")]), (3, [], [("/", "json")])]
+
+
+def test_records_are_parsed_and_shuffled_once(spark):
+    """However deep rules go, a record is read, parsed and taken apart once, and only its document is shuffled."""
+    deep = {"properties": {"a": {"properties": {"b": {"items": {"properties": {"c": {"maximum": 4}}}}}}}}
+    rules = J.compile_schemas(spark.createDataFrame([("c", "inferred", json.dumps(deep))], "category string, tier string, document string"))
+    records = spark.createDataFrame([(i, "c", json.dumps({"a": {"b": [{"c": k} for k in range(i)]}})) for i in range(9)], "id long, category string, document string")
+    got = J.check_records(records, rules)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(document") + plan.count("parse_json(document") == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    shuffled = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("id#" in x or "pattern#" in x)]
+    assert len(shuffled) == 1 and "REPARTITION_BY_NUM" in shuffled[0], shuffled
+    assert "SortMergeJoin" not in plan
+    assert {r.id: [e.path for e in r.errors] for r in got.collect()} == {i: [f"/a/b/{k}/c" for k in range(5, i)] for i in range(9)}
